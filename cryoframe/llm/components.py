@@ -1,0 +1,55 @@
+"""Connected components of an edge table by repeated contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import cut
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``(vertex, component)`` for every vertex of ``edges(src, dst)``; component is the smallest vertex.
+
+    In each round every vertex moves to the first of its closed neighbourhood (by id in the first
+    two rounds, by a hash of id and round later, so that chains shrink by a constant factor) and the
+    edges are contracted.  All state is in checkpointed tables; only emptiness comes to the driver.
+    Self loops and repeated edges are allowed; rows with a null end are ignored.  An empty table gives
+    an empty table.
+    """
+    edges = cut(
+        edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+        .where("src is not null and dst is not null")
+        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        .distinct()
+    )
+    loops = edges.where("src = dst").select(F.col("src").alias("vertex")).distinct()
+    edges = edges.where("src <> dst")
+    placed, step = None, 0
+    while not edges.isEmpty():
+        if step == max_rounds:
+            raise RuntimeError("connected components did not converge")
+        order = F.lit(0).cast("long") if step < 2 else F.xxhash64(F.lit(step), F.col("to"))
+        both = edges.select(F.col("src").alias("v"), F.col("dst").alias("to")).union(
+            edges.select(F.col("dst").alias("v"), F.col("src").alias("to"))
+        )
+        own = F.lit(0).cast("long") if step < 2 else F.xxhash64(F.lit(step), F.col("v"))
+        moved = both.groupBy("v").agg(F.min(F.struct(order.alias("o"), F.col("to").alias("id"))).alias("best"))
+        moved = cut(moved.select("v", F.least("best", F.struct(own.alias("o"), F.col("v").alias("id")))["id"].alias("m")))
+        left, right = moved.select(F.col("v").alias("src"), F.col("m").alias("a")), moved.select(F.col("v").alias("dst"), F.col("m").alias("b"))
+        edges = cut(
+            edges.join(left, "src").join(right, "dst")
+            .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+            .where("src <> dst").distinct()
+        )
+        if placed is None:
+            placed = moved.select(F.col("v").alias("vertex"), F.col("m").alias("at"))
+        else:
+            onward = moved.select(F.col("v").alias("at"), F.col("m").alias("next"))
+            placed = cut(placed.join(onward, "at", "left").select("vertex", F.coalesce("next", "at").alias("at")))
+        step += 1
+    if placed is None:
+        return loops.select("vertex", F.col("vertex").alias("component"))
+    smallest = placed.groupBy("at").agg(F.min("vertex").alias("component"))
+    out = placed.join(smallest, "at").select("vertex", "component")
+    return out.unionByName(loops.join(out, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component")))
