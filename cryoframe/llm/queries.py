@@ -4,18 +4,101 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contaminated_pairs
+from .language_id import identify_language
 from .near_dedup import near_duplicate_groups
+from .nearest import nearest_neighbours
+from .packing import pack_documents
+from .pii import find_personal_data
+from .secret_scan import scan_secrets
 from .shared import table
+from .toxicity import judge_toxicity
+from .url_filter import judge_urls
+
+#: The rules of the URL query (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_spectrum_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_forest_neighbours, op3_personal_data, op5_nnpu_toxicity, op6_string_tiling,
+        op7_vector_packing, op8_spectrum_language, op9_entropy_secrets, op10_url_digests,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _rule_sql(value: int) -> str:
+    """CASE over the URL rules, the longest first; ``value`` 0 gives the rule, 1 the verdict."""
+    longest = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    when = lambda h, p, v: f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[value]}'"
+    return "CASE " + " ".join(when(*r) for r in longest) + (" ELSE NULL END" if value == 0 else " ELSE 'allow' END")
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_digests": f"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest
+            FROM pages
+        ), parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        )
+        SELECT page_id, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS verdict FROM parts""",
+    "op2_forest_neighbours": """
+        WITH usable AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), near AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+            FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM near
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+}

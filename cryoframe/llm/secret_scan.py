@@ -24,7 +24,7 @@ ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|xxxx|changeme",
     r"(?i)^sha(1|256|384|512)-",
     r"(?i)abcdefghij|0123456789",
-    r"^(?:[A-Za-z]+[_/-])+[A-Za-z]+[_/-]?[0-9]{0,4}$",
+    r"^(?:[A-Za-z]++[_/-])++[A-Za-z]*+[_/-]?[0-9]{0,4}$",
 )
 #: Context right before a candidate that marks it as a checksum or an address.
 ALLOWED_BEFORE = r"(?i)(commit|checksum|digest|etag|md5|sha1|sha256|https?:/{0,2}[^ ]*)[ :=]*$"

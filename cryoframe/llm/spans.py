@@ -21,7 +21,7 @@ def find_spans(text: str, pattern: str, kind: str, ord_: int, gate: str) -> Colu
     return F.expr(f"""
         case when {text} is not null and ({gate}) and rlike({text}, {p}) then
           aggregate(
-            transform(arrays_zip(split({text}, {p}, -1) as gap, regexp_extract_all({text}, {p}, 0) as hit), z -> named_struct('gap', z.gap, 'hit', z.hit)),
+            zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, hit) -> named_struct('gap', gap, 'hit', hit)),
             named_struct('at', 0, 'found', {_NONE}),
             (acc, z) -> if(z.hit is null, acc, named_struct(
               'at', acc.at + length(z.gap) + length(z.hit),
