@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated_pairs
 from .language_id import identify_language
+from .license_scan import scan_licenses
 from .near_dedup import near_duplicate_groups
 from .nearest import nearest_neighbours
 from .packing import pack_documents
@@ -36,6 +37,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,7 +68,7 @@ def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_forest_neighbours, op3_personal_data, op5_nnpu_toxicity, op6_string_tiling,
+        op1_minhash_near_dedup, op2_forest_neighbours, op3_personal_data, op4_license_windows, op5_nnpu_toxicity, op6_string_tiling,
         op7_vector_packing, op8_spectrum_language, op9_entropy_secrets, op10_url_digests,
     )
 }
