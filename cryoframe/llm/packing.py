@@ -29,45 +29,70 @@ END_OF_TEXT = 1
 _TRAILING = b".,;:!?%*&$#|()-"
 
 
-class WordIds(dict):
-    """Token ids (little-endian 32 bit) of ASCII-white-space separated words, with bounded memory.
+class WordIds:
+    """Token ids (little-endian 32 bit) of texts, through a bounded cache of words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in
-    a row.  A word of Latin-1 letters and trailing punctuation is split there too, which the
-    tokenizer also does; all else goes through the tokenizer itself.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a
+    row.  A word of Latin-1 letters and trailing punctuation is split there too, which the tokenizer
+    also does.  The unknown letter stems of a batch are encoded in one call: each is one word to the
+    tokenizer, so its ids end at the next id whose token ends a word.  All else is encoded by itself.
     """
 
-    def __init__(self, tokenizer, limit: int = 300_000) -> None:
-        self.tokenizer, self.limit, self.stems = tokenizer, limit, {}
-
-    def _encode(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _stem(self, stem: bytes) -> bytes:
-        ids = self.stems.get(stem)
-        if ids is None:
-            if len(self.stems) >= self.limit:
+    def __init__(self, tokenizer, limit: int = 400_000) -> None:
+        self.tokenizer, self.limit = tokenizer, limit
+        self.forms: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        for a in range(0, len(stems), 5000):
+            part = stems[a : a + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            if len(ends) != len(part):
+                self.stems.update((stem, self._encode(stem)) for stem in part)
+                continue
+            at = 0
+            for stem, end in zip(part, ends):
+                self.stems[stem] = raw[at:end]
+                at = end
+
+    def _learn(self, words: set[bytes]) -> None:
+        split, plain = [], []
+        for word in words:
+            core = word.rstrip(_TRAILING)
+            letters = core.decode("utf-8", "replace")
+            if letters.isalpha() and max(letters) < "\u0100":
+                split.append((word, letters.lower(), word[len(core) :]))
+            else:
+                plain.append(word)
+        stems = {stem for _, stem, _ in split}.difference(self.stems)
+        self._learn_stems(list(stems))
+        tails = {tail: self._encode(tail.decode()) for tail in {tail for _, _, tail in split} if tail}
+        for word, stem, tail in split:
+            self.forms[word] = self.stems[stem] + tails[tail] if tail else self.stems[stem]
+        for word in plain:
+            self.forms[word] = self._encode(word.decode())
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
+        rows = [text.split() for text in texts]
+        needed = set().union(*rows)
+        unknown = needed.difference(self.forms)
+        if unknown:
+            if len(self.forms) + len(unknown) > self.limit:
+                self.forms.clear()
                 self.stems.clear()
-            ids = self.stems[stem] = self._encode(stem)
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_TRAILING)
-        letters = core.decode("utf-8", "replace")
-        if letters and letters.isalpha() and max(letters) < "Ā":
-            ids = self._stem(letters.lower().encode())
-            if len(core) < len(word):
-                ids += self._stem(word[len(core) :])
-        else:
-            ids = self._encode(word)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+                unknown = needed
+            self._learn(unknown)
+        find = self.forms.__getitem__
+        return [b"".join(map(find, row)) for row in rows]
 
 
 _words: dict[str, WordIds] = {}
@@ -233,10 +258,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         done: list[list[Piece]] = []
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
-            for a, b in batches_of_text(batch.column(1), 1 << 20):
+            for a, b in batches_of_text(batch.column(1), 2 << 20):
                 silents = batch.column(2).slice(a, b - a).to_pylist()
-                for example, text, quiet in zip(batch.column(0).slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist(), silents):
-                    ids = words.of(text or b"") + end
+                encoded = words.of([t or b"" for t in texts.slice(a, b - a).to_pylist()])
+                for example, ids, quiet in zip(batch.column(0).slice(a, b - a).to_pylist(), encoded, silents):
+                    ids += end
                     done += packer.add(Piece(example, ids, 0, len(ids) // 4, max(0, quiet or 0)))
                 if done:
                     yield _rows(done, sequence, with_ids)
