@@ -4,24 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from cryoframe.llm.decontaminate import drop_contaminated
 from cryoframe.llm.near_dedup import near_duplicate_groups
-from cryoframe.llm.shared import table, cut
+from cryoframe.llm.packing import pack_documents
+from cryoframe.llm.pii import mask_personal_data
+from cryoframe.llm.queries import TOKENIZER
+from cryoframe.llm.shared import cut, table
+from cryoframe.llm.toxicity import drop_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest doc_id stays, once."""
+    """Of each near-duplicate group the document with the smallest doc_id stays.
+
+    Equal rows of one document (doc_id and text) are one; rows without doc_id stay.
+    """
     kept = near_duplicate_groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    unnamed = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(unnamed)
+    named = docs.join(kept, "doc_id").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 of a benchmark item in tiles go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind."""
+    return mask_personal_data(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts in packed sequences, one row each."""
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
 ]
 
 #: Sketches, trained classifiers and a tokenizer are not SQL; tests/llm hold the stages against brute force.
@@ -29,7 +61,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on all that the one before kept."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

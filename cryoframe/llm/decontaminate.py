@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, keep_rows
 from .wordhash import PUNCTUATED, _powers, batches_of_text, mix, shingle_hashes, text_bytes, word_hashes, word_spans
 
 MIN_MATCH = 5
@@ -185,34 +185,63 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = documents(docs)
-    n_seeds = items.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"))).alias("n")).first()["n"] or 0
-    if n_seeds > broadcast_seeds:
+    if _seed_count(items) > broadcast_seeds:
         return _by_shuffle(rows, items, threshold)
-    found = items.toArrow()
-    known = docs.sparkSession.sparkContext.broadcast((found["item_id"].to_pylist(), found["text"].combine_chunks()))
+    known = _shared_items(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bank = Items(*known.value)
         for batch in batches:
-            out = []
-            for a, b in batches_of_text(batch.column(1)):
-                part = batch.slice(a, b - a)
-                words, at = words_of(part.column(1))
-                seeds, seed_at = seeds_of(words, at)
-                near = np.searchsorted(bank.seeds, seeds)
-                hits = np.zeros(len(seeds), bool)
-                inside = near < len(bank.seeds)
-                hits[inside] = bank.seeds[near[inside]] == seeds[inside]
-                held = np.concatenate([[0], np.cumsum(hits)])
-                ids = part.column(0)
-                for r in np.flatnonzero(held[seed_at[1:]] > held[seed_at[:-1]]):
-                    judged = bank.judge(words[at[r] : at[r + 1]], seeds[seed_at[r] : seed_at[r + 1]], threshold)
-                    out += [(ids[int(r)].as_py(), bank.ids[i], *rest) for i, *rest in judged]
-            yield _record(out)
+            ids = batch.column(0).to_pylist()
+            yield _record([(ids[r], bank.ids[i], *rest) for r, i, *rest in _judged(batch.column(1), bank, threshold)])
 
     return rows.mapInArrow(run, _DDL)
 
 
+def _seed_count(items: DataFrame) -> int:
+    words = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"))
+    return items.select(F.sum(words).alias("n")).first()["n"] or 0
+
+
+def _shared_items(items: DataFrame):
+    found = items.toArrow()
+    return items.sparkSession.sparkContext.broadcast((found["item_id"].to_pylist(), found["text"].combine_chunks()))
+
+
+def _judged(texts: pa.Array, bank: Items, threshold: float) -> Iterator[tuple]:
+    """(row, item row, coverage, number of tiles, longest tile) of what the texts hold."""
+    for a, b in batches_of_text(texts):
+        words, at = words_of(texts.slice(a, b - a))
+        seeds, seed_at = seeds_of(words, at)
+        near = np.searchsorted(bank.seeds, seeds)
+        hits = np.zeros(len(seeds), bool)
+        inside = near < len(bank.seeds)
+        hits[inside] = bank.seeds[near[inside]] == seeds[inside]
+        held = np.concatenate([[0], np.cumsum(hits)])
+        for r in np.flatnonzero(held[seed_at[1:]] > held[seed_at[:-1]]):
+            for found in bank.judge(words[at[r] : at[r + 1]], seeds[seed_at[r] : seed_at[r + 1]], threshold):
+                yield (a + int(r), *found)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, broadcast_seeds: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no item as :func:`contaminated_pairs` finds them.
+
+    With a benchmark of more than ``broadcast_seeds`` words the rows go by doc_id, and rows without one stay.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    if _seed_count(items) > broadcast_seeds:
+        found = contaminated_pairs(docs, benchmark, threshold, broadcast_seeds).select("doc_id").distinct()
+        return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    known = _shared_items(items)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        clean = np.ones(len(texts), bool)
+        clean[[r for r, *_ in _judged(texts, Items(*known.value), threshold)]] = False
+        return clean
+
+    return keep_rows(docs, keep)
+
+
 def _by_shuffle(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """The same for a benchmark of any size: rows and items are numbered, joined by seed, and met again by number."""
     rows = rows.where("text is not null").withColumn("r", F.xxhash64("doc_id", "text"))

@@ -38,7 +38,7 @@ class WordIds:
     tokenizer, so its ids end at the next id whose token ends a word.  All else is encoded by itself.
     """
 
-    def __init__(self, tokenizer, limit: int = 400_000) -> None:
+    def __init__(self, tokenizer, limit: int = 700_000) -> None:
         self.tokenizer, self.limit = tokenizer, limit
         self.forms: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -67,8 +67,8 @@ class WordIds:
         split, plain = [], []
         for word in words:
             core = word.rstrip(_TRAILING)
-            letters = core.decode("utf-8", "replace")
-            if letters.isalpha() and max(letters) < "\u0100":
+            letters = core.decode()
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
                 split.append((word, letters.lower(), word[len(core) :]))
             else:
                 plain.append(word)
@@ -82,7 +82,8 @@ class WordIds:
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
-        rows = [text.split() for text in texts]
+        # The tokenizer lower-cases too; only its special tokens' strings are read before that.
+        rows = [(text if b"<|" in text else text.lower()).split() for text in texts]
         needed = set().union(*rows)
         unknown = needed.difference(self.forms)
         if unknown:

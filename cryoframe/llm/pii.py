@@ -89,9 +89,9 @@ def _iban() -> str:
     return f"if(aggregate(split({turned}, ''), 0L, (a, c) -> (a * if(ascii(c) >= 65, 100, 10) + {value}) % 97) = 1, 1, -1)"
 
 
-def candidate_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id`` with ``base`` and ``loose`` spans, each ``(start, ord, end, kind, votes)``, and columns of ``docs`` named doc_id only."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def with_spans(rows: DataFrame) -> DataFrame:
+    """Adds ``base`` and ``loose`` spans of the non-null column ``text``, each ``(start, ord, end, kind, votes)``."""
+    own = rows.columns
     rows = rows.withColumn("has_digit", F.expr("rlike(text, '[0-9]')"))
     spans = {}
     for ord_, kind in enumerate(KINDS):
@@ -105,12 +105,16 @@ def candidate_spans(docs: DataFrame) -> DataFrame:
     })
     voted = lambda kind: f"transform({kind}, s -> named_struct('start', s.start, 'ord', s.ord, 'end', s.end, 'kind', s.kind, 'votes', {_votes(kind)}))"
     return rows.withColumns({k: F.expr(voted(k)) for k in KINDS}).select(
-        "doc_id",
-        F.sort_array(F.concat(*BASE_KINDS)).alias("base"),
-        F.sort_array(F.concat(*ADDED_KINDS)).alias("loose"),
+        *own, F.sort_array(F.concat(*BASE_KINDS)).alias("base"), F.sort_array(F.concat(*ADDED_KINDS)).alias("loose")
     )
 
 
+def candidate_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id`` (long) with the ``base`` and ``loose`` spans of its text; null texts count as empty."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return with_spans(rows).drop("text")
+
+
 def estimate_reliability(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 40) -> dict[tuple[str, tuple[int, ...]], float]:
     """Posterior that a candidate of a kind with these votes is personal data.
 
@@ -171,13 +175,20 @@ def _score(weights: list[float]) -> str:
     return " + ".join(terms)
 
 
+def _trained(found: DataFrame) -> list[float]:
+    votes = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.kind", "s.votes").count().collect()
+    return train_span_classifier([(r["kind"], tuple(r["votes"]), r["count"]) for r in votes])
+
+
+def _added(weights: list[float]) -> Column:
+    """The loose spans that the classifier takes and that overlap no strict one."""
+    return F.expr(f"filter({apart('loose', 'base')}, s -> {_score(weights)} > 0)")
+
+
 def personal_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, base, added``: strict spans and those loose spans that the classifier takes and that overlap no strict one."""
+    """``doc_id, base, added``: strict spans and added ones."""
     found = cut(candidate_spans(docs))
-    votes = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.kind", "s.votes").count().collect()
-    weights = train_span_classifier([(r["kind"], tuple(r["votes"]), r["count"]) for r in votes])
-    taken = f"filter({apart('loose', 'base')}, s -> {_score(weights)} > 0)"
-    return found.withColumn("added", F.expr(taken)).select("doc_id", "base", "added")
+    return found.withColumn("added", _added(_trained(found))).select("doc_id", "base", "added")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -209,3 +220,18 @@ def masked(text: str, spans: str) -> Column:
             'at', greatest(acc.at, s.end),
             'out', if(s.start < acc.at, acc.out, concat(acc.out, substring({text}, acc.at + 1, s.start - acc.at), '<', s.kind, '>'))),
           acc -> concat(acc.out, substring({text}, acc.at + 1)))""")
+
+
+def mask_personal_data(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with every strict and added span of ``text`` replaced by its kind; ``n_chars``, if there, is set anew.
+
+    The spans are those of :func:`find_personal_data`.  Texts without spans, null and empty ones stay as they are.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    added = _added(_trained(candidate_spans(docs)))
+    rows = with_spans(rows).withColumn("spans", F.concat("base", added))
+    rows = rows.withColumn("masked", F.when(F.size("spans") > 0, masked("text", "spans")).otherwise(F.col("row.text")))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("masked")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.size("spans") > 0, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[v.alias(c) for c, v in out.items()])

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep_rows
 from .wordhash import PUNCTUATED, batches_of_text, text_bytes, word_hashes, word_spans
 
 PREFIXES = (4, 5, 6)
@@ -177,3 +178,15 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = train_toxicity(docs, labels, ~held_out())
     return score_toxicity(docs, model, [held_out().alias("held_out")]).select("doc_id", "held_out", "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score below ``at``; trained as in :func:`judge_toxicity`."""
+    shared = docs.sparkSession.sparkContext.broadcast(train_toxicity(docs, labels, ~held_out()))
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        if shared.value is None or not len(texts):
+            return np.ones(len(texts), bool)
+        return np.concatenate([shared.value.scores(texts.slice(a, b - a)) < at for a, b in batches_of_text(texts)])
+
+    return keep_rows(docs, keep)
