@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_rows
+from .shared import cut, keep_rows
 from .wordhash import PUNCTUATED, batches_of_text, text_bytes, word_hashes, word_spans
 
 PREFIXES = (4, 5, 6)
@@ -54,8 +54,8 @@ class ToxicityModel:
         self.known[(self.features >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        kinds, at = text_features(column)
         total = np.full(len(column), self.bias)
+        kinds, at = text_features(column) if len(self.features) else ([], None)
         owner, found = [], []
         for hashes in kinds:
             maybe = np.flatnonzero(self.known[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
@@ -101,12 +101,16 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for a, b in batches_of_text(batch.column(1)):
             kinds, at = text_features(batch.column(1).slice(a, b - a))
-            rows = [_distinct(kinds, at, r).tobytes() for r in range(b - a)]
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], names=["toxic", "hashes"])
+            rows = [_distinct(kinds, at, r).view(np.int64) for r in range(b - a)]
+            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(rows, pa.list_(pa.int64()))], names=["toxic", "hashes"])
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, positives: int = 2500, unlabelled: int = 5000, features: int = 1500) -> ToxicityModel | None:
-    """Fits on documents and labels of rows where ``may_learn`` (a condition on doc_id) holds; None if none is toxic."""
+    """Fits on documents and labels of rows where ``may_learn`` (a condition on doc_id) holds; None if none is toxic.
+
+    Features are counted by Spark; only the kept ones, and one bit for each of them and each sampled
+    text, come to the driver.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(may_learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1)).alias("toxic")).first()
@@ -120,30 +124,37 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, positi
     by_hash = F.xxhash64(F.lit("sample"), "doc_id")
     chosen_p = known.where("toxic = 1").orderBy(by_hash, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("toxic"))
     chosen_u = rows.select("doc_id").orderBy(by_hash, "doc_id").limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("toxic"))
-    chosen = chosen_p.unionByName(chosen_u)
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    found = sample.mapInArrow(_feature_rows, "toxic int, hashes binary").collect()
-    found.sort(key=lambda r: (-r["toxic"], bytes(r["hashes"])))
-    sets = [np.frombuffer(r["hashes"], np.uint64) for r in found]
-    truth = np.array([r["toxic"] for r in found])
-    n_p, n_u = int((truth == 1).sum()), int((truth == 0).sum())
+    sample = rows.join(F.broadcast(chosen_p.unionByName(chosen_u)), "doc_id").select("toxic", "text")
+    sample = cut(sample.mapInArrow(_feature_rows, "toxic int, hashes array<long>"))
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
         return None
-    every, of = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    in_p = np.bincount(of[truth[owner] == 1], minlength=len(every)) / n_p
-    in_u = np.bincount(of[truth[owner] == 0], minlength=len(every)) / n_u
-    excess = (in_p - in_u) / np.sqrt(in_u * (1 - in_u) / n_u + in_p * (1 - in_p) / n_p + 1 / n_u**2)
-    # prior * in_p / in_u estimates how likely a text with the feature is toxic
-    kept = np.flatnonzero((excess > 3) & (prior * in_p > 0.5 * in_u) & (in_p * n_p >= 3))
-    kept = kept[np.argsort(-excess[kept], kind="stable")[:features]]
-    column = np.full(len(every), -1)
-    column[kept] = np.arange(len(kept))
-    x = np.zeros((len(sets), len(kept)), np.float32)
-    inside = column[of] >= 0
-    x[owner[inside], column[of][inside]] = 1
+    counted = sample.select("toxic", F.explode("hashes").alias("hash")).groupBy("hash").agg(
+        (F.sum("toxic") / n_p).alias("p"), (F.sum(1 - F.col("toxic")) / n_u).alias("u"), F.sum("toxic").alias("n")
+    )
+    p, u = F.col("p"), F.col("u")
+    excess = (p - u) / F.sqrt(u * (1 - u) / n_u + p * (1 - p) / n_p + 1 / n_u**2)
+    # prior * p / u estimates how likely a text with the feature is toxic
+    kept = counted.where((F.col("n") >= 3) & (prior * p > 0.5 * u) & (excess > 3)).orderBy(excess.desc(), "hash").limit(features).select("hash").collect()
+    vocabulary = np.sort(np.array([r["hash"] for r in kept], np.int64).view(np.uint64))
+    if not len(vocabulary):
+        return ToxicityModel(vocabulary, np.zeros(0), float(np.log(prior / (1 - prior))))
+
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for hashes in batch.column(1):
+                own = hashes.values.to_numpy().view(np.uint64)
+                bits.append(np.packbits(np.isin(vocabulary, own)).tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(bits, pa.binary())], names=["toxic", "bits"])
+
+    found = sample.mapInArrow(presence, "toxic int, bits binary").toArrow()
+    order = sorted(zip(found["toxic"].to_pylist(), found["bits"].to_pylist()), reverse=True)
+    x = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for _, b in order]), axis=1)[:, : len(vocabulary)].astype(np.float32)
+    truth = np.array([y for y, _ in order])
     weights, bias = train_nnpu(x[truth == 1], x[truth == 0], prior)
-    return ToxicityModel(every[kept], weights, bias)
+    return ToxicityModel(vocabulary, weights, bias)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, keep: list[Column] = [], at: float = 0.3) -> DataFrame:
