@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import bounded
 from .wordhash import batches_of_text, text_bytes
 
 MAX_N, DIM = 3, 1 << 13
@@ -93,7 +94,7 @@ def _packed_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def train_language_classifier(labelled: DataFrame, per_language: int = 300, landmarks: int = 256) -> SpectrumClassifier | None:
     """Fits on ``labelled(doc_id, text, lang)``; null texts or langs are left out; None without rows."""
-    usable = labelled.where("lang is not null and text is not null and length(text) > 0")
+    usable = bounded(labelled).where("lang is not null and text is not null and length(text) > 0")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     sample = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
@@ -121,7 +122,7 @@ def predict_language(docs: DataFrame, model: SpectrumClassifier | None, keep: li
                         scores[speaks] = shares.max(axis=1)[speaks]
                     yield pa.record_batch([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
+    rows = bounded(docs).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
     names = [*rows.columns[1:], "lang_pred", "score"]
     ddl = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:]) + ", lang_pred string, score double"
     return rows.mapInArrow(run, ddl)

@@ -133,7 +133,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, numerator: int, denominator:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in batches_of_text(batch.column(2), 2 << 20):
+            for a, b in batches_of_text(batch.column(2)):
                 part = batch.slice(a, b - a)
                 xs, x_at = _shingles(part.column(2), width)
                 ys, y_at = _shingles(part.column(3), width)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import bounded
 from .wordhash import batches_of_text
 
 END_OF_TEXT = 1
@@ -38,7 +38,7 @@ class WordIds:
     tokenizer, so its ids end at the next id whose token ends a word.  All else is encoded by itself.
     """
 
-    def __init__(self, tokenizer, limit: int = 700_000) -> None:
+    def __init__(self, tokenizer, limit: int = 300_000) -> None:
         self.tokenizer, self.limit = tokenizer, limit
         self.forms: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -80,6 +80,12 @@ class WordIds:
         for word in plain:
             self.forms[word] = self._encode(word.decode())
 
+    def shrink(self, least: int = 100_000) -> None:
+        """Give a large cache's memory back at the end of a task; the worker may serve other work next."""
+        if len(self.forms) > least:
+            self.forms.clear()
+            self.stems.clear()
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
         # The tokenizer lower-cases too; only its special tokens' strings are read before that.
@@ -272,7 +278,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         done = list(packer.rest())
         if done:
             yield _rows(done, sequence, with_ids)
+        words.shrink()
 
     quiet = F.col(silent).cast("long") if silent else F.lit(0).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), quiet.alias("silent"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), quiet.alias("silent"))
     return rows.mapInArrow(run, _DDL + (", ids array<int>" if with_ids else ""))

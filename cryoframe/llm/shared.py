@@ -29,9 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Spark's setting for the size of the batches that Python gets; without it 10,000 long texts make one batch.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's batches to Python bounded in bytes unless the user has set a bound."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id (long) and text (string) of any table that has them, whatever else it carries."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
@@ -42,4 +53,4 @@ def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A text is the set of its words and of their first 4, 5 and 6 bytes.  A linear classifier is trained
+A text is the set of its words and of their first 4 to 8 bytes.  A linear classifier is trained
 from confirmed toxic texts and unlabelled texts with the non-negative risk estimator: with class prior
 p and logistic loss, p * E_P[loss(+)] + max(0, E_U[loss(-)] - p * E_P[loss(-)]).  The prior is the share
 of toxic rows among all labelled rows that may be learned from, less its standard error.
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, keep_rows
+from .shared import bounded, cut, keep_rows
 from .wordhash import PUNCTUATED, batches_of_text, text_bytes, word_hashes, word_spans
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 _TABLE_BITS = 20
 
 
@@ -119,7 +119,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, positi
     share = counts["toxic"] / counts["n"]
     # one standard error below the share: a prior that is too high would call clean texts toxic
     prior = min(max(share - (share * (1 - share) / counts["n"]) ** 0.5, 1e-4), 0.9)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(may_learn & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     by_hash = F.xxhash64(F.lit("sample"), "doc_id")
     chosen_p = known.where("toxic = 1").orderBy(by_hash, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("toxic"))
@@ -168,7 +168,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, keep: list[Colu
                 scores = shared.value.scores(part.column(0)) if shared.value is not None else np.zeros(b - a)
                 yield pa.record_batch([*part.columns[1:], pa.array(scores), pa.array((scores >= at).astype(np.int32))], names=names)
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
+    rows = bounded(docs).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
     names = [*rows.columns[1:], "score", "predicted"]
     return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:]) + ", score double, predicted int")
 

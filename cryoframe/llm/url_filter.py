@@ -21,6 +21,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded
+
 VERDICTS = ("allow", "block")
 Rule = tuple[str, str, str]
 
@@ -144,5 +146,5 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], default: str = "allow")
                 verdict.append(VERDICTS[array.verdicts[rows[max(hits)[1]]]] if hits else default)
             yield pa.record_batch([*batch.columns[:3], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    parts = split_url(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")))
+    parts = split_url(bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")))
     return parts.select("page_id", "host", "path").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")

@@ -130,7 +130,7 @@ def shingle_hashes(words: np.ndarray, word_offsets: np.ndarray, width: int = 5)
     return mix(out), offsets
 
 
-def batches_of_text(column: pa.Array, limit: int = 4 << 20):
+def batches_of_text(column: pa.Array, limit: int = 1 << 20):
     """Row ranges (a, b) of a string column, each of about ``limit`` bytes or one row."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
