@@ -95,8 +95,12 @@ def _packed_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train_language_classifier(labelled: DataFrame, per_language: int = 300, landmarks: int = 256) -> SpectrumClassifier | None:
     """Fits on ``labelled(doc_id, text, lang)``; null texts or langs are left out; None without rows."""
     usable = bounded(labelled).where("lang is not null and text is not null and length(text) > 0")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
+    # Of a language with many documents only the places below a bound that surely holds enough are ranked.
+    bound = (3.0 * per_language + 100) / F.col("count")
+    near = usable.select("doc_id", "lang", place.alias("place")).join(F.broadcast(usable.groupBy("lang").count()), "lang").where(F.col("place") <= bound)
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     sample = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
     found = sample.select("lang", "text").mapInArrow(_packed_presence, "lang string, bits binary").collect()
     if not found:
