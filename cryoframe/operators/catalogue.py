@@ -43,22 +43,21 @@ def smallest_enough_window(points: DataFrame, keys: list[str], days: str, radii:
 def greedy_cover(scenes: DataFrame, area: str, scene: str, cells: str, order: list[str]) -> DataFrame:
     """Per area the scenes that, in the given order, add a cell to what is covered so far; with their gain.
 
-    ``cells`` is an array of covered cell numbers.  The order decides, so each area is folded in one
-    place; an area's scenes are bounded by its catalogue, not by the table.
+    ``cells`` is an array of covered cell numbers.  The order decides, so an area's scenes are sorted into
+    one array and folded by built-in functions; their number is bounded by the catalogue of an area.
     """
-    schema = f"{area} long, {scene} long, gain int, covered int"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set[int] = set()
-        out = []
-        for r in pdf.sort_values(order, kind="stable").itertuples():
-            new = set(getattr(r, cells)) - seen
-            if new:
-                seen |= new
-                out.append((getattr(r, area), getattr(r, scene), len(new), len(seen)))
-        return pd.DataFrame(out, columns=[area, scene, "gain", "covered"])
-
-    return scenes.select(area, scene, cells, *[c for c in order if c not in (area, scene, cells)]).groupBy(area).applyInPandas(fold, schema)
+    item = F.struct(*order, F.col(scene).alias("_scene"), F.col(cells).alias("_cells"))
+    kinds = dict(scenes.dtypes)
+    taken = f"array<struct<scene:{kinds[scene]},gain:int,covered:int>>"
+    fold = f"""
+        aggregate(_list, named_struct('seen', cast(array() as {kinds[cells]}), 'out', cast(array() as {taken})), (acc, x) ->
+          if(size(array_except(x._cells, acc.seen)) = 0, acc, named_struct(
+            'seen', array_union(acc.seen, x._cells),
+            'out', concat(acc.out, array(named_struct('scene', x._scene, 'gain', size(array_except(x._cells, acc.seen)), 'covered', size(array_union(acc.seen, x._cells))))))),
+          acc -> acc.out)"""
+    lists = scenes.groupBy(area).agg(F.sort_array(F.collect_list(item)).alias("_list"))
+    out = lists.select(area, F.explode(F.expr(fold)).alias("_t"))
+    return out.select(area, F.col("_t.scene").alias(scene), "_t.gain", "_t.covered")
 
 
 def monthly_rounds(scenes: DataFrame, keys: list[str], scene: str, cells: str, valid: str, rounds: int = 3, least_gain: float = 0.05, enough: float = 0.95, full: int = 100) -> DataFrame:
