@@ -251,3 +251,75 @@ def _(spark, d):
     k = F.col("s_suppkey")
     tile = F.format_string("%02d_%02d_%s_v%s", F.floor(k * 91 % 1000 / 100).cast("int"), F.floor(k * 37 % 1000 / 100).cast("int"), F.lit("10m"), F.lit("4.1"))
     return t(spark, d, "supplier").select(tile.alias("tile")).distinct()
+
+
+@query("m23_left_over_cells")
+def _(spark, d):
+    low = lattice(spark, d).where("z < 160").select(F.col("pixel").alias("id"), "row", "col")
+    return lines.longest_lines(spatial.components_on_lattice(low, raster.FOUR), "region").select("region", "cells", "left_over")
+
+
+@query("s16_catalogue_extent_and_time", f"WITH {CATALOGUE} SELECT scene FROM catalogue WHERE area % 100 BETWEEN 20 AND 60 AND area % 37 BETWEEN 5 AND 25 AND acquired >= TIMESTAMP '1996-01-01' AND acquired < TIMESTAMP '1998-01-01'")
+def _(spark, d):
+    inside = (F.col("area") % 100).between(20, 60) & (F.col("area") % 37).between(5, 25)
+    when = (F.col("acquired") >= F.lit("1996-01-01").cast("timestamp")) & (F.col("acquired") < F.lit("1998-01-01").cast("timestamp"))
+    return catalogue(spark, d).where(inside & when).select("scene")
+
+
+@query("s17_catalogue_baseline_and_overlap", f"WITH {CATALOGUE} SELECT scene FROM catalogue WHERE cloud / 101.0::DOUBLE >= 0.1 AND scene % 48 <= 24")
+def _(spark, d):
+    return catalogue(spark, d).where((F.col("cloud") / 101.0 >= 0.1) & (F.col("scene") % 48 <= 24)).select("scene")
+
+
+@query("s22_granule_list", f"WITH {CATALOGUE} SELECT scene, cloud FROM catalogue WHERE scene IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)")
+def _(spark, d):
+    granules = t(spark, d, "lineitem").where("l_linenumber = 7").select(F.col("l_orderkey").alias("scene"))
+    return catalogue(spark, d).join(granules, "scene", "left_semi").select("scene", "cloud")
+
+
+def _output(spark) -> str:
+    return _state(spark).replace("/stream-", "/output-")
+
+
+@query("k01_pixel_sink", f"WITH {OBS} SELECT row AS grid_id, count(*) AS n, count(z) AS valid FROM obs GROUP BY row")
+def _(spark, d):
+    from ..sources.rasters import write_pixels
+
+    path = _output(spark)
+    write_pixels(obs(spark, d).withColumn("grid_id", F.col("row")), path)
+    return spark.read.parquet(path).groupBy("grid_id").agg(F.count("*").alias("n"), F.count("z").alias("valid"))
+
+
+@query("k02_vector_sink", "SELECT s_suppkey AS id, 'POLYGON ((' || x || ' ' || y || ', ' || (x + 1) || ' ' || y || ', ' || (x + 1) || ' ' || (y + 1) || ', ' || x || ' ' || (y + 1) || ', ' || x || ' ' || y || '))' AS wkt FROM (SELECT s_suppkey, s_suppkey % 90 AS x, s_suppkey % 70 AS y FROM supplier)")
+def _(spark, d):
+    from ..sources.rasters import write_wkt
+
+    path, k = _output(spark), F.col("s_suppkey")
+    boxes = t(spark, d, "supplier").select(k.alias("id"), (k % 90).alias("minx"), (k % 70).alias("miny"), (k % 90 + 1).alias("maxx"), (k % 70 + 1).alias("maxy"))
+    write_wkt(boxes, path)
+    return spark.read.parquet(path).select("id", "wkt")
+
+
+@query("k03_sheet_sink", f"WITH {CATALOGUE} SELECT scene, cloud, status FROM catalogue")
+def _(spark, d):
+    from ..sources.rasters import write_table
+
+    path = _output(spark)
+    write_table(catalogue(spark, d).select("scene", "cloud", "status"), path)
+    return spark.read.option("header", True).schema("scene long, cloud int, status string").csv(path)
+
+
+@query("k05_dated_sink", f"WITH {OBS} SELECT d AS acq_date, count(*) AS n FROM obs GROUP BY d")
+def _(spark, d):
+    from ..sources.rasters import write_by_date
+
+    path = _output(spark)
+    write_by_date(obs(spark, d).withColumn("acq_date", F.col("d")), path)
+    return spark.read.parquet(path).groupBy("acq_date").agg(F.count("*").alias("n"))
+
+
+@query("e08_back_pressure", "SELECT count(*) AS n FROM orders")
+def _(spark, d):
+    schema = spark.read.parquet(f"{d}/orders.parquet").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(_watched(d, "orders"))
+    return jobs.run_to_memory(stream.groupBy().agg(F.count("*").alias("n")), f"e08_{uuid4().hex}", "complete", _state(spark))

@@ -163,3 +163,25 @@ def test_late_counts(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, k string").parquet(folder)
     out = jobs.run_to_memory(jobs.settled_counts(stream, "ts", "k"), "late_counts", "append", str(tmp_path / "s"))
     assert {r["start"].day: r["n"] for r in out.collect()} == {1: 2, 2: 1}
+
+
+def test_shapefile_round_trip(spark, tmp_path):
+    import struct
+
+    from cryoframe.sources.shapefile import read_layer
+
+    shapes = [[[(0.0, 0.0), (0.0, 2.0), (3.0, 2.0), (0.0, 0.0)]], [[(5.0, 5.0), (5.0, 6.0), (6.0, 6.0), (5.0, 5.0)], [(7.0, 7.0), (7.0, 8.0), (8.0, 8.0), (7.0, 7.0)]]]
+    body = b""
+    for n, rings in enumerate(shapes, 1):
+        points = [p for r in rings for p in r]
+        starts = [sum(len(r) for r in rings[:i]) for i in range(len(rings))]
+        bounds = (min(x for x, _ in points), min(y for _, y in points), max(x for x, _ in points), max(y for _, y in points))
+        record = struct.pack("<i4d2i", 5, *bounds, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+        body += struct.pack(">ii", n, len(record) // 2) + record
+    (tmp_path / "a.shp").write_bytes(b"\0" * 100 + body)
+    field = b"name".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([6]) + b"\0" * 15
+    rows = b"".join(b" " + x.ljust(6) for x in (b"first", b"second"))
+    (tmp_path / "a.dbf").write_bytes(struct.pack("<B3sIHH", 3, b"\0\0\0", 2, 32 + 32 + 1, 7) + b"\0" * 20 + field + b"\r" + rows)
+    got = {r["n"]: r for r in read_layer(spark, str(tmp_path)).collect()}
+    assert got[0]["fields"] == {"name": "first"} and got[1]["fields"] == {"name": "second"}
+    assert [len(p) for p in got[1]["parts"]] == [4, 4] and (got[0]["maxx"], got[0]["maxy"]) == (3.0, 2.0) and got[1]["parts"][1][0]["x"] == 7.0
