@@ -11,6 +11,7 @@ alone.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,7 @@ class WordIds:
     tokenizer, so its ids end at the next id whose token ends a word.  All else is encoded by itself.
     """
 
-    def __init__(self, tokenizer, limit: int = 300_000) -> None:
+    def __init__(self, tokenizer, limit: int = 600_000) -> None:
         self.tokenizer, self.limit = tokenizer, limit
         self.forms: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -97,7 +98,14 @@ class WordIds:
                 self.forms.clear()
                 self.stems.clear()
                 unknown = needed
-            self._learn(unknown)
+            # Learning makes many small objects and no cycles, which the collector would search for again and again.
+            collecting = gc.isenabled()
+            gc.disable()
+            try:
+                self._learn(unknown)
+            finally:
+                if collecting:
+                    gc.enable()
         find = self.forms.__getitem__
         return [b"".join(map(find, row)) for row in rows]
 
