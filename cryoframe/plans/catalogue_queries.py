@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as op
 from .base import CATALOGUE, IMG, NAMES, OBJECTS, OBS, catalogue, img, names, objects, obs, query, t
 
-_BASE = F.regexp_extract("path", r"[^/]+$", 0)
+
+def _base():
+    """File name at the end of a path."""
+    return F.regexp_extract("path", r"[^/]+$", 0)
 
 
 @query("s05_footprint_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
@@ -341,7 +344,7 @@ def _(spark, d):
 @query("f32_product_names", f"WITH {NAMES} SELECT id, line, path, regexp_replace(regexp_extract(path, '[^/]+$'), '[^0-9]', '', 'g') AS digits, split_part(path, '/', 3) AS file, 'product_' || split_part(path, '/', 2) || '.tar.gz' AS product FROM names")
 def _(spark, d):
     return names(spark, d).select(
-        "id", "line", "path", F.regexp_replace(_BASE, r"\D", "").alias("digits"), F.element_at(F.split("path", "/"), -1).alias("file"),
+        "id", "line", "path", F.regexp_replace(_base(), r"\D", "").alias("digits"), F.element_at(F.split("path", "/"), -1).alias("file"),
         F.concat(F.lit("product_"), F.split("path", "/")[1], F.lit(".tar.gz")).alias("product"),
     )
 
