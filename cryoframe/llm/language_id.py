@@ -1,13 +1,14 @@
 """Language identification with a blended-spectrum string kernel.
 
-A text is the set of its byte n-grams of 1 to ``MAX_N`` bytes (A-Z lower-cased), hashed to ``DIM``
-places; the kernel of two texts is the number of places they share over the geometric mean of their
-counts.  Nystroem features on landmark texts feed one-versus-rest kernel ridge regression.  Kernel,
+A text is cut into equal segments of at most ``SEGMENT`` bytes.  A segment is the set of its byte
+n-grams of 1 to ``MAX_N`` bytes (A-Z lower-cased), hashed to ``DIM`` places; the kernel of two segments
+is the number of places they share over the geometric mean of their counts.  A text's shares are the
+means of its segments', by length, so that in a text of several languages the longest part decides.  Nystroem features on landmark texts feed one-versus-rest kernel ridge regression.  Kernel,
 Nystroem map and ridge weights compose to one matrix, so that whole batches are scored by one matrix
 product of presence rows.
 
-Training takes at most ``per_language`` labelled documents of each language, those of smallest hash of
-doc_id, of which ``landmarks`` in all serve as landmarks; these bounds do not grow with the table.
+Training takes one segment of each of at most ``per_language`` labelled documents of each language, those
+of smallest hash of doc_id, of which ``landmarks`` in all serve as landmarks; these bounds do not grow with the table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import bounded
 from .wordhash import batches_of_text, text_bytes
 
-MAX_N, DIM = 3, 1 << 13
+MAX_N, DIM, SEGMENT = 3, 1 << 13, 512
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _SPREAD = np.uint32(2654435761)
@@ -49,6 +50,15 @@ def presence(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return flat[:-1].reshape(rows, DIM)
 
 
+def segments(offsets: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the segments of rows that follow each other, and the row of each; an empty row is one segment."""
+    lengths = np.diff(offsets)
+    counts = np.maximum(1, -(-lengths // size))
+    row = np.repeat(np.arange(len(lengths)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.append(offsets[row] + lengths[row] * place // counts[row], offsets[-1]), row
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
@@ -82,14 +92,28 @@ class SpectrumClassifier:
         odds = np.exp(margin - margin.max(axis=1, keepdims=True))
         return odds / odds.sum(axis=1, keepdims=True)
 
+    def shares(self, raw: np.ndarray, offsets: np.ndarray, batch: int = 128) -> np.ndarray:
+        """Shares of 1 of each row of text: the means over its segments, weighted by length."""
+        cuts, row = segments(offsets)
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        for a in range(0, len(row), batch):
+            ends = cuts[a : a + batch + 1]
+            weight = np.maximum(np.diff(ends), 1e-9)
+            scores = self.scores(presence(raw[ends[0] : ends[-1]], ends - ends[0]))
+            np.add.at(out, row[a : a + batch], scores * weight[:, None])
+        return out / out.sum(axis=1, keepdims=True)
+
 
 def _packed_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in batches_of_text(batch.column(1), 1 << 20):
-            for c in range(a, b, 64):
-                part = batch.slice(c, min(64, b - c))
-                bits = np.packbits(presence(*text_bytes(part.column(1))).astype(bool), axis=1)
-                yield pa.record_batch([part.column(0), pa.array([r.tobytes() for r in bits], pa.binary())], names=["lang", "bits"])
+        for a, b in batches_of_text(batch.column(1)):
+            part = batch.slice(a, b - a)
+            raw, offsets = text_bytes(part.column(1))
+            cuts, row = segments(offsets)
+            first = np.searchsorted(row, np.arange(len(part)))
+            middle = first + np.bincount(row, minlength=len(part)) // 2
+            bits = [np.packbits(presence(raw[cuts[m] : cuts[m + 1]], np.array([0, cuts[m + 1] - cuts[m]])).astype(bool)[0]).tobytes() for m in middle]
+            yield pa.record_batch([part.column(0), pa.array(bits, pa.binary())], names=["lang", "bits"])
 
 
 def train_language_classifier(labelled: DataFrame, per_language: int = 300, landmarks: int = 256) -> SpectrumClassifier | None:
@@ -115,16 +139,15 @@ def predict_language(docs: DataFrame, model: SpectrumClassifier | None, keep: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in batches_of_text(batch.column(0), 1 << 20):
-                for c in range(a, b, 64):
-                    part = batch.slice(c, min(64, b - c))
-                    speaks = np.array([has_letter(t) for t in part.column(0).to_pylist()])
-                    langs, scores = np.full(len(part), "und", dtype=object), np.zeros(len(part))
-                    if model is not None and speaks.any():
-                        shares = model.scores(presence(*text_bytes(part.column(0))))
-                        langs[speaks] = np.array(model.langs, dtype=object)[shares.argmax(axis=1)[speaks]]
-                        scores[speaks] = shares.max(axis=1)[speaks]
-                    yield pa.record_batch([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+            for a, b in batches_of_text(batch.column(0)):
+                part = batch.slice(a, b - a)
+                speaks = np.array([has_letter(t) for t in part.column(0).to_pylist()])
+                langs, scores = np.full(len(part), "und", dtype=object), np.zeros(len(part))
+                if model is not None and speaks.any():
+                    shares = model.shares(*text_bytes(part.column(0)))
+                    langs[speaks] = np.array(model.langs, dtype=object)[shares.argmax(axis=1)[speaks]]
+                    scores[speaks] = shares.max(axis=1)[speaks]
+                yield pa.record_batch([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     rows = bounded(docs).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
     names = [*rows.columns[1:], "lang_pred", "score"]
