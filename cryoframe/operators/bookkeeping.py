@@ -57,17 +57,22 @@ def completed_all(tasks: DataFrame, key: str, task: str, wanted: list[str]) -> D
     return tasks.where(F.col(task).isin(wanted)).groupBy(key).agg(F.count_distinct(task).alias("n")).where(F.col("n") == len(wanted)).select(key)
 
 
-def chunks(items: DataFrame, order: list[Column | str], per_job: int, buckets: int = 64) -> DataFrame:
-    """Job number of each item: items in order, ``per_job`` to a job.
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "n", buckets: int = 64) -> DataFrame:
+    """Rows numbered from 1 in the given total order.
 
-    Ranges of the order are numbered apart and shifted by the counts before them, so that no single
-    task numbers the whole table.
+    Ranges of the order are numbered apart and shifted by the counts of the ranges before them, so that
+    no single task numbers the whole table; only the counts of the ranges meet in one place.
     """
-    ranged = items.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p").orderBy(*order)
-    placed = ranged.withColumn("_n", F.row_number().over(own))
-    before = placed.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c"))
-    return placed.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("job", F.floor((F.col("_n") - 1 + F.col("_before")) / per_job)).drop("_p", "_n", "_before")
+    placed = rows.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
+    placed = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    counts = placed.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
+    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
+
+
+def chunks(items: DataFrame, order: list[Column | str], per_job: int, buckets: int = 64) -> DataFrame:
+    """Job number of each item: items in order, ``per_job`` to a job."""
+    return numbered(items, order, "_at", buckets).withColumn("job", F.floor((F.col("_at") - 1) / per_job)).drop("_at")
 
 
 def running_offsets(files: DataFrame, order: str, n: str) -> DataFrame:

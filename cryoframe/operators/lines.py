@@ -1,4 +1,4 @@
-"""Operators on lines and skeletons: per-key grouped pandas where the order of steps decides the result."""
+"""Operators on lines and skeletons; thinning and longest paths run per figure in grouped pandas."""
 
 from __future__ import annotations
 
@@ -28,31 +28,29 @@ def ripples(lines: DataFrame, key: str, limit: int = 75, start: float = 0.1, ste
     Each row is a candidate: ``far`` (greatest distance from the centre), ``length``, ``centre`` (the
     centre line's length), ``year`` and ``id``.  Candidates come by ring, then id; one is taken if its year
     is new, its length lies in [lo, hi] times the centre's and, if ``strict``, it is shorter than the centre.
-    Gives ring counts, and whether the years run one way.
+    Gives their number, whether their years run one way, and the gaps between their rings.  A key's
+    candidates are sorted into one array and folded by built-in functions.
     """
-    schema = f"{key} long, ri_count int, mono_incre boolean, mono_decre boolean, min_gap double, max_gap double, line_ids string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(ring=np.maximum(0, np.ceil((pdf["far"] - start) / step)).astype(int))
-        years: list[int] = []
-        rings: list[int] = []
-        ids: list[str] = []
-        for r in pdf[pdf["ring"] < limit].sort_values(["ring", "id"], kind="stable").itertuples():
-            long_enough = lo * r.centre <= r.length <= hi * r.centre
-            if r.year in years or not long_enough or (strict and r.centre - r.length < 1e-6):
-                continue
-            years.append(int(r.year))
-            rings.append(int(r.ring))
-            ids.append(str(r.id))
-        steps = sorted(set(rings))
-        gaps = [(b - a) * step for a, b in zip(steps, steps[1:])]
-        row = (
-            pdf[key].iloc[0], len(years), all(a <= b for a, b in zip(years, years[1:])), all(a >= b for a, b in zip(years, years[1:])),
-            (0.0 if len(rings) > len(steps) else min(gaps)) if gaps else None, max(gaps) if gaps else None, "_".join(ids),
-        )
-        return pd.DataFrame([row], columns=[key, "ri_count", "mono_incre", "mono_decre", "min_gap", "max_gap", "line_ids"])
-
-    return lines.select(key, "id", "year", "far", "length", "centre").groupBy(key).applyInPandas(fold, schema)
+    ring = F.greatest(F.lit(0), F.ceil((F.col("far") - start) / step).cast("int"))
+    length, centre = F.col("length"), F.col("centre")
+    fits = (ring < limit) & (length >= centre * lo) & (length <= centre * hi)
+    if strict:
+        fits = fits & (centre - length >= 1e-6)
+    item = F.when(fits, F.struct(ring.alias("ring"), F.col("id"), F.col("year").cast("int").alias("year")))
+    ids = dict(lines.dtypes)["id"]
+    fold = f"""
+        aggregate(_list, named_struct('years', cast(array() as array<int>), 'rings', cast(array() as array<int>), 'ids', cast(array() as array<{ids}>)), (acc, x) ->
+          if(array_contains(acc.years, x.year), acc,
+             named_struct('years', array_append(acc.years, x.year), 'rings', array_append(acc.rings, x.ring), 'ids', array_append(acc.ids, x.id))))"""
+    taken = lines.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_list")).select(key, F.expr(fold).alias("t"))
+    taken = taken.withColumn("s", F.array_sort(F.array_distinct("t.rings")))
+    taken = taken.withColumn("g", F.expr(f"if(size(s) > 1, zip_with(slice(s, 2, size(s)), slice(s, 1, size(s) - 1), (b, a) -> (b - a) * {float(step)}D), cast(null as array<double>))"))
+    years = F.col("t.years")
+    return taken.select(
+        key, F.size(years).alias("ri_count"), (F.array_sort(years) == years).alias("mono_incre"), (F.reverse(F.array_sort(years)) == years).alias("mono_decre"),
+        F.when(F.col("g").isNotNull(), F.when(F.size("t.rings") > F.size("s"), 0.0).otherwise(F.array_min("g"))).alias("min_gap"), F.array_max("g").alias("max_gap"),
+        F.array_join(F.col("t.ids").cast("array<string>"), "_").alias("line_ids"),
+    )
 
 
 def thinned(mask: np.ndarray) -> np.ndarray:

@@ -187,7 +187,7 @@ def _(spark, d):
 @query("w19_label_offsets", f"WITH {OBS} SELECT DISTINCT row, flag, CAST(dense_rank() OVER (ORDER BY row, flag) AS INTEGER) AS label FROM obs")
 def _(spark, d):
     labels = obs(spark, d).select("row", "flag").distinct()
-    return labels.withColumn("label", F.dense_rank().over(Window.orderBy("row", "flag")))
+    return op.numbered(labels, ["row", "flag"], "label").withColumn("label", F.col("label").cast("int"))
 
 
 @query("w20_range_assignment", """

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as op
+from ..operators.bookkeeping import numbered
 from .base import CATALOGUE, IMG, NAMES, OBJECTS, OBS, catalogue, img, names, objects, obs, query, t
 
 
@@ -281,7 +282,7 @@ def _(spark, d):
     o = obs(spark, d)
     m, s = o.groupBy("row", "col").agg(F.avg("z").alias("m")), o.groupBy("row").agg(F.avg("z").alias("s"))
     kept = m.join(s, "row").withColumn("rel", F.col("m") - F.col("s")).where("rel <= 0 and col >= 2")
-    return kept.select(F.row_number().over(Window.orderBy("row", "col")).alias("poly_id"), "row", "col", F.round("rel", 4).alias("rel"))
+    return numbered(kept, ["row", "col"], "poly_id").select(F.col("poly_id").cast("int").alias("poly_id"), "row", "col", F.round("rel", 4).alias("rel"))
 
 
 @query("f15_mean_slope", f"WITH {OBS} SELECT row, round(avg(z), 4) AS slope FROM obs GROUP BY row HAVING avg(z) <= 100")
@@ -388,7 +389,7 @@ def _(spark, d):
 @query("t02_valid_percent_ranked", f"WITH {OBS}, {_VALID} SELECT pixel, round(per, 4) AS per, CAST(row_number() OVER (ORDER BY round(per, 4) DESC, pixel) AS INTEGER) AS place FROM per")
 def _(spark, d):
     per = _valid(spark, d).select("pixel", F.round("per", 4).alias("per"))
-    return per.withColumn("place", F.row_number().over(Window.orderBy(F.desc("per"), "pixel")))
+    return numbered(per, [F.desc("per"), F.col("pixel")], "place").withColumn("place", F.col("place").cast("int"))
 
 
 @query("t03_groups_in_date_order", f"WITH {OBS} SELECT d, count(*) AS n FROM obs GROUP BY d ORDER BY d")
@@ -407,7 +408,18 @@ def _(spark, d):
     return t(spark, d, "orders").where("o_orderstatus <> 'F'").orderBy("o_orderkey").limit(20).select("o_orderkey")
 
 
-@query("w06_greedy_set_cover")
+_GREEDY = """ranked AS (SELECT area, scene, list_distinct(cells) AS cells, row_number() OVER (PARTITION BY area ORDER BY kind, cloud, scene) AS rn FROM chosen),
+    fold AS (
+        SELECT area, CAST(0 AS BIGINT) AS rn, CAST([] AS INTEGER[]) AS seen, CAST(NULL AS BIGINT) AS scene, CAST(0 AS BIGINT) AS gain FROM (SELECT DISTINCT area FROM ranked)
+        UNION ALL
+        SELECT f.area, r.rn, list_distinct(list_concat(f.seen, r.cells)), r.scene, len(list_distinct(list_concat(f.seen, r.cells))) - len(f.seen) FROM fold f JOIN ranked r ON r.area = f.area AND r.rn = f.rn + 1)"""
+_SCENES = """SELECT area, scene, cloud, asset, CASE asset WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS kind,
+        list_transform(range(0, 6), lambda i: CAST((scene * 7 + i * asset) % 40 AS INTEGER)) AS cells FROM catalogue"""
+
+
+@query("w06_greedy_set_cover", f"""
+    WITH RECURSIVE {CATALOGUE}, chosen AS ({_SCENES}), {_GREEDY}
+    SELECT area, scene, CAST(gain AS INTEGER) AS gain, CAST(len(seen) AS INTEGER) AS covered FROM fold WHERE gain > 0""")
 def _(spark, d):
     c = catalogue(spark, d)
     cells = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: ((F.col("scene") * 7 + i * F.col("asset")) % 40).cast("int"))

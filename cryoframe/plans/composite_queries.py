@@ -6,32 +6,49 @@ import os
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bookkeeping, catalogue as cat, lines, raster, spatial, temporal
+from ..operators import catalogue as cat, lines, raster, spatial, temporal
 from ..streaming import jobs
-from .base import CATALOGUE, IMG, LATTICE, OBS, catalogue, img, lattice, names, obs, query, t
+from .base import CATALOGUE, IMG, LATTICE, OBS, catalogue, img, lattice, obs, query, t
+from .catalogue_queries import _GREEDY, _SCENES
 
 
-def _candidates(spark, d):
-    li = t(spark, d, "lineitem")
-    return li.select(
-        F.col("l_suppkey").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("far"),
-        (F.col("l_extendedprice") / 1000).alias("length"), F.lit(60.0).alias("centre"), "l_partkey",
-    ).dropDuplicates(["line", "id"])
+def _candidates(spark, d, line: str):
+    year, far, length = F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("far"), (F.col("l_extendedprice") / 1000).alias("length")
+    key, id_ = F.col(line).alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+    first = t(spark, d, "lineitem").groupBy(key, id_).agg(F.min(F.struct(year, far, length)).alias("s"))
+    return first.select("line", "id", "s.*", F.lit(60.0).alias("centre"))
 
 
-@query("w10_ripple_statistics")
+#: A candidate joins if its year is new and it is shorter than the centre and long enough; lists keep what has joined.
+_RIPPLES = """rows AS (
+        SELECT l_suppkey AS line, l_orderkey * 10 + l_linenumber AS id, min({'year': year(l_shipdate), 'far': l_quantity, 'length': l_extendedprice / 1000}) AS s FROM lineitem GROUP BY 1, 2),
+    c AS (SELECT line, id, CAST(s.year AS INTEGER) AS year, s.length AS length, CAST(greatest(0, ceil((s.far - 0.1::DOUBLE) / 2.0::DOUBLE)) AS INTEGER) AS ring FROM rows),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY ring, id) AS rn FROM c WHERE ring < 75 AND length >= 0.3::DOUBLE * 60 AND 60 - length >= 1e-6),
+    fold AS (
+        SELECT line, CAST(0 AS BIGINT) AS rn, CAST([] AS INTEGER[]) AS years, CAST([] AS INTEGER[]) AS rings, CAST([] AS BIGINT[]) AS ids FROM (SELECT DISTINCT line FROM c)
+        UNION ALL
+        SELECT f.line, r.rn, CASE WHEN list_contains(f.years, r.year) THEN f.years ELSE list_append(f.years, r.year) END, CASE WHEN list_contains(f.years, r.year) THEN f.rings ELSE list_append(f.rings, r.ring) END,
+               CASE WHEN list_contains(f.years, r.year) THEN f.ids ELSE list_append(f.ids, r.id) END
+        FROM fold f JOIN ranked r ON r.line = f.line AND r.rn = f.rn + 1),
+    last AS (SELECT line, arg_max(years, rn) AS years, arg_max(rings, rn) AS rings, arg_max(ids, rn) AS ids FROM fold GROUP BY line),
+    steps AS (SELECT *, list_sort(list_distinct(rings)) AS s FROM last),
+    gaps AS (SELECT *, list_transform(range(1, len(s)), lambda i: (s[i + 1] - s[i]) * 2.0::DOUBLE) AS g FROM steps),
+    ripples AS (
+        SELECT line, CAST(len(years) AS INTEGER) AS ri_count, len(list_filter(range(1, len(years)), lambda i: years[i] > years[i + 1])) = 0 AS mono_incre,
+               len(list_filter(range(1, len(years)), lambda i: years[i] < years[i + 1])) = 0 AS mono_decre,
+               CASE WHEN len(g) > 0 THEN CASE WHEN len(rings) > len(s) THEN 0.0::DOUBLE ELSE list_min(g) END END AS min_gap, list_max(g) AS max_gap, array_to_string(ids, '_') AS line_ids FROM gaps)"""
+
+
+@query("w10_ripple_statistics", f"WITH RECURSIVE {_RIPPLES} SELECT * FROM ripples")
 def _(spark, d):
-    rows = _candidates(spark, d).groupBy("line", "id").agg(F.min(F.struct("year", "far", "length", "centre")).alias("s")).select("line", "id", "s.*")
-    return lines.ripples(rows, "line")
+    return lines.ripples(_candidates(spark, d, "l_suppkey"), "line")
 
 
-@query("p06_line_screening")
+@query("p06_line_screening", f"WITH RECURSIVE {_RIPPLES.replace('SELECT l_suppkey AS line', 'SELECT l_partkey AS line')} SELECT * FROM ripples WHERE ri_count > 2 AND (mono_incre OR mono_decre)")
 def _(spark, d):
-    rows = _candidates(spark, d).groupBy("line", "id").agg(F.min(F.struct("year", "far", "length", "centre")).alias("s")).select("line", "id", "s.*")
-    return lines.ripples(rows, "line").where("ri_count > 2 and (mono_incre or mono_decre)")
+    return lines.ripples(_candidates(spark, d, "l_partkey"), "line").where("ri_count > 2 and (mono_incre or mono_decre)")
 
 
 @query("w14_hausdorff", f"""
@@ -222,7 +239,9 @@ def _(spark, d):
     return flagged.groupBy("dem").agg(F.count("*").alias("grids"), F.count_if(~F.col("done")).alias("open"), F.bool_and("done").alias("unneeded"))
 
 
-@query("p13_acquisition_plan")
+@query("p13_acquisition_plan", f"""
+    WITH RECURSIVE {CATALOGUE}, chosen AS ({_SCENES} WHERE cloud <= 50 AND scene NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 6)), {_GREEDY}
+    SELECT f.area, f.scene, CAST(f.gain AS INTEGER) AS gain, CAST(len(f.seen) AS INTEGER) AS covered, c.cloud, c.asset FROM fold f JOIN catalogue c USING (scene) WHERE f.gain > 0""")
 def _(spark, d):
     c = catalogue(spark, d).where("cloud <= 50")
     cells = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: ((F.col("scene") * 7 + i * F.col("asset")) % 40).cast("int"))
