@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Container
 
 import numpy as np
 import pandas as pd
@@ -144,7 +145,7 @@ def longest_lines(pixels: DataFrame, key: str) -> DataFrame:
     return pixels.select(key, "row", "col").groupBy(key).applyInPandas(fold, f"{key} long, cells int, row0 int, col0 int, row1 int, col1 int, left_over int")
 
 
-def _near(cells: set[tuple[int, int]], x: tuple[int, int]) -> list[tuple[int, int]]:
+def _near(cells: Container[tuple[int, int]], x: tuple[int, int]) -> list[tuple[int, int]]:
     return [n for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (n := (x[0] + i, x[1] + j)) in cells]
 
 
@@ -168,21 +169,27 @@ def polar_stereographic(lon: Column, lat: Column, central: float = -45.0, true_s
     return rho * F.sin(turn), -rho * F.cos(turn)
 
 
-def grown_batches(cells: DataFrame, most: int) -> list[list[int]]:
-    """Batches of at least ``most`` connected cells, grown ring by ring from the first unused cell in row order.
+def grown_batches(cells: DataFrame, most: int) -> DataFrame:
+    """``region, batch, id``: batches of at least ``most`` connected cells (``id``, ``row``, ``col``), grown ring by ring.
 
-    A batch ends when it has ``most`` cells or its region is used up; the last ring may overshoot.  The
-    list of cells of one region of work is bookkeeping of the size of the grid, so it is walked on the driver.
+    A batch starts at its region's first unused cell in row order and ends when it has ``most`` cells or can
+    grow no more; the last ring may overshoot.  Growth never leaves a region, so regions are walked apart.
     """
-    at = {(r["row"], r["col"]): r["id"] for r in cells.select("id", "row", "col").collect()}
-    left = dict(sorted(at.items()))
-    out = []
-    while left:
-        start = next(iter(left))
-        batch, ring = [left.pop(start)], [start]
-        while ring and len(batch) < most:
-            ring = [n for x in ring for n in _near(set(left), x)]
-            ring = [n for n in dict.fromkeys(ring) if n in left]
-            batch += [left.pop(n) for n in ring]
-        out.append(batch)
-    return out
+    from .raster import EIGHT
+    from .spatial import components_on_lattice
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = {(int(r), int(c)): int(i) for i, r, c in sorted(zip(pdf["id"], pdf["row"], pdf["col"]), key=lambda x: x[1:])}
+        out, n = [], 0
+        while left:
+            ring = [next(iter(left))]
+            batch = [left.pop(ring[0])]
+            while ring and len(batch) < most:
+                ring = [x for x in dict.fromkeys(n for y in ring for n in _near(left, y))]
+                batch += [left.pop(x) for x in ring]
+            out += [(pdf["region"].iloc[0], n, i) for i in batch]
+            n += 1
+        return pd.DataFrame(out, columns=["region", "batch", "id"])
+
+    labelled = components_on_lattice(cells.select("id", "row", "col"), EIGHT)
+    return labelled.groupBy("region").applyInPandas(walk, "region long, batch int, id long")

@@ -64,9 +64,7 @@ def _(spark, d):
 @query("w18_batch_growing")
 def _(spark, d):
     cells = lattice(spark, d).where("z < 120").select(F.col("pixel").alias("id"), "row", "col")
-    batches = lines.grown_batches(cells, 20)
-    rows = [(n, int(i)) for n, b in enumerate(batches) for i in b]
-    return spark.createDataFrame(rows, "batch int, id long")
+    return lines.grown_batches(cells, 20)
 
 
 @query("m21_skeleton_distance")

@@ -105,9 +105,11 @@ def test_thinning_keeps_regions(cells):
 
 def test_batches_grow_by_rings(spark):
     cells = spark.createDataFrame([(r * 10 + c, r, c) for r in range(4) for c in range(4)] + [(99, 9, 9)], "id long, row int, col int")
-    batches = lines.grown_batches(cells, 5)
-    assert sorted(x for b in batches for x in b) == sorted([r * 10 + c for r in range(4) for c in range(4)] + [99])
-    assert batches[0][0] == 0 and len(batches[0]) >= 5 and batches[-1] == [99]
+    batches: dict = {}
+    for r in lines.grown_batches(cells, 5).collect():
+        batches.setdefault((r["region"], r["batch"]), []).append(r["id"])
+    assert sorted(x for b in batches.values() for x in b) == sorted([r * 10 + c for r in range(4) for c in range(4)] + [99])
+    assert batches[99, 0] == [99] and set(batches[0, 0][:4]) == {0, 1, 10, 11} and len(batches[0, 0]) >= 5
 
 
 def test_chunks_number_all_rows(spark):
