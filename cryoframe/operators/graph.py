@@ -1,4 +1,4 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table by repeated contraction."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the session's shared checkpoint folder; a local one is chosen only where none is set."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -18,22 +18,42 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
-    """``(vertex, component)`` of every vertex with an edge; the component is its smallest vertex.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+    """``(vertex, component)`` for every vertex of the edges; component is the smallest vertex.
 
-    Labels fall to the least of the neighbourhood and then to the label of the label, so that chains
-    shorten by doubling; the loop ends when no label has changed.
+    In each round every vertex moves to the first of its closed neighbourhood (by id in the first two
+    rounds, by a hash of id and round later, so that chains shrink by a constant factor) and the edges
+    are contracted.  All state is in checkpointed tables; only emptiness comes to the driver.  Self loops
+    and repeated edges are allowed; rows with a null end are ignored.  An empty table gives an empty table.
     """
-    both = _cut(edges.select(F.col(a).alias("v"), F.col(b).alias("w")).union(edges.select(F.col(b).alias("v"), F.col(a).alias("w"))).where("v is not null and w is not null").distinct())
-    labels = _cut(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
-    for _ in range(rounds):
-        low = both.join(labels.withColumnRenamed("v", "w").withColumnRenamed("label", "far"), "w").groupBy("v").agg(F.min("far").alias("far"))
-        step = labels.join(low, "v").select("v", F.col("label").alias("old"), F.least("label", "far").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("onward"))
-        new = _cut(step.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("onward", "label")).alias("label")))
-        labels = new.select("v", "label")
-        if new.where("old <> label").isEmpty():
-            break
-    else:
-        raise RuntimeError("connected components did not converge")
-    return labels.select(F.col("v").alias("vertex"), F.col("label").alias("component"))
+    ends = edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src is not null and dst is not null")
+    edges = cut(ends.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    loops = edges.where("src = dst").select(F.col("src").alias("vertex")).distinct()
+    edges = edges.where("src <> dst")
+    placed, step = None, 0
+    while not edges.isEmpty():
+        if step == max_rounds:
+            raise RuntimeError("connected components did not converge")
+        moved = cut(_moves(edges, step))
+        left, right = moved.select(F.col("v").alias("src"), F.col("m").alias("a")), moved.select(F.col("v").alias("dst"), F.col("m").alias("b"))
+        pairs = edges.join(left, "src").join(right, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+        edges = cut(pairs.where("src <> dst").distinct())
+        if placed is None:
+            placed = moved.select(F.col("v").alias("vertex"), F.col("m").alias("at"))
+        else:
+            onward = moved.select(F.col("v").alias("at"), F.col("m").alias("next"))
+            placed = cut(placed.join(onward, "at", "left").select("vertex", F.coalesce("next", "at").alias("at")))
+        step += 1
+    if placed is None:
+        return loops.select("vertex", F.col("vertex").alias("component"))
+    out = placed.join(placed.groupBy("at").agg(F.min("vertex").alias("component")), "at").select("vertex", "component")
+    return out.unionByName(loops.join(out, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component")))
+
+
+def _moves(edges: DataFrame, step: int) -> DataFrame:
+    """Where each vertex ``v`` moves to: ``m``, the first vertex of its closed neighbourhood in the order of this round."""
+    by_id = step < 2
+    place = lambda c: F.lit(0).cast("long") if by_id else F.xxhash64(F.lit(step), F.col(c))
+    both = edges.select(F.col("src").alias("v"), F.col("dst").alias("to")).union(edges.select(F.col("dst").alias("v"), F.col("src").alias("to")))
+    best = both.groupBy("v").agg(F.min(F.struct(place("to").alias("o"), F.col("to").alias("id"))).alias("best"))
+    return best.select("v", F.least("best", F.struct(place("v").alias("o"), F.col("v").alias("id")))["id"].alias("m"))
