@@ -70,6 +70,38 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "n", bucket
     return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
 
 
+def quantiles(rows: DataFrame, keys: list[str], v: str, shares: dict[str, float], buckets: int = 64) -> DataFrame:
+    """Exact quantiles with linear interpolation of the non-null values of each key, named by ``shares``.
+
+    Values are numbered over the whole table in the order of key and value; the two neighbours of each
+    wanted position are then picked, so that no task holds all values of a key.
+    """
+    placed = numbered(rows.where(F.col(v).isNotNull()).select(*keys, F.col(v).cast("double").alias("_v")), [*keys, "_v"], "_at", buckets)
+    spans = placed.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    placed = placed.join(spans, keys).withColumn("_i", F.col("_at") - F.col("_first"))
+    spot = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in shares.items()}
+    wanted = F.lit(False)
+    for at in spot.values():
+        wanted = wanted | F.col("_i").isin(F.floor(at), F.ceil(at))
+    ends = {}
+    for name, at in spot.items():
+        low, high = F.max(F.when(F.col("_i") == F.floor(at), F.col("_v"))), F.max(F.when(F.col("_i") == F.ceil(at), F.col("_v")))
+        ends[name] = low + (high - low) * F.max(at - F.floor(at))
+    return placed.where(wanted).groupBy(*keys).agg(*[e.alias(name) for name, e in ends.items()])
+
+
+def cumulative_shares(rows: DataFrame, keys: list[str], v: str, name: str = "share", buckets: int = 64) -> DataFrame:
+    """Each distinct value of a key with the share of the key's non-null values that are not above it."""
+    counts = rows.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count("*").alias("_n"))
+    placed = counts.repartitionByRange(buckets, *keys, v).withColumn("_p", F.spark_partition_id())
+    own = Window.partitionBy("_p", *keys).orderBy(v)
+    placed = placed.withColumn("_upto", F.sum("_n").over(own))
+    parts = placed.groupBy("_p", *keys).agg(F.sum("_n").alias("_c"))
+    whole = Window.partitionBy(*keys)
+    parts = parts.select("_p", *keys, (F.sum("_c").over(whole.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_all"))
+    return placed.join(parts, ["_p", *keys]).select(*keys, v, ((F.col("_upto") + F.col("_before")) / F.col("_all")).alias(name))
+
+
 def chunks(items: DataFrame, order: list[Column | str], per_job: int, buckets: int = 64) -> DataFrame:
     """Job number of each item: items in order, ``per_job`` to a job."""
     return numbered(items, order, "_at", buckets).withColumn("job", F.floor((F.col("_at") - 1) / per_job)).drop("_at")

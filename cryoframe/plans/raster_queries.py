@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import raster as op
+from ..operators.bookkeeping import cumulative_shares
 from .base import IMG, LATTICE, OBS, img, lattice, obs, query, t
 
 
@@ -246,8 +247,8 @@ def _(spark, d):
 @query("m34_histogram_equalised", f"""
     WITH {IMG} SELECT event_id, CAST(floor(cume_dist() OVER (PARTITION BY band ORDER BY v) * 254 + 1) AS INTEGER) AS v8 FROM img WHERE v IS NOT NULL""")
 def _(spark, d):
-    w = Window.partitionBy("band").orderBy("v")
-    return img(spark, d).where("v is not null").select("event_id", F.floor(F.cume_dist().over(w) * 254 + 1).cast("int").alias("v8"))
+    i = img(spark, d)
+    return i.join(cumulative_shares(i, ["band"], "v"), ["band", "v"]).select("event_id", F.floor(F.col("share") * 254 + 1).cast("int").alias("v8"))
 
 
 _RANGES = {"view": (0.0, 200.0), "click": (100.0, 400.0), "purchase": (0.0, 500.0)}

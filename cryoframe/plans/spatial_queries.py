@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster, spatial as op
+from ..operators.bookkeeping import quantiles
 from .base import IMG, LATTICE, OBJECTS, OBS, ZONES, img, lattice, objects, obs, query, t, zones
 
 SIZE = 50.0
@@ -146,11 +147,10 @@ def _(spark, d):
     WITH {IMG} SELECT band, count(v) AS n, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(stddev_pop(v), 4) AS std, min(v) AS least, max(v) AS largest,
            round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.75), 4) AS p75 FROM img GROUP BY band""")
 def _(spark, d):
-    q = lambda p: F.round(F.percentile("v", F.lit(p)), 4)
-    return img(spark, d).groupBy("band").agg(
-        F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.median("v"), 4).alias("median"), F.round(F.stddev_pop("v"), 4).alias("std"),
-        F.min("v").alias("least"), F.max("v").alias("largest"), q(0.25).alias("p25"), q(0.75).alias("p75"),
-    )
+    i = img(spark, d)
+    plain = i.groupBy("band").agg(F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_pop("v"), 4).alias("std"), F.min("v").alias("least"), F.max("v").alias("largest"))
+    q = quantiles(i, ["band"], "v", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return plain.join(q.select("band", *[F.round(c, 4).alias(c) for c in ("median", "p25", "p75")]), "band", "left")
 
 
 @query("a08_object_statistics", f"WITH {OBS} SELECT row, col, round(avg(z), 4) AS mean, round(stddev_pop(z), 4) AS std, count(z) AS count, min(z) AS min, max(z) AS max FROM obs WHERE z IS NOT NULL GROUP BY row, col")

@@ -187,3 +187,27 @@ def test_shapefile_round_trip(spark, tmp_path):
     got = {r["n"]: r for r in read_layer(spark, str(tmp_path)).collect()}
     assert got[0]["fields"] == {"name": "first"} and got[1]["fields"] == {"name": "second"}
     assert [len(p) for p in got[1]["parts"]] == [4, 4] and (got[0]["maxx"], got[0]["maxy"]) == (3.0, 2.0) and got[1]["parts"][1][0]["x"] == 7.0
+
+
+def test_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, None if rng.random() < 0.1 else float(v)) for k in "abc" for v in rng.integers(0, 50, {"a": 1, "b": 30, "c": 1001}[k])]
+    got = {r["k"]: (r["q1"], r["m"], r["top"]) for r in bookkeeping.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q1": 0.25, "m": 0.5, "top": 1.0}, buckets=5).collect()}
+    for k in got:
+        assert np.allclose(got[k], np.quantile([v for x, v in rows if x == k and v is not None], [0.25, 0.5, 1.0]))
+    assert {"b", "c"} <= set(got)
+
+
+def test_differences_have_their_order(spark, folder):
+    from cryoframe.plans.base import obs
+
+    o = obs(spark, folder)
+    a = temporal.newest_minus_oldest(o, ["pixel"]).withColumnsRenamed({"dz": "a", "gap_days": "ga"})
+    both = a.join(temporal.max_subsidence(o, ["pixel"]), "pixel").where("a is not null").collect()
+    assert both and all(r["dz"] <= r["a"] and r["gap_days"] <= r["ga"] for r in both)
+
+
+def test_bins_sum_to_the_values_inside(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in range(-5, 106)] + [("a", None)], "band string, v double")
+    h = raster.histogram(df, ["band"], "v", 0, 100, 7).collect()
+    assert sum(r["n"] for r in h) == 101 and max(r["bin"] for r in h) == 6
