@@ -40,9 +40,10 @@ def test_centimetres(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (5, 5), (70, 70), (None, 1)], "a long, b long")
     got = {r["vertex"]: r["component"] for r in graph.connected_components(edges).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 70: 70}
+    assert graph.connected_components(edges.where("false")).collect() == []
 
 
 def test_greedy_cover_matches_a_loop(spark):
