@@ -246,10 +246,11 @@ def _by_shuffle(rows: DataFrame, items: DataFrame, threshold: float) -> DataFram
     """The same for a benchmark of any size: rows and items are numbered, joined by seed, and met again by number."""
     rows = rows.where("text is not null").withColumn("r", F.xxhash64("doc_id", "text"))
     items = items.where("text is not null").withColumn("i", F.xxhash64("item_id", "text"))
-    seeds = lambda df, id_: df.select(id_, "text").mapInArrow(_seed_rows, "id long, seed long").distinct()
-    ours, theirs = seeds(rows, "r").withColumnRenamed("id", "r"), seeds(items, "i").withColumnRenamed("id", "i")
-    sizes = theirs.groupBy("i").agg(F.count("*").alias("n"))
-    shared = ours.join(theirs, "seed").groupBy("r", "i").agg(F.count("*").alias("shared"))
+    seeds = lambda df, id_: df.select(id_, "text").mapInArrow(_seed_rows, "id long, seed long").withColumnRenamed("id", id_)
+    ours, theirs = seeds(rows, "r").distinct(), seeds(items, "i").groupBy("i", "seed").agg(F.count("*").alias("times"))
+    sizes = theirs.groupBy("i").agg(F.sum("times").alias("n"))
+    # A place in the item at which a shared seed starts touches MIN_MATCH words, which bounds the tiles.
+    shared = ours.join(theirs, "seed").groupBy("r", "i").agg(F.sum("times").alias("shared"))
     enough = shared.join(sizes, "i").where(F.col("shared") * MIN_MATCH >= threshold * F.col("n")).select("r", "i")
     pairs = enough.join(rows, "r").join(items.withColumnRenamed("text", "item_text"), "i")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.graph import connected_components
 from .shared import cut, documents
 from .wordhash import batches_of_text, shingle_hashes, text_bytes, word_hashes, word_spans
 
@@ -190,7 +190,7 @@ def near_duplicate_links(docs: DataFrame, numerator: int = 85, denominator: int
     to_heads = to_heads.join(x_side, "x").join(y_side, "y").where(_sizes_allow(numerator, denominator))
     to_heads = to_heads.where(_agreements(F.col("x_sketch"), F.col("y_sketch")) >= AGREE).select("x", "y")
     first = cut(_confirmed(to_heads, texts, numerator, denominator, width))
-    stars = cut(connected_components(first.select(F.col("x").alias("src"), F.col("y").alias("dst"))))
+    stars = cut(connected_components(first.select("x", "y"), "x", "y"))
 
     placed = members.join(stars, members.vertex == stars.vertex, "left").select(
         members.vertex, "key", "head", F.coalesce("component", members.vertex).alias("at")
@@ -210,7 +210,7 @@ def near_duplicate_links(docs: DataFrame, numerator: int = 85, denominator: int
     pairs = pairs.select(F.col("x_vertex").alias("x"), F.col("y_vertex").alias("y"))
     second = cut(_confirmed(pairs, texts, numerator, denominator, width))
     links = first.select("x", "y").unionByName(second.select("x", "y"))
-    return membership, connected_components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    return membership, connected_components(links, "x", "y")
 
 
 def near_duplicate_groups(docs: DataFrame, numerator: int = 85, denominator: int = 100, width: int = 5) -> DataFrame:

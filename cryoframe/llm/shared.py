@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,24 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut  # noqa: F401  (for all corpus operators)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's checkpoint folder; choose a local one only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cryoframe-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so that a lost executor costs no recomputation from the start."""
-    with_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 #: Spark's setting for the size of the batches that Python gets; without it 10,000 long texts make one batch.
 BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -7,7 +7,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cryoframe.llm.components import connected_components
 from cryoframe.llm.near_dedup import near_duplicate_groups
 from cryoframe.llm.wordhash import shingle_hashes, text_bytes, word_hashes, word_spans
 
@@ -94,9 +93,3 @@ def test_hashes_do_not_depend_on_batches():
     for i, t in enumerate(texts):
         assert np.array_equal(of([t])[0], together[offsets[i] : offsets[i + 1]])
     assert np.array_equal(together[offsets[4] : offsets[5]], together[offsets[5] : offsets[6]])
-
-
-def test_components_of_chains(spark):
-    chain = [(i, i + 1) for i in range(60)] + [(200, 100), (5, 5), (70, 70), (None, 1)]
-    got = {r["vertex"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 70: 70}
