@@ -80,7 +80,7 @@ def best_cover(cells: DataFrame, zone: str, cell: str, cell_area: Column) -> Dat
 def zonal_statistics(pairs: DataFrame, zone: list[str], v: str, prefix: str = "") -> DataFrame:
     """Mean, population deviation, count, least and largest value of each zone, nulls left out."""
     return pairs.where(F.col(v).isNotNull()).groupBy(*zone).agg(
-        F.round(F.avg(v), 4).alias(f"{prefix}mean"), F.round(F.stddev_pop(v), 4).alias(f"{prefix}std"), F.count(v).alias(f"{prefix}count"),
+        F.round(F.avg(v), 6).alias(f"{prefix}mean"), F.round(F.stddev_pop(v), 4).alias(f"{prefix}std"), F.count(v).alias(f"{prefix}count"),
         F.min(v).alias(f"{prefix}min"), F.max(v).alias(f"{prefix}max"),
     )
 

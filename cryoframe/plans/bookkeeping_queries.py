@@ -136,10 +136,10 @@ def _(spark, d):
 
 @query("a16_metric_pivot", """
     WITH m AS (SELECT unnest(['quantity', 'price', 'discount']) AS metric, unnest([l_quantity, l_extendedprice, l_discount]) AS v FROM lineitem)
-    SELECT metric, min(v) AS least, max(v) AS largest, round(avg(v), 4) AS mean, median(v) AS median FROM m GROUP BY metric""")
+    SELECT metric, min(v) AS least, max(v) AS largest, round(avg(v), 6) AS mean, median(v) AS median FROM m GROUP BY metric""")
 def _(spark, d):
     m = t(spark, d, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount")).unpivot([], ["quantity", "price", "discount"], "metric", "v")
-    plain = m.groupBy("metric").agg(F.min("v").alias("least"), F.max("v").alias("largest"), F.round(F.avg("v"), 4).alias("mean"))
+    plain = m.groupBy("metric").agg(F.min("v").alias("least"), F.max("v").alias("largest"), F.round(F.avg("v"), 6).alias("mean"))
     return plain.join(op.quantiles(m, ["metric"], "v", {"median": 0.5}), "metric")
 
 

@@ -277,17 +277,17 @@ def _(spark, d):
 
 @query("f14_relative_difference", f"""
     WITH {OBS}, m AS (SELECT row, col, avg(z) AS m FROM obs GROUP BY row, col), s AS (SELECT row, avg(z) AS s FROM obs GROUP BY row)
-    SELECT CAST(row_number() OVER (ORDER BY row, col) AS INTEGER) AS poly_id, row, col, round(m - s, 4) AS rel FROM m JOIN s USING (row) WHERE m - s <= 0 AND col >= 2""")
+    SELECT CAST(row_number() OVER (ORDER BY row, col) AS INTEGER) AS poly_id, row, col, round(m - s, 6) AS rel FROM m JOIN s USING (row) WHERE m - s <= 0 AND col >= 2""")
 def _(spark, d):
     o = obs(spark, d)
     m, s = o.groupBy("row", "col").agg(F.avg("z").alias("m")), o.groupBy("row").agg(F.avg("z").alias("s"))
     kept = m.join(s, "row").withColumn("rel", F.col("m") - F.col("s")).where("rel <= 0 and col >= 2")
-    return numbered(kept, ["row", "col"], "poly_id").select(F.col("poly_id").cast("int").alias("poly_id"), "row", "col", F.round("rel", 4).alias("rel"))
+    return numbered(kept, ["row", "col"], "poly_id").select(F.col("poly_id").cast("int").alias("poly_id"), "row", "col", F.round("rel", 6).alias("rel"))
 
 
-@query("f15_mean_slope", f"WITH {OBS} SELECT row, round(avg(z), 4) AS slope FROM obs GROUP BY row HAVING avg(z) <= 100")
+@query("f15_mean_slope", f"WITH {OBS} SELECT row, round(avg(z), 6) AS slope FROM obs GROUP BY row HAVING avg(z) <= 100")
 def _(spark, d):
-    return obs(spark, d).groupBy("row").agg(F.avg("z").alias("slope")).where("slope <= 100").withColumn("slope", F.round("slope", 4))
+    return obs(spark, d).groupBy("row").agg(F.avg("z").alias("slope")).where("slope <= 100").withColumn("slope", F.round("slope", 6))
 
 
 @query("f16_candidate_predicate", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber > 2 AND (l_quantity > 25 OR l_discount > 0.05) AND l_tax < 0.06 AND l_extendedprice > 1000")

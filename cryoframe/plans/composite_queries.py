@@ -163,20 +163,20 @@ def _(spark, d):
     WITH RECURSIVE {LATTICE}, low AS (SELECT pixel AS id, row, col, z FROM lattice WHERE z < 120),
     reach AS (SELECT id, id AS seen FROM low UNION SELECT r.id, b.id FROM reach r JOIN low a ON a.id = r.seen JOIN low b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
     lab AS (SELECT id, min(seen) AS region FROM reach GROUP BY id),
-    reg AS (SELECT region, count(*) AS cells, round(avg(z), 4) AS mean, round(stddev_pop(z), 4) AS std FROM lab JOIN low USING (id) GROUP BY region),
+    reg AS (SELECT region, count(*) AS cells, round(avg(z), 6) AS mean, round(stddev_pop(z), 4) AS std FROM lab JOIN low USING (id) GROUP BY region),
     ring AS (SELECT DISTINCT lab.region, n.pixel, n.z FROM lab JOIN low USING (id) JOIN lattice n ON abs(n.row - low.row) <= 1 AND abs(n.col - low.col) <= 1 WHERE n.pixel NOT IN (SELECT id FROM low)),
-    around AS (SELECT region, round(avg(z), 4) AS surround FROM ring GROUP BY region)
-    SELECT region, cells, mean, std, surround, round(mean - surround, 4) AS relative FROM reg LEFT JOIN around USING (region) WHERE cells >= 3""")
+    around AS (SELECT region, round(avg(z), 6) AS surround FROM ring GROUP BY region)
+    SELECT region, cells, mean, std, surround, round(mean - surround, 6) AS relative FROM reg LEFT JOIN around USING (region) WHERE cells >= 3""")
 def _(spark, d):
     cells = lattice(spark, d)
     low = cells.where("z < 120").select(F.col("pixel").alias("id"), "row", "col", "z")
     labelled = spatial.components_on_lattice(low, raster.FOUR)
-    reg = labelled.groupBy("region").agg(F.count("*").alias("cells"), F.round(F.avg("z"), 4).alias("mean"), F.round(F.stddev_pop("z"), 4).alias("std")).where("cells >= 3")
+    reg = labelled.groupBy("region").agg(F.count("*").alias("cells"), F.round(F.avg("z"), 6).alias("mean"), F.round(F.stddev_pop("z"), 4).alias("std")).where("cells >= 3")
     moved = labelled.select("region", "row", "col", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in raster.EIGHT])).alias("o"))
     spots = moved.select("region", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col")).distinct()
     ring = spots.join(cells, ["row", "col"]).join(low.select("row", "col"), ["row", "col"], "left_anti")
-    around = ring.groupBy("region").agg(F.round(F.avg("z"), 4).alias("surround"))
-    return reg.join(around, "region", "left").withColumn("relative", F.round(F.col("mean") - F.col("surround"), 4))
+    around = ring.groupBy("region").agg(F.round(F.avg("z"), 6).alias("surround"))
+    return reg.join(around, "region", "left").withColumn("relative", F.round(F.col("mean") - F.col("surround"), 6))
 
 
 @query("p05_headwall_lines")

@@ -90,9 +90,9 @@ def _(spark, d):
     return op.median_blur(lab, "v")
 
 
-@query("a22_mosaic_mean", f"WITH {OBS} SELECT row, col, round(avg(z), 4) AS z FROM obs GROUP BY row, col")
+@query("a22_mosaic_mean", f"WITH {OBS} SELECT row, col, round(avg(z), 6) AS z FROM obs GROUP BY row, col")
 def _(spark, d):
-    return op.mosaic_mean(obs(spark, d), ["row", "col"], "z").withColumn("z", F.round("z", 4))
+    return op.mosaic_mean(obs(spark, d), ["row", "col"], "z").withColumn("z", F.round("z", 6))
 
 
 @query("a23_mosaic_last", f"WITH {OBS} SELECT row, col, arg_max(z, d) FILTER (WHERE z IS NOT NULL) AS z FROM obs GROUP BY row, col")

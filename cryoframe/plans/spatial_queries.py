@@ -144,22 +144,22 @@ def _(spark, d):
 
 
 @query("a07_descriptive_statistics", f"""
-    WITH {IMG} SELECT band, count(v) AS n, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(stddev_pop(v), 4) AS std, min(v) AS least, max(v) AS largest,
+    WITH {IMG} SELECT band, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 4) AS median, round(stddev_pop(v), 4) AS std, min(v) AS least, max(v) AS largest,
            round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.75), 4) AS p75 FROM img GROUP BY band""")
 def _(spark, d):
     i = img(spark, d)
-    plain = i.groupBy("band").agg(F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_pop("v"), 4).alias("std"), F.min("v").alias("least"), F.max("v").alias("largest"))
+    plain = i.groupBy("band").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 4).alias("std"), F.min("v").alias("least"), F.max("v").alias("largest"))
     q = quantiles(i, ["band"], "v", {"median": 0.5, "p25": 0.25, "p75": 0.75})
     return plain.join(q.select("band", *[F.round(c, 4).alias(c) for c in ("median", "p25", "p75")]), "band", "left")
 
 
-@query("a08_object_statistics", f"WITH {OBS} SELECT row, col, round(avg(z), 4) AS mean, round(stddev_pop(z), 4) AS std, count(z) AS count, min(z) AS min, max(z) AS max FROM obs WHERE z IS NOT NULL GROUP BY row, col")
+@query("a08_object_statistics", f"WITH {OBS} SELECT row, col, round(avg(z), 6) AS mean, round(stddev_pop(z), 4) AS std, count(z) AS count, min(z) AS min, max(z) AS max FROM obs WHERE z IS NOT NULL GROUP BY row, col")
 def _(spark, d):
     return op.zonal_statistics(obs(spark, d), ["row", "col"], "z")
 
 
 @query("a09_zonal_statistics", f"""
-    WITH {ZONES}, {OBJECTS} SELECT z.zone, round(avg(o.v), 4) AS demd_mean, round(stddev_pop(o.v), 4) AS demd_std, count(o.v) AS demd_count, min(o.v) AS demd_min, max(o.v) AS demd_max
+    WITH {ZONES}, {OBJECTS} SELECT z.zone, round(avg(o.v), 6) AS demd_mean, round(stddev_pop(o.v), 4) AS demd_std, count(o.v) AS demd_count, min(o.v) AS demd_min, max(o.v) AS demd_max
     FROM zones z JOIN objects o ON o.minx >= z.minx AND o.minx <= z.maxx AND o.miny >= z.miny AND o.miny <= z.maxy WHERE o.v IS NOT NULL GROUP BY z.zone""")
 def _(spark, d):
     points = objects(spark, d).withColumns({"maxx": F.col("minx"), "maxy": F.col("miny")})
