@@ -18,12 +18,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by_id: int = 2, max_rounds: int = 60) -> DataFrame:
     """``(vertex, component)`` for every vertex of the edges; component is the smallest vertex.
 
-    In each round every vertex moves to the first of its closed neighbourhood (by id in the first two
-    rounds, by a hash of id and round later, so that chains shrink by a constant factor) and the edges
-    are contracted.  All state is in checkpointed tables; only emptiness comes to the driver.  Self loops
+    In each round every vertex moves to the first of its closed neighbourhood and the edges are
+    contracted.  First is by id in the first ``by_id`` rounds, which ends stars around a smallest vertex at
+    once, and by a hash of id and round later, which shrinks chains and lattices by a constant factor.  All state is in checkpointed tables; only emptiness comes to the driver.  Self loops
     and repeated edges are allowed; rows with a null end are ignored.  An empty table gives an empty table.
     """
     ends = edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src is not null and dst is not null")
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     while not edges.isEmpty():
         if step == max_rounds:
             raise RuntimeError("connected components did not converge")
-        moved = cut(_moves(edges, step))
+        moved = cut(_moves(edges, step, step < by_id))
         left, right = moved.select(F.col("v").alias("src"), F.col("m").alias("a")), moved.select(F.col("v").alias("dst"), F.col("m").alias("b"))
         pairs = edges.join(left, "src").join(right, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
         edges = cut(pairs.where("src <> dst").distinct())
@@ -50,9 +50,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return out.unionByName(loops.join(out, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component")))
 
 
-def _moves(edges: DataFrame, step: int) -> DataFrame:
+def _moves(edges: DataFrame, step: int, by_id: bool) -> DataFrame:
     """Where each vertex ``v`` moves to: ``m``, the first vertex of its closed neighbourhood in the order of this round."""
-    by_id = step < 2
     place = lambda c: F.lit(0).cast("long") if by_id else F.xxhash64(F.lit(step), F.col(c))
     both = edges.select(F.col("src").alias("v"), F.col("dst").alias("to")).union(edges.select(F.col("dst").alias("v"), F.col("src").alias("to")))
     best = both.groupBy("v").agg(F.min(F.struct(place("to").alias("o"), F.col("to").alias("id"))).alias("best"))

@@ -109,5 +109,5 @@ def components_on_lattice(cells: DataFrame, offsets: list[tuple[int, int]]) -> D
     from .raster import neighbours
 
     links = neighbours(cells, offsets, ["id"]).select(F.col("id").alias("a"), F.col("n_id").alias("b"))
-    found = connected_components(links)
+    found = connected_components(links, by_id=0)
     return cells.join(found, cells.id == found.vertex, "left").select(*[cells[c] for c in cells.columns], F.coalesce("component", cells.id).alias("region"))
