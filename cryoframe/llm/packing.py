@@ -42,7 +42,6 @@ class WordIds:
     def __init__(self, tokenizer, limit: int = 600_000) -> None:
         self.tokenizer, self.limit = tokenizer, limit
         self.forms: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
         vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -50,42 +49,39 @@ class WordIds:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_stems(self, stems: list[str]) -> None:
+    def _learn_stems(self, stems: list[bytes]) -> None:
         for a in range(0, len(stems), 5000):
             part = stems[a : a + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
             raw = ids.tobytes()
-            if len(ends) != len(part):
-                self.stems.update((stem, self._encode(stem)) for stem in part)
-                continue
-            at = 0
-            for stem, end in zip(part, ends):
-                self.stems[stem] = raw[at:end]
-                at = end
+            if len(ends) == len(part):
+                self.forms.update(zip(part, [raw[b:e] for b, e in zip([0, *ends], ends)]))
+            else:
+                self.forms.update((stem, self._encode(stem.decode())) for stem in part)
 
     def _learn(self, words: set[bytes]) -> None:
+        stems = [word for word in words if word.isalpha()]
         split, plain = [], []
-        for word in words:
+        for word in words.difference(stems):
             core = word.rstrip(_TRAILING)
-            letters = core.decode()
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
-                split.append((word, letters.lower(), word[len(core) :]))
+            if core.isalpha() or (letters := core.decode()).isalpha() and max(letters) < "\u0100":
+                split.append((word, core, word[len(core) :]))
             else:
                 plain.append(word)
-        stems = {stem for _, stem, _ in split}.difference(self.stems)
-        self._learn_stems(list(stems))
-        tails = {tail: self._encode(tail.decode()) for tail in {tail for _, _, tail in split} if tail}
-        for word, stem, tail in split:
-            self.forms[word] = self.stems[stem] + tails[tail] if tail else self.stems[stem]
+        stems += {core for _, core, _ in split}.difference(self.forms, stems)
+        self._learn_stems(stems)
+        tails = {tail: self._encode(tail.decode()) if tail else b"" for tail in {tail for *_, tail in split}}
+        forms = self.forms
+        for word, core, tail in split:
+            forms[word] = forms[core] + tails[tail]
         for word in plain:
-            self.forms[word] = self._encode(word.decode())
+            forms[word] = self._encode(word.decode())
 
     def shrink(self, least: int = 100_000) -> None:
         """Give a large cache's memory back at the end of a task; the worker may serve other work next."""
         if len(self.forms) > least:
             self.forms.clear()
-            self.stems.clear()
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
@@ -96,7 +92,6 @@ class WordIds:
         if unknown:
             if len(self.forms) + len(unknown) > self.limit:
                 self.forms.clear()
-                self.stems.clear()
                 unknown = needed
             # Learning makes many small objects and no cycles, which the collector would search for again and again.
             collecting = gc.isenabled()
