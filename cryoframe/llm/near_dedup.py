@@ -28,10 +28,10 @@ from .wordhash import batches_of_text, shingle_hashes, text_bytes, word_hashes,
 
 GROUPS, DEPTH = 7, 2
 HASHES = 2 * GROUPS * DEPTH
-#: Candidates must agree in so many of the 28 minhashes; at similarity 0.85 fewer come up once in 20,000 pairs.
+#: Candidates must agree in so many of the 28 minhashes; at similarity 0.85 fewer come up once in 12,000 pairs.
 AGREE = 16
 #: One-bit minhashes of the pairwise stage, and the most in which a pair may differ: at similarity 0.85
-#: 38 are expected, and more than 62 come up once in 20,000 pairs.
+#: 38 are expected, and more than 62 come up once in 11,000 pairs.
 BITS, DIFFER = 512, 62
 _rng = np.random.default_rng(20240607)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
