@@ -90,6 +90,18 @@ def shingles_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[keep], np.concatenate([[0], np.cumsum(np.where(short, 0, np.diff(shingle_at)))])
 
 
+def class_of(n: int) -> int:
+    """The smallest size class of at least ``n`` shingles; classes grow by half."""
+    size = 1
+    while size < n:
+        size = max(size + 1, int(size * 1.5))
+    return size
+
+
+def size_class(template: str) -> int:
+    return class_of(len(np.unique(shingles_of(pa.array([template]))[0])))
+
+
 class Templates:
     """Shingle sets of templates, and for each size class the minhashes that retrieve them."""
 
@@ -100,10 +112,7 @@ class Templates:
         self.classes: dict[int, list[int]] = {}
         for i, own in enumerate(self.sets):
             if len(own):
-                size = 1
-                while size < len(own):
-                    size = max(size + 1, int(size * 1.5))
-                self.classes.setdefault(size, []).append(i)
+                self.classes.setdefault(class_of(len(own)), []).append(i)
         self.every = np.unique(np.concatenate([s for s in self.sets if len(s)] or [np.zeros(0, np.uint64)]))
         self.marks = {
             size: [np.array([((self.sets[i] ^ _ADD[k]) * _MULTIPLY[k]).min() for i in own], np.uint64) for k in range(BANDS)]

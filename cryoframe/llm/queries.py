@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated_pairs
 from .language_id import identify_language
-from .license_scan import scan_licenses
+from .license_scan import TEMPLATES, scan_licenses, size_class
 from .near_dedup import near_duplicate_groups
 from .nearest import nearest_neighbours
 from .packing import pack_documents
 from .pii import find_personal_data
-from .secret_scan import scan_secrets
+from .secret_scan import ALLOWED, ALLOWED_BEFORE, LEAST_BITS, WINDOW, scan_secrets
 from .shared import table
 from .toxicity import judge_toxicity
 from .url_filter import judge_urls
@@ -83,7 +83,59 @@ def _rule_sql(value: int) -> str:
     return "CASE " + " ".join(when(*r) for r in longest) + (" ELSE NULL END" if value == 0 else " ELSE 'allow' END")
 
 
+
+def _license_sql() -> str:
+    """Containment of every template in every window, without minhashes."""
+    lower = lambda c: f"translate({c}, '{_UPPER}', '{_LOWER}')"
+    words = lambda c: rf"regexp_extract_all({lower(c)}, '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')"
+    templates = ", ".join(f"('{n}', {size_class(t)}, '{t}')" for n, t in sorted(TEMPLATES.items()))
+    return f"""
+        WITH t(license, size, text) AS (VALUES {templates}),
+        tw AS (SELECT license, size, {words("text")} AS w FROM t),
+        ts AS (SELECT DISTINCT license, size, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+        tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
+        dw AS (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+        ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+        m AS (SELECT doc_id, license, size, pos, s FROM ds JOIN ts USING (s)),
+        win AS (SELECT doc_id, license, size, pos // size AS k, s FROM m UNION ALL SELECT doc_id, license, size, pos // size - 1, s FROM m WHERE pos >= size),
+        c AS (SELECT doc_id, license, size, k, count(DISTINCT s) AS hits FROM win GROUP BY ALL)
+        SELECT doc_id, license, max(hits / n::DOUBLE) AS containment, CAST(first(k * size ORDER BY hits DESC, k) AS BIGINT) AS window_start
+        FROM c JOIN tn USING (license) GROUP BY doc_id, license HAVING max(hits / n::DOUBLE) >= 0.8"""
+
+
+def _secret_sql() -> str:
+    """Spans from splits and matches of each pattern; entropies of all windows of each candidate."""
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?"""
+    patterns = {"assign": assign + "[A-Za-z0-9+/_.=-]+", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{32,}", "entropy": f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"}
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, text, '{k}' AS kind, {n} AS ord, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM d" for n, (k, p) in enumerate(patterns.items())
+    )
+    size = lambda items: f"coalesce(list_sum(list_transform({items}, lambda x: length(x))), 0)"
+    plain = lambda p: p.replace("++", "+").replace("*+", "*")
+    allowed = " OR ".join(f"regexp_matches(value, '{plain(p)}')" for p in ALLOWED)
+    bits = f"list_max(list_transform(range(1, length(value) - {WINDOW - 2}), lambda i: list_entropy(string_split(value, '')[i:i + {WINDOW - 1}])))"
+    joined = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord){}, '')"
+    base = " FILTER (WHERE kind <> 'entropy')"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({found}),
+        p AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM f WHERE len(hits) > 0),
+        s AS (SELECT doc_id, text, kind, ord, hits[i] AS value, CAST({size("gaps[1:i]")} + {size("hits[1:i - 1]")} AS INTEGER) AS start FROM p),
+        e AS (SELECT *, start + CAST(length(value) AS INTEGER) AS stop FROM s),
+        b AS (SELECT * FROM e WHERE kind = 'hex' OR (kind = 'access' AND length(value) >= 16) OR (kind = 'assign' AND length(regexp_replace(value, '^{assign}', '')) >= 8)),
+        x AS (
+            SELECT * FROM e WHERE kind = 'entropy' AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT ({allowed})
+              AND NOT regexp_matches(substr(text, greatest(1, start - 23), least(start, 24)), '{ALLOWED_BEFORE}')
+              AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = e.doc_id AND e.start < b.stop AND b.start < e.stop)),
+        y AS (SELECT * FROM x WHERE {bits} >= CASE WHEN regexp_matches(value, '^[0-9a-fA-F]+$') THEN {LEAST_BITS["hex"]} ELSE {LEAST_BITS["mixed"]} END),
+        a AS (SELECT doc_id, kind, ord, start, stop FROM b UNION ALL SELECT doc_id, kind, ord, start, stop FROM y)
+        SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+               sha256({joined.format(base)}) AS base_sha256, {joined.format("")} AS spans, count(*) FILTER (WHERE kind = 'entropy') AS n_entropy
+        FROM (SELECT doc_id FROM d) d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_entropy_secrets": _secret_sql(),
+    "op4_license_windows": _license_sql(),
     "op1_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
