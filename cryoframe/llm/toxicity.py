@@ -72,7 +72,7 @@ class ToxicityModel:
 
 def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear classifier of least non-negative risk, by Adam on full batches."""
-    x = np.vstack([positive, unlabelled]).astype(np.float32)
+    x = np.vstack([positive, unlabelled]).astype(np.float32, copy=False)
     n = len(positive)
     w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
@@ -153,7 +153,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, positi
     order = sorted(zip(found["toxic"].to_pylist(), found["bits"].to_pylist()), reverse=True)
     x = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for _, b in order]), axis=1)[:, : len(vocabulary)].astype(np.float32)
     truth = np.array([y for y, _ in order])
-    weights, bias = train_nnpu(x[truth == 1], x[truth == 0], prior)
+    n_toxic = int(truth.sum())  # these rows come first, so both parts are views
+    weights, bias = train_nnpu(x[:n_toxic], x[n_toxic:], prior)
     return ToxicityModel(vocabulary, weights, bias)
 
 
