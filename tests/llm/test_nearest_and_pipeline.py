@@ -62,6 +62,39 @@ def test_recall_of_a_bounded_search(spark):
     assert hits / 600 >= 0.9
 
 
+def gaussian(spark, folder, n, dim):
+    """Vectors without near neighbours, as a table and as a matrix in the order of their ids."""
+    spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.randn(d).cast("float") for d in range(dim)]).alias("embedding")).write.parquet(str(folder))
+    df = spark.read.parquet(str(folder))
+    return df, np.array(df.orderBy("vec_id").toPandas()["embedding"].tolist())
+
+
+def recall_of(got, vectors, step):
+    found: dict = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q in range(0, len(vectors), step):
+        far = ((vectors - vectors[q]).astype(float) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits.append(len(found[q] & set(np.argsort(far, kind="stable")[:10].tolist())) / 10)
+    return sum(hits) / len(hits)
+
+
+def test_a_search_of_as_many_rows_as_the_table_is_exact(spark, tmp_path):
+    df, vectors = gaussian(spark, tmp_path / "v", 4000, 32)
+    assert recall_of(nearest_neighbours(df, F.col("vec_id") % 40 == 0, search=4000, sample=1000), vectors, 40) == 1.0
+
+
+def test_the_search_grows_with_the_table(spark, tmp_path, monkeypatch):
+    df, vectors = gaussian(spark, tmp_path / "v", 90_000, 64)
+    assert recall_of(nearest_neighbours(df, F.col("vec_id") % 200 == 0, sample=5000), vectors, 200) >= 0.9
+    # Vectors in a plane have near neighbours: the forest is kept, and opens as little as meets the share.
+    monkeypatch.setattr("cryoframe.llm.nearest.COMPLETE", 1000)
+    df, vectors = gaussian(spark, tmp_path / "p", 20_000, 2)
+    assert 0.9 <= recall_of(nearest_neighbours(df, F.col("vec_id") % 50 == 0, leaf=16, trees=2), vectors, 50) < 1.0
+
+
 def test_pipeline_stages(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, seen = docs.columns, {}
