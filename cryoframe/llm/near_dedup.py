@@ -1,9 +1,10 @@
 """MinHash near-duplicate groups by tensored banding.
 
-Two small collections of ``GROUPS`` groups of ``DEPTH`` minhashes are drawn.  Every pair (A_i, B_j)
-of groups, one from each collection, is a table key, so ``GROUPS ** 2`` tables of ``2 * DEPTH``
-hashes cost only ``2 * GROUPS * DEPTH`` minhashes.  With the defaults a pair of Jaccard similarity
-0.85 misses all 49 tables with probability 2.6e-4 and one of 0.9 with 4e-6.
+Two small collections of groups of ``DEPTH`` minhashes are drawn.  Every pair (A_i, B_j) of groups,
+one from each collection, is a table key, so ``groups ** 2`` tables of ``2 * DEPTH`` hashes cost only
+``2 * groups * DEPTH`` minhashes.  The number of groups and the bounds of the sketch tests follow from
+the similarity and the rate at which links may be missed (:func:`shape_of`).  With the defaults a pair of
+Jaccard similarity 0.85 misses all 49 tables with probability 2.6e-4 and one of 0.9 with 4e-6.
 
 Candidates are confirmed on full shingle sets.  Documents with equal sets are one class and only its
 smallest doc_id is compared.  Within a table bucket every member is first compared with the bucket's
@@ -15,7 +16,10 @@ No group is gathered in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +30,59 @@ from ..operators.graph import connected_components
 from .shared import cut, documents
 from .wordhash import batches_of_text, shingle_hashes, text_bytes, word_hashes, word_spans
 
-GROUPS, DEPTH = 7, 2
-HASHES = 2 * GROUPS * DEPTH
-#: Candidates must agree in so many of the 28 minhashes; at similarity 0.85 fewer come up once in 12,000 pairs.
-AGREE = 16
-#: One-bit minhashes of the pairwise stage, and the most in which a pair may differ: at similarity 0.85
-#: 38 are expected, and more than 62 come up once in 11,000 pairs.
-BITS, DIFFER = 512, 62
-_rng = np.random.default_rng(20240607)
-_ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Minhashes in a group, and one-bit minhashes of the pairwise stage.
+DEPTH, BITS = 2, 512
+#: The rate at which a pair of exactly the asked similarity may miss all tables.
+MISS = 3e-4
+_rng = np.random.default_rng(20240608)
 _BIT_ADD = _rng.integers(0, 1 << 32, BITS, dtype=np.uint32)
 _BIT_MULTIPLY = _rng.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
+
+class Shape(NamedTuple):
+    """``groups`` in each collection, the least ``agree`` of all minhashes and the most bits that ``differ`` in a candidate pair."""
+
+    groups: int
+    agree: int
+    differ: int
+
+    @property
+    def hashes(self) -> int:
+        return 2 * self.groups * DEPTH
+
+
+def _upper_tail(n: int, share: float, miss: float) -> int:
+    """The least number that a binomial count exceeds with probability of at most ``miss``."""
+    above = 0.0
+    for k in range(n, -1, -1):
+        above += comb(n, k) * share**k * (1 - share) ** (n - k)
+        if above > miss:
+            return k
+    return 0
+
+
+@lru_cache
+def shape_of(numerator: int, denominator: int, miss: float = MISS) -> Shape:
+    """The smallest shape for which a pair of this similarity misses all tables at most at rate ``miss``, and each sketch test at a third of it.
+
+    At 0.85 that is 7 groups, 16 of 28 minhashes (missed once in 12,000 pairs) and 62 bits (once in 11,000).
+    """
+    same = numerator / denominator
+    if not 0 < same <= 1:
+        raise ValueError("the similarity must lie above 0 and not above 1")
+    groups = 1
+    while 1 - (1 - (1 - same**DEPTH) ** groups) ** 2 > miss:
+        groups += 1
+    hashes = 2 * groups * DEPTH
+    return Shape(groups, hashes - _upper_tail(hashes, 1 - same, miss / 3), _upper_tail(BITS, (1 - same) / 2, miss / 3))
+
+
+@lru_cache
+def _minhashes(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240607)
+    return rng.integers(0, 1 << 63, hashes, dtype=np.uint64), rng.integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int32()))])
 SKETCH_DDL = "doc_id long, n_shingles long, digest binary, sketch array<int>"
 
@@ -49,7 +93,8 @@ def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(word_hashes(raw, starts, ends), word_offsets, width)
 
 
-def sketches_of(doc_ids: pa.Array, texts: pa.Array, width: int = 5) -> Iterator[pa.RecordBatch]:
+def sketches_of(doc_ids: pa.Array, texts: pa.Array, width: int, n_hashes: int) -> Iterator[pa.RecordBatch]:
+    add, multiply = _minhashes(n_hashes)
     for a, b in batches_of_text(texts):
         hashes, offsets = _shingles(texts.slice(a, b - a), width)
         rows = b - a
@@ -59,18 +104,18 @@ def sketches_of(doc_ids: pa.Array, texts: pa.Array, width: int = 5) -> Iterator[
                 own = np.unique(hashes[offsets[r] : offsets[r + 1]])
                 sizes[r], digests[r] = len(own), blake2b(own.tobytes(), digest_size=16).digest()
         full = np.flatnonzero(np.diff(offsets) > 0)
-        lows = np.zeros((rows, HASHES), dtype=np.int32)
-        for k in range(HASHES if len(full) else 0):
-            least = np.minimum.reduceat((hashes ^ _ADD[k]) * _MULTIPLY[k], offsets[full])
+        lows = np.zeros((rows, n_hashes), dtype=np.int32)
+        for k in range(n_hashes if len(full) else 0):
+            least = np.minimum.reduceat((hashes ^ add[k]) * multiply[k], offsets[full])
             lows[full, k] = (least >> np.uint64(16)).astype(np.uint32).view(np.int32)
-        sketch = pa.ListArray.from_arrays(np.arange(0, (rows + 1) * HASHES, HASHES, dtype=np.int32), lows.ravel())
+        sketch = pa.ListArray.from_arrays(np.arange(0, (rows + 1) * n_hashes, n_hashes, dtype=np.int32), lows.ravel())
         yield pa.record_batch([doc_ids.slice(a, rows), pa.array(sizes), pa.array(digests, pa.binary()), sketch], schema=_SKETCH)
 
 
-def sketch_documents(docs: DataFrame, width: int = 5) -> DataFrame:
+def sketch_documents(docs: DataFrame, width: int, n_hashes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from sketches_of(batch.column(0), batch.column(1), width)
+            yield from sketches_of(batch.column(0), batch.column(1), width, n_hashes)
 
     return documents(docs).mapInArrow(run, SKETCH_DDL)
 
@@ -79,20 +124,20 @@ def _group_key(sketch: Column, first: int) -> Column:
     return F.xxhash64(F.lit(first), *[sketch[first + d] for d in range(DEPTH)])
 
 
-def _groups(sketch: Column, collection: int) -> Column:
-    return F.array(*[_group_key(sketch, collection * GROUPS * DEPTH + g * DEPTH) for g in range(GROUPS)])
+def _groups(sketch: Column, collection: int, groups: int) -> Column:
+    return F.array(*[_group_key(sketch, collection * groups * DEPTH + g * DEPTH) for g in range(groups)])
 
 
-def _first_equal(a: Column, b: Column) -> Column:
+def _first_equal(a: Column, b: Column, groups: int) -> Column:
     at = F.lit(None).cast("int")
-    for g in reversed(range(GROUPS)):
+    for g in reversed(range(groups)):
         at = F.when(a[g] == b[g], F.lit(g)).otherwise(at)
     return at
 
 
-def _agreements(a: Column, b: Column) -> Column:
+def _agreements(a: Column, b: Column, n_hashes: int) -> Column:
     total = F.lit(0)
-    for k in range(HASHES):
+    for k in range(n_hashes):
         total = total + (a[k] == b[k]).cast("int")
     return total
 
@@ -157,13 +202,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, numerator: int, denominator:
     return joined.mapInArrow(run, "x long, y long, n_both long, n_union long")
 
 
-def near_duplicate_links(docs: DataFrame, numerator: int = 85, denominator: int = 100, width: int = 5) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_links(docs: DataFrame, numerator: int = 85, denominator: int = 100, width: int = 5, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
     """Membership of documents in classes of equal sets, and components of linked classes.
 
     Returns ``(membership(doc_id, n_shingles, vertex), components(vertex, component))``; vertex is
     the smallest doc_id of the class, null for documents without words or without doc_id.
     """
-    sketched = cut(sketch_documents(docs, width))
+    shape = shape_of(numerator, denominator, miss)
+    sketched = cut(sketch_documents(docs, width, shape.hashes))
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("best"))
     classes = cut(classes.select("digest", F.col("best.doc_id").alias("vertex"), F.col("best.n_shingles").alias("n"), F.col("best.sketch").alias("sketch")))
@@ -171,7 +217,8 @@ def near_duplicate_links(docs: DataFrame, numerator: int = 85, denominator: int
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("v")).alias("vertex")
     )
 
-    groups = classes.select("vertex", _groups(F.col("sketch"), 0).alias("a"), _groups(F.col("sketch"), 1).alias("b"))
+    own_groups = [_groups(F.col("sketch"), c, shape.groups).alias(name) for c, name in enumerate("ab")]
+    groups = classes.select("vertex", *own_groups)
     keys = groups.select("vertex", F.explode("a").alias("ka"), "b").select("vertex", "ka", F.explode("b").alias("kb"))
     keys = keys.select("vertex", F.xxhash64("ka", "kb").alias("key"))
     shared = keys.groupBy("key").agg(F.min("vertex").alias("head"), F.max("vertex").alias("tail")).where("head < tail").select("key", "head")
@@ -188,7 +235,7 @@ def near_duplicate_links(docs: DataFrame, numerator: int = 85, denominator: int
 
     to_heads = members.where("vertex <> head").select(F.col("vertex").alias("x"), F.col("head").alias("y")).distinct()
     to_heads = to_heads.join(x_side, "x").join(y_side, "y").where(_sizes_allow(numerator, denominator))
-    to_heads = to_heads.where(_agreements(F.col("x_sketch"), F.col("y_sketch")) >= AGREE).select("x", "y")
+    to_heads = to_heads.where(_agreements(F.col("x_sketch"), F.col("y_sketch"), shape.hashes) >= shape.agree).select("x", "y")
     first = cut(_confirmed(to_heads, texts, numerator, denominator, width))
     stars = cut(connected_components(first.select("x", "y"), "x", "y"))
 
@@ -199,25 +246,26 @@ def near_duplicate_links(docs: DataFrame, numerator: int = 85, denominator: int
     rest = placed.join(mixed, "key").where("vertex <> head").select("key", "vertex", "at")
     late = rest.select("vertex").distinct()
     bits = _bit_sketches(texts.join(late, "vertex"), width)
-    own = cut(known.join(bits, "vertex").select("vertex", "n", "bits", _groups(F.col("sketch"), 0).alias("a"), _groups(F.col("sketch"), 1).alias("b")))
+    own = cut(known.join(bits, "vertex").select("vertex", "n", "bits", *own_groups))
     rest = rest.join(own, "vertex")
     x, y = (rest.select("key", *[F.col(c).alias(f"{p}{c}") for c in ("vertex", "at", "n", "bits", "a", "b")]) for p in ("x_", "y_"))
-    same_first = F.col("key") == F.xxhash64(
-        F.element_at("x_a", _first_equal(F.col("x_a"), F.col("y_a")) + 1), F.element_at("x_b", _first_equal(F.col("x_b"), F.col("y_b")) + 1)
-    )
+    first_equal = [F.element_at(f"x_{c}", _first_equal(F.col(f"x_{c}"), F.col(f"y_{c}"), shape.groups) + 1) for c in "ab"]
+    same_first = F.col("key") == F.xxhash64(*first_equal)
     pairs = x.join(y, "key").where((F.col("x_vertex") < F.col("y_vertex")) & (F.col("x_at") != F.col("y_at")))
-    pairs = pairs.where(_sizes_allow(numerator, denominator)).where(_bits_differ(F.col("x_bits"), F.col("y_bits")) <= DIFFER).where(same_first)
+    pairs = pairs.where(_sizes_allow(numerator, denominator)).where(_bits_differ(F.col("x_bits"), F.col("y_bits")) <= shape.differ).where(same_first)
     pairs = pairs.select(F.col("x_vertex").alias("x"), F.col("y_vertex").alias("y"))
     second = cut(_confirmed(pairs, texts, numerator, denominator, width))
     links = first.select("x", "y").unionByName(second.select("x", "y"))
     return membership, connected_components(links, "x", "y")
 
 
-def near_duplicate_groups(docs: DataFrame, numerator: int = 85, denominator: int = 100, width: int = 5) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, numerator: int = 85, denominator: int = 100, width: int = 5, miss: float = MISS) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked when ``denominator * |A & B| >= numerator * |A | B|`` for their sets of
-    distinct ``width``-word shingles; ``component_id`` is the smallest doc_id reachable over links.
+    distinct ``width``-word shingles; ``component_id`` is the smallest doc_id reachable over links.  A link
+    of just that similarity is missed with at most probability ``miss`` by the tables and a third of it by each
+    sketch test, closer ones more rarely.
 
     Null, empty and white-space texts have no shingles and are linked with nothing: their component is
     their own doc_id and they are kept.  A text with fewer words than ``width`` has one shingle, its
@@ -225,7 +273,7 @@ def near_duplicate_groups(docs: DataFrame, numerator: int = 85, denominator: int
     by their own text and each returned.  A row with a null doc_id is returned with a null component
     and is kept.  Columns other than doc_id and text are ignored.  An empty table gives no rows.
     """
-    membership, components = near_duplicate_links(docs, numerator, denominator, width)
+    membership, components = near_duplicate_links(docs, numerator, denominator, width, miss)
     component = F.coalesce("component", "vertex", "doc_id")
     return membership.join(components, "vertex", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cryoframe.llm.near_dedup import near_duplicate_groups
+from cryoframe.llm.near_dedup import near_duplicate_groups, shape_of
 from cryoframe.llm.wordhash import shingle_hashes, text_bytes, word_hashes, word_spans
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,3 +93,27 @@ def test_hashes_do_not_depend_on_batches():
     for i, t in enumerate(texts):
         assert np.array_equal(of([t])[0], together[offsets[i] : offsets[i + 1]])
     assert np.array_equal(together[offsets[4] : offsets[5]], together[offsets[5] : offsets[6]])
+
+
+def test_bounds_follow_the_threshold():
+    assert shape_of(85, 100) == (7, 16, 62)
+    assert shape_of(80, 100).groups == 9 and shape_of(80, 100).differ > 62 and shape_of(100, 100).differ == 0
+    with pytest.raises(ValueError):
+        shape_of(0, 100)
+
+
+@pytest.mark.parametrize("numerator", [80, 70])
+def test_other_thresholds_lose_no_links(spark, numerator):
+    """Of pairs just above and just below the threshold those above are linked, but for a few in ten thousand."""
+    above = max(t for t in range(100) if 100 * (100 - t) >= numerator * (100 + t))
+    rows, linked = [], {}
+    for p in range(1500):
+        # 104 words each, the last t of them different: of 100 shingles 100 - t are shared.
+        t = above + (p % 3 == 2)
+        base = [f"p{p}w{i}" for i in range(104)]
+        rows += [(2 * p, " ".join(base)), (2 * p + 1, " ".join(base[: 104 - t] + [f"q{p}w{i}" for i in range(t)]))]
+        linked[2 * p + 1] = t == above
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), numerator=numerator).collect()}
+    assert sum(linked.values()) == 1000
+    wrong = [i for i, near in linked.items() if (got[i] == i - 1) != near]
+    assert len(wrong) <= 3 and all(linked[i] for i in wrong)
