@@ -112,6 +112,21 @@ def test_pipeline_stages(spark, folder, tmp_path):
     assert sorted(map(tuple, whole.select("doc_id", "start", "ids_crc32").collect())) != [] and whole.agg(F.sum("length")).first()[0] == seen["packing"].agg(F.sum("length")).first()[0]
 
 
+def test_near_dedup_stage_takes_pairs_from_four_fifths(spark, folder):
+    """Pairs of similarity 0.75 to 0.9, against their shingle sets."""
+    rows, kept = [], set()
+    for t in range(5, 15):
+        for g in range(20):
+            base = [f"t{t}g{g}w{i}" for i in range(104)]
+            texts = [base, base[: 104 - t] + [f"t{t}g{g}x{i}" for i in range(t)]]
+            a, b = ({tuple(w[i : i + 5]) for i in range(100)} for w in texts)
+            first = len(rows)
+            rows += [(first + n, " ".join(w)) for n, w in enumerate(texts)]
+            kept |= {first} if 100 * len(a & b) >= 80 * len(a | b) else {first, first + 1}
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert {r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()} == kept
+
+
 def test_stages_take_odd_rows(spark, folder):
     rows = [(1, None, "en", "s", 0), (None, "a b c d e f", None, None, 3), (2, "", "en", "s", 0), (3, "the same five words here", "en", "s", 9), (3, "the same five words here", "en", "s", 9), (4, "The same five words here", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as score", "2 as vertex", "3 as x", "4 as spans")
