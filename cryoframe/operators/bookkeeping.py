@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def remaining(work: DataFrame, done: list[DataFrame], key: str) -> DataFrame:
     """Rows of ``work`` whose key is in none of the ``done`` lists: one anti join against their union."""
@@ -57,61 +59,87 @@ def completed_all(tasks: DataFrame, key: str, task: str, wanted: list[str]) -> D
     return tasks.where(F.col(task).isin(wanted)).groupBy(key).agg(F.count_distinct(task).alias("n")).where(F.col("n") == len(wanted)).select(key)
 
 
-def numbered(rows: DataFrame, order: list[Column | str], name: str = "n", buckets: int = 64) -> DataFrame:
+def _ranges(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "n", buckets: int | None = None) -> DataFrame:
     """Rows numbered from 1 in the given total order.
 
     Ranges of the order are numbered apart and shifted by the counts of the ranges before them, so that
-    no single task numbers the whole table; only the counts of the ranges meet in one place.
+    no single task numbers the whole table; only the counts of the ranges meet in one place.  Rows are cut
+    with their range before they are counted: a range exchange that is planned twice draws other bounds.
     """
-    placed = rows.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
-    placed = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    placed = cut(rows.repartitionByRange(buckets or _ranges(rows), *order).withColumn("_p", F.spark_partition_id()))
     counts = placed.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
-    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    # one row for each range: at most ``buckets``
+    return placed.join(F.broadcast(before), "_p").withColumn(name, own + F.col("_before")).drop("_p", "_before")
 
 
-def quantiles(rows: DataFrame, keys: list[str], v: str, shares: dict[str, float], buckets: int = 64) -> DataFrame:
-    """Exact quantiles with linear interpolation of the non-null values of each key, named by ``shares``.
+def running_counts(rows: DataFrame, keys: list[str], v: str, buckets: int | None = None) -> DataFrame:
+    """Each distinct non-null value of a key with its count ``_n``, the count ``_upto`` of values not above it, and the key's count ``_all``.
 
-    Values are numbered over the whole table in the order of key and value; the two neighbours of each
-    wanted position are then picked, so that no task holds all values of a key.
+    Equal values are counted before anything is ordered; ranges of key and value are then summed apart, so
+    that no task holds all values of a key.
     """
-    placed = numbered(rows.where(F.col(v).isNotNull()).select(*keys, F.col(v).cast("double").alias("_v")), [*keys, "_v"], "_at", buckets)
-    spans = placed.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    placed = placed.join(spans, keys).withColumn("_i", F.col("_at") - F.col("_first"))
-    spot = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in shares.items()}
-    wanted = F.lit(False)
-    for at in spot.values():
-        wanted = wanted | F.col("_i").isin(F.floor(at), F.ceil(at))
+    counts = rows.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count("*").alias("_n"))
+    placed = cut(counts.repartitionByRange(buckets or _ranges(rows), *keys, v).withColumn("_p", F.spark_partition_id()))
+    named = {c: f"_k{i}" for i, c in enumerate(["_p", *keys])}  # keys may be null
+    parts = placed.groupBy(*[F.col(c).alias(k) for c, k in named.items()]).agg(F.sum("_n").alias("_c"))
+    whole = Window.partitionBy(*[named[k] for k in keys])
+    parts = parts.select(*named.values(), (F.sum("_c").over(whole.orderBy("_k0")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_all"))
+    placed = placed.join(parts, [F.col(c).eqNullSafe(F.col(k)) for c, k in named.items()])
+    upto = F.sum("_n").over(Window.partitionBy("_p", *keys).orderBy(v)) + F.col("_before")
+    return placed.select(*keys, v, "_n", upto.alias("_upto"), "_all")
+
+
+def quantiles(rows: DataFrame, keys: list[str], v: str, shares: dict[str, float], buckets: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation of the non-null values of each key, named by ``shares``."""
+    counted = running_counts(rows.select(*keys, F.col(v).cast("double").alias("_v")), keys, "_v", buckets)
+    holds = lambda at: (at >= F.col("_upto") - F.col("_n")) & (at < F.col("_upto"))
     ends = {}
-    for name, at in spot.items():
-        low, high = F.max(F.when(F.col("_i") == F.floor(at), F.col("_v"))), F.max(F.when(F.col("_i") == F.ceil(at), F.col("_v")))
-        ends[name] = low + (high - low) * F.max(at - F.floor(at))
-    return placed.where(wanted).groupBy(*keys).agg(*[e.alias(name) for name, e in ends.items()])
+    for name, p in shares.items():
+        spot = F.lit(float(p)) * (F.col("_all") - 1)
+        low, high = F.max(F.when(holds(F.floor(spot)), F.col("_v"))), F.max(F.when(holds(F.ceil(spot)), F.col("_v")))
+        ends[name] = low + (high - low) * F.max(spot - F.floor(spot))
+    return counted.groupBy(*keys).agg(*[e.alias(name) for name, e in ends.items()])
 
 
-def cumulative_shares(rows: DataFrame, keys: list[str], v: str, name: str = "share", buckets: int = 64) -> DataFrame:
+def cumulative_shares(rows: DataFrame, keys: list[str], v: str, name: str = "share", buckets: int | None = None) -> DataFrame:
     """Each distinct value of a key with the share of the key's non-null values that are not above it."""
-    counts = rows.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count("*").alias("_n"))
-    placed = counts.repartitionByRange(buckets, *keys, v).withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p", *keys).orderBy(v)
-    placed = placed.withColumn("_upto", F.sum("_n").over(own))
-    parts = placed.groupBy("_p", *keys).agg(F.sum("_n").alias("_c"))
-    whole = Window.partitionBy(*keys)
-    parts = parts.select("_p", *keys, (F.sum("_c").over(whole.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_all"))
-    return placed.join(parts, ["_p", *keys]).select(*keys, v, ((F.col("_upto") + F.col("_before")) / F.col("_all")).alias(name))
+    return running_counts(rows, keys, v, buckets).select(*keys, v, (F.col("_upto") / F.col("_all")).alias(name))
 
 
-def chunks(items: DataFrame, order: list[Column | str], per_job: int, buckets: int = 64) -> DataFrame:
+def chunks(items: DataFrame, order: list[Column | str], per_job: int, buckets: int | None = None) -> DataFrame:
     """Job number of each item: items in order, ``per_job`` to a job."""
     return numbered(items, order, "_at", buckets).withColumn("job", F.floor((F.col("_at") - 1) / per_job)).drop("_at")
 
 
-def running_offsets(files: DataFrame, order: str, n: str) -> DataFrame:
-    """Files with the number of items before them, for drawing items by a global number."""
-    return files.withColumn("first", F.sum(n).over(Window.orderBy(order)) - F.col(n))
+def running_offsets(files: DataFrame, order: str, n: str, buckets: int | None = None) -> DataFrame:
+    """Files (one row for each ``order``) with the number of items before them, ``first``, for drawing items by a global number."""
+    placed = cut(files.repartitionByRange(buckets or _ranges(files), order).withColumn("_p", F.spark_partition_id()))
+    parts = placed.groupBy("_p").agg(F.sum(n).alias("_c"))
+    before = parts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
+    own = F.sum(n).over(Window.partitionBy("_p").orderBy(order)) - F.col(n)
+    return placed.join(F.broadcast(before), "_p").withColumn("first", own + F.col("_before")).drop("_p", "_before")
+
+
+def in_intervals(points: DataFrame, at: str, intervals: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Each whole number ``at`` with the intervals [lo, hi) of whole numbers that hold it.
+
+    Intervals are laid on strips as wide as four of them on average and joined by strip, so that no task
+    compares every number with every interval.
+    """
+    sizes = intervals.where(F.col(lo) < F.col(hi)).agg(F.avg(F.col(hi) - F.col(lo)).alias("w")).first()
+    width = max(1, int(4 * (sizes["w"] or 1)))
+    strip = lambda c: F.floor(c / F.lit(width)).cast("long")
+    laid = intervals.where(F.col(lo) < F.col(hi)).withColumn("_s", F.explode(F.sequence(strip(F.col(lo)), strip(F.col(hi) - 1))))
+    return points.withColumn("_s", strip(F.col(at))).join(laid, "_s").where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_s")
 
 
 def located(numbers: DataFrame, number: str, files: DataFrame, n: str) -> DataFrame:
-    """File and local position of each global number, by a range join on offsets."""
-    return numbers.join(F.broadcast(files), (F.col(number) >= F.col("first")) & (F.col(number) < F.col("first") + F.col(n))).withColumn("local", F.col(number) - F.col("first"))
+    """File and local position of each global number, from files with their offset ``first``."""
+    ends = files.withColumn("_end", F.col("first") + F.col(n))
+    return in_intervals(numbers, number, ends, "first", "_end").withColumn("local", F.col(number) - F.col("first")).drop("_end")

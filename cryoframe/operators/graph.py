@@ -5,19 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared checkpoint folder; a local one is chosen only where none is set."""
+    """Cut the lineage in the session's shared checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cryoframe-checkpoints"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local session without one uses the machine's temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or os.path.join(tempfile.gettempdir(), "cryoframe-checkpoints")).rstrip("/")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by_id: int = 2, max_rounds: int = 60) -> DataFrame:
     """``(vertex, component)`` for every vertex of the edges; component is the smallest vertex.
 

@@ -195,9 +195,12 @@ def _(spark, d):
     WITH e AS (SELECT DISTINCT p_size * 30.0::DOUBLE AS hi FROM part WHERE p_size % 5 = 0), b AS (SELECT hi, coalesce(lag(hi) OVER (ORDER BY hi), 0) AS lo FROM e)
     SELECT c_custkey AS dn, lo, hi FROM customer JOIN b ON c_custkey > lo AND c_custkey <= hi""")
 def _(spark, d):
-    ends = t(spark, d, "part").where("p_size % 5 = 0").select((F.col("p_size") * 30.0).alias("hi")).distinct()
-    bounds = ends.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("hi")), F.lit(0.0)))
-    return t(spark, d, "customer").select(F.col("c_custkey").alias("dn")).join(F.broadcast(bounds), (F.col("dn") > F.col("lo")) & (F.col("dn") <= F.col("hi")))
+    ends = op.numbered(t(spark, d, "part").where("p_size % 5 = 0").select((F.col("p_size") * 30.0).alias("hi")).distinct(), ["hi"], "place")
+    below = ends.select((F.col("place") + 1).alias("place"), F.col("hi").alias("lo"))
+    bounds = ends.join(below, "place", "left").select(F.coalesce("lo", F.lit(0.0)).alias("lo"), "hi")
+    # whole numbers in (lo, hi] lie in [floor(lo) + 1, floor(hi) + 1)
+    bounds = bounds.withColumns({"first": F.floor("lo") + 1, "end": F.floor("hi") + 1})
+    return op.in_intervals(t(spark, d, "customer").select(F.col("c_custkey").alias("dn")), "dn", bounds, "first", "end").select("dn", "lo", "hi")
 
 
 @query("t06_remaining_work", f"SELECT event_id AS id FROM events WHERE event_id NOT IN ({_LISTS}) AND date_diff('second', ts, TIMESTAMP '2024-01-31 00:00:00') / 3600.0::DOUBLE > 24")

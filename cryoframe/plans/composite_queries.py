@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as cat, lines, raster, spatial, temporal
+from ..operators.graph import shared_folder
 from ..streaming import jobs
 from .base import CATALOGUE, IMG, LATTICE, OBS, catalogue, img, lattice, obs, query, t
 from .catalogue_queries import _GREEDY, _SCENES
@@ -100,7 +99,7 @@ def _(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", "*.parquet").parquet(_watched(d, "events"))
     counts = stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    out = jobs.run_to_memory(counts, f"e02_{uuid4().hex}", "complete", _state(spark))
+    out = jobs.newest_of(jobs.run_to_table(counts, "update", _state(spark)), ["event_type"])
     return out.withColumn("total", F.round("total", 4))
 
 
@@ -108,7 +107,7 @@ def _(spark, d):
 def _(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_watched(d, "events"))
-    return jobs.run_to_memory(jobs.latest_status(stream, "user_id", "event_type", "ts"), f"e04_{uuid4().hex}", "complete", _state(spark))
+    return jobs.newest_of(jobs.run_to_table(jobs.latest_status(stream, "user_id", "event_type", "ts"), "update", _state(spark)), ["user_id"])
 
 
 def _watched(d: str, name: str) -> str:
@@ -116,9 +115,8 @@ def _watched(d: str, name: str) -> str:
 
 
 def _state(spark) -> str:
-    """A folder for a stream's progress, in the shared checkpoint folder if the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "cryoframe-streams")
-    return f"{base.rstrip('/')}/stream-{uuid4().hex}"
+    """A new folder for a stream in the session's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/stream-{uuid4().hex}"
 
 
 _YEARLY = f"""{OBS}, masked AS (SELECT o.pixel, o.row, o.col, o.d, CASE WHEN o.event_id % 4 <> 1 AND coalesce(abs(o.z - r.m) <= 150, true) THEN o.z END AS z FROM obs o JOIN (SELECT pixel, median(z) AS m FROM obs GROUP BY pixel) r USING (pixel)),
@@ -339,4 +337,4 @@ def _(spark, d):
 def _(spark, d):
     schema = spark.read.parquet(f"{d}/orders.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(_watched(d, "orders"))
-    return jobs.run_to_memory(stream.groupBy().agg(F.count("*").alias("n")), f"e08_{uuid4().hex}", "complete", _state(spark))
+    return jobs.newest_of(jobs.run_to_table(stream.groupBy().agg(F.count("*").alias("n")), "update", _state(spark)), [])

@@ -29,8 +29,24 @@ def latest_status(changes: DataFrame, key: str, status: str, at: str) -> DataFra
     return changes.groupBy(key).agg(F.max_by(status, F.col(at)).alias(status), F.max(at).alias(at))
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all there is and gives the result table; for tests and small reports."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over all there is into Parquet below ``folder`` and gives what it wrote, with the number ``batch`` of its batch.
+
+    A batch that is run again after a failure replaces what it wrote before.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    schema = df.schema.add("batch", "long")
+    return df.sparkSession.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+
+
+def newest_of(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last batch's row of each key, from what a stream in update mode wrote."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    if not keys:
+        return updates.agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("r.*")
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")

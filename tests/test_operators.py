@@ -7,6 +7,9 @@ import datetime as dt
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from cryoframe.operators import bookkeeping, catalogue, graph, lines, raster, spatial, temporal
 from cryoframe.sources import rasters, text
@@ -119,6 +122,34 @@ def test_chunks_number_all_rows(spark):
     assert all(got[i] == i // 100 for i in range(1003))
 
 
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_numbers_survive_a_payload_and_exchanges_planned_twice(spark, reuse):
+    """600,000 rows: too many for a range exchange to see them all when it draws its bounds."""
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(600_000).select(F.xxhash64("id").alias("id"), F.col("id").cast("string").alias("name"))
+        got = bookkeeping.numbered(df, ["id"], buckets=8)
+        wrong = got.withColumn("m", F.row_number().over(Window.orderBy("id"))).where("n <> m or name is null")
+        assert wrong.count() == 0 and got.count() == 600_000
+        sizes = bookkeeping.chunks(df, ["id"], 100, buckets=8).groupBy("job").count()
+        assert sizes.where("count <> 100").count() == 0 and sizes.count() == 6000
+        shares = bookkeeping.cumulative_shares(df.withColumn("k", F.col("id") % 3), ["k"], "id", buckets=8).groupBy("k").agg(F.max("share").alias("top"), F.count("*").alias("n"))
+        assert all(r["top"] == 1.0 for r in shares.collect()) and shares.agg(F.sum("n")).first()[0] == 600_000
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_numbers_are_located_in_files_of_uneven_size(spark):
+    sizes = {f: (f * 7) % 50 if f != 40 else 5000 for f in range(100)}
+    files = bookkeeping.running_offsets(spark.createDataFrame(list(sizes.items()), "file long, n long"), "file", "n", buckets=5)
+    expected, at = {}, 0
+    for f, n in sizes.items():
+        expected |= {at + i: (f, i) for i in range(n)}
+        at += n
+    got = bookkeeping.located(spark.range(-3, at + 3).withColumnRenamed("id", "number"), "number", files, "n").collect()
+    assert len(got) == at and {r["number"]: (r["file"], r["local"]) for r in got} == expected
+
+
 def test_text_formats(spark):
     lines_ = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
     assert [tuple(r) for r in text.parse_feature_counts(lines_("a/b.gpkg, Feature Count: 12", "junk")).collect()] == [("a/b.gpkg", 12)]
@@ -164,7 +195,7 @@ def test_late_counts(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, d, 12), "a") for d in (1, 1, 2, 5)]
     spark.createDataFrame(rows, "ts timestamp, k string").coalesce(1).write.parquet(folder)
     stream = spark.readStream.schema("ts timestamp, k string").parquet(folder)
-    out = jobs.run_to_memory(jobs.settled_counts(stream, "ts", "k"), "late_counts", "append", str(tmp_path / "s"))
+    out = jobs.run_to_table(jobs.settled_counts(stream, "ts", "k"), "append", str(tmp_path / "s")).drop("batch")
     assert {r["start"].day: r["n"] for r in out.collect()} == {1: 2, 2: 1}
 
 
