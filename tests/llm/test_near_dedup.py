@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cryoframe.llm.near_dedup import near_duplicate_groups, shape_of
+from cryoframe.llm.near_dedup import drop_near_duplicates, groups_for, near_duplicate_groups
 from cryoframe.llm.wordhash import shingle_hashes, text_bytes, word_hashes, word_spans
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,10 +96,37 @@ def test_hashes_do_not_depend_on_batches():
 
 
 def test_bounds_follow_the_threshold():
-    assert shape_of(85, 100) == (7, 16, 62)
-    assert shape_of(80, 100).groups == 9 and shape_of(80, 100).differ > 62 and shape_of(100, 100).differ == 0
+    assert groups_for(85, 100) == 7 and groups_for(80, 100) == 9
     with pytest.raises(ValueError):
-        shape_of(0, 100)
+        groups_for(0, 100)
+
+
+def test_rows_of_one_id_are_linked_by_their_own_texts(spark):
+    x, y = (" ".join(f"{k}{i}" for i in range(60)) for k in "xy")
+    rows = [(3, x), (3, y), (1, x + " tail"), (2, y + " tail"), (2, y + " tail"), (7, x + " end"), (7, x + " end more"), (None, x), (9, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicate_groups(df).collect()), key=str)
+    assert got == sorted([(3, 1, False), (3, 2, False), (1, 1, True), (2, 2, True), (2, 2, True), (7, 1, False), (7, 1, False), (None, None, True), (9, 9, True), (9, 9, True)], key=str)
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in drop_near_duplicates(df).fillna("none").collect())
+    assert kept == [(-1, x), (1, x + " tail"), (2, y + " tail"), (9, ""), (9, "none")]
+    # two linked texts of one id: one stays
+    twice = drop_near_duplicates(spark.createDataFrame([(4, x), (4, x + " tail"), (5, x + " end")], "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in twice] == [4]
+
+
+def test_a_bucket_of_many_similar_unlinked_texts(spark):
+    """Texts of which any two share three quarters of their shingles, and linked pairs among them."""
+    common = [f"c{i}" for i in range(90)]
+    rows = [(i, " ".join(common + [f"u{i}_{k}" for k in range(14)])) for i in range(5000)]
+    rows += [(10_000 + i, rows[i][1] + " tail") for i in range(0, 5000, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(df.repartition(4)).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
+
+
+def test_exact_run_finds_all_links(spark, corpus):
+    got = near_duplicate_groups(spark.createDataFrame(corpus, "doc_id long, text string"), exact=True).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(corpus)
 
 
 @pytest.mark.parametrize("numerator", [80, 70])
