@@ -8,7 +8,9 @@ passage not yet used is marked again and again, found by Karp-Rabin hashes of fa
 share of the item that tiles cover does not depend on their order, so reordered passages count.
 
 While the benchmark has at most ``broadcast_seeds`` seeds, its seeds go to all tasks and documents are
-read once and not shuffled.  A larger benchmark is joined to the documents by seed instead.
+read once and not shuffled.  A larger benchmark is joined to the documents by seed instead; the result is
+the same.  There texts are judged once, whatever the number of rows that repeat them, and seeds are salted
+by text, as a passage may lie in a large part of all documents.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .shared import documents, keep_rows
 from .wordhash import PUNCTUATED, _powers, batches_of_text, mix, shingle_hashes, text_bytes, word_hashes, word_spans
 
 MIN_MATCH = 5
+#: Pairs of equal windows that are looked at together; parts that a seed of the shuffled join is salted into.
+_PAIRS, SALTS = 1 << 20, 16
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -63,11 +67,20 @@ def _matches(a: np.ndarray, b: np.ndarray, used_a: np.ndarray, used_b: np.ndarra
     order = np.argsort(hash_b, kind="stable")
     low, high = np.searchsorted(hash_b[order], hash_a), np.searchsorted(hash_b[order], hash_a, side="right")
     counts = high - low
-    i = np.repeat(free_a, counts)
-    j = free_b[order[np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)]]
-    before = (i > 0) & (j > 0)
-    before[before] = (a[i[before] - 1] == b[j[before] - 1]) & ~used_a[i[before] - 1] & ~used_b[j[before] - 1]
-    i, j = i[~before], j[~before]
+    firsts, seconds = [], []
+    # A text that repeats itself has many pairs of equal windows, and few that could not start earlier.
+    at, ends = 0, np.cumsum(counts)
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
+        some = counts[at:to]
+        x = np.repeat(free_a[at:to], some)
+        y = free_b[order[np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(low[at:to], some)]]
+        before = (x > 0) & (y > 0)
+        before[before] = (a[x[before] - 1] == b[y[before] - 1]) & ~used_a[x[before] - 1] & ~used_b[y[before] - 1]
+        firsts.append(x[~before])
+        seconds.append(y[~before])
+        at = to
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
     size = np.zeros(len(i), np.int64)
     going = np.arange(len(i))
     while len(going):
@@ -174,6 +187,10 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids, pa.array(seeds.view(np.int64))], names=["id", "seed"])
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, broadcast_seeds: int = 1_000_000) -> DataFrame:
     """One row per document and benchmark item that it holds: ``doc_id, item_id, coverage, n_tiles, longest_tile``.
 
@@ -183,10 +200,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float =
     null.  Of equally long matches the first in the item, then in the document, is taken.  Empty tables
     give no rows and other columns are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = documents(docs)
+    items, rows = _items(benchmark), documents(docs)
     if _seed_count(items) > broadcast_seeds:
-        return _by_shuffle(rows, items, threshold)
+        texts = lambda df, id_, key: df.where("text is not null").select(id_, F.md5("text").alias(key))
+        found = _judged_texts(rows, items, threshold)
+        return texts(rows, "doc_id", "r").join(found, "r").join(texts(items, "item_id", "i"), "i").select(*_OUT)
     known = _shared_items(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,44 +242,50 @@ def _judged(texts: pa.Array, bank: Items, threshold: float) -> Iterator[tuple]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, broadcast_seeds: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no item as :func:`contaminated_pairs` finds them.
-
-    With a benchmark of more than ``broadcast_seeds`` words the rows go by doc_id, and rows without one stay.
-    """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    """The rows of ``docs``, with all columns, whose text holds no item as :func:`contaminated_pairs` finds them."""
+    items = _items(benchmark)
     if _seed_count(items) > broadcast_seeds:
-        found = contaminated_pairs(docs, benchmark, threshold, broadcast_seeds).select("doc_id").distinct()
-        return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+        found = _judged_texts(documents(docs), items, threshold).select("r").distinct()
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5(F.col("text").cast("string")).alias("r"))
+        return rows.join(found, "r", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     known = _shared_items(items)
 
-    def keep(texts: pa.Array) -> np.ndarray:
-        clean = np.ones(len(texts), bool)
-        clean[[r for r, *_ in _judged(texts, Items(*known.value), threshold)]] = False
-        return clean
+    def start():
+        bank = Items(*known.value)
+
+        def keep(texts: pa.Array) -> np.ndarray:
+            clean = np.ones(len(texts), bool)
+            clean[[r for r, *_ in _judged(texts, bank, threshold)]] = False
+            return clean
+
+        return keep
 
-    return keep_rows(docs, keep)
+    return keep_rows(docs, start)
 
 
-def _by_shuffle(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The same for a benchmark of any size: rows and items are numbered, joined by seed, and met again by number."""
-    rows = rows.where("text is not null").withColumn("r", F.xxhash64("doc_id", "text"))
-    items = items.where("text is not null").withColumn("i", F.xxhash64("item_id", "text"))
-    seeds = lambda df, id_: df.select(id_, "text").mapInArrow(_seed_rows, "id long, seed long").withColumnRenamed("id", id_)
-    ours, theirs = seeds(rows, "r").distinct(), seeds(items, "i").groupBy("i", "seed").agg(F.count("*").alias("times"))
+def _judged_texts(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """``r, i, coverage, n_tiles, longest_tile`` of different texts and items, by the MD5 of each, for a benchmark of any size."""
+    different = lambda df, key: df.where("text is not null").select(F.md5("text").alias(key), "text").dropDuplicates([key])
+    rows, items = different(rows, "r"), different(items, "i")
+    seeds = lambda df, id_: df.select(id_, "text").mapInArrow(_seed_rows, "id string, seed long").withColumnRenamed("id", id_)
+    salt = F.pmod(F.xxhash64("r"), F.lit(SALTS)).cast("int").alias("salt")
+    ours, theirs = seeds(rows, "r").distinct().select("r", "seed", salt), seeds(items, "i").groupBy("i", "seed").agg(F.count("*").alias("times"))
     sizes = theirs.groupBy("i").agg(F.sum("times").alias("n"))
+    theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # A place in the item at which a shared seed starts touches MIN_MATCH words, which bounds the tiles.
-    shared = ours.join(theirs, "seed").groupBy("r", "i").agg(F.sum("times").alias("shared"))
+    shared = ours.join(theirs, ["seed", "salt"]).groupBy("r", "i").agg(F.sum("times").alias("shared"))
     enough = shared.join(sizes, "i").where(F.col("shared") * MIN_MATCH >= threshold * F.col("n")).select("r", "i")
     pairs = enough.join(rows, "r").join(items.withColumnRenamed("text", "item_text"), "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, item, item_text in zip(*(c.to_pylist() for c in batch.columns)):
-                bank = Items([item], pa.array([item_text]))
+            for r, text, i, item_text in zip(*(c.to_pylist() for c in batch.columns)):
+                bank = Items([i], pa.array([item_text]))
                 words, at = words_of(pa.array([text]))
-                judged = bank.judge(words, seeds_of(words, at)[0], threshold)
-                out += [(doc, item, *rest) for _, *rest in judged]
-            yield _record(out)
+                out += [(r, i, *rest) for _, *rest in bank.judge(words, seeds_of(words, at)[0], threshold)]
+            columns = zip(*out) if out else [[]] * 5
+            kinds = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["r", "i", *_OUT[2:]])
 
-    return pairs.select("doc_id", "text", "item_id", "item_text").mapInArrow(run, _DDL)
+    return pairs.select("r", "text", "i", "item_text").mapInArrow(run, "r string, i string, coverage double, n_tiles int, longest_tile int")

@@ -3,12 +3,14 @@
 A text is cut into equal segments of at most ``SEGMENT`` bytes.  A segment is the set of its byte
 n-grams of 1 to ``MAX_N`` bytes (A-Z lower-cased), hashed to ``DIM`` places; the kernel of two segments
 is the number of places they share over the geometric mean of their counts.  A text's shares are the
-means of its segments', by length, so that in a text of several languages the longest part decides.  Nystroem features on landmark texts feed one-versus-rest kernel ridge regression.  Kernel,
-Nystroem map and ridge weights compose to one matrix, so that whole batches are scored by one matrix
-product of presence rows.
-
-Training takes one segment of each of at most ``per_language`` labelled documents of each language, those
-of smallest hash of doc_id, of which ``landmarks`` in all serve as landmarks; these bounds do not grow with the table.
+means of its segments', by length, so that in a text of several languages the longest part decides.
+Nystroem features on landmark texts feed one-versus-rest kernel ridge regression.  Kernel, Nystroem map
+and ridge weights compose to one matrix, so that whole batches are scored by one matrix product of
+presence rows.
+
+Training takes one segment of each of at most ``per_language`` labelled rows of each language, those of
+smallest hash, and ``sample`` rows in all, of which ``landmarks`` serve as landmarks; these bounds do not
+grow with the table or with the number of languages.
 """
 
 from __future__ import annotations
@@ -116,19 +118,23 @@ def _packed_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.record_batch([part.column(0), pa.array(bits, pa.binary())], names=["lang", "bits"])
 
 
-def train_language_classifier(labelled: DataFrame, per_language: int = 300, landmarks: int = 256) -> SpectrumClassifier | None:
-    """Fits on ``labelled(doc_id, text, lang)``; null texts or langs are left out; None without rows."""
+def train_language_classifier(labelled: DataFrame, per_language: int = 300, landmarks: int = 256, sample: int = 4000) -> SpectrumClassifier | None:
+    """Fits on ``labelled(doc_id, text, lang)``; null texts or langs are left out; None without rows.
+
+    Of more than ``sample`` languages the most frequent are learned.
+    """
     usable = bounded(labelled).where("lang is not null and text is not null and length(text) > 0")
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
-    # Of a language with many documents only the places below a bound that surely holds enough are ranked.
-    bound = (3.0 * per_language + 100) / F.col("count")
-    near = usable.select("doc_id", "lang", place.alias("place")).join(F.broadcast(usable.groupBy("lang").count()), "lang").where(F.col("place") <= bound)
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    sample = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
-    found = sample.select("lang", "text").mapInArrow(_packed_presence, "lang string, bits binary").collect()
-    if not found:
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    if not counts:
         return None
+    share = min(per_language, max(1, sample // len(counts)))
+    # Of a language with many rows only the places below a bound that surely holds enough are ranked.
+    bounds = usable.sparkSession.createDataFrame([(r["lang"], (3.0 * share + 100) / r["count"]) for r in counts], "lang string, bound double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63)
+    near = usable.select("lang", "text", place.alias("place")).join(F.broadcast(bounds), "lang").where(F.col("place") <= F.col("bound"))
+    order = Window.partitionBy("lang").orderBy("place", "text")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= share)
+    found = chosen.select("lang", "text").mapInArrow(_packed_presence, "lang string, bits binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
     rows = np.unpackbits(np.stack([np.frombuffer(r["bits"], np.uint8) for r in found]), axis=1).astype(np.float32)
     return SpectrumClassifier(rows, [r["lang"] for r in found], landmarks)

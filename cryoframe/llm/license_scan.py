@@ -1,11 +1,12 @@
 """License texts in documents: MinHash over overlapping windows, then exact containment.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  A template of n shingles
-of five words belongs to the smallest size class L >= n; documents are cut into windows of 2L shingles
-that start every L shingles, so each stretch of L shingles lies whole in some window.  A window that
-holds 0.8 of a template has Jaccard similarity s >= 0.8 n / (2L + 0.2 n), at least 0.25 as n > L / 1.5.
+Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  A template of p shingles of
+five words, n of them different, belongs to the smallest size class L >= ``SLACK`` * p, so that a copy with
+words put in, half as many as it has, still fits in L.  Documents are cut into windows of 2L shingles that
+start every L shingles; each stretch of L shingles lies whole in some window.  A window that holds 0.8 of a
+template has Jaccard similarity s >= 0.8 n / (2L + 0.2 n), at least 0.175 as L < 1.25 ``SLACK`` p and n > 0.9 p.
 Bands are single minhashes, ``BANDS`` in number: such a window misses all of them with probability
-(1 - s) ** 32, at most 1e-4.  A window is retrieved for the templates with which it shares a band and is
+(1 - s) ** 48, at most 1e-4.  A window is retrieved for the templates with which it shares a band and is
 verified by counting the template's shingles in it.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from .shared import documents
 from .wordhash import PUNCTUATED, batches_of_text, shingle_hashes, text_bytes, word_hashes, word_spans
 
-WIDTH, BANDS = 5, 32
+WIDTH, BANDS, SLACK = 5, 48, 1.5
 _rng = np.random.default_rng(811)
 _ADD = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 _MULTIPLY = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,16 +91,16 @@ def shingles_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[keep], np.concatenate([[0], np.cumsum(np.where(short, 0, np.diff(shingle_at)))])
 
 
-def class_of(n: int) -> int:
-    """The smallest size class of at least ``n`` shingles; classes grow by half."""
+def class_of(positions: int) -> int:
+    """The smallest size class for a template of so many shingles; classes grow by a quarter."""
     size = 1
-    while size < n:
-        size = max(size + 1, int(size * 1.5))
+    while size < SLACK * positions:
+        size = max(size + 1, int(size * 1.25))
     return size
 
 
 def size_class(template: str) -> int:
-    return class_of(len(np.unique(shingles_of(pa.array([template]))[0])))
+    return class_of(len(shingles_of(pa.array([template]))[0]))
 
 
 class Templates:
@@ -112,7 +113,7 @@ class Templates:
         self.classes: dict[int, list[int]] = {}
         for i, own in enumerate(self.sets):
             if len(own):
-                self.classes.setdefault(class_of(len(own)), []).append(i)
+                self.classes.setdefault(class_of(int(at[i + 1] - at[i])), []).append(i)
         self.every = np.unique(np.concatenate([s for s in self.sets if len(s)] or [np.zeros(0, np.uint64)]))
         self.marks = {
             size: [np.array([((self.sets[i] ^ _ADD[k]) * _MULTIPLY[k]).min() for i in own], np.uint64) for k in range(BANDS)]
@@ -123,21 +124,27 @@ class Templates:
         """(row, template) -> (largest containment, first shingle of that window within the row)."""
         best: dict[tuple[int, int], tuple[float, int]] = {}
         counts = np.diff(at)
-        for size, own in self.classes.items():
+        if not len(hashes):
+            return best
+        windows = {}
+        for size in self.classes:
             blocks = -(-counts // size)
             row = np.repeat(np.arange(len(counts)), blocks)
             start = at[row] + (np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * size
-            if not len(start):
-                continue
-            paired = np.concatenate([row[1:] == row[:-1], [False]])
-            candidates: set[tuple[int, int]] = set()
-            for k in range(BANDS):
-                least_in = np.minimum.reduceat((hashes ^ _ADD[k]) * _MULTIPLY[k], start)
+            windows[size] = row, start, np.concatenate([row[1:] == row[:-1], [False]])
+        candidates: dict[int, set[tuple[int, int]]] = {size: set() for size in self.classes}
+        for k in range(BANDS):
+            mixed = (hashes ^ _ADD[k]) * _MULTIPLY[k]
+            for size, own in self.classes.items():
+                _, start, paired = windows[size]
+                least_in = np.minimum.reduceat(mixed, start)
                 window = least_in.copy()
                 window[paired] = np.minimum(least_in[paired], least_in[1:][paired[:-1]])
                 for j, mark in enumerate(self.marks[size][k]):
-                    candidates.update((int(w), own[j]) for w in np.flatnonzero(window == mark))
-            for w, i in sorted(candidates):
+                    candidates[size].update((int(w), own[j]) for w in np.flatnonzero(window == mark))
+        for size, found in candidates.items():
+            row, start, _ = windows[size]
+            for w, i in sorted(found):
                 stretch = hashes[start[w] : min(start[w] + 2 * size, at[row[w] + 1])]
                 share = np.isin(self.sets[i], stretch, assume_unique=False).sum() / len(self.sets[i])
                 key = (int(row[w]), i)

@@ -243,24 +243,37 @@ def _components(docs: DataFrame, numerator: int, denominator: int, width: int, m
     x_side, y_side = (sketches.select(F.col("vertex").alias(p), F.col("n").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_sketch")) for p in "xy")
 
     # Pairs that fail here are not lost: they stay in different components and go on.
-    n_hashes = 2 * n_groups * DEPTH
-    likely = _agreements(F.col("x_sketch"), F.col("y_sketch"), n_hashes) >= int(n_hashes * numerator / denominator)
-    to_heads = members.where("vertex <> head").select(F.col("vertex").alias("x"), F.col("head").alias("y")).distinct()
-    to_heads = to_heads.join(x_side, "x").join(y_side, "y").where(_sizes_allow(numerator, denominator) & likely).select("x", "y")
-    first = cut(_confirmed(to_heads, texts, numerator, denominator, width))
-    stars = cut(connected_components(first.select("x", "y"), "x", "y"))
+    n_hashes, same = 2 * n_groups * DEPTH, numerator / denominator
+    spread = (n_hashes * same * (1 - same)) ** 0.5
+
+    def linked(pairs: DataFrame, least: float) -> DataFrame:
+        likely = _agreements(F.col("x_sketch"), F.col("y_sketch"), n_hashes) >= int(least)
+        pairs = pairs.distinct().join(x_side, "x").join(y_side, "y").where(_sizes_allow(numerator, denominator) & likely).select("x", "y")
+        return cut(_confirmed(pairs, texts, numerator, denominator, width))
 
     at = F.coalesce("component", "vertex").alias("at")
+
+    def mixed_buckets(stars: DataFrame) -> DataFrame:
+        within = members.join(stars, "vertex", "left").select("key", "vertex", at)
+        own_head = F.min_by(F.struct("vertex", "at"), F.xxhash64("key", "vertex")).alias("own")
+        mixed = within.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high"), own_head).where("low < high").select("key", "own")
+        return within.join(mixed, "key")
+
+    first = linked(members.where("vertex <> head").select(F.col("vertex").alias("x"), F.col("head").alias("y")), n_hashes * same - 4 * spread)
+    stars = cut(connected_components(first.select("x", "y"), "x", "y"))
+    # Where that leaves several components each bucket takes a head of its own, so that a class meets many of a crowd.
+    again = mixed_buckets(stars).where("at <> own.at").select(F.col("vertex").alias("x"), F.col("own.vertex").alias("y"))
+    first = first.unionByName(linked(again, n_hashes * same - 1)).select("x", "y")
+    stars = cut(connected_components(first, "x", "y"))
+
     placed = known.join(stars, "vertex", "left").select("vertex", "n", at)
     if not exact:
-        within = members.join(stars, "vertex", "left").select("key", "vertex", at)
-        mixed = within.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("key")
-        placed = placed.join(within.join(mixed, "key").select("vertex").distinct(), "vertex")
+        placed = placed.join(mixed_buckets(stars).select("vertex").distinct(), "vertex")
     placed = cut(placed)
     late = cut(texts.join(placed.select("vertex"), "vertex"))
     pairs = _meeting(placed, _prefixes(late, numerator, denominator, width), numerator, denominator)
     second = cut(_confirmed(pairs, texts, numerator, denominator, width))
-    links = first.select("x", "y").unionByName(second.select("x", "y"))
+    links = first.unionByName(second.select("x", "y"))
 
     found = cut(connected_components(links, "x", "y").join(classes.select("vertex", "doc_id"), "vertex"))
     best = found.groupBy("component").agg(F.min(F.struct("doc_id", "vertex")).alias("best"))

@@ -159,9 +159,8 @@ class Packer:
         self.demand = np.zeros((room + 2, 3))
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
-        most = min(self.limits.tokens, self.limits.loss_tokens)
-        while piece.tokens > most:
-            head, piece = piece.cut(most)
+        while piece.tokens > self.limits.tokens or piece.loss > self.limits.loss_tokens:
+            head, piece = piece.cut(min(self.limits.tokens, piece.silent + self.limits.loss_tokens))
             yield [head]
         if piece.tokens:
             self._wait(piece)
@@ -189,10 +188,11 @@ class Packer:
                 break
             left -= demand[best]
             chosen.append(self._take(best))
-        space = int(min(left[0], left[2]))
-        if self.waiting and left[1] >= 1 and space > 0:
+        if self.waiting and left[1] >= 1 and left[0] > 0:
             longest = int(self.demand[: len(self.waiting), 0].argmax())
-            if self.waiting[longest].tokens > space:
+            piece = self.waiting[longest]
+            space = int(min(left[0], piece.silent + left[2]))
+            if 0 < space < piece.tokens:
                 head, tail = self._take(longest).cut(space)
                 chosen.append(head)
                 self._wait(tail)
@@ -247,12 +247,27 @@ def _rows(sequences: list[list[Piece]], first: int, with_ids: bool) -> pa.Record
     return pa.record_batch(arrays, names=names)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), silent: str | None = None, with_ids: bool = False) -> DataFrame:
+def instruction_examples(conversations: DataFrame) -> DataFrame:
+    """``doc_id`` (the conv_id), ``prompt`` and ``text`` of each assistant turn: the text of the turn before it, and its own.
+
+    Turns meet by conversation and number, so that no conversation is gathered.  Of rows that repeat a turn
+    one stays as a prompt; turns without number or conversation, and first turns, have no prompt.
+    """
+    key = [F.col(c).cast("long").alias(c) for c in ("conv_id", "turn")]
+    turns = conversations.select(*key, F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    before = turns.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    return turns.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left").select(F.col("conv_id").alias("doc_id"), "prompt", "text")
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), silent: str | None = None, prompt: str | None = None, with_ids: bool = False
+) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens[, ids]``.
 
     A document's ids are its tokenizer ids and then ``END_OF_TEXT``; pieces of a document tile it, and
-    pieces of a sequence tile the sequence from 0.  ``silent`` names a column with the number of
-    leading tokens (a prompt) that bear no loss; without it all tokens do.
+    pieces of a sequence tile the sequence from 0.  ``prompt`` names a column of text whose ids come first
+    and bear no loss (see :func:`instruction_examples`), ``silent`` one with the number of leading tokens that
+    bear none; without either all tokens do.
 
     Null and empty texts count as empty: one token.  Very long texts are cut into full sequences.
     Rows with a repeated or null doc_id are packed as examples of their own.  An empty table gives no
@@ -271,6 +286,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
             for a, b in batches_of_text(batch.column(1), 2 << 20):
                 silents = batch.column(2).slice(a, b - a).to_pylist()
                 encoded = words.of([t or b"" for t in texts.slice(a, b - a).to_pylist()])
+                if prompt:
+                    asked = words.of([t or b"" for t in batch.column(3).slice(a, b - a).cast(pa.large_binary()).to_pylist()])
+                    silents = [max(quiet or 0, len(ids) // 4) for quiet, ids in zip(silents, asked)]
+                    encoded = [first + second for first, second in zip(asked, encoded)]
                 for example, ids, quiet in zip(batch.column(0).slice(a, b - a).to_pylist(), encoded, silents):
                     ids += end
                     done += packer.add(Piece(example, ids, 0, len(ids) // 4, max(0, quiet or 0)))
@@ -284,5 +303,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         words.shrink()
 
     quiet = F.col(silent).cast("long") if silent else F.lit(0).cast("long")
-    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), quiet.alias("silent"))
+    rows = bounded(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), quiet.alias("silent"), *([F.col(prompt).cast("string").alias("prompt")] if prompt else [])
+    )
     return rows.mapInArrow(run, _DDL + (", ids array<int>" if with_ids else ""))

@@ -1,11 +1,12 @@
 """Personal data by weak supervision, with built-in functions only.
 
 Candidates are the matches of four strict patterns and of some looser ones.  Regular-expression,
-gazetteer and context labelers vote on each (1 personal, -1 not, 0 no opinion).  Votes are counted by
-pattern over the whole table, which leaves at most ``kinds * 3 ** labelers`` rows whatever its size;
-on these expectation-maximisation estimates how reliable each labeler is for each kind, and the
-posteriors train a logistic span classifier.  The classifier, written as a column expression, decides
-which loose candidates are added; strict matches always stay.
+gazetteer and context labelers vote on each (1 personal, -1 not, 0 no opinion).  Votes are counted with
+the traits of the candidates over the whole table, which leaves at most ``kinds * 3 ** labelers * 2 ** traits``
+rows whatever its size; on these expectation-maximisation estimates how reliable each labeler is for each
+kind, and the posteriors train a logistic span classifier on votes and on traits, of which the labelers see
+nothing.  The classifier, written as a column expression, decides which loose candidates are added; strict
+matches always stay.
 """
 
 from __future__ import annotations
@@ -16,12 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .spans import apart, digits, find_spans, joined, luhn
+from .spans import apart, bound, digits, find_spans, joined, luhn, part, pieces, scanned
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("email_loose", "phone_loose", "iban", "national_id")
 KINDS = BASE_KINDS + ADDED_KINDS
 LABELERS = ("form", "structure", "gazetteer", "context")
+#: Traits of a span's text, as SQL conditions on ``s.value``.
+TRAITS = {
+    "long": "length(s.value) > 16", "spaced": "rlike(s.value, '[ ()]')", "even": "rlike(s.value, '([0-9A-Za-z])\\\\1{3}')",
+    "numeric": "2 * length(regexp_replace(s.value, '[^0-9]', '')) >= length(s.value)",
+}
+_SPAN = "struct<start:int,ord:int,end:int,kind:string,votes:array<int>,traits:array<int>>"
 
 _BASE = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(text, '@')"),
@@ -49,13 +56,13 @@ _REACH = 40
 
 def _context(kind: str) -> str:
     near = NEAR[kind.removesuffix("_loose")]
-    before = f"substring(text, greatest(1, s.start + 1 - {_REACH}), least(s.start, {_REACH}))"
+    before = part("cut", f"greatest(0, s.start - {_REACH})", f"least(s.start, {_REACH})")
     return f"case when rlike({before}, r'(?i){NOT_NEAR}') then -1 when rlike({before}, r'(?i){near}') then 1 else 0 end"
 
 
 def _votes(kind: str) -> str:
-    """SQL for the array of votes of all labelers on span ``s``."""
-    around = "concat(if(s.start > 0, substring(text, s.start, 1), ' '), substring(text, s.end + 1, 1))"
+    """SQL for the array of votes of all labelers on span ``s`` of the text in pieces ``cut``."""
+    around = f"concat(if(s.start > 0, {part('cut', 's.start - 1', '1')}, ' '), {part('cut', 's.end', '1')})"
     form = f"if(rlike({around}, '[A-Za-z0-9_@]'), -1, 1)"
     n = f"length({digits('s.value')})"
     structure = {
@@ -76,7 +83,7 @@ def _votes(kind: str) -> str:
         "email_loose": f"if(rlike(s.value, r'(?i)({TOP_DOMAINS})$'), 1, 0)",
         "phone_loose": "if(rlike(s.value, r'[2-9][0-9]{2}.[0-9]{4}$'), 1, -1)",
         "iban": f"if(rlike(s.value, '^({IBAN_LANDS})'), 1, -1)",
-        "national_id": "0",
+        "national_id": "if(rlike(s.value, '^(078-05-1120|219-09-9999|457-55-5462|123-45-6789)$'), -1, 0)",
     }[kind]
     return f"array({form}, {structure}, {gazetteer}, {_context(kind)})"
 
@@ -90,7 +97,7 @@ def _iban() -> str:
 
 
 def with_spans(rows: DataFrame) -> DataFrame:
-    """Adds ``base`` and ``loose`` spans of the non-null column ``text``, each ``(start, ord, end, kind, votes)``."""
+    """Adds ``base`` and ``loose`` spans of the non-null column ``text``, each ``(start, ord, end, kind, votes, traits)``."""
     own = rows.columns
     rows = rows.withColumn("has_digit", F.expr("rlike(text, '[0-9]')"))
     spans = {}
@@ -103,10 +110,12 @@ def with_spans(rows: DataFrame) -> DataFrame:
         "card": F.expr(f"filter(card, s -> length({digits('s.value')}) between 12 and 19 and {luhn('s.value')})"),
         "phone": F.expr(f"filter(phone, s -> length({digits('s.value')}) between 9 and 15)"),
     })
-    voted = lambda kind: f"transform({kind}, s -> named_struct('start', s.start, 'ord', s.ord, 'end', s.end, 'kind', s.kind, 'votes', {_votes(kind)}))"
-    return rows.withColumns({k: F.expr(voted(k)) for k in KINDS}).select(
-        *own, F.sort_array(F.concat(*BASE_KINDS)).alias("base"), F.sort_array(F.concat(*ADDED_KINDS)).alias("loose")
+    traits = "array(" + ", ".join(f"cast({t} as int)" for t in TRAITS.values()) + ")"
+    voted = lambda kind: f"transform({kind}, s -> named_struct('start', s.start, 'ord', s.ord, 'end', s.end, 'kind', s.kind, 'votes', {_votes(kind)}, 'traits', {traits}))"
+    judged = lambda kinds: F.expr(
+        f"if({' + '.join(f'size({k})' for k in kinds)} = 0, cast(array() as array<{_SPAN}>), " + bound(pieces("text"), "cut", f"sort_array(concat({', '.join(map(voted, kinds))}))") + ")"
     )
+    return rows.select(*own, *KINDS).select(*own, judged(BASE_KINDS).alias("base"), judged(ADDED_KINDS).alias("loose"))
 
 
 def candidate_spans(docs: DataFrame) -> DataFrame:
@@ -145,15 +154,18 @@ def estimate_reliability(counts: list[tuple[str, tuple[int, ...], int]], rounds:
     return out
 
 
-def _features(kind: str, votes: tuple[int, ...]) -> list[float]:
-    return [1.0, *[float(kind == k) for k in KINDS], *[float(x > 0) for x in votes], *[float(x < 0) for x in votes]]
+def _features(kind: str, votes: tuple[int, ...], traits: tuple[int, ...]) -> list[float]:
+    return [1.0, *[float(kind == k) for k in KINDS], *[float(x > 0) for x in votes], *[float(x < 0) for x in votes], *map(float, traits)]
 
 
-def train_span_classifier(counts: list[tuple[str, tuple[int, ...], int]], steps: int = 400, rate: float = 1.0) -> list[float]:
-    """Logistic weights for :func:`_features`, fitted to the posteriors; zero votes of all kinds give 0.5."""
-    posterior = estimate_reliability(counts)
-    rows = [(_features(k, v), posterior[k, v], log(1 + n)) for k, v, n in sorted(counts)]
-    weights = [0.0] * len(_features(KINDS[0], (0,) * len(LABELERS)))
+def train_span_classifier(counts: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], steps: int = 400, rate: float = 1.0) -> list[float]:
+    """Logistic weights for :func:`_features`, fitted to the posteriors; ``counts`` holds (kind, votes, traits, number)."""
+    by_votes: dict[tuple[str, tuple[int, ...]], int] = {}
+    for k, v, _, n in counts:
+        by_votes[k, v] = by_votes.get((k, v), 0) + n
+    posterior = estimate_reliability([(*kv, n) for kv, n in sorted(by_votes.items())])
+    rows = [(_features(k, v, t), posterior[k, v], log(1 + n)) for k, v, t, n in sorted(counts)]
+    weights = [0.0] * len(_features(KINDS[0], (0,) * len(LABELERS), (0,) * len(TRAITS)))
     scale = sum(w for *_, w in rows) or 1.0
     for _ in range(steps if rows else 0):
         slope = [0.002 * w for w in weights]
@@ -167,22 +179,19 @@ def train_span_classifier(counts: list[tuple[str, tuple[int, ...], int]], steps:
 
 def _score(weights: list[float]) -> str:
     """SQL for the classifier's linear score of span ``s``."""
-    at = 1 + len(KINDS)
-    terms = [repr(weights[0]) + "D"]
-    terms += [f"if(s.kind = '{k}', {weights[1 + i]!r}D, 0D)" for i, k in enumerate(KINDS)]
-    terms += [f"if(s.votes[{j}] > 0, {weights[at + j]!r}D, 0D)" for j in range(len(LABELERS))]
-    terms += [f"if(s.votes[{j}] < 0, {weights[at + len(LABELERS) + j]!r}D, 0D)" for j in range(len(LABELERS))]
-    return " + ".join(terms)
+    tests = [f"s.kind = '{k}'" for k in KINDS] + [f"s.votes[{j}] > 0" for j in range(len(LABELERS))] + [f"s.votes[{j}] < 0" for j in range(len(LABELERS))]
+    tests += [f"s.traits[{j}] = 1" for j in range(len(TRAITS))]
+    return " + ".join([repr(weights[0]) + "D", *[f"if({t}, {w!r}D, 0D)" for t, w in zip(tests, weights[1:])]])
 
 
 def _trained(found: DataFrame) -> list[float]:
-    votes = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.kind", "s.votes").count().collect()
-    return train_span_classifier([(r["kind"], tuple(r["votes"]), r["count"]) for r in votes])
+    votes = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.kind", "s.votes", "s.traits").count().collect()
+    return train_span_classifier([(r["kind"], tuple(r["votes"]), tuple(r["traits"]), r["count"]) for r in votes])
 
 
 def _added(weights: list[float]) -> Column:
     """The loose spans that the classifier takes and that overlap no strict one."""
-    return F.expr(f"filter({apart('loose', 'base')}, s -> {_score(weights)} > 0)")
+    return F.expr(f"filter({apart('loose', 'base', _SPAN)}, s -> {_score(weights)} > 0)")
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
@@ -215,11 +224,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def masked(text: str, spans: str) -> Column:
     """``text`` with each span replaced by its kind in angle brackets; a span that starts inside an earlier one is merged into it."""
-    return F.expr(f"""
-        aggregate(sort_array({spans}), named_struct('at', 0, 'out', ''), (acc, s) -> named_struct(
-            'at', greatest(acc.at, s.end),
-            'out', if(s.start < acc.at, acc.out, concat(acc.out, substring({text}, acc.at + 1, s.start - acc.at), '<', s.kind, '>'))),
-          acc -> concat(acc.out, substring({text}, acc.at + 1)))""")
+    reached = scanned("spans", "0", "int", "greatest(a.s, x.end)", "a.s")
+    before = part("cut", "reached[i]", "(s.start - reached[i])")
+    written = f"array_join(transform(spans, (s, i) -> if(s.start < reached[i], '', concat({before}, '<', s.kind, '>'))), '')"
+    end = "array_max(transform(spans, s -> s.end))"
+    whole = f"concat({written}, {part('cut', end, f'(length({text}) - {end})')})"
+    return F.expr(bound(f"sort_array({spans})", "spans", bound(pieces(text), "cut", bound(reached, "reached", whole))))
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Beside three fixed patterns, candidate strings of at least ``WINDOW`` characters that mix letters and
 digits are scored with the largest Shannon entropy of any ``WINDOW`` characters in a row.  The window
-slides by counts: each step adds one character and takes one away.  The threshold depends on the
-character class of the candidate, and allow-listed forms are suppressed.
+slides by counts, five bits for each of the characters that a candidate can have: each step adds one
+to a count, takes one from another and mends the sum of n log n by these two.  The threshold depends on
+the character class of the candidate, and allow-listed forms are suppressed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from math import log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import apart, find_spans, joined
+from .spans import SPAN, apart, bound, find_spans, joined, part, pieces
 
 WINDOW = 20
 #: Smallest entropy in bits, by character class, of a window in a secret.
@@ -36,20 +37,27 @@ _HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 _CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 
+#: The characters of candidates; their counts lie twelve to a long of an array.
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_TO_A_LONG, _BITS = 12, 5
+
+
 def window_entropy(value: str, window: int = WINDOW) -> str:
-    """SQL for the largest entropy, in bits, of any ``window`` characters in a row of ``value``."""
+    """SQL for the largest entropy, in bits, of any ``window`` (at most 30) characters in a row of ``value``."""
     f = "array(" + ", ".join(f"{k * log2(k) if k else 0.0!r}D" for k in range(window + 2)) + ")"
-    step = """
-        aggregate(sequence(0, size(w.codes) - 1), named_struct('n', array_repeat(0, size(w.letters)), 's', 0D, 'best', 0D), (acc, i) -> named_struct(
-          'n', transform(acc.n, (c, j) -> c + cast(j + 1 = w.codes[i] as int) - if(i >= {w}, cast(j + 1 = w.codes[i - {w}] as int), 0)),
-          's', {s},
-          'best', greatest(acc.best, if(i >= {w} - 1, {bits}D - ({s}) / {w}, 0D))), acc -> acc.best)"""
-    enter = f"{f}[acc.n[w.codes[i] - 1] + 1] - {f}[acc.n[w.codes[i] - 1]]"
-    count = f"(acc.n[w.codes[i - {window}] - 1] + cast(w.codes[i] = w.codes[i - {window}] as int))"
+    spot = lambda c: f"cast({c} div {_TO_A_LONG} as int)"
+    shift = lambda c: f"{_BITS} * ({c} % {_TO_A_LONG})"
+    held = lambda c: f"cast(shiftright(acc.n[{spot(c)}], {shift(c)}) & {(1 << _BITS) - 1} as int)"
+    new, old = "w[i]", f"w[i - {window}]"
+    enter = f"{f}[{held(new)} + 1] - {f}[{held(new)}]"
+    count = f"({held(old)} + cast({new} = {old} as int))"
     total = f"acc.s + {enter} - if(i >= {window}, {f}[{count}] - {f}[{count} - 1], 0D)"
-    letters = f"split({value}, '')"
-    coded = f"named_struct('letters', array_distinct({letters}), 'codes', transform({letters}, c -> cast(array_position(array_distinct({letters}), c) as int)))"
-    return f"transform(array({coded}), w -> {step.format(w=window, s=total, bits=repr(log2(window)))})[0]"
+    one = lambda c: f"if(j = {spot(c)}, shiftleft(1L, {shift(c)}), 0L)"
+    counts = f"transform(acc.n, (c, j) -> c + {one(new)} - if(i >= {window}, {one(old)}, 0L))"
+    best = f"greatest(acc.best, if(i >= {window} - 1, {log2(window)!r}D - ({total}) / {window}, 0D))"
+    fold = f"""aggregate(sequence(0, size(w) - 1), named_struct('n', array_repeat(0L, {-(-len(_ALPHABET) // _TO_A_LONG)}), 's', 0D, 'best', 0D),
+        (acc, i) -> named_struct('n', {counts}, 's', {total}, 'best', {best}), acc -> acc.best)"""
+    return bound(f"transform(split({value}, ''), c -> locate(c, '{_ALPHABET}') - 1)", "w", fold)
 
 
 def _base_spans(rows: DataFrame) -> DataFrame:
@@ -80,9 +88,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = _base_spans(rows)
     allowed = " or ".join(f"rlike(s.value, r'{p}')" for p in ALLOWED)
-    before = "substring(text, greatest(1, s.start - 23), least(s.start, 24))"
+    before = part("cut", "greatest(0, s.start - 24)", "least(s.start, 24)")
     likely = f"rlike(s.value, '[0-9]') and rlike(s.value, '[A-Za-z]') and not ({allowed}) and not rlike({before}, r'{ALLOWED_BEFORE}')"
-    found = found.withColumn("loose", F.expr(f"filter({apart('loose', 'base')}, s -> {likely})"))
+    kept = bound(pieces("text"), "cut", f"filter({apart('loose', 'base', SPAN)}, s -> {likely})")
+    found = found.withColumn("loose", F.expr(f"if(size(loose) = 0, loose, {kept})"))
     bits = f"if(rlike(s.value, '^[0-9a-fA-F]+$'), {LEAST_BITS['hex']}D, {LEAST_BITS['mixed']}D)"
     found = found.withColumn("added", F.expr(f"filter(loose, s -> {window_entropy('s.value')} >= {bits})"))
     return found.select(

@@ -32,11 +32,15 @@ def documents(docs: DataFrame) -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """Rows of ``docs``, with all their columns, for whose ``text`` ``keep`` gives True; nothing is shuffled."""
+def keep_rows(docs: DataFrame, start: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """Rows of ``docs``, with all their columns, for whose ``text`` the function that ``start`` gives is True; nothing is shuffled.
+
+    ``start`` runs once in each task.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
 

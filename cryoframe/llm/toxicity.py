@@ -124,7 +124,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, positi
     by_hash = F.xxhash64(F.lit("sample"), "doc_id")
     chosen_p = known.where("toxic = 1").orderBy(by_hash, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("toxic"))
     chosen_u = rows.select("doc_id").orderBy(by_hash, "doc_id").limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("toxic"))
-    sample = rows.join(F.broadcast(chosen_p.unionByName(chosen_u)), "doc_id").select("toxic", "text")
+    # at most ``positives + unlabelled`` ids; of rows that repeat one of them one is taken
+    sample = rows.join(F.broadcast(chosen_p.unionByName(chosen_u)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     sample = cut(sample.mapInArrow(_feature_rows, "toxic int, hashes array<long>"))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
@@ -201,4 +202,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame
             return np.ones(len(texts), bool)
         return np.concatenate([shared.value.scores(texts.slice(a, b - a)) < at for a, b in batches_of_text(texts)])
 
-    return keep_rows(docs, keep)
+    return keep_rows(docs, lambda: keep)

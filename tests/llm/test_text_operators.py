@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from cryoframe.llm import decontaminate, language_id, license_scan, packing, pii, secret_scan, toxicity
+from cryoframe.llm import spans as spans_sql
 from cryoframe.llm.url_filter import DigestArray, digest_bytes, judge_urls
 
 BASE_SECRETS = {"assign": r'(?i:(password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
@@ -46,6 +48,7 @@ def base(patterns: dict[str, str], text: str | None) -> list[str]:
 
 @pytest.mark.parametrize("scan, patterns", [(secret_scan.scan_secrets, BASE_SECRETS), (pii.find_personal_data, BASE_PII)])
 def test_base_spans(spark, scan, patterns):
+    # Python's search for addresses takes the square of such runs; test_long_mail_runs_end has them.
     texts = [t for t in TEXTS if not (patterns is BASE_PII and t and t.startswith(("aaaa", "a.a.")))]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, base int").selectExpr("*", "2 as spans", "3 as email", "4 as hex")
     got = {r["doc_id"]: r for r in scan(df).collect()}
@@ -70,6 +73,45 @@ def test_long_mail_runs_end(spark):
     assert pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["n_email"] == 1
 
 
+@pytest.mark.parametrize("scan, patterns", [(secret_scan.scan_secrets, BASE_SECRETS), (pii.find_personal_data, BASE_PII)])
+def test_texts_of_very_many_spans(spark, scan, patterns):
+    """100,000 matches in one text: the time is that of the matches, not of their square."""
+    unit = "u1@b.example.com 10.0.0.1 password=abcdefgh12 (626) 555-5759 😀 "
+    text = unit * 30_000
+    began = time.perf_counter()
+    got = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    expected = base(patterns, text)
+    assert got["base_sha256"] == hashlib.sha256(",".join(expected).encode()).hexdigest() and len(expected) >= 30_000
+    assert time.perf_counter() - began < 60
+
+
+def test_a_masked_text_of_very_many_spans(spark):
+    text = "u1@b.example.com 10.0.0.1 and (626) 555-5759 😀 " * 30_000
+    began = time.perf_counter()
+    got = pii.mask_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert got in ("<email> <ip> and <phone_loose> 😀 " * 30_000, "<email> <ip> and (626) 555-5759 😀 " * 30_000)
+    assert time.perf_counter() - began < 60
+
+
+def test_spans_apart_match_a_loop(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        spans = [[], []]
+        for of in spans:
+            at = 0
+            for _ in range(rng.choice([0, 1, 5, 700])):
+                at += rng.randrange(0, 6)
+                end = at + rng.randrange(1, 5)
+                of.append((at, 0, end, "k", "v"))
+                at = end
+        rows.append((i, *spans))
+    df = spark.createDataFrame(rows, f"id int, loose array<{spans_sql.SPAN}>, base array<{spans_sql.SPAN}>").selectExpr("id", f"{spans_sql.apart('loose', 'base', spans_sql.SPAN)} as kept")
+    for r in df.collect():
+        _, loose, base_ = rows[r["id"]]
+        assert [tuple(x) for x in r["kept"]] == [x for x in loose if not any(x[0] < y[2] and y[0] < x[2] for y in base_)]
+
+
 def test_entropy_windows(spark):
     def expected(s, w=secret_scan.WINDOW):
         best = 0.0
@@ -98,12 +140,13 @@ def test_reliability_estimates_recover_votes():
         truth = rng.random() < 0.6
         votes = tuple((1 if truth else -1) * (1 if rng.random() < q else -1) if rng.random() < 0.9 else 0 for q in (0.95, 0.9, 0.85, 0.6))
         counts["phone", votes] = counts.get(("phone", votes), 0) + 1
-    rows = [(k, v, n) for (k, v), n in counts.items()]
-    p = pii.estimate_reliability(rows)
+    p = pii.estimate_reliability([(k, v, n) for (k, v), n in counts.items()])
     assert p["phone", (1, 1, 1, 1)] > 0.95 and p["phone", (-1, -1, -1, -1)] < 0.1 and p["phone", (1, 1, 1, -1)] > 0.8
+    # a trait that goes with personal data decides where the labelers have no opinion
+    rows = [(k, v, (int(sum(v) > 0), 0, 0, 0), n) for (k, v), n in counts.items()]
     w = pii.train_span_classifier(rows)
-    score = lambda v: sum(a * b for a, b in zip(w, pii._features("phone", v)))
-    assert score((1, 1, 1, 1)) > 0 > score((-1, -1, -1, -1))
+    score = lambda v, t=(0, 0, 0, 0): sum(a * b for a, b in zip(w, pii._features("phone", v, t)))
+    assert score((1, 1, 1, 1), (1, 0, 0, 0)) > 0 > score((-1, -1, -1, -1)) and score((0, 0, 0, 0), (1, 0, 0, 0)) > score((0, 0, 0, 0))
 
 
 def test_masking(spark):
@@ -172,11 +215,30 @@ def test_contamination(spark, limit):
     expected[6, 2] = 1.0
     assert got == pytest.approx(expected)
     left = decontaminate.drop_contaminated(d, b, broadcast_seeds=limit)
-    assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} - {None} == {3, 4, 5, 9}
+    assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {3, 4, 5, 9}
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated_pairs(d, none).collect() == [] and decontaminate.drop_contaminated(d, none).count() == len(docs)
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 1])
+def test_contamination_goes_by_text(spark, limit):
+    """Null and repeated ids, repeated rows and items: a row goes if and only if its text holds an item."""
+    item, clean = "a b c d e f g h i j", "k l m n o p q r"
+    rows = [(None, item), (5, item), (5, clean), (5, clean), (6, "x " + item), (6, "x " + item), (7, None), (None, clean), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as r", "2 as i", "3 as row")
+    b = spark.createDataFrame([(1, item), (None, item), (2, "a b c")], "item_id long, text string")
+    left = decontaminate.drop_contaminated(d, b, broadcast_seeds=limit)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(5, clean), (5, clean), (7, None), (None, clean), (8, "")], key=str)
+    pairs = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated_pairs(d, b, broadcast_seeds=limit).collect()), key=str)
+    assert pairs == sorted([(i, j) for i in (None, 5, 6, 6) for j in (1, None)], key=str)
+
+
+def test_tiles_of_texts_that_repeat_themselves():
+    a, b = np.tile(np.array([1, 2], np.uint64), 100), np.tile(np.array([1, 2], np.uint64), 30_000)
+    tiles = decontaminate.greedy_tiles(a, b)
+    assert sum(t[0] for t in tiles) == 200
+
+
 def test_licenses_match_brute_force(spark):
     rng = random.Random(2)
     fill = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
@@ -302,6 +364,49 @@ def test_packing_is_a_round_trip(spark, limits):
     assert packing.pack_documents(df.where("false"), path).collect() == []
 
 
+@pytest.mark.parametrize("limits, tight", [((100, 50, 100), 0), ((1000, 4, 1000), 1), ((400, 50, 60), 2)])
+def test_each_limit_can_be_the_tight_one(limits, tight):
+    """Each piece has the largest dot product with what is left of all that fit; the tight limit is used up."""
+    rng = random.Random(tight)
+    pieces = [packing.Piece(i, bytes(4 * n), 0, n, rng.randrange(n)) for i, n in enumerate(rng.randrange(5, 40) for _ in range(150))]
+    packer = packing.Packer(packing.Limits(*limits), room=200)
+    assert [x for p in pieces for x in packer.add(p)] == []
+    need = lambda p: (p.tokens, 1, p.loss)
+    full = 0
+    while len(packer.waiting) > 50:
+        left, cap = {p.example: p for p in packer.waiting}, list(limits)
+        got = packer._fill()
+        for p in got:
+            fit = [x for x in left.values() if all(n <= c for n, c in zip(need(x), cap))]
+            gain = lambda x: sum(n * c / m**2 for n, c, m in zip(need(x), cap, limits))
+            if p.tokens == left[p.example].tokens:
+                assert gain(p) >= max(map(gain, fit)) - 1e-9
+            else:  # nothing fitted whole, and one was cut
+                assert not fit and p is got[-1]
+            cap = [c - n for c, n in zip(cap, need(p))]
+            del left[p.example]
+        assert min(cap) >= 0
+        full += cap[tight] == 0
+    assert full >= 5
+
+
+def test_conversations_pack_under_three_limits(spark, folder):
+    import public_tokenizers
+
+    path, limits = public_tokenizers.path("word_bpe_49k.json"), packing.Limits(2048, 12, 700)
+    talks = spark.read.parquet(f"{folder}/conversations.parquet")
+    examples = packing.instruction_examples(talks)
+    assert examples.count() == talks.where("role = 'assistant'").count()
+    rows = packing.pack_documents(examples, path, limits, prompt="prompt").collect()
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    used = [(sum(r["length"] for r in s), len(s), sum(r["loss_tokens"] for r in s)) for s in sequences.values()]
+    assert all(t <= 2048 and n <= 12 and x <= 700 for t, n, x in used) and sum(x == 700 for *_, x in used) > len(used) / 2
+    plain = packing.pack_documents(examples, path, packing.Limits(2048, 12, 2048)).collect()
+    assert sum(r["loss_tokens"] for r in rows) == sum(r["length"] for r in plain)
+
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("plain.net", "", "block")]
 
 
