@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cryoframe.llm.decontaminate import drop_contaminated
-from cryoframe.llm.near_dedup import near_duplicate_groups
+from cryoframe.llm.near_dedup import drop_near_duplicates
 from cryoframe.llm.packing import pack_documents
 from cryoframe.llm.pii import mask_personal_data
 from cryoframe.llm.queries import TOKENIZER
@@ -24,13 +24,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group, linked from similarity 0.8, the document with the smallest doc_id stays.
+    """Of each near-duplicate group, linked from similarity 0.8, the text of the smallest doc_id stays.
 
     Equal rows of one document (doc_id and text) are one; rows without doc_id stay.
     """
-    kept = near_duplicate_groups(docs, numerator=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null"))
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,31 +26,43 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or os.path.join(tempfile.gettempdir(), "cryoframe-checkpoints")).rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table written in the session's shared folder.
+
+    A checkpointed table hands on the size that was guessed for its plan, and guesses for joins are products: in a
+    loop they square from round to round, until the planner multiplies numbers of a million digits.  A written
+    table has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by_id: int = 2, max_rounds: int = 60) -> DataFrame:
     """``(vertex, component)`` for every vertex of the edges; component is the smallest vertex.
 
     In each round every vertex moves to the first of its closed neighbourhood and the edges are
     contracted.  First is by id in the first ``by_id`` rounds, which ends stars around a smallest vertex at
-    once, and by a hash of id and round later, which shrinks chains and lattices by a constant factor.  All state is in checkpointed tables; only emptiness comes to the driver.  Self loops
+    once, and by a hash of id and round later, which shrinks chains and lattices by a constant factor.  All state is in written tables; only emptiness comes to the driver.  Self loops
     and repeated edges are allowed; rows with a null end are ignored.  An empty table gives an empty table.
     """
     ends = edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src is not null and dst is not null")
-    edges = cut(ends.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    edges = written(ends.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     loops = edges.where("src = dst").select(F.col("src").alias("vertex")).distinct()
     edges = edges.where("src <> dst")
     placed, step = None, 0
     while not edges.isEmpty():
         if step == max_rounds:
             raise RuntimeError("connected components did not converge")
-        moved = cut(_moves(edges, step, step < by_id))
+        moved = written(_moves(edges, step, step < by_id))
         left, right = moved.select(F.col("v").alias("src"), F.col("m").alias("a")), moved.select(F.col("v").alias("dst"), F.col("m").alias("b"))
         pairs = edges.join(left, "src").join(right, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-        edges = cut(pairs.where("src <> dst").distinct())
+        edges = written(pairs.where("src <> dst").distinct())
         if placed is None:
             placed = moved.select(F.col("v").alias("vertex"), F.col("m").alias("at"))
         else:
             onward = moved.select(F.col("v").alias("at"), F.col("m").alias("next"))
-            placed = cut(placed.join(onward, "at", "left").select("vertex", F.coalesce("next", "at").alias("at")))
+            placed = written(placed.join(onward, "at", "left").select("vertex", F.coalesce("next", "at").alias("at")))
         step += 1
     if placed is None:
         return loops.select("vertex", F.col("vertex").alias("component"))
