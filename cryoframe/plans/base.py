@@ -81,6 +81,47 @@ ZONES = """zones AS (
            CAST(s_suppkey * 91 % 1000 AS DOUBLE) + (s_suppkey % 3 + 1) * 10.0::DOUBLE AS maxy FROM supplier)"""
 
 
+#: Directions of the eight corners of a plot, against the clock.
+_COMPASS = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+#: A square hole in every fourth plot, with the clock, and a triangle beside every fifth.
+_HOLE, _BESIDE = [(-12, -12), (-12, 12), (12, 12), (12, -12), (-12, -12)], [(100, 0), (120, 0), (100, 18), (100, 0)]
+
+
+def plots(spark: SparkSession, folder: str) -> DataFrame:
+    """Polygons from suppliers, ``zone, parts`` and bounds: eight corners at whole numbers, some with a hole or a second part."""
+    from ..operators.polygons import with_bounds
+
+    k = F.col("s_suppkey")
+    point = lambda dx, dy, r=1: F.struct((k * 37 % 1000 + dx * r).cast("double").alias("x"), (k * 91 % 1000 + dy * r).cast("double").alias("y"))
+    outer = F.array(*[point(*_COMPASS[i % 8], 30 + (k * 7 + i % 8 * 5) % 61) for i in range(9)])
+    hole, beside = (F.array(F.array(*[point(*c) for c in ring])) for ring in (_HOLE, _BESIDE))
+    none = F.filter(F.array(outer), lambda g: F.lit(False))
+    parts = F.concat(F.array(outer), F.when(k % 4 == 0, hole).otherwise(none), F.when(k % 5 == 1, beside).otherwise(none))
+    return with_bounds(t(spark, folder, "supplier").select(k.alias("zone"), parts.alias("parts")))
+
+
+def _corners(points: list[tuple[int, int]]) -> str:
+    return ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(points))
+
+
+_PLOT_RING = "SELECT s_suppkey AS zone, {n} AS ring, i, CAST(s_suppkey * 37 % 1000 + dx * {r} AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1000 + dy * {r} AS DOUBLE) AS y FROM supplier, (VALUES {v}) c(i, dx, dy) WHERE {w}"
+#: ``e``: the edges of all rings; ``plots``: the bounds; ``SIDES`` after these: what decides whether a point lies inside.
+PLOTS = (
+    "pv AS (" + _PLOT_RING.format(n=0, r="(30 + (s_suppkey * 7 + i % 8 * 5) % 61)", v=_corners([*_COMPASS, _COMPASS[0]]), w="true")
+    + " UNION ALL " + _PLOT_RING.format(n=1, r=1, v=_corners(_HOLE), w="s_suppkey % 4 = 0") + " UNION ALL " + _PLOT_RING.format(n=2, r=1, v=_corners(_BESIDE), w="s_suppkey % 5 = 1")
+    + """), e AS (SELECT * FROM (SELECT zone, ring, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM pv WINDOW w AS (PARTITION BY zone, ring ORDER BY i)) WHERE x1 IS NOT NULL),
+    plots AS (SELECT zone, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM pv GROUP BY zone)"""
+)
+
+
+def held(x: str, y: str, border: bool = True) -> str:
+    """SQL over edges ``e`` of one zone: whether the point lies inside, or on the border."""
+    crossed = f"(e.y0 > {y}) <> (e.y1 > {y}) AND {x} < (e.x1 - e.x0) * ({y} - e.y0) / (e.y1 - e.y0) + e.x0"
+    on = f"(e.x1 - e.x0) * ({y} - e.y0) = (e.y1 - e.y0) * ({x} - e.x0) AND {x} BETWEEN least(e.x0, e.x1) AND greatest(e.x0, e.x1) AND {y} BETWEEN least(e.y0, e.y1) AND greatest(e.y0, e.y1)"
+    inside = f"count(*) FILTER (WHERE {crossed}) % 2 = 1"
+    return f"({inside} OR count(*) FILTER (WHERE {on}) > 0)" if border else f"({inside} AND count(*) FILTER (WHERE {on}) = 0)"
+
+
 def objects(spark: SparkSession, folder: str) -> DataFrame:
     """Small boxes from customers on the same plane."""
     k = F.col("c_custkey")

@@ -4,27 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import raster, spatial as op
+from ..operators import polygons as poly, raster, spatial as op
 from ..operators.bookkeeping import quantiles
-from .base import IMG, LATTICE, OBJECTS, OBS, ZONES, img, lattice, objects, obs, query, t, zones
+from ..operators.graph import cut
+from .base import IMG, LATTICE, OBJECTS, OBS, PLOTS, held, img, lattice, objects, obs, plots, query
 
 SIZE = 50.0
-_MEET = "o.minx <= z.maxx AND z.minx <= o.maxx AND o.miny <= z.maxy AND z.miny <= o.maxy"
-_SHARED = "(least(o.maxx, z.maxx) - greatest(o.minx, z.minx)) * (least(o.maxy, z.maxy) - greatest(o.miny, z.miny))"
-_JOIN = f"WITH {ZONES}, {OBJECTS}, pairs AS (SELECT o.object, z.zone, o.v, {_SHARED} AS shared, (o.maxx - o.minx) * (o.maxy - o.miny) AS area FROM objects o JOIN zones z ON {_MEET})"
-_GRID = "grid AS (SELECT x.i * 100 + y.j AS cell, x.i * 100.0::DOUBLE AS minx, y.j * 100.0::DOUBLE AS miny, x.i * 100.0::DOUBLE + 100 AS maxx, y.j * 100.0::DOUBLE + 100 AS maxy FROM (SELECT unnest(range(0, 11)) AS i) x, (SELECT unnest(range(0, 11)) AS j) y)"
+#: An edge meets a box if their extents do and the box does not lie on one side of the edge's line.
+_SIDE = lambda x, y: f"sign((e.x1 - e.x0) * ({y} - e.y0) - (e.y1 - e.y0) * ({x} - e.x0))"
+_CORNERS = [_SIDE(x, y) for x in ("o.minx", "o.maxx") for y in ("o.miny", "o.maxy")]
+_TOUCH = f"""(least(e.x0, e.x1) <= o.maxx AND greatest(e.x0, e.x1) >= o.minx AND least(e.y0, e.y1) <= o.maxy AND greatest(e.y0, e.y1) >= o.miny
+    AND least({', '.join(_CORNERS)}) <= 0 AND greatest({', '.join(_CORNERS)}) >= 0)"""
+_NEAR = "o.minx <= z.maxx AND z.minx <= o.maxx AND o.miny <= z.maxy AND z.miny <= o.maxy"
+#: Area of a box below a ring: each edge adds the integral of its height within the box, with the sign of its direction.
+_Y = lambda x: f"(e.y0 + (e.y1 - e.y0) * ({x} - e.x0) / nullif(e.x1 - e.x0, 0))"
+_XA, _XB = "greatest(least(e.x0, e.x1), o.minx)", "least(greatest(e.x0, e.x1), o.maxx)"
+_G = lambda y: f"CASE WHEN {y} < o.miny THEN 0 WHEN {y} > o.maxy THEN (o.maxy - o.miny) * (o.maxy - o.miny) / 2 + (o.maxy - o.miny) * ({y} - o.maxy) ELSE ({y} - o.miny) * ({y} - o.miny) / 2 END"
+_STRIP = f"""CASE WHEN {_XA} >= {_XB} THEN 0 WHEN e.y0 = e.y1 THEN ({_XB} - {_XA}) * (least(greatest(e.y0, o.miny), o.maxy) - o.miny)
+    ELSE ({_XB} - {_XA}) * (({_G(_Y(_XB))}) - ({_G(_Y(_XA))})) / ({_Y(_XB)} - {_Y(_XA)}) END"""
+_AREA = f"abs(sum(sign(e.x0 - e.x1) * {_STRIP}))"
+_JOIN = f"""WITH {PLOTS}, {OBJECTS}, m AS (
+        SELECT o.object, z.zone, any_value(o.v) AS v, any_value((o.maxx - o.minx) * (o.maxy - o.miny)) AS area, {_AREA} AS shared, bool_or({_TOUCH}) AS touches, {held('o.minx', 'o.miny')} AS around
+        FROM objects o JOIN plots z ON {_NEAR} JOIN e ON e.zone = z.zone GROUP BY o.object, z.zone),
+    pairs AS (SELECT * FROM m WHERE touches OR around)"""
+
+
+def _boxes(spark, d):
+    return objects(spark, d).withColumn("parts", poly.box())
 
 
 def _pairs(spark, d):
-    return op.intersecting(objects(spark, d), zones(spark, d), SIZE)
+    return poly.meeting(_boxes(spark, d), plots(spark, d), SIZE)
 
 
-def _grid(spark):
-    axis = lambda n: spark.range(11).select(F.col("id").alias(n))
-    return axis("i").crossJoin(axis("j")).select(
-        (F.col("i") * 100 + F.col("j")).alias("cell"), (F.col("i") * 100.0).alias("minx"), (F.col("j") * 100.0).alias("miny"),
-        (F.col("i") * 100.0 + 100).alias("maxx"), (F.col("j") * 100.0 + 100).alias("maxy"),
-    )
+def _shared(spark, d):
+    pairs = _pairs(spark, d)
+    shared = poly.shared_area(pairs, ["object", "zone"], left="r_parts", right="parts")
+    return pairs.select("object", "zone", "v", op.area().alias("area")).join(shared, ["object", "zone"])
 
 
 @query("j01_intersects_join", f"{_JOIN} SELECT object, min(zone) AS zone, count(*) AS n_zones FROM pairs GROUP BY object")
@@ -32,17 +48,14 @@ def _(spark, d):
     return _pairs(spark, d).groupBy("object").agg(F.min("zone").alias("zone"), F.count("*").alias("n_zones"))
 
 
-@query("j02_overlap_semi_join", f"""
-    WITH {ZONES}, {OBJECTS} SELECT object FROM objects o WHERE EXISTS (SELECT 1 FROM zones z WHERE {_MEET} AND z.zone % 2 = 0)
-    UNION SELECT object FROM objects o WHERE EXISTS (SELECT 1 FROM zones z WHERE {_MEET} AND z.zone % 5 = 1)""")
+@query("j02_overlap_semi_join", f"{_JOIN} SELECT object FROM pairs WHERE zone % 2 = 0 UNION SELECT object FROM pairs WHERE zone % 5 = 1")
 def _(spark, d):
-    pairs = op.intersecting(objects(spark, d), zones(spark, d).where("zone % 2 = 0 or zone % 5 = 1"), SIZE)
-    return pairs.select("object").distinct()
+    return poly.meeting(_boxes(spark, d), plots(spark, d).where("zone % 2 = 0 or zone % 5 = 1"), SIZE).select("object").distinct()
 
 
-@query("j03_footprint_lookup", f"{_JOIN} SELECT zone, object, round(shared, 4) AS shared FROM pairs WHERE shared >= 0.01 * area")
+@query("j03_footprint_lookup", f"{_JOIN} SELECT zone, object, round(shared, 4) AS shared FROM pairs WHERE round(shared, 6) >= 0.01 * area")
 def _(spark, d):
-    return _pairs(spark, d).where(F.col("shared") >= 0.01 * op.area()).select("zone", "object", F.round("shared", 4).alias("shared"))
+    return _shared(spark, d).where(F.round("shared", 6) >= 0.01 * F.col("area")).select("zone", "object", F.round("shared", 4).alias("shared"))
 
 
 @query("j04_cover_map", f"{_JOIN} SELECT zone, array_to_string(list(object ORDER BY object), ',') AS objects FROM pairs GROUP BY zone")
@@ -50,35 +63,46 @@ def _(spark, d):
     return _pairs(spark, d).groupBy("zone").agg(F.array_join(F.sort_array(F.collect_set("object")).cast("array<string>"), ",").alias("objects"))
 
 
-@query("j05_containment_exclusion", f"""
-    WITH {ZONES}, {OBJECTS} SELECT object FROM objects o
-    WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE o.minx > z.minx AND o.miny > z.miny AND o.maxx < z.maxx AND o.maxy < z.maxy)""")
+@query("j05_containment_exclusion", f"{_JOIN} SELECT object FROM objects WHERE object NOT IN (SELECT object FROM pairs WHERE around AND NOT touches)")
 def _(spark, d):
-    o = objects(spark, d)
-    return o.join(op.inside(o, zones(spark, d), SIZE).select("object"), "object", "left_anti").select("object")
+    o = _boxes(spark, d)
+    inner = _pairs(spark, d).where(poly.lies_in("parts", "r_parts")).select("object")
+    return o.join(inner, "object", "left_anti").select("object")
 
 
-@query("j06_coverage_join", f"{_JOIN} SELECT DISTINCT object FROM pairs WHERE shared >= 2")
+@query("j06_coverage_join", f"{_JOIN} SELECT DISTINCT object FROM pairs WHERE round(shared, 6) >= 2")
 def _(spark, d):
-    return _pairs(spark, d).where("shared >= 2").select("object").distinct()
+    return _shared(spark, d).where(F.round("shared", 6) >= 2).select("object").distinct()
 
 
-@query("j07_covered_by_one", f"""
-    WITH {ZONES}, {OBJECTS} SELECT object, EXISTS (SELECT 1 FROM zones z WHERE o.minx >= z.minx AND o.miny >= z.miny AND o.maxx <= z.maxx AND o.maxy <= z.maxy) AS covered FROM objects o""")
+@query("j07_covered_by_one", f"{_JOIN} SELECT object, object IN (SELECT object FROM pairs WHERE round(shared, 6) >= area) AS covered FROM objects")
 def _(spark, d):
     o = objects(spark, d)
-    whole = _pairs(spark, d).where("minx >= r_minx and miny >= r_miny and maxx <= r_maxx and maxy <= r_maxy").select("object").distinct()
+    whole = _shared(spark, d).where(F.round("shared", 6) >= F.col("area")).select("object").distinct()
     return o.join(whole.withColumn("covered", F.lit(True)), "object", "left").select("object", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
+_CELLS = "objects AS (SELECT (x.i + 100) * 1000 + y.j + 100 AS object, x.i * 10.0::DOUBLE AS minx, y.j * 10.0::DOUBLE AS miny, x.i * 10.0::DOUBLE + 10 AS maxx, y.j * 10.0::DOUBLE + 10 AS maxy FROM (SELECT unnest(range(-5, 106)) AS i) x, (SELECT unnest(range(-5, 106)) AS j) y)"
+
+
+def _cells(spark):
+    """Grid cells of 10 by 10 around the plane: ``cell`` and bounds."""
+    cell = spark.range(111 * 111).select(F.expr("id div 111 - 5").alias("i"), (F.col("id") % 111 - 5).alias("j"))
+    x, y = F.col("i") * 10.0, F.col("j") * 10.0
+    return cell.select(((F.col("i") + 100) * 1000 + F.col("j") + 100).alias("cell"), x.alias("minx"), y.alias("miny"), (x + 10).alias("maxx"), (y + 10).alias("maxy"))
+
+
+def _cell_pairs(spark, d):
+    pairs = op.intersecting(_cells(spark), plots(spark, d), SIZE).drop("shared")
+    return poly.area_in_box(pairs, op.BOUNDS, "shared").withColumn("shared", F.round("shared", 6)).where("shared > 0")
+
+
 @query("j08_covered_or_largest_cell", f"""
-    WITH {ZONES}, {_GRID}, p AS (
-        SELECT z.zone, o.cell, {_SHARED} AS shared FROM zones z JOIN grid o ON {_MEET}),
-    r AS (SELECT *, shared >= 10000 AS covered, bool_or(shared >= 10000) OVER (PARTITION BY zone) AS anyc, row_number() OVER (PARTITION BY zone ORDER BY shared DESC, cell) AS n FROM p)
+    WITH {PLOTS}, {_CELLS}, p AS (SELECT z.zone, o.object AS cell, round({_AREA}, 6) AS shared FROM objects o JOIN plots z ON {_NEAR} JOIN e ON e.zone = z.zone GROUP BY o.object, z.zone),
+    r AS (SELECT *, shared >= 100 AS covered, bool_or(shared >= 100) OVER (PARTITION BY zone) AS anyc, row_number() OVER (PARTITION BY zone ORDER BY shared DESC, cell) AS n FROM p WHERE shared > 0)
     SELECT zone, cell, covered FROM r WHERE (anyc AND covered) OR (NOT anyc AND n = 1)""")
 def _(spark, d):
-    pairs = op.intersecting(_grid(spark), zones(spark, d), 100.0)
-    return op.best_cover(pairs, "zone", "cell", F.lit(10000.0))
+    return op.best_cover(_cell_pairs(spark, d), "zone", "cell", F.lit(100.0))
 
 
 @query("j15_lattice_neighbours", f"""
@@ -89,11 +113,17 @@ def _(spark, d):
     return n.groupBy("pixel").agg(F.count("*").alias("n8"), F.count_if(F.abs("di") + F.abs("dj") == 1).alias("n4"))
 
 
-@query("j21_pixel_in_zone", f"""
-    WITH {ZONES}, {OBJECTS} SELECT z.zone, count(*) AS n FROM zones z JOIN objects o ON o.minx >= z.minx AND o.minx <= z.maxx AND o.miny >= z.miny AND o.miny <= z.maxy GROUP BY z.zone""")
+_POINTS = f"""WITH {PLOTS}, {OBJECTS}, inside AS (SELECT z.zone, o.object, any_value(o.v) AS v FROM objects o JOIN plots z ON o.minx BETWEEN z.minx AND z.maxx AND o.miny BETWEEN z.miny AND z.maxy
+    JOIN e ON e.zone = z.zone GROUP BY z.zone, o.object HAVING {held('o.minx', 'o.miny')})"""
+
+
+def _points(spark, d):
+    return objects(spark, d).select("object", "v", F.col("minx").alias("x"), F.col("miny").alias("y"))
+
+
+@query("j21_pixel_in_zone", f"{_POINTS} SELECT zone, count(*) AS n FROM inside GROUP BY zone")
 def _(spark, d):
-    points = objects(spark, d).withColumns({"maxx": F.col("minx"), "maxy": F.col("miny")})
-    return op.intersecting(points, zones(spark, d), SIZE).groupBy("zone").agg(F.count("*").alias("n"))
+    return poly.points_in(_points(spark, d), plots(spark, d), SIZE).groupBy("zone").agg(F.count("*").alias("n"))
 
 
 @query("j22_nearest_sample", f"""
@@ -103,27 +133,30 @@ def _(spark, d):
     return points.join(lattice(spark, d), ["row", "col"]).where("z is not null").select("object", "z")
 
 
+_ALONG = "greatest(0, least(1, coalesce(((e.x1 - e.x0) * (o.minx - e.x0) + (e.y1 - e.y0) * (o.miny - e.y0)) / nullif(pow(e.x1 - e.x0, 2) + pow(e.y1 - e.y0, 2), 0), 0)))"
+_FAR = f"min(sqrt(pow(e.x0 + {_ALONG} * (e.x1 - e.x0) - o.minx, 2) + pow(e.y0 + {_ALONG} * (e.y1 - e.y0) - o.miny, 2)))"
+
+
 @query("j23_within_buffer", f"""
-    WITH {ZONES}, {OBJECTS} SELECT z.zone, o.object FROM zones z JOIN objects o
-    ON o.minx >= z.minx - 11 AND o.maxx <= z.maxx + 11 AND o.miny >= z.miny - 11 AND o.maxy <= z.maxy + 11""")
+    WITH {PLOTS}, {OBJECTS} SELECT z.zone, o.object, round(CASE WHEN {held('o.minx', 'o.miny')} THEN 0 ELSE {_FAR} END, 6) AS far
+    FROM objects o JOIN plots z ON o.minx BETWEEN z.minx - 11 AND z.maxx + 11 AND o.miny BETWEEN z.miny - 11 AND z.maxy + 11 JOIN e ON e.zone = z.zone
+    GROUP BY z.zone, o.object HAVING {held('o.minx', 'o.miny')} OR {_FAR} <= 11""")
 def _(spark, d):
-    wide = zones(spark, d).select("zone", *[(F.col(b) + (11 if b.startswith("max") else -11)).alias(b) for b in op.BOUNDS])
-    p = op.intersecting(objects(spark, d), wide, SIZE)
-    return p.where("minx >= r_minx and maxx <= r_maxx and miny >= r_miny and maxy <= r_maxy").select("zone", "object")
+    return poly.points_within(_points(spark, d), plots(spark, d), 11.0, SIZE).select("zone", "object", F.round("far", 6).alias("far"))
 
 
-@query("w07_overlap_percentage", f"{_JOIN} SELECT zone, object, round(100.0::DOUBLE * shared / area, 4) AS percent FROM pairs WHERE 100.0::DOUBLE * shared / area >= 30")
+@query("w07_overlap_percentage", f"{_JOIN} SELECT zone, object, round(100.0::DOUBLE * shared / area, 4) AS percent FROM pairs WHERE round(100.0::DOUBLE * shared / area, 4) >= 30")
 def _(spark, d):
-    p = _pairs(spark, d).withColumn("percent", 100.0 * F.col("shared") / op.area())
-    return p.where("percent >= 30").select("zone", "object", F.round("percent", 4).alias("percent"))
+    p = _shared(spark, d).withColumn("percent", F.round(100.0 * F.col("shared") / F.col("area"), 4))
+    return p.where("percent >= 30").select("zone", "object", "percent")
 
 
 @query("a04_volume_change", f"""
-    WITH {OBS}, h AS (SELECT row, z, CASE WHEN z IS NOT NULL AND z <= 60 THEN z END AS hit FROM obs)
-    SELECT row, round(coalesce(sum(abs(hit)), 0) * 4, 4) AS volume, count(z) AS n_valid, round(coalesce(100.0::DOUBLE * count(hit) / nullif(count(z), 0), 0), 4) AS in_range_percent,
-           coalesce(min(hit), 0) AS least, coalesce(max(hit), 0) AS largest FROM h GROUP BY row""")
+    {_POINTS}, h AS (SELECT zone, v, CASE WHEN v IS NOT NULL AND v <= 60 THEN v END AS hit FROM inside)
+    SELECT zone, round(coalesce(sum(abs(hit)), 0) * 4, 4) AS volume, count(v) AS n_valid, round(coalesce(100.0::DOUBLE * count(hit) / nullif(count(v), 0), 0), 4) AS in_range_percent,
+           coalesce(min(hit), 0) AS least, coalesce(max(hit), 0) AS largest FROM h GROUP BY zone""")
 def _(spark, d):
-    return op.volume_change(obs(spark, d), ["row"], "z", 2.0, hi=60.0)
+    return op.volume_change(poly.points_in(_points(spark, d), plots(spark, d), SIZE), ["zone"], "v", 2.0, hi=60.0)
 
 
 @query("a05_valid_percentage", f"WITH {OBS} SELECT d, round(100.0::DOUBLE * count(z) / count(*), 4) AS valid_percent FROM obs GROUP BY d")
@@ -158,20 +191,19 @@ def _(spark, d):
     return op.zonal_statistics(obs(spark, d), ["row", "col"], "z")
 
 
-@query("a09_zonal_statistics", f"""
-    WITH {ZONES}, {OBJECTS} SELECT z.zone, round(avg(o.v), 6) AS demd_mean, round(stddev_pop(o.v), 4) AS demd_std, count(o.v) AS demd_count, min(o.v) AS demd_min, max(o.v) AS demd_max
-    FROM zones z JOIN objects o ON o.minx >= z.minx AND o.minx <= z.maxx AND o.miny >= z.miny AND o.miny <= z.maxy WHERE o.v IS NOT NULL GROUP BY z.zone""")
+@query("a09_zonal_statistics", f"{_POINTS} SELECT zone, round(avg(v), 6) AS demd_mean, round(stddev_pop(v), 4) AS demd_std, count(v) AS demd_count, min(v) AS demd_min, max(v) AS demd_max FROM inside WHERE v IS NOT NULL GROUP BY zone")
 def _(spark, d):
-    points = objects(spark, d).withColumns({"maxx": F.col("minx"), "maxy": F.col("miny")})
-    return op.zonal_statistics(op.intersecting(points, zones(spark, d), SIZE), ["zone"], "v", "demd_")
+    return op.zonal_statistics(poly.points_in(_points(spark, d), plots(spark, d), SIZE), ["zone"], "v", "demd_")
+
 
+_BURNT = f"""WITH {PLOTS}, cx AS (SELECT zone, unnest(range(CAST(ceil(minx / 5 - 0.5) AS BIGINT), CAST(floor(maxx / 5 - 0.5) AS BIGINT) + 1)) AS cx, miny, maxy FROM plots),
+    cy AS (SELECT zone, cx, unnest(range(CAST(ceil(miny / 5 - 0.5) AS BIGINT), CAST(floor(maxy / 5 - 0.5) AS BIGINT) + 1)) AS cy FROM cx),
+    cells AS (SELECT c.zone, c.cx, c.cy FROM cy c JOIN e ON e.zone = c.zone GROUP BY c.zone, c.cx, c.cy HAVING {held('(c.cx + 0.5::DOUBLE) * 5', '(c.cy + 0.5::DOUBLE) * 5')})"""
 
-@query("a20_strip_density", f"""
-    WITH {ZONES}, c AS (SELECT zone, unnest(range(CAST(ceil(minx / 10 - 0.5) AS BIGINT), CAST(floor(maxx / 10 - 0.5) AS BIGINT) + 1)) AS cx, miny, maxy FROM zones),
-    e AS (SELECT zone, cx, unnest(range(CAST(ceil(miny / 10 - 0.5) AS BIGINT), CAST(floor(maxy / 10 - 0.5) AS BIGINT) + 1)) AS cy FROM c)
-    SELECT cx, cy, count(*) AS n FROM e GROUP BY cx, cy""")
+
+@query("a20_strip_density", f"{_BURNT} SELECT cx, cy, count(*) AS n FROM cells GROUP BY cx, cy")
 def _(spark, d):
-    return op.burn(zones(spark, d), 10.0).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    return poly.burnt(plots(spark, d), 5.0).groupBy("cx", "cy").agg(F.count("*").alias("n"))
 
 
 @query("a17_max_entropy_image", f"WITH {IMG}, {_ENTROPY} SELECT image // 10 AS grid, first(image ORDER BY entropy DESC, image) AS image, max(entropy) AS entropy FROM ent GROUP BY image // 10")
@@ -202,6 +234,21 @@ def _key_sql(level: int) -> str:
     return " + ".join(parts)
 
 
+@query("m15_hexagon_cover", f"""
+    WITH {PLOTS}, h AS (SELECT zone, minx, maxx, unnest(range(CAST(ceil(miny / 12.0) AS BIGINT), CAST(floor(maxy / 12.0) AS BIGINT) + 1)) AS r FROM plots),
+    g AS (SELECT zone, r, unnest(range(CAST(ceil(minx / {8 * 3**0.5!r}::DOUBLE - r / 2) AS BIGINT), CAST(floor(maxx / {8 * 3**0.5!r}::DOUBLE - r / 2) AS BIGINT) + 1)) AS q FROM h),
+    c AS (SELECT g.zone, g.q, g.r FROM g JOIN e ON e.zone = g.zone GROUP BY g.zone, g.q, g.r HAVING {held(f'((g.q + g.r / 2) * {8 * 3**0.5!r}::DOUBLE)', '(g.r * 12.0::DOUBLE)')}),
+    near AS (SELECT c.*, a.i AS pq, b.j AS pr, row_number() OVER (PARTITION BY c.zone, c.q, c.r ORDER BY round(
+        pow(c.q - (2 * a.i - b.j), 2) + (c.q - (2 * a.i - b.j)) * (c.r - (a.i + 3 * b.j)) + pow(c.r - (a.i + 3 * b.j), 2), 6)) AS n
+        FROM c, (SELECT unnest(range(-2, 3)) AS di, unnest(range(-2, 3)) AS dj) k, LATERAL (SELECT CAST(floor((3 * c.q + c.r) / 7.0) AS BIGINT) + dx AS i FROM (VALUES (0), (1)) t(dx)) a,
+        LATERAL (SELECT CAST(floor((2 * c.r - c.q) / 7.0) AS BIGINT) + dy AS j FROM (VALUES (0), (1)) t(dy)) b WHERE k.di = 0)
+    SELECT zone, q, r, pq, pr FROM near WHERE n = 1""")
+def _(spark, d):
+    cells = poly.hexagons_in(plots(spark, d), 8.0)
+    pq, pr = poly.hexagon_parent(F.col("q"), F.col("r"))
+    return cells.select("zone", "q", "r", pq.alias("pq"), pr.alias("pr"))
+
+
 @query("m15_cell_cover", f"WITH {OBJECTS} SELECT object, CAST({_key_sql(6)} AS BIGINT) AS cell, CAST(({_key_sql(6)}) >> 4 AS BIGINT) AS parent FROM objects")
 def _(spark, d):
     key = op.quad_key(F.col("minx"), F.col("miny"), 6, 1024.0)
@@ -232,12 +279,24 @@ def _(spark, d):
     return around.join(cells.select("row", "col"), ["row", "col"], "left_semi").join(low, ["row", "col"], "left_anti")
 
 
-@query("m17_rasterise", f"""
-    WITH {ZONES}, c AS (SELECT zone, unnest(range(CAST(ceil(minx / 10 - 0.5) AS BIGINT), CAST(floor(maxx / 10 - 0.5) AS BIGINT) + 1)) AS cx, miny, maxy FROM zones),
-    e AS (SELECT zone, cx, unnest(range(CAST(ceil(miny / 10 - 0.5) AS BIGINT), CAST(floor(maxy / 10 - 0.5) AS BIGINT) + 1)) AS cy FROM c)
-    SELECT cx, cy, max(zone) AS value FROM e GROUP BY cx, cy""")
+@query("m17_rasterise", f"{_BURNT} SELECT cx, cy, max(zone) AS value FROM cells GROUP BY cx, cy")
+def _(spark, d):
+    return poly.burnt(plots(spark, d), 5.0).groupBy("cx", "cy").agg(F.max("zone").alias("value"))
+
+
+@query("m16_buffer_ring", f"""
+    WITH {PLOTS}, cx AS (SELECT zone, unnest(range(CAST(ceil((minx - 12) / 5 - 0.5) AS BIGINT), CAST(floor((maxx + 12) / 5 - 0.5) AS BIGINT) + 1)) AS cx, miny, maxy FROM plots WHERE zone % 7 < 3),
+    o AS (SELECT zone, (cx + 0.5::DOUBLE) * 5 AS minx, (unnest(range(CAST(ceil((miny - 12) / 5 - 0.5) AS BIGINT), CAST(floor((maxy + 12) / 5 - 0.5) AS BIGINT) + 1)) + 0.5::DOUBLE) * 5 AS miny FROM cx),
+    f AS (SELECT o.zone, CASE WHEN {held('o.minx', 'o.miny')} THEN 0 ELSE {_FAR} END AS far FROM o JOIN e ON e.zone = o.zone GROUP BY o.zone, o.minx, o.miny)
+    SELECT zone, count(*) FILTER (WHERE far > 0) AS ring, count(*) FILTER (WHERE far = 0) AS inside FROM f WHERE far <= 12 GROUP BY zone""")
 def _(spark, d):
-    return op.burn(zones(spark, d), 10.0).groupBy("cx", "cy").agg(F.max("zone").alias("value"))
+    cells = poly.buffered_cells(plots(spark, d).where("zone % 7 < 3"), 12.0, 5.0)
+    return cells.groupBy("zone").agg(F.count_if(F.col("far") > 0).alias("ring"), F.count_if(F.col("far") == 0).alias("inside"))
+
+
+@query("m16_exploded_parts", f"WITH {PLOTS} SELECT zone, CAST(row_number() OVER (PARTITION BY zone ORDER BY ring) - 1 AS INTEGER) AS part, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM e WHERE zone % 4 <> 0 GROUP BY zone, ring")
+def _(spark, d):
+    return poly.exploded(plots(spark, d).where("zone % 4 <> 0")).select("zone", "part", poly.area("parts").alias("area"))
 
 
 _REGION = """reach AS (
@@ -258,22 +317,60 @@ def _(spark, d):
     return op.components_on_lattice(low, raster.FOUR).select("id", "region")
 
 
+#: Two plots meet if edges cross or touch, or the first point of a ring lies in the other.
+_O = lambda a, b, p: f"sign(({b}.x1 - {b}.x0) * ({a}.y{p} - {b}.y0) - ({b}.y1 - {b}.y0) * ({a}.x{p} - {b}.x0))"
+_ON = lambda a, b, p: f"({_O(a, b, p)} = 0 AND {a}.x{p} BETWEEN least({b}.x0, {b}.x1) AND greatest({b}.x0, {b}.x1) AND {a}.y{p} BETWEEN least({b}.y0, {b}.y1) AND greatest({b}.y0, {b}.y1))"
+_CROSS = f"(({_O('e', 'f', 0)} * {_O('e', 'f', 1)} < 0 AND {_O('f', 'e', 0)} * {_O('f', 'e', 1)} < 0) OR {_ON('e', 'f', 0)} OR {_ON('e', 'f', 1)} OR {_ON('f', 'e', 0)} OR {_ON('f', 'e', 1)})"
+
+
 @query("m19_merge_touching", f"""
-    WITH RECURSIVE {ZONES}, link AS (SELECT z.zone AS a, o.zone AS b FROM zones z JOIN zones o ON {_MEET}),
-    reach AS (SELECT zone, zone AS seen FROM zones UNION SELECT r.zone, l.b FROM reach r JOIN link l ON l.a = r.seen),
-    lab AS (SELECT zone, min(seen) AS merged FROM reach GROUP BY zone)
-    SELECT merged, count(*) AS parts, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM lab JOIN zones USING (zone) GROUP BY merged""")
+    WITH RECURSIVE {PLOTS}, near AS (SELECT z.zone AS a, o.zone AS b FROM plots z JOIN plots o ON {_NEAR} AND z.zone <> o.zone),
+    first AS (SELECT DISTINCT zone, ring, x, y FROM pv WHERE i = 0),
+    within AS (SELECT n.a, n.b FROM near n JOIN first s ON s.zone = n.a JOIN e ON e.zone = n.b GROUP BY n.a, n.b, s.ring, s.x, s.y HAVING {held('s.x', 's.y')}),
+    cross_ AS (SELECT DISTINCT n.a, n.b FROM near n JOIN e ON e.zone = n.a JOIN e f ON f.zone = n.b WHERE {_CROSS}),
+    link AS (SELECT a, b FROM within UNION SELECT b, a FROM within UNION SELECT a, b FROM cross_),
+    reach AS (SELECT zone, zone AS seen FROM plots UNION SELECT r.zone, l.b FROM reach r JOIN link l ON l.a = r.seen),
+    lab AS (SELECT zone, min(seen) AS merged FROM reach GROUP BY zone), own AS (SELECT zone, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM e GROUP BY zone)
+    SELECT merged, count(*) AS parts, sum(area) AS area, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM lab JOIN plots USING (zone) JOIN own USING (zone) GROUP BY merged""")
 def _(spark, d):
     from ..operators.graph import connected_components
 
-    z = zones(spark, d)
-    pairs = op.intersecting(z, zones(spark, d).withColumnRenamed("zone", "other"), SIZE)
+    z = plots(spark, d)
+    pairs = poly.meeting(z, plots(spark, d).withColumnRenamed("zone", "other"), SIZE)
     merged = connected_components(pairs.select(F.col("zone").alias("a"), F.col("other").alias("b")))
-    return z.join(merged, z.zone == merged.vertex).groupBy(F.col("component").alias("merged")).agg(
-        F.count("*").alias("parts"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")
+    return z.withColumn("own", poly.area("parts")).join(merged, z.zone == merged.vertex).groupBy(F.col("component").alias("merged")).agg(
+        F.count("*").alias("parts"), F.sum("own").alias("area"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")
     )
 
 
-@query("m26_envelope_buffer", f"WITH {OBJECTS} SELECT min(minx) - 30 AS minx, min(miny) - 30 AS miny, max(maxx) + 30 AS maxx, max(maxy) + 30 AS maxy FROM objects")
+_SHAPES = """corner AS (SELECT region, r, c, bit_or(b) AS around FROM (SELECT l.region, low.row + i AS r, low.col + j AS c, 1 << (2 * i + j) AS b FROM lab l JOIN low USING (id), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j)) GROUP BY ALL),
+    v AS (SELECT region, count(*) AS v, CAST(sum(CASE WHEN bit_count(around) IN (1, 3) THEN 1 WHEN around IN (6, 9) THEN 2 ELSE 0 END) AS BIGINT) AS corners FROM corner GROUP BY region),
+    near AS (SELECT l.region, count(*) AS n FROM lab l JOIN low a USING (id) JOIN low b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 JOIN lab m ON m.id = b.id AND m.region = l.region GROUP BY l.region),
+    s AS (SELECT l.region, count(*) AS cells, 4 * count(*) - coalesce(any_value(n.n), 0) AS perimeter, 4 * count(*) - coalesce(any_value(n.n), 0) // 2 AS sides FROM lab l LEFT JOIN near n USING (region) GROUP BY l.region),
+    shapes AS (SELECT region, cells, CAST(perimeter AS BIGINT) AS perimeter, corners, CAST(1 - (v - sides + cells) AS BIGINT) AS holes FROM s JOIN v USING (region))"""
+_LAB = """reach AS (
+        SELECT id, id AS seen FROM low UNION
+        SELECT r.id, b.id FROM reach r JOIN low a ON a.id = r.seen JOIN low b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id),
+    lab AS (SELECT id, min(seen) AS region FROM reach GROUP BY id)"""
+
+
+@query("m18_polygonise", f"""
+    WITH RECURSIVE {LATTICE}, low AS (SELECT pixel AS id, row, col FROM lattice WHERE z < 120), {_LAB}, {_SHAPES}
+    SELECT region, cells, perimeter, corners, holes, holes + 1 AS rings, CAST(cells AS DOUBLE) AS area FROM shapes""")
+def _(spark, d):
+    low = lattice(spark, d).where("z < 120").select(F.col("pixel").alias("id"), "row", "col")
+    regions = cut(op.components_on_lattice(low, raster.EIGHT))
+    shapes = poly.region_shapes(regions).select("region", "cells", "perimeter", "corners", "holes")
+    # the rings again as points in order: their number, their corners and the area that they enclose
+    points = poly.border_rings(regions)
+    ring = F.expr("transform(array_sort(collect_list(struct(place, x, y))), p -> struct(p.x, p.y))")
+    rings = points.groupBy("region", "ring").agg(F.array(F.concat(ring, F.slice(ring, 1, 1))).alias("parts"), F.count("*").alias("n"))
+    drawn = rings.groupBy("region").agg(F.count("*").alias("rings"), F.sum("n").alias("drawn"), F.abs(F.sum(poly.signed_area("parts"))).alias("area"))
+    return shapes.join(drawn, "region").where("drawn = corners").drop("drawn")
+
+
+@query("m26_envelope_buffer", f"""
+    WITH {PLOTS} SELECT min(minx) - 30 AS minx, min(miny) - 30 AS miny, max(maxx) + 30 AS maxx, max(maxy) + 30 AS maxy FROM plots WHERE zone % 3 = 0""")
 def _(spark, d):
-    return objects(spark, d).agg((F.min("minx") - 30).alias("minx"), (F.min("miny") - 30).alias("miny"), (F.max("maxx") + 30).alias("maxx"), (F.max("maxy") + 30).alias("maxy"))
+    p = plots(spark, d).where("zone % 3 = 0")
+    return p.agg((F.min("minx") - 30).alias("minx"), (F.min("miny") - 30).alias("miny"), (F.max("maxx") + 30).alias("maxx"), (F.max("maxy") + 30).alias("maxy"))
