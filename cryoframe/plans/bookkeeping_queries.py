@@ -31,12 +31,6 @@ def _(spark, d):
     return op.remaining(t(spark, d, "orders").select(F.col("o_orderkey").alias("id")), _lists(spark, d), "id").select("id")
 
 
-@query("j17_relational_division", "SELECT l_suppkey AS dem FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_custkey % 10 < 9) c ON c.o_orderkey = l_orderkey WHERE l_linenumber = 7 GROUP BY l_suppkey HAVING bool_and(c.o_orderkey IS NOT NULL)")
-def _(spark, d):
-    cover = t(spark, d, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("dem"), F.col("l_orderkey").alias("id"))
-    return op.unneeded(cover, "dem", "id", _orders(spark, d, "o_orderstatus <> 'F' or o_custkey % 10 < 9"))
-
-
 @query("j18_existence_lookup", "SELECT o_orderkey AS id, coalesce(p.n, 0) AS n_products, coalesce(p.n, 0) > 0 OR o_orderkey % 11 = 0 AS done FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber > 4 GROUP BY 1) p ON p.l_orderkey = o_orderkey")
 def _(spark, d):
     products = t(spark, d, "lineitem").where("l_linenumber > 4").select(F.col("l_orderkey").alias("id"))
@@ -61,11 +55,6 @@ def _(spark, d):
     return op.append_absent(_orders(spark, d, "o_orderstatus = 'F'"), t(spark, d, "lineitem").where("l_linenumber = 5").select(F.col("l_orderkey").alias("id")), "id")
 
 
-@query("s27_many_file_view", "SELECT count(*) AS n FROM (SELECT s_suppkey FROM supplier UNION ALL SELECT s_suppkey FROM supplier)")
-def _(spark, d):
-    return spark.read.parquet(f"{d}/supplier.parquet", f"{d}/supplier.parquet").agg(F.count("*").alias("n"))
-
-
 @query("k04_append_attributes", "SELECT c_custkey, c_acctbal, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
 def _(spark, d):
     n = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
@@ -113,15 +102,6 @@ def _(spark, d):
     return nested.select("properties.*")
 
 
-@query("k14_clip_per_grid", f"WITH {ZONES} SELECT zone, c_custkey AS object FROM zones JOIN customer ON CAST(c_custkey * 53 % 997 AS DOUBLE) BETWEEN minx AND maxx AND CAST(c_custkey * 29 % 991 AS DOUBLE) BETWEEN miny AND maxy WHERE zone % 4 = 0")
-def _(spark, d):
-    from ..operators.spatial import intersecting
-
-    points = t(spark, d, "customer").select(F.col("c_custkey").alias("object"), (F.col("c_custkey") * 53 % 997).cast("double").alias("minx"), (F.col("c_custkey") * 29 % 991).cast("double").alias("miny"))
-    points = points.withColumns({"maxx": F.col("minx"), "maxy": F.col("miny")})
-    return intersecting(points, zones(spark, d).where("zone % 4 = 0"), 50.0).select("zone", "object")
-
-
 @query("k15_readme_text", f"""WITH {NAMES} SELECT split_part(path, '/', 2) AS grid, 'Product ' || split_part(path, '/', 2) || chr(10) || 'Files: ' || count(*) || chr(10) || 'First: ' || min(path) AS readme FROM names GROUP BY 1""")
 def _(spark, d):
     grid = F.split("path", "/")[1]

@@ -15,25 +15,6 @@ def _base():
     return F.regexp_extract("path", r"[^/]+$", 0)
 
 
-@query("s05_footprint_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
-def _(spark, d):
-    return t(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
-@query("s06_xml_metadata", """
-    SELECT o_orderkey AS scene, CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 AS DOUBLE) AS cloud, CAST(o_orderdate AS DATE) AS acquired FROM orders""")
-def _(spark, d):
-    xml = F.concat(
-        F.lit("<m><cloudCoverPercentage>"), (F.floor("o_totalprice") % 101).cast("string"), F.lit("</cloudCoverPercentage><acquisitionDateTime>"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</acquisitionDateTime><cloudCoverPercentage>200</cloudCoverPercentage></m>"),
-    )
-    m = t(spark, d, "orders").select("o_orderkey", xml.alias("xml"))
-    return m.select(
-        F.col("o_orderkey").alias("scene"), F.xpath_string("xml", F.lit("/m/cloudCoverPercentage[1]")).cast("double").alias("cloud"),
-        F.to_date(F.substring(F.xpath_string("xml", F.lit("/m/acquisitionDateTime[1]")), 1, 10)).alias("acquired"),
-    )
-
-
 @query("s07_scene_rows", f"""
     WITH {CATALOGUE}, f AS (SELECT l_orderkey AS scene, count(*) AS asset_count, string_agg(CAST(l_partkey AS VARCHAR) || '.tif', ',' ORDER BY CAST(l_partkey AS VARCHAR) || '.tif') AS asset_files FROM lineitem GROUP BY l_orderkey)
     SELECT c.scene, coalesce(CASE WHEN c.cloud < 90 THEN c.cloud END, 101) AS cloud, coalesce(CASE WHEN c.status <> 'P' THEN CAST(c.acquired AS DATE) END, DATE '1970-01-01') AS acquired,
@@ -49,27 +30,11 @@ def _(spark, d):
     )
 
 
-@query("s08_box_lines", """SELECT c_custkey AS id, CAST(c_custkey % 360 - 180 AS DOUBLE) AS "left", CAST(c_custkey % 180 - 90 AS DOUBLE) AS bottom FROM customer WHERE c_custkey % 3 = 0""")
-def _(spark, d):
-    k = F.col("c_custkey")
-    line = F.concat_ws(",", F.when(k % 3 == 0, F.concat(F.lit("PDO"), k.cast("string"))).otherwise(F.concat(F.lit("X"), k.cast("string"))), (k % 360 - 180).cast("string"), (k % 180 - 90).cast("string"), F.lit("0"))
-    parts = t(spark, d, "customer").select(F.split(line, ",").alias("p"))
-    kept = parts.where((F.size("p") >= 4) & F.contains(F.col("p")[0], F.lit("PDO")))
-    return kept.select(F.substring(F.col("p")[0], 4, 20).cast("long").alias("id"), F.col("p")[1].cast("double").alias("left"), F.col("p")[2].cast("double").alias("bottom"))
-
-
 @query("s11_sidecar_maps", "SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def _(spark, d):
     return t(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,long>")).alias("key", "value")).where("value is not null")
 
 
-@query("s13_feature_counts", "SELECT l_suppkey AS file, count(*) AS n FROM lineitem GROUP BY l_suppkey")
-def _(spark, d):
-    lines = t(spark, d, "lineitem").groupBy("l_suppkey").count().select(F.format_string("/data/%d.gpkg, Feature Count: %d", "l_suppkey", "count").alias("line"))
-    parts = F.split("line", ", Feature Count: ")
-    return lines.select(F.regexp_extract(parts[0], r"([0-9]+)\.gpkg$", 1).cast("long").alias("file"), parts[1].cast("long").alias("n"))
-
-
 @query("s14_colour_table", "SELECT * FROM (VALUES (0.0::DOUBLE, 0, 0, 128, 255, 'low'), (100.0::DOUBLE, 0, 200, 255, 255, 'mid'), (500.0::DOUBLE, 255, 0, 0, 255, 'high')) v(value, r, g, b, alpha, label)")
 def _(spark, d):
     from ..sources.text import parse_colour_table
@@ -218,25 +183,6 @@ def _(spark, d):
     return t(spark, d, "customer").join(per, F.col("c_custkey") == per.pixel, "left").where("per > 80 or per is null").select(F.col("c_custkey").alias("dem"))
 
 
-@query("f05_two_threshold_filter", f"WITH {IMG}, s AS (SELECT image, avg(v) AS m, stddev_pop(v) AS e FROM img GROUP BY image) SELECT image FROM s WHERE m < 45 OR e < 40")
-def _(spark, d):
-    return img(spark, d).groupBy("image").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("e")).where("m < 45 or e < 40").select("image")
-
-
-@query("f06_single_threshold", f"WITH {IMG}, s AS (SELECT image, avg(v) AS m FROM img GROUP BY image) SELECT image FROM s WHERE m < 45")
-def _(spark, d):
-    return img(spark, d).groupBy("image").agg(F.avg("v").alias("m")).where("m < 45").select("image")
-
-
-@query("f07_area_filter_parts", f"""
-    WITH {OBJECTS}, a AS (SELECT object, (maxx - minx) * (maxy - miny) AS area, object % 3 + 1 AS parts FROM objects)
-    SELECT object, i AS part, area / parts AS area FROM (SELECT *, unnest(range(0, parts)) AS i FROM a WHERE area <= 18 AND area >= 2) WHERE area / parts > 2""")
-def _(spark, d):
-    a = objects(spark, d).select("object", ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).alias("area"), (F.col("object") % 3 + 1).alias("parts"))
-    parts = a.where("area <= 18 and area >= 2").select("object", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), (F.col("area") / F.col("parts")).alias("area"))
-    return parts.where("area > 2")
-
-
 @query("f08_attribute_range", "SELECT p_partkey, p_size < 30 AS below, p_size > 10 AS above, p_size >= 10 AND p_size <= 30 AS inside FROM part WHERE p_retailprice >= 950")
 def _(spark, d):
     s = F.col("p_size")
@@ -245,36 +191,6 @@ def _(spark, d):
     )
 
 
-@query("f09_bounding_side", f"WITH {OBJECTS} SELECT object FROM objects WHERE greatest(maxx - minx, maxy - miny) <= 3")
-def _(spark, d):
-    return objects(spark, d).where(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) <= 3).select("object")
-
-
-@query("f10_narrow_or_holes", f"""
-    WITH {OBJECTS}, s AS (SELECT object, (maxx - minx) * (maxy - miny) AS a, 2 * (maxx - minx + maxy - miny) AS p, object % 30 AS holes FROM objects)
-    SELECT object, round(4 * pi() * a / (p * p), 4) AS circularity FROM s WHERE NOT (a > 10 AND 4 * pi() * a / (p * p) < 0.7) AND holes <= 20""")
-def _(spark, d):
-    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
-    s = objects(spark, d).select("object", (w * h).alias("a"), (2 * (w + h)).alias("p"), (F.col("object") % 30).alias("holes"))
-    s = s.withColumn("c", 4 * F.pi() * F.col("a") / (F.col("p") * F.col("p")))
-    return s.where("not (a > 10 and c < 0.7) and holes <= 20").select("object", F.round("c", 4).alias("circularity"))
-
-
-@query("f11_length_width_filter", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 40 AND p_retailprice / 100 <= 12")
-def _(spark, d):
-    return t(spark, d, "part").where("p_size between 5 and 40 and p_retailprice / 100 <= 12").select("p_partkey")
-
-
-@query("f12_hole_filter", "SELECT p_partkey FROM part WHERE p_size <= 25")
-def _(spark, d):
-    return t(spark, d, "part").where("p_size <= 25").select("p_partkey")
-
-
-@query("f13_min_area", "SELECT p_partkey FROM part WHERE p_retailprice >= 90 * 11")
-def _(spark, d):
-    return t(spark, d, "part").where(F.col("p_retailprice") >= 90 * 11).select("p_partkey")
-
-
 @query("f14_relative_difference", f"""
     WITH {OBS}, m AS (SELECT row, col, avg(z) AS m FROM obs GROUP BY row, col), s AS (SELECT row, avg(z) AS s FROM obs GROUP BY row)
     SELECT CAST(row_number() OVER (ORDER BY row, col) AS INTEGER) AS poly_id, row, col, round(m - s, 6) AS rel FROM m JOIN s USING (row) WHERE m - s <= 0 AND col >= 2""")
@@ -285,11 +201,6 @@ def _(spark, d):
     return numbered(kept, ["row", "col"], "poly_id").select(F.col("poly_id").cast("int").alias("poly_id"), "row", "col", F.round("rel", 6).alias("rel"))
 
 
-@query("f15_mean_slope", f"WITH {OBS} SELECT row, round(avg(z), 6) AS slope FROM obs GROUP BY row HAVING avg(z) <= 100")
-def _(spark, d):
-    return obs(spark, d).groupBy("row").agg(F.avg("z").alias("slope")).where("slope <= 100").withColumn("slope", F.round("slope", 6))
-
-
 @query("f16_candidate_predicate", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber > 2 AND (l_quantity > 25 OR l_discount > 0.05) AND l_tax < 0.06 AND l_extendedprice > 1000")
 def _(spark, d):
     return t(spark, d, "lineitem").where("l_linenumber > 2 and (l_quantity > 25 or l_discount > 0.05D) and l_tax < 0.06D and l_extendedprice > 1000").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -361,11 +272,6 @@ def _(spark, d):
     return names(spark, d).select("id", "line", "path", (F.regexp_extract("path", r"grid([0-9]+)", 1) == F.regexp_extract("path", r"SETSM_([0-9]+)", 1)).alias("agrees"))
 
 
-@query("f35_medial_width", "SELECT p_partkey, p_size - 20.0::DOUBLE AS width FROM part WHERE p_size - 20.0 <= 15")
-def _(spark, d):
-    return t(spark, d, "part").withColumn("width", F.col("p_size") - 2 * 10.0).where("width <= 15").select("p_partkey", "width")
-
-
 @query("f36_suffix_rename", f"WITH {NAMES} SELECT DISTINCT CASE WHEN p LIKE '%_dem.tif' THEN p ELSE regexp_replace(p, '\\.tif$', '_dem.tif') END AS path FROM (SELECT CASE WHEN line % 2 = 0 THEN path ELSE replace(path, '_dem.tif', '.tif') END AS p FROM names)")
 def _(spark, d):
     p = names(spark, d).select(F.when(F.col("line") % 2 == 0, F.col("path")).otherwise(F.replace("path", F.lit("_dem.tif"), F.lit(".tif"))).alias("p"))

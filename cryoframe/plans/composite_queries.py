@@ -93,16 +93,6 @@ def _(spark, d):
     return t(spark, d, "customer").select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query("e02_new_files_stream", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
-def _(spark, d):
-    # The folder of the table is the watched folder; each file that has come is aggregated once.
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", "*.parquet").parquet(_watched(d, "events"))
-    counts = stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    out = jobs.newest_of(jobs.run_to_table(counts, "update", _state(spark)), ["event_type"])
-    return out.withColumn("total", F.round("total", 4))
-
-
 @query("e04_status_stream", "SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def _(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -123,11 +113,6 @@ _YEARLY = f"""{OBS}, masked AS (SELECT o.pixel, o.row, o.col, o.d, CASE WHEN o.e
     kept AS (SELECT d FROM masked GROUP BY d HAVING 100.0::DOUBLE * count(z) / count(*) >= 10)"""
 
 
-@query("p01_grid_mosaic", f"WITH {_YEARLY} SELECT pixel, arg_max(z, d) FILTER (WHERE z IS NOT NULL) AS z, count(z) AS n FROM masked WHERE d IN (SELECT d FROM kept) GROUP BY pixel")
-def _(spark, d):
-    return _masked(spark, d).groupBy("pixel").agg(F.max_by("z", F.when(F.col("z").isNotNull(), F.col("d"))).alias("z"), F.count("z").alias("n"))
-
-
 def _masked(spark, d):
     """Bitmask, outlier mask against the pixel's median, then dates that keep a tenth of their pixels."""
     o = obs(spark, d)
@@ -157,26 +142,6 @@ def _(spark, d):
     return a.select("pixel", temporal.centimetres(F.round("dz", 6)).alias("cm"), "gap_days")
 
 
-@query("p04_subsidence_regions", f"""
-    WITH RECURSIVE {LATTICE}, low AS (SELECT pixel AS id, row, col, z FROM lattice WHERE z < 120),
-    reach AS (SELECT id, id AS seen FROM low UNION SELECT r.id, b.id FROM reach r JOIN low a ON a.id = r.seen JOIN low b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
-    lab AS (SELECT id, min(seen) AS region FROM reach GROUP BY id),
-    reg AS (SELECT region, count(*) AS cells, round(avg(z), 6) AS mean, round(stddev_pop(z), 4) AS std FROM lab JOIN low USING (id) GROUP BY region),
-    ring AS (SELECT DISTINCT lab.region, n.pixel, n.z FROM lab JOIN low USING (id) JOIN lattice n ON abs(n.row - low.row) <= 1 AND abs(n.col - low.col) <= 1 WHERE n.pixel NOT IN (SELECT id FROM low)),
-    around AS (SELECT region, round(avg(z), 6) AS surround FROM ring GROUP BY region)
-    SELECT region, cells, mean, std, surround, round(mean - surround, 6) AS relative FROM reg LEFT JOIN around USING (region) WHERE cells >= 3""")
-def _(spark, d):
-    cells = lattice(spark, d)
-    low = cells.where("z < 120").select(F.col("pixel").alias("id"), "row", "col", "z")
-    labelled = spatial.components_on_lattice(low, raster.FOUR)
-    reg = labelled.groupBy("region").agg(F.count("*").alias("cells"), F.round(F.avg("z"), 6).alias("mean"), F.round(F.stddev_pop("z"), 4).alias("std")).where("cells >= 3")
-    moved = labelled.select("region", "row", "col", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in raster.EIGHT])).alias("o"))
-    spots = moved.select("region", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col")).distinct()
-    ring = spots.join(cells, ["row", "col"]).join(low.select("row", "col"), ["row", "col"], "left_anti")
-    around = ring.groupBy("region").agg(F.round(F.avg("z"), 6).alias("surround"))
-    return reg.join(around, "region", "left").withColumn("relative", F.round(F.col("mean") - F.col("surround"), 6))
-
-
 @query("p05_headwall_lines")
 def _(spark, d):
     steep = raster.terrain(lattice(spark, d).withColumn("z", F.col("z") / 40), "z").where("slope > 20 and slope <= 88")
@@ -185,19 +150,6 @@ def _(spark, d):
     return found.where("cells >= 2")
 
 
-@query("p07_hillshade_with_lines", f"""
-    WITH {LATTICE}, burnt AS (SELECT DISTINCT l_suppkey // 10 AS row, l_suppkey % 10 AS col, max(year(l_shipdate)) OVER (PARTITION BY l_suppkey) AS y FROM lineitem),
-    w AS (SELECT c.row, c.col, {', '.join(f"max(e.z) FILTER (WHERE e.row = c.row + {i} AND e.col = c.col + {j}) AS w{3 * (i + 1) + j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1))}
-          FROM lattice c JOIN lattice e ON abs(e.row - c.row) <= 1 AND abs(e.col - c.col) <= 1 WHERE e.z IS NOT NULL GROUP BY c.row, c.col HAVING count(*) = 9)
-    SELECT row, col, CAST(y AS INTEGER) AS line_year FROM w LEFT JOIN burnt USING (row, col)""")
-def _(spark, d):
-    shade = raster.terrain(lattice(spark, d), "z").select("row", "col", "hillshade")
-    burnt = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.max(F.year("l_shipdate")).alias("line_year")).select(
-        F.expr("cast(l_suppkey div 10 as int)").alias("row"), (F.col("l_suppkey") % 10).cast("int").alias("col"), "line_year"
-    )
-    return shade.join(burnt, ["row", "col"], "left").select("row", "col", "line_year")
-
-
 @query("p08_daily_mosaic", f"WITH {CATALOGUE} SELECT area % 50 AS grid, CAST(acquired AS DATE) AS d, first(scene ORDER BY cloud, scene) AS top, count(*) AS n FROM catalogue WHERE cloud <= 60 AND asset <= 2 GROUP BY ALL")
 def _(spark, d):
     c = catalogue(spark, d).where("cloud <= 60 and asset <= 2")
@@ -225,16 +177,6 @@ def _(spark, d):
     return ok.groupBy(F.expr("image div 10").alias("grid")).agg(F.min_by("image", F.struct(-F.col("entropy"), "image")).alias("image"))
 
 
-@query("p12_region_orchestration", """
-    WITH cover AS (SELECT l_suppkey AS dem, l_orderkey AS grid FROM lineitem WHERE l_linenumber = 7), done AS (SELECT o_orderkey AS grid FROM orders WHERE o_orderstatus <> 'F' OR o_custkey % 10 < 9)
-    SELECT dem, count(DISTINCT grid) AS grids, count(DISTINCT grid) FILTER (WHERE grid NOT IN (SELECT grid FROM done)) AS open, bool_and(grid IN (SELECT grid FROM done)) AS unneeded FROM cover GROUP BY dem""")
-def _(spark, d):
-    cover = t(spark, d, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("dem"), F.col("l_orderkey").alias("grid")).distinct()
-    done = t(spark, d, "orders").where("o_orderstatus <> 'F' or o_custkey % 10 < 9").select(F.col("o_orderkey").alias("grid"), F.lit(True).alias("done"))
-    flagged = cover.join(done, "grid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    return flagged.groupBy("dem").agg(F.count("*").alias("grids"), F.count_if(~F.col("done")).alias("open"), F.bool_and("done").alias("unneeded"))
-
-
 @query("p13_acquisition_plan", f"""
     WITH RECURSIVE {CATALOGUE}, chosen AS ({_SCENES} WHERE cloud <= 50 AND scene NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 6)), {_GREEDY}
     SELECT f.area, f.scene, CAST(f.gain AS INTEGER) AS gain, CAST(len(f.seen) AS INTEGER) AS covered, c.cloud, c.asset FROM fold f JOIN catalogue c USING (scene) WHERE f.gain > 0""")
@@ -331,10 +273,3 @@ def _(spark, d):
     path = _output(spark)
     write_by_date(obs(spark, d).withColumn("acq_date", F.col("d")), path)
     return spark.read.parquet(path).groupBy("acq_date").agg(F.count("*").alias("n"))
-
-
-@query("e08_back_pressure", "SELECT count(*) AS n FROM orders")
-def _(spark, d):
-    schema = spark.read.parquet(f"{d}/orders.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(_watched(d, "orders"))
-    return jobs.newest_of(jobs.run_to_table(stream.groupBy().agg(F.count("*").alias("n")), "update", _state(spark)), [])

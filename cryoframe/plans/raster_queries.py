@@ -14,11 +14,6 @@ def _flag(flag: str) -> tuple[str, str]:
     return f"CASE WHEN flag = '{flag}' THEN 1 ELSE 0 END", flag
 
 
-@query("s01_pixel_window_scan", "SELECT event_id, user_id AS pixel, nullif(value, 0.0::DOUBLE) AS v FROM events WHERE user_id BETWEEN 20 AND 59")
-def _(spark, d):
-    return t(spark, d, "events").where(F.col("user_id").between(20, 59)).select("event_id", F.col("user_id").alias("pixel"), F.nullif("value", F.lit(0.0)).alias("v"))
-
-
 @query("s02_bands_flattened", f"WITH {IMG} SELECT band, count(v) AS n, round(sum(v), 4) AS total FROM img WHERE v IS NOT NULL GROUP BY band")
 def _(spark, d):
     return img(spark, d).where("v is not null").groupBy("band").agg(F.count("v").alias("n"), F.round(F.sum("v"), 4).alias("total"))
@@ -72,12 +67,6 @@ def _(spark, d):
     return t(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") >= -30, F.col("s_acctbal")).alias("v"))
 
 
-@query("f26_steep_slope", "SELECT p_partkey, CASE WHEN p_size * 2.0 > 40 AND p_size * 2.0 <= 88 THEN 255 ELSE 0 END AS steep FROM part")
-def _(spark, d):
-    slope = F.col("p_size") * 2.0
-    return t(spark, d, "part").select("p_partkey", F.when((slope > 40) & (slope <= 88), 255).otherwise(0).alias("steep"))
-
-
 @query("f27_subsidence_mask", f"""
     WITH {LATTICE}, lab AS (SELECT row, col, CASE WHEN z < 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM lattice),
     near AS (

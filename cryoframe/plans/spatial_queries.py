@@ -191,9 +191,11 @@ def _(spark, d):
     return op.zonal_statistics(obs(spark, d), ["row", "col"], "z")
 
 
-@query("a09_zonal_statistics", f"{_POINTS} SELECT zone, round(avg(v), 6) AS demd_mean, round(stddev_pop(v), 4) AS demd_std, count(v) AS demd_count, min(v) AS demd_min, max(v) AS demd_max FROM inside WHERE v IS NOT NULL GROUP BY zone")
+@query("a09_zonal_statistics", f"{_POINTS}, w AS (SELECT zone, round(v * 100) AS v FROM inside) SELECT zone, round(avg(v), 6) AS demd_mean, round(stddev_pop(v), 4) AS demd_std, count(v) AS demd_count, min(v) AS demd_min, max(v) AS demd_max FROM w WHERE v IS NOT NULL GROUP BY zone")
 def _(spark, d):
-    return op.zonal_statistics(poly.points_in(_points(spark, d), plots(spark, d), SIZE), ["zone"], "v", "demd_")
+    # in whole hundredths, whose sums do not depend on their order
+    points = _points(spark, d).withColumn("v", F.round(F.col("v") * 100))
+    return op.zonal_statistics(poly.points_in(points, plots(spark, d), SIZE), ["zone"], "v", "demd_")
 
 
 _BURNT = f"""WITH {PLOTS}, cx AS (SELECT zone, unnest(range(CAST(ceil(minx / 5 - 0.5) AS BIGINT), CAST(floor(maxx / 5 - 0.5) AS BIGINT) + 1)) AS cx, miny, maxy FROM plots),
