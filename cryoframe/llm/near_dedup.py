@@ -8,11 +8,14 @@ all 49 tables with probability 2.6e-4 and one of 0.9 with 4e-6; nothing after th
 
 Texts with equal shingle sets are one class, compared once, whatever their number.  In a bucket of a
 table every class whose minhashes agree well enough is first compared with the bucket's first one, on full
-sets, which gathers crowds of copies.  All classes of buckets that then still hold several components go on
-by exact prefixes: of the shingles of a class, the rarest first, so many are taken that two classes of the
-asked similarity must share one of them.  Similar texts that are not linked differ in their rare shingles
-and do not meet, so a bucket full of them stays cheap.  Classes that meet at a shingle and lie in different
-components are compared on full sets.  No group is gathered in one task.
+sets, which gathers crowds of copies; what fails there is not lost.  All classes of buckets that then still
+hold several components are compared pair by pair there, each pair in the first table that it shares only.
+Buckets of more than ``SPLIT`` classes are salted over as many tasks as they need.  One-bit minhashes, which
+lose a link of just the asked similarity once in a million pairs, keep those that are far apart from being
+read; the others are compared on full sets.  No group is gathered in one task.
+
+An exact run compares all classes by exact prefixes instead: of the shingles of a class, the rarest first, so
+many are taken that two classes of the asked similarity must share one of them.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,15 @@ from ..operators.graph import connected_components
 from .shared import cut, documents
 from .wordhash import batches_of_text, shingle_hashes, text_bytes, word_hashes, word_spans
 
-#: Minhashes in a group; cells of the counts that order shingles by rarity, as a power of two.
-DEPTH, CELLS = 2, 20
-#: The rate at which a pair of exactly the asked similarity may miss all tables.
-MISS = 3e-4
+#: Minhashes in a group; one-bit minhashes; cells of the counts that order shingles by rarity, as a power of two.
+DEPTH, BITS, CELLS = 2, 1024, 20
+#: The rates at which a pair of exactly the asked similarity may miss all tables, and be held far apart by its bits.
+MISS, BITS_MISS = 3e-4, 1e-6
+#: Classes of a bucket that meet all others of it in one task.
+SPLIT = 512
+_rng = np.random.default_rng(20240608)
+_BIT_ADD = _rng.integers(0, 1 << 32, BITS, dtype=np.uint32)
+_BIT_MULTIPLY = _rng.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def groups_for(numerator: int, denominator: int, miss: float = MISS) -> int:
@@ -47,6 +56,17 @@ def groups_for(numerator: int, denominator: int, miss: float = MISS) -> int:
     return groups
 
 
+@lru_cache
+def bits_for(numerator: int, denominator: int, miss: float = BITS_MISS) -> int:
+    """The number of differing bits that a pair of this similarity exceeds with a probability of at most ``miss``; 120 at 0.85."""
+    share, above = (1 - numerator / denominator) / 2, 0.0
+    for k in range(BITS, -1, -1):
+        above += comb(BITS, k) * share**k * (1 - share) ** (BITS - k)
+        if above > miss:
+            return k
+    return 0
+
+
 @lru_cache
 def _minhashes(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240607)
@@ -105,6 +125,53 @@ def _groups(sketch: Column, collection: int, groups: int) -> Column:
     return F.array(*[_group_key(sketch, collection * groups * DEPTH + g * DEPTH) for g in range(groups)])
 
 
+def _first_equal(a: Column, b: Column, groups: int) -> Column:
+    at = F.lit(None).cast("int")
+    for g in reversed(range(groups)):
+        at = F.when(a[g] == b[g], F.lit(g)).otherwise(at)
+    return at
+
+
+def _bits_differ(a: Column, b: Column) -> Column:
+    total = F.lit(0)
+    for k in range(BITS // 64):
+        total = total + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return total
+
+
+def _bit_sketches(texts: DataFrame, width: int) -> DataFrame:
+    """``vertex`` and ``BITS`` one-bit minhashes as an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in batches_of_text(batch.column(1)):
+                hashes, offsets = _shingles(batch.column(1).slice(a, b - a), width)
+                full = np.flatnonzero(np.diff(offsets) > 0)
+                bits = np.zeros((b - a, BITS), np.uint8)
+                low = (hashes >> np.uint64(32)).astype(np.uint32)
+                for k in range(BITS if len(full) else 0):
+                    least = np.minimum.reduceat((low ^ _BIT_ADD[k]) * _BIT_MULTIPLY[k], offsets[full])
+                    bits[full, k] = least * np.uint32(0x9E3779B1) >> np.uint32(31)
+                words = np.packbits(bits, axis=1).view(np.int64).ravel()
+                lists = pa.ListArray.from_arrays(np.arange(0, len(words) + 1, BITS // 64, dtype=np.int32), words)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), lists], names=["vertex", "bits"])
+
+    return texts.select("vertex", "text").mapInArrow(run, "vertex long, bits array<long>")
+
+
+def _within_buckets(rest: DataFrame, own: DataFrame, groups: int, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (x, y) of classes of different components that share a bucket of ``rest`` (key, vertex, at) and may be linked by size and bits."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts"))
+    rest = cut(rest.join(sizes, "key").join(own, "vertex"))
+    x, y = (rest.select("key", "salts", *[F.col(c).alias(f"{p}{c}") for c in ("vertex", "at", "n", "bits", "a", "b")]) for p in ("x_", "y_"))
+    x = x.withColumn("salt", F.pmod(F.xxhash64("x_vertex"), F.col("salts")).cast("int")).drop("salts")
+    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    first_equal = [F.element_at(f"x_{c}", _first_equal(F.col(f"x_{c}"), F.col(f"y_{c}"), groups) + 1) for c in "ab"]
+    near = _sizes_allow(numerator, denominator) & (_bits_differ(F.col("x_bits"), F.col("y_bits")) <= bits_for(numerator, denominator))
+    pairs = x.join(y, ["key", "salt"]).where((F.col("x_vertex") < F.col("y_vertex")) & (F.col("x_at") != F.col("y_at"))).where(near)
+    return pairs.where(F.col("key") == F.xxhash64(*first_equal)).select(F.col("x_vertex").alias("x"), F.col("y_vertex").alias("y"))
+
+
 def _agreements(a: Column, b: Column, n_hashes: int) -> Column:
     total = F.lit(0)
     for k in range(n_hashes):
@@ -121,10 +188,10 @@ def _cell_counts(texts: DataFrame, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in batches_of_text(batch.column(0), 16 << 20):
+            for a, b in batches_of_text(batch.column(0)):
                 hashes, offsets = _shingles(batch.column(0).slice(a, b - a), width)
-                row = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(offsets))
-                cells, n = np.unique(np.unique(np.stack([hashes, row], axis=1), axis=0)[:, 0] >> np.uint64(64 - CELLS), return_counts=True)
+                own = [np.unique(hashes[offsets[r] : offsets[r + 1]]) for r in range(b - a)]
+                cells, n = np.unique(np.concatenate(own) >> np.uint64(64 - CELLS), return_counts=True)
                 yield pa.record_batch([pa.array(cells.astype(np.int64)), pa.array(n)], names=["cell", "n"])
 
     found = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -252,26 +319,19 @@ def _components(docs: DataFrame, numerator: int, denominator: int, width: int, m
         return cut(_confirmed(pairs, texts, numerator, denominator, width))
 
     at = F.coalesce("component", "vertex").alias("at")
-
-    def mixed_buckets(stars: DataFrame) -> DataFrame:
-        within = members.join(stars, "vertex", "left").select("key", "vertex", at)
-        own_head = F.min_by(F.struct("vertex", "at"), F.xxhash64("key", "vertex")).alias("own")
-        mixed = within.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high"), own_head).where("low < high").select("key", "own")
-        return within.join(mixed, "key")
-
     first = linked(members.where("vertex <> head").select(F.col("vertex").alias("x"), F.col("head").alias("y")), n_hashes * same - 4 * spread)
-    stars = cut(connected_components(first.select("x", "y"), "x", "y"))
-    # Where that leaves several components each bucket takes a head of its own, so that a class meets many of a crowd.
-    again = mixed_buckets(stars).where("at <> own.at").select(F.col("vertex").alias("x"), F.col("own.vertex").alias("y"))
-    first = first.unionByName(linked(again, n_hashes * same - 1)).select("x", "y")
+    first = first.select("x", "y")
     stars = cut(connected_components(first, "x", "y"))
-
-    placed = known.join(stars, "vertex", "left").select("vertex", "n", at)
-    if not exact:
-        placed = placed.join(mixed_buckets(stars).select("vertex").distinct(), "vertex")
-    placed = cut(placed)
-    late = cut(texts.join(placed.select("vertex"), "vertex"))
-    pairs = _meeting(placed, _prefixes(late, numerator, denominator, width), numerator, denominator)
+    if exact:
+        placed = cut(known.join(stars, "vertex", "left").select("vertex", "n", at))
+        pairs = _meeting(placed, _prefixes(texts, numerator, denominator, width), numerator, denominator)
+    else:
+        within = members.join(stars, "vertex", "left").select("key", "vertex", at)
+        mixed = within.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("key")
+        rest = within.join(mixed, "key")
+        bits = _bit_sketches(texts.join(rest.select("vertex").distinct(), "vertex"), width)
+        own = cut(known.join(bits, "vertex").join(groups, "vertex").select("vertex", "n", "bits", "a", "b"))
+        pairs = _within_buckets(rest, own, n_groups, numerator, denominator)
     second = cut(_confirmed(pairs, texts, numerator, denominator, width))
     links = first.unionByName(second.select("x", "y"))
 
@@ -291,8 +351,8 @@ def near_duplicate_groups(docs: DataFrame, numerator: int = 85, denominator: int
     Documents are linked when ``denominator * |A & B| >= numerator * |A | B|`` for their sets of
     distinct ``width``-word shingles; ``component_id`` is the smallest doc_id reachable over links.  A link
     of just that similarity is missed with at most probability ``miss`` by the tables, closer ones more
-    rarely.  With ``exact`` all classes, not only those that share a table, go on to the exact prefixes,
-    and no link is missed.
+    rarely, and with ``BITS_MISS`` by the bits.  With ``exact`` all classes, not only those that share a table, are
+    compared by exact prefixes, and no link is missed.
 
     Null, empty and white-space texts have no shingles and are linked with nothing: their component is
     their own doc_id and they are kept.  A text with fewer words than ``width`` has one shingle, its

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cryoframe.llm.near_dedup import drop_near_duplicates, groups_for, near_duplicate_groups
+from cryoframe.llm.near_dedup import bits_for, drop_near_duplicates, groups_for, near_duplicate_groups
 from cryoframe.llm.wordhash import shingle_hashes, text_bytes, word_hashes, word_spans
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,7 +96,7 @@ def test_hashes_do_not_depend_on_batches():
 
 
 def test_bounds_follow_the_threshold():
-    assert groups_for(85, 100) == 7 and groups_for(80, 100) == 9
+    assert groups_for(85, 100) == 7 and groups_for(80, 100) == 9 and bits_for(85, 100) == 120 and bits_for(100, 100) == 0
     with pytest.raises(ValueError):
         groups_for(0, 100)
 
