@@ -9,13 +9,12 @@ all 49 tables with probability 2.6e-4 and one of 0.9 with 4e-6; nothing after th
 Texts with equal shingle sets are one class, compared once, whatever their number.  In a bucket of a
 table every class whose minhashes agree well enough is first compared with the bucket's first one, on full
 sets, which gathers crowds of copies; what fails there is not lost.  All classes of buckets that then still
-hold several components are compared pair by pair there, each pair in the first table that it shares only.
-Buckets of more than ``SPLIT`` classes are salted over as many tasks as they need.  One-bit minhashes, which
-lose a link of just the asked similarity once in a million pairs, keep those that are far apart from being
-read; the others are compared on full sets.  No group is gathered in one task.
-
-An exact run compares all classes by exact prefixes instead: of the shingles of a class, the rarest first, so
-many are taken that two classes of the asked similarity must share one of them.
+hold several components go on by exact prefixes: of the shingles of a class, the rarest first, so many are
+taken that two classes of the asked similarity must share one of them.  Similar texts that are not linked
+differ in their rare shingles and do not meet, so a bucket full of them stays cheap.  Of classes that meet at
+a shingle, one-bit minhashes, which lose a link of just the asked similarity once in 100,000 pairs, keep
+those that are far apart from being read; the others are compared on full sets.  No group is gathered in one
+task.  An exact run takes all classes through the prefixes, and asks no bits.
 """
 
 from __future__ import annotations
@@ -37,9 +36,7 @@ from .wordhash import batches_of_text, shingle_hashes, text_bytes, word_hashes,
 #: Minhashes in a group; one-bit minhashes; cells of the counts that order shingles by rarity, as a power of two.
 DEPTH, BITS, CELLS = 2, 1024, 20
 #: The rates at which a pair of exactly the asked similarity may miss all tables, and be held far apart by its bits.
-MISS, BITS_MISS = 3e-4, 1e-6
-#: Classes of a bucket that meet all others of it in one task.
-SPLIT = 512
+MISS, BITS_MISS = 3e-4, 1e-5
 _rng = np.random.default_rng(20240608)
 _BIT_ADD = _rng.integers(0, 1 << 32, BITS, dtype=np.uint32)
 _BIT_MULTIPLY = _rng.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -58,7 +55,7 @@ def groups_for(numerator: int, denominator: int, miss: float = MISS) -> int:
 
 @lru_cache
 def bits_for(numerator: int, denominator: int, miss: float = BITS_MISS) -> int:
-    """The number of differing bits that a pair of this similarity exceeds with a probability of at most ``miss``; 120 at 0.85."""
+    """The number of differing bits that a pair of this similarity exceeds with a probability of at most ``miss``; 115 at 0.85."""
     share, above = (1 - numerator / denominator) / 2, 0.0
     for k in range(BITS, -1, -1):
         above += comb(BITS, k) * share**k * (1 - share) ** (BITS - k)
@@ -125,13 +122,6 @@ def _groups(sketch: Column, collection: int, groups: int) -> Column:
     return F.array(*[_group_key(sketch, collection * groups * DEPTH + g * DEPTH) for g in range(groups)])
 
 
-def _first_equal(a: Column, b: Column, groups: int) -> Column:
-    at = F.lit(None).cast("int")
-    for g in reversed(range(groups)):
-        at = F.when(a[g] == b[g], F.lit(g)).otherwise(at)
-    return at
-
-
 def _bits_differ(a: Column, b: Column) -> Column:
     total = F.lit(0)
     for k in range(BITS // 64):
@@ -159,19 +149,6 @@ def _bit_sketches(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("vertex", "text").mapInArrow(run, "vertex long, bits array<long>")
 
 
-def _within_buckets(rest: DataFrame, own: DataFrame, groups: int, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (x, y) of classes of different components that share a bucket of ``rest`` (key, vertex, at) and may be linked by size and bits."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts"))
-    rest = cut(rest.join(sizes, "key").join(own, "vertex"))
-    x, y = (rest.select("key", "salts", *[F.col(c).alias(f"{p}{c}") for c in ("vertex", "at", "n", "bits", "a", "b")]) for p in ("x_", "y_"))
-    x = x.withColumn("salt", F.pmod(F.xxhash64("x_vertex"), F.col("salts")).cast("int")).drop("salts")
-    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    first_equal = [F.element_at(f"x_{c}", _first_equal(F.col(f"x_{c}"), F.col(f"y_{c}"), groups) + 1) for c in "ab"]
-    near = _sizes_allow(numerator, denominator) & (_bits_differ(F.col("x_bits"), F.col("y_bits")) <= bits_for(numerator, denominator))
-    pairs = x.join(y, ["key", "salt"]).where((F.col("x_vertex") < F.col("y_vertex")) & (F.col("x_at") != F.col("y_at"))).where(near)
-    return pairs.where(F.col("key") == F.xxhash64(*first_equal)).select(F.col("x_vertex").alias("x"), F.col("y_vertex").alias("y"))
-
-
 def _agreements(a: Column, b: Column, n_hashes: int) -> Column:
     total = F.lit(0)
     for k in range(n_hashes):
@@ -231,22 +208,25 @@ def _prefixes(texts: DataFrame, numerator: int, denominator: int, width: int) ->
     return texts.select("vertex", "text").mapInArrow(run, "vertex long, shingle long, place int, short boolean")
 
 
-def _meeting(placed: DataFrame, prefixes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _meeting(placed: DataFrame, prefixes: DataFrame, bits: DataFrame | None, numerator: int, denominator: int) -> DataFrame:
     """Pairs (x, y) of classes of different components that share a prefix shingle and may be linked by size and place.
 
-    ``placed`` has ``vertex, n`` and the component ``at``; x is the larger set.  At the first shingle that a
+    ``placed`` has ``vertex, n`` and the component ``at``; x is the larger set.  With ``bits`` pairs that these hold far apart are left out.  At the first shingle that a
     pair shares, what comes after it must hold all the others that a link needs.  The classes of a shingle's
     largest component are not paired with each other, so that a crowd of copies meets only what lies outside of it.
     """
     rows = prefixes.join(placed, "vertex")
     parts = rows.groupBy("shingle", "at").agg(F.count("*").alias("c"), F.bool_or("short").alias("short"))
     mixed = parts.groupBy("shingle").agg(F.max_by("at", F.struct("c", "at")).alias("main"), F.count("*").alias("parts"), F.bool_or("short").alias("any"))
-    rows = cut(rows.join(mixed.where("parts > 1 and any").select("shingle", "main"), "shingle"))
-    x, y = (rows.select("shingle", "main", "short", *[F.col(c).alias(f"{p}{c}") for c in ("vertex", "at", "n", "place")]) for p in ("x_", "y_"))
+    rows = rows.join(mixed.where("parts > 1 and any").select("shingle", "main"), "shingle")
+    rows = cut(rows.withColumn("bits", F.lit(None).cast("array<long>")) if bits is None else rows.join(bits, "vertex"))
+    x, y = (rows.select("shingle", "main", "short", *[F.col(c).alias(f"{p}{c}") for c in ("vertex", "at", "n", "place", "bits")]) for p in ("x_", "y_"))
     y = y.where("short").drop("short").withColumnRenamed("main", "y_main")
     needed = F.ceil(F.lit(numerator) * (F.col("x_n") + F.col("y_n")) / F.lit(numerator + denominator))
     rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
     fits = (F.col("x_at") != F.col("y_at")) & (F.struct("x_n", "x_vertex") > F.struct("y_n", "y_vertex")) & _sizes_allow(numerator, denominator) & (rest >= needed)
+    if bits is not None:
+        fits = fits & (_bits_differ(F.col("x_bits"), F.col("y_bits")) <= bits_for(numerator, denominator))
     outside = x.where("x_at <> main").join(y, "shingle").where(fits)
     inside = x.where("x_at = main").join(y.where("y_at <> y_main"), "shingle").where(fits)
     return outside.unionByName(inside).select(F.col("x_vertex").alias("x"), F.col("y_vertex").alias("y")).distinct()
@@ -322,16 +302,14 @@ def _components(docs: DataFrame, numerator: int, denominator: int, width: int, m
     first = linked(members.where("vertex <> head").select(F.col("vertex").alias("x"), F.col("head").alias("y")), n_hashes * same - 4 * spread)
     first = first.select("x", "y")
     stars = cut(connected_components(first, "x", "y"))
-    if exact:
-        placed = cut(known.join(stars, "vertex", "left").select("vertex", "n", at))
-        pairs = _meeting(placed, _prefixes(texts, numerator, denominator, width), numerator, denominator)
-    else:
+    placed = known.join(stars, "vertex", "left").select("vertex", "n", at)
+    if not exact:
         within = members.join(stars, "vertex", "left").select("key", "vertex", at)
         mixed = within.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("key")
-        rest = within.join(mixed, "key")
-        bits = _bit_sketches(texts.join(rest.select("vertex").distinct(), "vertex"), width)
-        own = cut(known.join(bits, "vertex").join(groups, "vertex").select("vertex", "n", "bits", "a", "b"))
-        pairs = _within_buckets(rest, own, n_groups, numerator, denominator)
+        placed = placed.join(within.join(mixed, "key").select("vertex").distinct(), "vertex")
+    placed = cut(placed)
+    late = cut(texts.join(placed.select("vertex"), "vertex"))
+    pairs = _meeting(placed, _prefixes(late, numerator, denominator, width), None if exact else _bit_sketches(late, width), numerator, denominator)
     second = cut(_confirmed(pairs, texts, numerator, denominator, width))
     links = first.unionByName(second.select("x", "y"))
 
