@@ -70,8 +70,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear classifier of least non-negative risk, by Adam on full batches."""
+def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear classifier of least non-negative risk, by Adam on full batches.
+
+    ``ridge`` and ``steps`` were chosen by three-fold cross-validation on learnable rows alone.
+    """
     x = np.vstack([positive, unlabelled]).astype(np.float32, copy=False)
     n = len(positive)
     w = np.zeros(x.shape[1] + 1)
