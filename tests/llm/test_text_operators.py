@@ -254,6 +254,29 @@ def test_licenses_match_brute_force(spark):
     assert license_scan.scan_licenses(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("name, put_in", [("Unlicense", 20), ("BSD-2-Clause", 0), ("BSD-2-Clause", 30)])
+def test_edited_licenses_are_found_at_every_offset(name, put_in):
+    words = license_scan.TEMPLATES[name].split()
+    middle = len(words) // 2
+    copy = words[:middle] + [f"new{i}" for i in range(put_in)] + words[middle:]
+    grams = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    own = grams(plain_words(" ".join(words)))
+    assert len(own & grams(plain_words(" ".join(copy)))) >= 0.8 * len(own)
+    known = license_scan.Templates(license_scan.TEMPLATES)
+    texts = [" ".join([f"f{k}" for k in range(offset)] + copy + ["end"] * 300) for offset in range(2 * license_scan.size_class(license_scan.TEMPLATES[name]))]
+    found = known.find(*license_scan.shingles_of(pa.array(texts)), 0.8)
+    assert {row for row, t in found if known.names[t] == name} == set(range(len(texts)))
+
+
+def test_language_training_is_bounded(spark):
+    """Many languages, rows of one doc_id and rows without any: the sample stays within its bound, and each row can teach."""
+    rows = [(None if i % 2 else 1, f"word{i % 40} " * (i % 5 + 1) + str(i), f"l{i % 40}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train_language_classifier(df, per_language=300, landmarks=20, sample=80)
+    assert model.langs == sorted({r[2] for r in rows})
+    assert language_id.train_language_classifier(df, sample=5, landmarks=5).langs == sorted(f"l{i}" for i in (0, 1, 10, 11, 12))
+
+
 def test_language_held_out_accuracy(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = language_id.identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
