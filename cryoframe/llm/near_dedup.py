@@ -8,8 +8,9 @@ all 49 tables with probability 2.6e-4 and one of 0.9 with 4e-6; nothing after th
 
 Texts with equal shingle sets are one class, compared once, whatever their number.  In a bucket of a
 table every class whose minhashes agree well enough is first compared with the bucket's first one, on full
-sets, which gathers crowds of copies; what fails there is not lost.  All classes of buckets that then still
-hold several components go on by exact prefixes: of the shingles of a class, the rarest first, so many are
+sets, and where that leaves several components with one that the bucket draws.  This gathers crowds of copies,
+so that few pairs are left of them; what fails here is not lost.  All classes of buckets that then still hold
+several components go on by exact prefixes: of the shingles of a class, the rarest first, so many are
 taken that two classes of the asked similarity must share one of them.  Similar texts that are not linked
 differ in their rare shingles and do not meet, so a bucket full of them stays cheap.  Of classes that meet at
 a shingle, one-bit minhashes, which lose a link of just the asked similarity once in 100,000 pairs, keep
@@ -299,14 +300,23 @@ def _components(docs: DataFrame, numerator: int, denominator: int, width: int, m
         return cut(_confirmed(pairs, texts, numerator, denominator, width))
 
     at = F.coalesce("component", "vertex").alias("at")
+
+    def mixed_buckets(stars: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with their component and a head that the bucket draws."""
+        within = members.join(stars, "vertex", "left").select("key", "vertex", at)
+        drawn = F.min_by(F.struct("vertex", "at"), F.xxhash64("key", "vertex")).alias("drawn")
+        mixed = within.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high"), drawn).where("low < high").select("key", "drawn")
+        return within.join(mixed, "key")
+
     first = linked(members.where("vertex <> head").select(F.col("vertex").alias("x"), F.col("head").alias("y")), n_hashes * same - 4 * spread)
     first = first.select("x", "y")
     stars = cut(connected_components(first, "x", "y"))
+    again = mixed_buckets(stars).where("at <> drawn.at").select(F.col("vertex").alias("x"), F.col("drawn.vertex").alias("y"))
+    first = first.unionByName(linked(again, n_hashes * same - 1).select("x", "y"))
+    stars = cut(connected_components(first, "x", "y"))
     placed = known.join(stars, "vertex", "left").select("vertex", "n", at)
     if not exact:
-        within = members.join(stars, "vertex", "left").select("key", "vertex", at)
-        mixed = within.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("key")
-        placed = placed.join(within.join(mixed, "key").select("vertex").distinct(), "vertex")
+        placed = placed.join(mixed_buckets(stars).select("vertex").distinct(), "vertex")
     placed = cut(placed)
     late = cut(texts.join(placed.select("vertex"), "vertex"))
     pairs = _meeting(placed, _prefixes(late, numerator, denominator, width), None if exact else _bit_sketches(late, width), numerator, denominator)
