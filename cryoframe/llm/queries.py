@@ -19,6 +19,7 @@ from .secret_scan import ALLOWED, ALLOWED_BEFORE, LEAST_BITS, WINDOW, scan_secre
 from .shared import table
 from .toxicity import judge_toxicity
 from .url_filter import judge_urls
+from .whitening import whitened
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -65,11 +66,15 @@ def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_forest_neighbours, op3_personal_data, op4_license_windows, op5_nnpu_toxicity, op6_string_tiling,
-        op7_vector_packing, op8_spectrum_language, op9_entropy_secrets, op10_url_digests,
+        op7_vector_packing, op8_spectrum_language, op9_entropy_secrets, op10_url_digests, op11_tiled_whitening,
     )
 }
 
@@ -83,7 +88,6 @@ def _rule_sql(value: int) -> str:
     return "CASE " + " ".join(when(*r) for r in longest) + (" ELSE NULL END" if value == 0 else " ELSE 'allow' END")
 
 
-
 def _license_sql() -> str:
     """Containment of every template in every window, without minhashes."""
     lower = lambda c: f"translate({c}, '{_UPPER}', '{_LOWER}')"
