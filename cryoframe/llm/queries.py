@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated_pairs
 from .language_id import identify_language
+from .lexical_search import ranked_search
 from .license_scan import TEMPLATES, scan_licenses, size_class
 from .near_dedup import near_duplicate_groups
 from .nearest import nearest_neighbours
@@ -70,11 +71,16 @@ def op11_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_forest_neighbours, op3_personal_data, op4_license_windows, op5_nnpu_toxicity, op6_string_tiling,
         op7_vector_packing, op8_spectrum_language, op9_entropy_secrets, op10_url_digests, op11_tiled_whitening,
+        op12_wand_search,
     )
 }
 
@@ -137,7 +143,25 @@ def _secret_sql() -> str:
         FROM (SELECT doc_id FROM d) d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id"""
 
 
+def _search_sql() -> str:
+    """Scores of all documents that share a term with an item, without shards or bounds."""
+    terms = lambda c: rf"regexp_extract_all(translate({c}, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')"
+    return f"""
+        WITH d AS (SELECT doc_id, {terms("text")} AS w FROM documents WHERE text IS NOT NULL),
+        sizes AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+        total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({terms("text")}) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, term),
+        df AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+        scores AS (
+            SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM q JOIN tf USING (term) JOIN df USING (term) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_wand_search": _search_sql(),
     "op9_entropy_secrets": _secret_sql(),
     "op4_license_windows": _license_sql(),
     "op1_minhash_near_dedup": r"""

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_spectrum_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op9_entropy_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
     "op11_tiled_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op12_wand_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
     "op10_url_digests": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
 }
 PER_DOCUMENT = ("op1_", "op3_", "op5_", "op8_", "op9_")
