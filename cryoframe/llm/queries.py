@@ -16,6 +16,7 @@ from .near_dedup import near_duplicate_groups
 from .nearest import nearest_neighbours
 from .packing import pack_documents
 from .pii import find_personal_data
+from .quality import BAD_IF_NOT, BAD_IF_SO, ROUNDS, RULES, SHARE, SLACK, STATISTICS, judge_quality
 from .secret_scan import ALLOWED, ALLOWED_BEFORE, LEAST_BITS, WINDOW, scan_secrets
 from .shared import table
 from .toxicity import judge_toxicity
@@ -75,12 +76,17 @@ def op12_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # sums of doubles differ in their last digits from order to order
+    return judge_quality(table(spark, sf_dir, "documents")).withColumn("quality", F.round("quality", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_forest_neighbours, op3_personal_data, op4_license_windows, op5_nnpu_toxicity, op6_string_tiling,
         op7_vector_packing, op8_spectrum_language, op9_entropy_secrets, op10_url_digests, op11_tiled_whitening,
-        op12_wand_search,
+        op12_wand_search, op13_quality_votes,
     )
 }
 
@@ -160,7 +166,45 @@ def _search_sql() -> str:
         FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10"""
 
 
+def _quality_sql() -> str:
+    """Statistics by regular expressions and windows as rows; expectation-maximisation as a recursion over the counts of vote patterns."""
+    size = lambda kept: f"CAST(length(regexp_replace(text, '[^{kept}]', '', 'g')) AS BIGINT)"
+    some = lambda pattern, not_="": f"CAST(len(list_filter(w, lambda x: {not_} regexp_matches(x, '{pattern}'))) AS BIGINT)"
+    kinds, votes = list(dict.fromkeys(r.kind for r in RULES)), range(len(RULES))
+    cast = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v{i}" for i, r in enumerate(RULES))
+    start = lambda value, n: f"[{', '.join([f'{value}::DOUBLE'] * n)}]"
+    tell = lambda i: f"CASE WHEN v{i} > 0 THEN ln((1 - b[{i + 1}]) / (1 - g[{i + 1}])) WHEN v{i} < 0 THEN ln(b[{i + 1}] / g[{i + 1}]) ELSE 0 END"
+    odds = ", ".join(f"exp(least(700, ln(s[{k + 1}] / (1 - list_sum(s))) + {' + '.join(tell(i) for i in votes if RULES[i].kind == kind)})) AS o{k}" for k, kind in enumerate(kinds))
+    all_ = " + ".join(f"o{k}" for k in range(len(kinds)))
+    share = ", ".join(f"(sum(n * o{k} / (1 + {all_})) + {SLACK * SHARE}::DOUBLE) / (sum(n) + {SLACK}::DOUBLE)" for k in range(len(kinds)))
+    have = lambda i: f"n * o{kinds.index(RULES[i].kind)} / (1 + {all_})"
+    rate = lambda i, w, a: f"(coalesce(sum({w}) FILTER (WHERE v{i} < 0), 0) + {SLACK * a}::DOUBLE) / (coalesce(sum({w}) FILTER (WHERE v{i} <> 0), 0) + {SLACK}::DOUBLE)"
+    return rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        win AS (SELECT rid, i, w[i:i + 4] AS five FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+        twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) AS n FROM win) WHERE n > 1),
+        again AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY rid),
+        st AS (
+            SELECT t.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {size("#*$%&|<>")} AS n_symbols,
+                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+                   {size("A-Z")} AS n_upper, {size("a-z")} AS n_lower, {some("[^\x00-\x40\x5b-\x60\x7b-\x7f]", "NOT")} AS n_plain_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct,
+                   {size("!-/:-@\x5b-\x60{-~")} AS n_marks, {some("^[A-Z]")} AS n_initial
+            FROM t LEFT JOIN again ON again.rid = t.rid),
+        votes AS (SELECT *, {cast} FROM st),
+        p AS (SELECT {", ".join(f"v{i}" for i in votes)}, count(*) AS n FROM votes GROUP BY ALL),
+        em AS (
+            SELECT 0 AS round, {start(SHARE, len(kinds))} AS s, {start(BAD_IF_NOT, len(RULES))} AS g, {start(BAD_IF_SO, len(RULES))} AS b
+            UNION ALL
+            SELECT round + 1, [{share}], [{", ".join(rate(i, f"(n - {have(i)})", BAD_IF_NOT) for i in votes)}], [{", ".join(rate(i, f"({have(i)})", BAD_IF_SO) for i in votes)}]
+            FROM (SELECT round, p.*, {odds} FROM em, p WHERE round < {ROUNDS}) GROUP BY round),
+        last AS (SELECT * FROM em WHERE round = {ROUNDS}),
+        judged AS (SELECT *, 1 / (1 + {all_}) AS q, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed FROM (SELECT votes.*, {odds} FROM votes, last))
+        SELECT doc_id, {", ".join(STATISTICS[:5])}, failed AS base_failed, NOT failed AND q >= 0.5 AS kept, round(q, 6) AS quality FROM judged"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_quality_votes": _quality_sql(),
     "op12_wand_search": _search_sql(),
     "op9_entropy_secrets": _secret_sql(),
     "op4_license_windows": _license_sql(),

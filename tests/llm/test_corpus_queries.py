@@ -22,9 +22,12 @@ COLUMNS = {
     "op9_entropy_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
     "op11_tiled_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
     "op12_wand_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op13_quality_votes": {
+        "doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean",
+    },
     "op10_url_digests": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
 }
-PER_DOCUMENT = ("op1_", "op3_", "op5_", "op8_", "op9_")
+PER_DOCUMENT = ("op1_", "op3_", "op5_", "op8_", "op9_", "op13_")
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
