@@ -120,7 +120,7 @@ def word_ids(path: str) -> WordIds:
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 256
+    segments: int = 2048
     loss_tokens: int = 2048
 
 
@@ -150,13 +150,20 @@ class Piece:
 
 
 class Packer:
-    """Packs a stream of pieces; ``room`` pieces wait at most."""
+    """Packs a stream of pieces.  At least ``room`` pieces wait, and enough to use up one of the limits twice, before a sequence is filled."""
 
     def __init__(self, limits: Limits, room: int = 192) -> None:
         self.limits, self.room = limits, room
         self.caps = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
-        self.waiting: list[Piece] = []
-        self.demand = np.zeros((room + 2, 3))
+        #: Demands that wait, each once, and the pieces that have them.
+        self.demand = np.zeros((256, 3))
+        self.held: list[list[Piece]] = []
+        self.place: dict[tuple[int, int], int] = {}
+        self.total = np.zeros(3)
+
+    @property
+    def waiting(self) -> int:
+        return int(self.total[1])
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         while piece.tokens > self.limits.tokens or piece.loss > self.limits.loss_tokens:
@@ -164,33 +171,50 @@ class Packer:
             yield [head]
         if piece.tokens:
             self._wait(piece)
-        while len(self.waiting) >= self.room:
+        while self.total[1] >= self.room and (self.total >= 2 * self.caps).any():
             yield self._fill()
 
     def _wait(self, piece: Piece) -> None:
-        self.demand[len(self.waiting)] = (piece.tokens, 1, piece.loss)
-        self.waiting.append(piece)
+        key = (piece.tokens, piece.loss)
+        if key not in self.place:
+            self.place[key] = len(self.held)
+            if len(self.held) == len(self.demand):
+                self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)])
+            self.demand[len(self.held)] = (piece.tokens, 1, piece.loss)
+            self.held.append([])
+        self.held[self.place[key]].append(piece)
+        self.total += (piece.tokens, 1, piece.loss)
 
     def _take(self, i: int) -> Piece:
-        piece, last = self.waiting[i], self.waiting.pop()
-        if i < len(self.waiting):
-            self.waiting[i], self.demand[i] = last, self.demand[len(self.waiting)]
+        piece = self.held[i].pop()
+        self.total -= (piece.tokens, 1, piece.loss)
+        if not self.held[i]:
+            del self.place[piece.tokens, piece.loss]
+            last = self.held.pop()
+            if i < len(self.held):
+                self.held[i], self.demand[i] = last, self.demand[len(self.held)]
+                self.place[last[0].tokens, last[0].loss] = i
         return piece
 
     def _fill(self) -> list[Piece]:
         left, chosen = self.caps.copy(), []
         weight = 1 / self.caps**2
-        while self.waiting:
-            demand = self.demand[: len(self.waiting)]
+        while self.held:
+            demand = self.demand[: len(self.held)]
             gain = np.where((demand <= left).all(axis=1), demand @ (left * weight), -1.0)
             best = int(gain.argmax())
             if gain[best] < 0:
                 break
-            left -= demand[best]
-            chosen.append(self._take(best))
-        if self.waiting and left[1] >= 1 and left[0] > 0:
-            longest = int(self.demand[: len(self.waiting), 0].argmax())
-            piece = self.waiting[longest]
+            times = 1
+            if len(self.held) == 1:
+                # one demand waits: it is the best until it no longer fits
+                own = demand[0]
+                times = min(len(self.held[0]), int((left[own > 0] // own[own > 0]).min()))
+            left -= demand[best] * times
+            chosen += [self._take(best) for _ in range(times)]
+        if self.held and left[1] >= 1 and left[0] > 0:
+            longest = int(self.demand[: len(self.held), 0].argmax())
+            piece = self.held[longest][-1]
             space = int(min(left[0], piece.silent + left[2]))
             if 0 < space < piece.tokens:
                 head, tail = self._take(longest).cut(space)
@@ -199,9 +223,9 @@ class Packer:
         return chosen
 
     def rest(self) -> Iterator[list[Piece]]:
-        while self.waiting:
+        while self.held:
             filled = self._fill()
-            if self.waiting or sum(p.tokens for p in filled) == self.limits.tokens:
+            if self.held or sum(p.tokens for p in filled) == self.limits.tokens:
                 yield filled
             else:
                 yield from powers_of_two(filled)
