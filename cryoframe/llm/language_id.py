@@ -121,17 +121,20 @@ def _packed_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train_language_classifier(labelled: DataFrame, per_language: int = 300, landmarks: int = 256, sample: int = 4000) -> SpectrumClassifier | None:
     """Fits on ``labelled(doc_id, text, lang)``; null texts or langs are left out; None without rows.
 
-    Of more than ``sample`` languages the most frequent are learned.
+    Rows that repeat a doc_id, text and lang teach once, so a language whose rows are all alike is learned from one.  Of more than ``sample`` languages the most frequent are learned.
     """
     usable = bounded(labelled).where("lang is not null and text is not null and length(text) > 0")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63)
+    different = F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("different")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("count"), different).orderBy(F.desc("count"), "lang").limit(sample).collect()
     if not counts:
         return None
     share = min(per_language, max(1, sample // len(counts)))
-    # Of a language with many rows only the places below a bound that surely holds enough are ranked.
-    bounds = usable.sparkSession.createDataFrame([(r["lang"], (3.0 * share + 100) / r["count"]) for r in counts], "lang string, bound double")
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63)
+    # Of a language with many different rows only the places below a bound are ranked.  Rows that repeat have one place, so
+    # the bound comes from a count of different ones; it holds three times the share, the sketch that counts errs by a few percent.
+    bounds = usable.sparkSession.createDataFrame([(r["lang"], (3.0 * share + 100) / r["different"]) for r in counts], "lang string, bound double")
     near = usable.select("lang", "text", place.alias("place")).join(F.broadcast(bounds), "lang").where(F.col("place") <= F.col("bound"))
+    near = near.groupBy("lang", "place").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("place", "text")
     chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= share)
     found = chosen.select("lang", "text").mapInArrow(_packed_presence, "lang string, bits binary").collect()
