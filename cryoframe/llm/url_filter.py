@@ -2,8 +2,8 @@
 
 Rules are strings ``host + path``.  Their xxhash64 digests are kept as one sorted array in a file,
 beside the full strings and verdicts.  The file goes to every node once with ``addFile``; tasks
-memory-map it, so a list of any length costs no heap.  A page is probed with every host suffix and
-every path prefix of a length that some rule has, by one vectorised binary search per batch, and a
+memory-map it, so a list of any length costs no heap.  A page is probed with the host suffixes and
+path prefixes whose lengths some rule has, by one vectorised binary search per batch, and a
 digest that is found counts only if the stored string is equal.
 """
 
@@ -37,9 +37,10 @@ def digest_bytes(rules: Iterable[Rule]) -> bytes:
         by_text[key] = max(by_text.get(key, 0), VERDICTS.index(verdict))
     rows = sorted((xxhash.xxh64_intdigest(k), k, v) for k, v in by_text.items())
     ends = np.cumsum([0] + [len(k) for _, k, _ in rows]).astype("<i8")
+    hosts = sorted({len(k.partition(b"/")[0]) for k in by_text})
     lengths = sorted({len(k.partition(b"/")[1] + k.partition(b"/")[2]) for k in by_text})
     parts = [
-        np.array([len(rows), len(lengths)], "<i8"), np.array([d for d, _, _ in rows], "<u8"), ends, np.array(lengths, "<i8"),
+        np.array([len(rows), len(hosts), len(lengths)], "<i8"), np.array([d for d, _, _ in rows], "<u8"), ends, np.array(hosts, "<i8"), np.array(lengths, "<i8"),
         np.array([v for *_, v in rows], "u1"), np.frombuffer(b"".join(k for _, k, _ in rows), "u1"),
     ]
     return b"".join(p.tobytes() for p in parts)
@@ -50,12 +51,14 @@ class DigestArray:
 
     def __init__(self, path: str) -> None:
         raw = np.memmap(path, dtype="u1", mode="r")
-        n, k = (int(x) for x in raw[:16].view("<i8"))
-        at = 16
+        n, h, k = (int(x) for x in raw[:24].view("<i8"))
+        at = 24
         self.digests = raw[at : at + 8 * n].view("<u8")
         at += 8 * n
         self.ends = raw[at : at + 8 * (n + 1)].view("<i8")
         at += 8 * (n + 1)
+        self.host_lengths = raw[at : at + 8 * h].view("<i8").tolist()
+        at += 8 * h
         self.path_lengths = raw[at : at + 8 * k].view("<i8").tolist()
         at += 8 * k
         self.verdicts, self.texts = raw[at : at + n], raw[at + n :]
@@ -86,13 +89,11 @@ def _mapped(name: str) -> DigestArray:
     return _open[name]
 
 
-def _probes(host: bytes, path: bytes, path_lengths: list[int]) -> list[bytes]:
-    hosts = [host]
-    while b"." in host:
-        host = host.partition(b".")[2]
-        hosts.append(host)
-    paths = [path[:n] for n in path_lengths if n <= len(path)]
-    return [h + p for h in hosts if h for p in paths]
+def _probes(host: bytes, path: bytes, host_lengths: list[int], path_lengths: list[int]) -> list[bytes]:
+    """Keys that a rule could have: the host and its parents, and starts of the path, of lengths that rules have."""
+    hosts = [host[-n:] for n in host_lengths if n == len(host) or (n < len(host) and host[-n - 1] == 46)]
+    paths = [path[:n] for n in path_lengths if n <= len(path)] if hosts else []
+    return [h + p for h in hosts for p in paths]
 
 
 def publish_rules(spark: SparkSession, rules: Iterable[Rule]) -> str:
@@ -124,7 +125,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], default: str = "allow")
 
     Null urls and urls without ``://`` have an empty host and path and get the default.  Repeated rows
     and null page_ids are judged row by row; other columns are ignored, whatever their names.  Very
-    long urls are used whole.  An empty table or rule list gives no rows, or defaults only.
+    long urls are used whole; memory grows with the rules' lengths, not with a host's labels.  An empty table or rule list gives no rows, or defaults only.
     """
     name = publish_rules(pages.sparkSession, rules)
 
@@ -134,7 +135,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], default: str = "allow")
             keys: list[bytes] = []
             counts = []
             for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = _probes(host.encode(), path.encode(), array.path_lengths)
+                own = _probes(host.encode(), path.encode(), array.host_lengths, array.path_lengths)
                 counts.append(len(own))
                 keys += own
             rows = array.find(keys)

@@ -277,6 +277,13 @@ def test_language_training_is_bounded(spark):
     assert language_id.train_language_classifier(df, sample=5, landmarks=5).langs == sorted(f"l{i}" for i in (0, 1, 10, 11, 12))
 
 
+def test_languages_of_repeated_rows_are_learned(spark):
+    """Thousands of equal rows have one place among the ranked ones; each language must be learned all the same."""
+    for salt in range(6):
+        rows = spark.range(16_000).selectExpr(f"{salt}L as doc_id", f"if(id % 2 = 0, 'der hund und die katze {salt}', 'the cat and the dog {salt}') as text", "if(id % 2 = 0, 'de', 'en') as lang")
+        assert language_id.train_language_classifier(rows, landmarks=4).langs == ["de", "en"]
+
+
 def test_language_held_out_accuracy(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = language_id.identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -393,11 +400,12 @@ def test_each_limit_can_be_the_tight_one(limits, tight):
     rng = random.Random(tight)
     pieces = [packing.Piece(i, bytes(4 * n), 0, n, rng.randrange(n)) for i, n in enumerate(rng.randrange(5, 40) for _ in range(150))]
     packer = packing.Packer(packing.Limits(*limits), room=200)
-    assert [x for p in pieces for x in packer.add(p)] == []
+    for p in pieces:
+        packer._wait(p)
     need = lambda p: (p.tokens, 1, p.loss)
     full = 0
-    while len(packer.waiting) > 50:
-        left, cap = {p.example: p for p in packer.waiting}, list(limits)
+    while packer.waiting > 50:
+        left, cap = {p.example: p for row in packer.held for p in row}, list(limits)
         got = packer._fill()
         for p in got:
             fit = [x for x in left.values() if all(n <= c for n, c in zip(need(x), cap))]
@@ -413,6 +421,28 @@ def test_each_limit_can_be_the_tight_one(limits, tight):
     assert full >= 5
 
 
+@pytest.mark.parametrize("text, n", [("a b c", 20_000), ("", 5000), ("one two three four five six", 6000)])
+def test_short_texts_fill_sequences(spark, text, n):
+    import public_tokenizers
+
+    rows = packing.pack_documents(spark.range(n).selectExpr("id as doc_id", f"'{text}' as text").repartition(3), public_tokenizers.path("word_bpe_49k.json")).collect()
+    used: dict = {}
+    for r in rows:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    assert len({r["doc_id"] for r in rows}) == n
+    assert sum(1 for t in used.values() if t & (t - 1)) == 0 and sum(t < 2048 for t in used.values()) <= 3 * 11
+
+
+def test_short_and_long_texts_fill_sequences():
+    rng = random.Random(3)
+    for mean in (2, 8, 40, 500, 3000):
+        packer, full = packing.Packer(packing.Limits()), []
+        for i in range(4000):
+            n = 1 + int(rng.expovariate(1 / mean))
+            full += packer.add(packing.Piece(i, bytes(4 * n), 0, n, 0))
+        assert all(sum(p.tokens for p in s) == 2048 for s in full) and packer.waiting < 4200
+
+
 def test_conversations_pack_under_three_limits(spark, folder):
     import public_tokenizers
 
@@ -455,6 +485,28 @@ def test_urls_match_brute_force(spark):
     assert judge_urls(df.where("false"), RULES).collect() == []
 
 
+def test_hosts_of_many_labels_take_little_memory(spark):
+    import tracemalloc
+
+    from cryoframe.llm import url_filter
+
+    host = ".".join(["ab"] * 100_000) + ".b.example.org"
+    tracemalloc.start()
+    keys = url_filter._probes(host.encode(), b"/en/12", [3, 11, 13, 50_000_000], [1, 4, 5])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20 and b"example.org/en/1" in keys and b"b.example.org/" in keys and len(keys) == 9
+    rows = judge_urls(spark.createDataFrame([(1, f"http://{host}/en/12"), (2, "http://" + "." * 50_000 + "org/")], "page_id long, url string"), RULES).collect()
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in rows} == {(1, "example.org/en/1", "block"), (2, "org/", "allow")}
+
+
+def test_long_rule_lists(spark):
+    rules = [(f"h{i}.test", f"/p{i % 7}", "block") for i in range(200_000)] + [("test", "/", "allow")]
+    urls = [(0, "http://h5.test/p5/x"), (1, "http://a.h199999.test/p2"), (2, "http://h5.test/p4"), (3, "http://zz.test/"), (4, "http://h5.testing/p5")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules, "block").collect()}
+    assert got == {0: ("h5.test/p5", "block"), 1: (f"h199999.test/p{199_999 % 7}", "block") if 199_999 % 7 == 2 else ("test/", "allow"), 2: ("test/", "allow"), 3: ("test/", "allow"), 4: (None, "block")}
+
+
 def test_digests_that_collide_are_told_apart(tmp_path, monkeypatch):
     from cryoframe.llm import url_filter
 
