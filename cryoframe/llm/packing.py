@@ -159,11 +159,11 @@ class Packer:
         self.demand = np.zeros((256, 3))
         self.held: list[list[Piece]] = []
         self.place: dict[tuple[int, int], int] = {}
-        self.total = np.zeros(3)
+        self.waiting = self.tokens = self.loss = 0
 
-    @property
-    def waiting(self) -> int:
-        return int(self.total[1])
+    def _enough(self) -> bool:
+        limits = self.limits
+        return self.waiting >= self.room and (self.tokens >= 2 * limits.tokens or self.waiting >= 2 * limits.segments or self.loss >= 2 * limits.loss_tokens)
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         while piece.tokens > self.limits.tokens or piece.loss > self.limits.loss_tokens:
@@ -171,25 +171,26 @@ class Packer:
             yield [head]
         if piece.tokens:
             self._wait(piece)
-        while self.total[1] >= self.room and (self.total >= 2 * self.caps).any():
+        while self._enough():
             yield self._fill()
 
     def _wait(self, piece: Piece) -> None:
         key = (piece.tokens, piece.loss)
+        self.waiting, self.tokens, self.loss = self.waiting + 1, self.tokens + key[0], self.loss + key[1]
         if key not in self.place:
             self.place[key] = len(self.held)
             if len(self.held) == len(self.demand):
                 self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)])
-            self.demand[len(self.held)] = (piece.tokens, 1, piece.loss)
+            self.demand[len(self.held)] = (key[0], 1, key[1])
             self.held.append([])
         self.held[self.place[key]].append(piece)
-        self.total += (piece.tokens, 1, piece.loss)
 
     def _take(self, i: int) -> Piece:
         piece = self.held[i].pop()
-        self.total -= (piece.tokens, 1, piece.loss)
+        key = (piece.tokens, piece.loss)
+        self.waiting, self.tokens, self.loss = self.waiting - 1, self.tokens - key[0], self.loss - key[1]
         if not self.held[i]:
-            del self.place[piece.tokens, piece.loss]
+            del self.place[key]
             last = self.held.pop()
             if i < len(self.held):
                 self.held[i], self.demand[i] = last, self.demand[len(self.held)]
