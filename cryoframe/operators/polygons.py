@@ -57,26 +57,26 @@ def with_bounds(polygons: DataFrame, parts: str = "parts") -> DataFrame:
     return polygons.withColumns({f"{end}{axis}": F.expr(f"array_{end}(transform({points}, p -> p.{axis}))") for axis in "xy" for end in ("min", "max")})
 
 
-def _holds(parts: str, x: str, y: str) -> str:
+def _holds(edges: str, x: str, y: str) -> str:
     crossed = f"(e.y0 > {y}) <> (e.y1 > {y}) and {x} < (e.x1 - e.x0) * ({y} - e.y0) / (e.y1 - e.y0) + e.x0"
-    return f"size(filter({_edges(parts)}, e -> {crossed})) % 2 = 1"
+    return f"size(filter({edges}, e -> {crossed})) % 2 = 1"
 
 
-def _on_edge(parts: str, x: str, y: str) -> str:
+def _on_edge(edges: str, x: str, y: str) -> str:
     flat = f"(e.x1 - e.x0) * ({y} - e.y0) = (e.y1 - e.y0) * ({x} - e.x0)"
-    return f"exists({_edges(parts)}, e -> {flat} and {x} between least(e.x0, e.x1) and greatest(e.x0, e.x1) and {y} between least(e.y0, e.y1) and greatest(e.y0, e.y1))"
+    return f"exists({edges}, e -> {flat} and {x} between least(e.x0, e.x1) and greatest(e.x0, e.x1) and {y} between least(e.y0, e.y1) and greatest(e.y0, e.y1))"
 
 
 def holds_point(parts: str, x: str, y: str) -> Column:
     """Whether the point lies inside or on the border (SQL names of the columns)."""
-    return F.expr(f"{_holds(parts, x, y)} or {_on_edge(parts, x, y)}")
+    return F.expr(f"{_holds(_edges(parts), x, y)} or {_on_edge(_edges(parts), x, y)}")
 
 
-def distance(parts: str, x: str, y: str) -> Column:
-    """Distance of a point from the polygon, 0 inside."""
+def distance(edges: str, x: str, y: str) -> Column:
+    """Distance of a point from the polygon whose edges the column ``edges`` holds, 0 inside."""
     along = f"greatest(0D, least(1D, coalesce(((e.x1 - e.x0) * ({x} - e.x0) + (e.y1 - e.y0) * ({y} - e.y0)) / nullif(pow(e.x1 - e.x0, 2) + pow(e.y1 - e.y0, 2), 0D), 0D)))"
     far = f"transform(array({along}), u -> sqrt(pow(e.x0 + u * (e.x1 - e.x0) - {x}, 2) + pow(e.y0 + u * (e.y1 - e.y0) - {y}, 2)))[0]"
-    return F.expr(f"if({_holds(parts, x, y)}, 0D, array_min(transform({_edges(parts)}, e -> {far})))")
+    return F.expr(f"if({_holds(edges, x, y)}, 0D, array_min(transform({edges}, e -> {far})))")
 
 
 def _turn(a: str, b: str, c: str) -> str:
@@ -92,27 +92,6 @@ def _cross() -> str:
     return f"(({proper}) or {on(a, e0, e1, f0)} or {on(b, e0, e1, f1)} or {on(c, f0, f1, e0)} or {on(d, f0, f1, e1)})"
 
 
-def meet(left: str, right: str) -> Column:
-    """Whether two polygons share a point, a border point included: edges that meet, or one inside the other."""
-    first = lambda p: (f"{p}[0][0].x", f"{p}[0][0].y")
-    crossing = f"exists({_edges(left)}, e -> exists({_edges(right)}, f -> {_cross()}))"
-    within = f"exists({left}, g -> {_holds(right, 'g[0].x', 'g[0].y')})"
-    around = f"exists({right}, g -> {_holds(left, 'g[0].x', 'g[0].y')})"
-    return F.expr(f"{crossing} or {within} or {around}")
-
-
-def meeting(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """All columns of both sides (of the right one ``parts`` and bounds with the prefix ``r_``) for polygons that share a point."""
-    pairs = intersecting(left, right.withColumnRenamed("parts", "r_parts"), size).drop("shared")
-    return pairs.where(meet("parts", "r_parts"))
-
-
-def lies_in(left: str, right: str) -> Column:
-    """Whether the left polygon lies in the right one and touches no border: no edges meet, no ring of the right one in the left."""
-    crossing = f"exists({_edges(left)}, e -> exists({_edges(right)}, f -> {_cross()}))"
-    return F.expr(f"not {crossing} and {_holds(right, f'{left}[0][0].x', f'{left}[0][0].y')} and not exists({right}, g -> {_holds(left, 'g[0].x', 'g[0].y')})")
-
-
 def box(minx: str = "minx", miny: str = "miny", maxx: str = "maxx", maxy: str = "maxy") -> Column:
     """A box as a polygon."""
     points = [(minx, miny), (maxx, miny), (maxx, maxy), (minx, maxy), (minx, miny)]
@@ -140,50 +119,35 @@ def area_in_box(polygons: DataFrame, box: tuple[str, str, str, str], name: str,
 def shared_area(pairs: DataFrame, keys: list[str], name: str = "shared", left: str = "parts", right: str = "r_parts") -> DataFrame:
     """``keys`` and the area that the polygons ``left`` and ``right`` of each row share; keys name a row.
 
-    The right polygon is a signed sum of triangles from its first point to its edges.  The left one is
-    clipped to each of them, a row for each triangle, and the signed areas are summed.
+    A polygon is the signed sum of the strips below its edges.  So the shared area is a signed sum over
+    pairs of edges of the area below the lower one, a row each; heights are taken from the left polygon's first point.
     """
-    rows = pairs.select(*keys, F.col(left).alias("_r"), F.expr(f"{right}[0][0]").alias("_o"), F.explode(edges(right)).alias("_e"))
-    turn = "sign((_e.x0 - _o.x) * (_e.y1 - _o.y) - (_e.x1 - _o.x) * (_e.y0 - _o.y))"
-    rows = rows.withColumn("_s", F.expr(turn)).where("_s <> 0")
-    # corners against the clock
-    rows = rows.select(*keys, "_r", "_s", *[F.expr(f"if(_s > 0, {u}, {v})").alias(n) for n, u, v in (("_ax", "_e.x0", "_e.x1"), ("_ay", "_e.y0", "_e.y1"), ("_bx", "_e.x1", "_e.x0"), ("_by", "_e.y1", "_e.y0"))], F.col("_o.x").alias("_ox"), F.col("_o.y").alias("_oy"))
-    for p, q in (("o", "a"), ("a", "b"), ("b", "o")):
-        # left of the line from p to q
-        a, b = f"(_{p}y - _{q}y)", f"(_{q}x - _{p}x)"
-        rows = rows.withColumn("_r", F.expr(f"transform(_r, g -> {_clipped('g', a, b, f'(-{a} * _{p}x - {b} * _{p}y)')})"))
-    pieces = rows.select(*keys, (F.col("_s") * F.expr(_signed("_r"))).alias("_a"))
-    return pieces.groupBy(*keys).agg(F.abs(F.sum("_a")).alias(name))
-
-
-def burnt(polygons: DataFrame, size: float, parts: str = "parts") -> DataFrame:
-    """Cells (cx, cy) whose centre lies in a polygon, with the polygon's columns but ``parts``."""
-    span = lambda axis: F.explode(F.sequence(F.ceil(F.col(f"min{axis}") / size - 0.5), F.floor(F.col(f"max{axis}") / size - 0.5)))
-    wide = (F.ceil(F.col("minx") / size - 0.5) <= F.floor(F.col("maxx") / size - 0.5)) & (F.ceil(F.col("miny") / size - 0.5) <= F.floor(F.col("maxy") / size - 0.5))
-    cells = polygons.where(wide).withColumn("cx", span("x")).withColumn("cy", span("y"))
-    return cells.where(holds_point(parts, f"((cx + 0.5D) * {size}D)", f"((cy + 0.5D) * {size}D)")).drop(parts)
+    rows = pairs.select(*keys, F.expr(f"{left}[0][0]").alias("_o"), F.explode(edges(left)).alias("e"), right).where("e.x0 <> e.x1")
+    rows = rows.select(*keys, "_o", "e", F.explode(edges(right)).alias("f")).where("f.x0 <> f.x1")
+    rows = rows.withColumns({"_a": F.expr("greatest(least(e.x0, e.x1), least(f.x0, f.x1))"), "_b": F.expr("least(greatest(e.x0, e.x1), greatest(f.x0, f.x1))")})
+    height = lambda g, x: F.expr(f"({g}.y0 - _o.y) + ({g}.y1 - {g}.y0) * (({x} - {g}.x0) / ({g}.x1 - {g}.x0))")
+    rows = rows.withColumns({f"_{g}{x}": height(g, f"_{x}") for g in "ef" for x in "ab"})
+    rows = rows.withColumns({"_da": F.col("_ea") - F.col("_fa"), "_db": F.col("_eb") - F.col("_fb"), "_la": F.least("_ea", "_fa"), "_lb": F.least("_eb", "_fb")})
+    # edges that cross on the way have one height there, a share of the way along
+    cross = F.expr("_da / (_da - _db)")
+    below = F.when(F.col("_da") * F.col("_db") >= 0, F.col("_la") + F.col("_lb")).otherwise(F.col("_la") * cross + F.col("_lb") * (1 - cross) + F.col("_ea") + cross * (F.col("_eb") - F.col("_ea")))
+    part = F.when(F.col("_a") < F.col("_b"), F.expr("sign(e.x0 - e.x1) * sign(f.x0 - f.x1) * (_b - _a)") * below / 2).otherwise(0.0)
+    return rows.select(*keys, part.alias("_s")).groupBy(*keys).agg(F.abs(F.sum("_s")).alias(name))
 
 
 def buffered_cells(polygons: DataFrame, reach: float, size: float, parts: str = "parts") -> DataFrame:
     """Cells (cx, cy) whose centre is not farther than ``reach`` from a polygon, with the distance ``far``, 0 inside."""
     span = lambda axis: F.explode(F.sequence(F.ceil((F.col(f"min{axis}") - reach) / size - 0.5), F.floor((F.col(f"max{axis}") + reach) / size - 0.5)))
-    cells = polygons.withColumn("cx", span("x")).withColumn("cy", span("y"))
-    far = distance(parts, f"((cx + 0.5D) * {size}D)", f"((cy + 0.5D) * {size}D)")
-    return cells.withColumn("far", far).where(F.col("far") <= reach).drop(parts)
-
-
-def points_in(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Points (x, y) with the polygons that hold them; all columns of both but ``parts`` and bounds."""
-    cells = points.withColumns({f"{end}{axis}": F.col(axis) for axis in "xy" for end in ("min", "max")})
-    pairs = intersecting(cells, polygons, size).where(holds_point("parts", "x", "y"))
-    return pairs.drop("parts", "shared", *BOUNDS, *[f"r_{b}" for b in BOUNDS])
+    cells = polygons.withColumn("_e", edges(parts)).drop(parts).withColumn("cx", span("x")).withColumn("cy", span("y"))
+    far = distance("_e", f"((cx + 0.5D) * {size}D)", f"((cy + 0.5D) * {size}D)")
+    return cells.withColumn("far", far).where(F.col("far") <= reach).drop("_e")
 
 
 def points_within(points: DataFrame, polygons: DataFrame, reach: float, size: float) -> DataFrame:
     """Points (x, y) with the polygons that are not farther than ``reach``, and the distance ``far``."""
     cells = points.withColumns({f"{end}{axis}": F.col(axis) + (reach if end == "max" else -reach) for axis in "xy" for end in ("min", "max")})
-    pairs = intersecting(cells, polygons, size).withColumn("far", distance("parts", "x", "y"))
-    return pairs.where(F.col("far") <= reach).drop("parts", "shared", *BOUNDS, *[f"r_{b}" for b in BOUNDS])
+    pairs = intersecting(cells, polygons.withColumn("_e", edges("parts")).drop("parts"), size).withColumn("far", distance("_e", "x", "y"))
+    return pairs.where(F.col("far") <= reach).drop("_e", "shared", *BOUNDS, *[f"r_{b}" for b in BOUNDS])
 
 
 def exploded(polygons: DataFrame, parts: str = "parts") -> DataFrame:

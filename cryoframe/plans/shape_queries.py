@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bookkeeping as books, lines, polygons as poly, raster, spatial as op
+from ..operators import bookkeeping as books, edges as edge, lines, polygons as poly, raster, spatial as op
 from ..operators.graph import cut
 from .base import IMG, LATTICE, OBS, PLOTS, img, lattice, obs, plots, query, t
 from .spatial_queries import _LAB, _POINTS, _SHAPES, SIZE, _points
@@ -115,7 +115,7 @@ def _(spark, d):
 
 @query("k14_clip_per_grid", f"{_POINTS} SELECT zone, object FROM inside")
 def _(spark, d):
-    return poly.points_in(_points(spark, d), plots(spark, d), SIZE).select("zone", "object")
+    return edge.points_in(_points(spark, d), plots(spark, d), SIZE).select("zone", "object")
 
 
 _COVER = "cover AS (SELECT DISTINCT l_suppkey AS dem, l_orderkey AS grid FROM lineitem), done AS (SELECT o_orderkey AS grid FROM orders WHERE o_orderstatus <> 'F' OR o_custkey % 1000 < 999)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import polygons as poly, raster, spatial as op
+from ..operators import edges as edge, polygons as poly, raster, spatial as op
 from ..operators.bookkeeping import quantiles
 from ..operators.graph import cut
 from .base import IMG, LATTICE, OBJECTS, OBS, PLOTS, held, img, lattice, objects, obs, plots, query
@@ -34,13 +34,14 @@ def _boxes(spark, d):
 
 
 def _pairs(spark, d):
-    return poly.meeting(_boxes(spark, d), plots(spark, d), SIZE)
+    return edge.meeting(_boxes(spark, d), plots(spark, d), ["object"], ["zone"], SIZE)
 
 
 def _shared(spark, d):
-    pairs = _pairs(spark, d)
-    shared = poly.shared_area(pairs, ["object", "zone"], left="r_parts", right="parts")
-    return pairs.select("object", "zone", "v", op.area().alias("area")).join(shared, ["object", "zone"])
+    boxes = _boxes(spark, d).select("object", "v", op.area().alias("area"), "parts")
+    pairs = _pairs(spark, d).select("object", "zone").join(boxes, "object").join(plots(spark, d).select("zone", F.col("parts").alias("r_parts")), "zone")
+    shared = poly.shared_area(pairs, ["object", "zone", "v", "area"], left="r_parts", right="parts")
+    return shared
 
 
 @query("j01_intersects_join", f"{_JOIN} SELECT object, min(zone) AS zone, count(*) AS n_zones FROM pairs GROUP BY object")
@@ -50,7 +51,8 @@ def _(spark, d):
 
 @query("j02_overlap_semi_join", f"{_JOIN} SELECT object FROM pairs WHERE zone % 2 = 0 UNION SELECT object FROM pairs WHERE zone % 5 = 1")
 def _(spark, d):
-    return poly.meeting(_boxes(spark, d), plots(spark, d).where("zone % 2 = 0 or zone % 5 = 1"), SIZE).select("object").distinct()
+    other = plots(spark, d).where("zone % 2 = 0 or zone % 5 = 1")
+    return edge.meeting(_boxes(spark, d), other, ["object"], ["zone"], SIZE).select("object").distinct()
 
 
 @query("j03_footprint_lookup", f"{_JOIN} SELECT zone, object, round(shared, 4) AS shared FROM pairs WHERE round(shared, 6) >= 0.01 * area")
@@ -65,9 +67,8 @@ def _(spark, d):
 
 @query("j05_containment_exclusion", f"{_JOIN} SELECT object FROM objects WHERE object NOT IN (SELECT object FROM pairs WHERE around AND NOT touches)")
 def _(spark, d):
-    o = _boxes(spark, d)
-    inner = _pairs(spark, d).where(poly.lies_in("parts", "r_parts")).select("object")
-    return o.join(inner, "object", "left_anti").select("object")
+    inner = _pairs(spark, d).where(edge.LIES_IN).select("object")
+    return objects(spark, d).select("object").join(inner, "object", "left_anti")
 
 
 @query("j06_coverage_join", f"{_JOIN} SELECT DISTINCT object FROM pairs WHERE round(shared, 6) >= 2")
@@ -123,7 +124,7 @@ def _points(spark, d):
 
 @query("j21_pixel_in_zone", f"{_POINTS} SELECT zone, count(*) AS n FROM inside GROUP BY zone")
 def _(spark, d):
-    return poly.points_in(_points(spark, d), plots(spark, d), SIZE).groupBy("zone").agg(F.count("*").alias("n"))
+    return edge.points_in(_points(spark, d), plots(spark, d), SIZE).groupBy("zone").agg(F.count("*").alias("n"))
 
 
 @query("j22_nearest_sample", f"""
@@ -156,7 +157,7 @@ def _(spark, d):
     SELECT zone, round(coalesce(sum(abs(hit)), 0) * 4, 4) AS volume, count(v) AS n_valid, round(coalesce(100.0::DOUBLE * count(hit) / nullif(count(v), 0), 0), 4) AS in_range_percent,
            coalesce(min(hit), 0) AS least, coalesce(max(hit), 0) AS largest FROM h GROUP BY zone""")
 def _(spark, d):
-    return op.volume_change(poly.points_in(_points(spark, d), plots(spark, d), SIZE), ["zone"], "v", 2.0, hi=60.0)
+    return op.volume_change(edge.points_in(_points(spark, d), plots(spark, d), SIZE), ["zone"], "v", 2.0, hi=60.0)
 
 
 @query("a05_valid_percentage", f"WITH {OBS} SELECT d, round(100.0::DOUBLE * count(z) / count(*), 4) AS valid_percent FROM obs GROUP BY d")
@@ -195,7 +196,7 @@ def _(spark, d):
 def _(spark, d):
     # in whole hundredths, whose sums do not depend on their order
     points = _points(spark, d).withColumn("v", F.round(F.col("v") * 100))
-    return op.zonal_statistics(poly.points_in(points, plots(spark, d), SIZE), ["zone"], "v", "demd_")
+    return op.zonal_statistics(edge.points_in(points, plots(spark, d), SIZE), ["zone"], "v", "demd_")
 
 
 _BURNT = f"""WITH {PLOTS}, cx AS (SELECT zone, unnest(range(CAST(ceil(minx / 5 - 0.5) AS BIGINT), CAST(floor(maxx / 5 - 0.5) AS BIGINT) + 1)) AS cx, miny, maxy FROM plots),
@@ -205,7 +206,7 @@ _BURNT = f"""WITH {PLOTS}, cx AS (SELECT zone, unnest(range(CAST(ceil(minx / 5 -
 
 @query("a20_strip_density", f"{_BURNT} SELECT cx, cy, count(*) AS n FROM cells GROUP BY cx, cy")
 def _(spark, d):
-    return poly.burnt(plots(spark, d), 5.0).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    return edge.burnt(plots(spark, d), 5.0).groupBy("cx", "cy").agg(F.count("*").alias("n"))
 
 
 @query("a17_max_entropy_image", f"WITH {IMG}, {_ENTROPY} SELECT image // 10 AS grid, first(image ORDER BY entropy DESC, image) AS image, max(entropy) AS entropy FROM ent GROUP BY image // 10")
@@ -283,7 +284,7 @@ def _(spark, d):
 
 @query("m17_rasterise", f"{_BURNT} SELECT cx, cy, max(zone) AS value FROM cells GROUP BY cx, cy")
 def _(spark, d):
-    return poly.burnt(plots(spark, d), 5.0).groupBy("cx", "cy").agg(F.max("zone").alias("value"))
+    return edge.burnt(plots(spark, d), 5.0).groupBy("cx", "cy").agg(F.max("zone").alias("value"))
 
 
 @query("m16_buffer_ring", f"""
@@ -338,7 +339,7 @@ def _(spark, d):
     from ..operators.graph import connected_components
 
     z = plots(spark, d)
-    pairs = poly.meeting(z, plots(spark, d).withColumnRenamed("zone", "other"), SIZE)
+    pairs = edge.meeting(z, plots(spark, d).withColumnRenamed("zone", "other"), ["zone"], ["other"], SIZE)
     merged = connected_components(pairs.select(F.col("zone").alias("a"), F.col("other").alias("b")))
     return z.withColumn("own", poly.area("parts")).join(merged, z.zone == merged.vertex).groupBy(F.col("component").alias("merged")).agg(
         F.count("*").alias("parts"), F.sum("own").alias("area"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")

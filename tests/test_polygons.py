@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cryoframe.operators import lines, polygons as poly
+from cryoframe.operators import edges as edge, lines, polygons as poly
 
 
 def ring(*points):
@@ -28,15 +28,67 @@ def test_predicates_and_areas(spark):
     in_hole, over_hole = [ring((4.5, 4.5), (5.5, 4.5), (5.5, 5.5))], [ring((3, 3), (7, 3), (7, 7), (3, 7))]
     rows = [(SQUARE, inner), (SQUARE, across), (SQUARE, apart), (SQUARE, touching), (SQUARE, around), (HOLED, in_hole), (HOLED, over_hole), (HOLED, inner)]
     df = table(spark, rows)
-    got = df.select("id", poly.meet("left", "right").alias("m"), poly.lies_in("right", "left").alias("i")).orderBy("id").collect()
-    assert [r["m"] for r in got] == [True, True, False, True, True, False, True, True]
-    assert [r["i"] for r in got] == [True, False, False, False, False, False, False, True]
+    for size in (2.0, 7.0, 50.0):
+        side = lambda name: df.select("id", F.col(name).alias("parts"))
+        got = {r["id"]: r["i"] for r in edge.meeting(side("right"), side("left").withColumnRenamed("id", "other"), ["id"], ["other"], size).where("id = other").select("id", F.expr(edge.LIES_IN).alias("i")).collect()}
+        assert sorted(got) == [0, 1, 3, 4, 6, 7] and sorted(i for i, lies in got.items() if lies) == [0, 7]
     shared = {r["id"]: r["shared"] for r in poly.shared_area(df, ["id"], left="left", right="right").collect()}
     assert [round(shared[i], 9) for i in range(8)] == [4.0, 4.0, 0.0, 0.0, 100.0, 0.0, 12.0, 4.0]
     one = df.where("id = 6").select(poly.area("left").alias("a"), poly.perimeter("left").alias("p"), poly.holes("left").alias("h")).first()
     assert tuple(one) == (96.0, 48.0, 1)
 
 
+def _star(rng, cx, cy, reach=9.0, n=12):
+    return [(cx + r * math.cos(2 * math.pi * k / n), cy + r * math.sin(2 * math.pi * k / n)) for k in range(n) for r in [rng.uniform(reach / 4, reach)]]
+
+
+def _inside(rings, x, y):
+    odd = False
+    for points in rings:
+        for p, q in zip(points, points[1:] + points[:1]):
+            if (p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0]:
+                odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("size", [3.0, 11.0, 100.0])
+def test_edge_index_matches_loops(spark, size):
+    """Points in stars, cells in stars, and pairs of stars that meet, whatever the size of the index's cells."""
+    rng = random.Random(4)
+    stars = {i: [_star(rng, rng.uniform(-30, 30), rng.uniform(-30, 30), rng.choice([2.0, 9.0, 25.0]))] for i in range(14)}
+    stars[20] = [[(-40.0, -40.0), (40.0, -40.0), (40.0, 40.0), (-40.0, 40.0)], [(-20.0, -20.0), (-20.0, 20.0), (20.0, 20.0), (20.0, -20.0)]]  # a square with a hole
+    plots = spark.createDataFrame([(i, [ring(*g) for g in r]) for i, r in stars.items()], f"zone int, parts {poly.RINGS}")
+    points = [(rng.uniform(-45, 45), rng.uniform(-45, 45)) for _ in range(300)] + [(float(a), float(b)) for a in (-40, -20, 0, 20) for b in (-40, 0, 20)]
+    found = {(r["x"], r["y"], r["zone"]) for r in edge.points_in(spark.createDataFrame(points, "x double, y double"), poly.with_bounds(plots), size).collect()}
+    border = {(x, y, 20) for x, y in points if (abs(x) in (20, 40) or abs(y) in (20, 40)) and max(abs(x), abs(y)) in (20, 40)}
+    assert found == {(x, y, i) for x, y in points for i, r in stars.items() if _inside(r, x, y)} | border
+    cells = {(r["cx"], r["cy"], r["zone"]) for r in edge.burnt(plots.where("zone < 20"), 1.5).collect()}
+    assert cells == {(a, b, i) for a in range(-40, 40) for b in range(-40, 40) for i, r in stars.items() if i < 20 and _inside(r, (a + 0.5) * 1.5, (b + 0.5) * 1.5)}
+    got = edge.meeting(plots, plots.withColumnRenamed("zone", "other"), ["zone"], ["other"], size).where("zone <> other").select("zone", "other", F.expr(edge.LIES_IN).alias("i")).collect()
+    some = lambda a, b: any(_inside(b, *p) for g in a for p in g)
+    crossing = {(i, j): any(_cross(*s, *t) for s in _sides(a) for t in _sides(b)) for i, a in stars.items() for j, b in stars.items() if i != j}
+    assert {(r["zone"], r["other"]) for r in got} == {(i, j) for (i, j), c in crossing.items() if c or some(stars[i], stars[j]) or some(stars[j], stars[i])}
+    assert {(r["zone"], r["other"]) for r in got if r["i"]} == {(i, j) for (i, j), c in crossing.items() if not c and some(stars[i], stars[j]) and not some(stars[j], stars[i])}
+
+
+def _sides(rings):
+    return [(p, q) for g in rings for p, q in zip(g, g[1:] + g[:1])]
+
+
+def _cross(a, b, c, d):
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    return turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0
+
+
+def test_cells_on_borders_count_once(spark):
+    """Centres on corners, level edges and slanted edges."""
+    square = [ring((0.5, 0.5), (4.5, 0.5), (4.5, 4.5), (0.5, 4.5)), ring((1.5, 1.5), (1.5, 3.5), (3.5, 3.5), (3.5, 1.5))]
+    diamond = [ring((2.5, 0.5), (4.5, 2.5), (2.5, 4.5), (0.5, 2.5))]
+    df = spark.createDataFrame([(1, square), (2, diamond), (3, []), (4, None)], f"zone int, parts {poly.RINGS}")
+    got = [(r["zone"], r["cx"], r["cy"]) for r in edge.burnt(df, 1.0).collect()]
+    assert sorted(got) == sorted([(1, x, y) for x in range(5) for y in range(5) if (x, y) != (2, 2)] + [(2, x, y) for x in range(5) for y in range(5) if abs(x - 2) + abs(y - 2) <= 2])
+
+
 def test_shared_area_of_stars_matches_strips(spark):
     """Two stars with dents: the area that they share, against the sum of thin strips."""
     rng = random.Random(7)
@@ -63,7 +115,7 @@ def test_shared_area_of_stars_matches_strips(spark):
 def test_distance_and_points(spark):
     plots = poly.with_bounds(spark.createDataFrame([(1, HOLED), (2, SQUARE)], f"zone int, parts {poly.RINGS}"))
     points = spark.createDataFrame([(5.0, 5.0), (0.0, 5.0), (1.0, 1.0), (13.0, 14.0), (-2.0, 5.0)], "x double, y double")
-    held = {(r["x"], r["y"], r["zone"]) for r in poly.points_in(points, plots, 7.0).collect()}
+    held = {(r["x"], r["y"], r["zone"]) for r in edge.points_in(points, plots, 7.0).collect()}
     assert held == {(5.0, 5.0, 2), (0.0, 5.0, 1), (0.0, 5.0, 2), (1.0, 1.0, 1), (1.0, 1.0, 2)}
     far = {(r["x"], r["y"]): r["far"] for r in poly.points_within(points, plots.where("zone = 1"), 5.0, 7.0).collect()}
     assert far == {(5.0, 5.0): 1.0, (0.0, 5.0): 0.0, (1.0, 1.0): 0.0, (13.0, 14.0): 5.0, (-2.0, 5.0): 2.0}
