@@ -1,4 +1,4 @@
-"""Connected components of an edge table by repeated contraction."""
+"""Connected components of an edge table by repeated contraction; order along rings by doubling."""
 
 from __future__ import annotations
 
@@ -38,6 +38,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def followed(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``id, ring, place`` for a table ``id, next`` in which every id is the next of one other: its ring's smallest id, and its place in the ring, rising from there.
+
+    Ids jump ahead: after each round one knows the id twice as far away, the smallest that it has passed, and how far off
+    that is.  When no id finds a smaller one any more, all know the smallest of their ring.
+    """
+    state = written(links.select("id", "next", F.least("id", "next").alias("low"), F.when(F.col("next") < F.col("id"), 1).otherwise(0).cast("long").alias("off")))
+    for step in range(max_rounds):
+        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("low").alias("beyond"), F.col("off").alias("more"))
+        smaller = F.col("beyond") < F.col("low")
+        moved = written(
+            state.join(ahead, "next").select("id", F.col("after").alias("next"), F.least("low", "beyond").alias("low"), F.when(smaller, F.col("more") + (1 << step)).otherwise(F.col("off")).alias("off"), smaller.alias("new"))
+        )
+        state = moved.drop("new")
+        if moved.where("new").isEmpty():
+            # one that is its ring's smallest is at place 0, those before it come last
+            return state.select("id", F.col("low").alias("ring"), (-F.col("off")).alias("place"))
+    raise RuntimeError("rings did not close")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by_id: int = 2, max_rounds: int = 60) -> DataFrame:
     """``(vertex, component)`` for every vertex of the edges; component is the smallest vertex.
 

@@ -150,12 +150,6 @@ def points_within(points: DataFrame, polygons: DataFrame, reach: float, size: fl
     return pairs.where(F.col("far") <= reach).drop("_e", "shared", *BOUNDS, *[f"r_{b}" for b in BOUNDS])
 
 
-def exploded(polygons: DataFrame, parts: str = "parts") -> DataFrame:
-    """One row for each ring of a polygon without holes, numbered ``part`` from 0."""
-    other = [c for c in polygons.columns if c != parts]
-    return polygons.select(*other, F.posexplode(parts).alias("part", "_g")).withColumn(parts, F.array("_g")).drop("_g")
-
-
 def region_shapes(cells: DataFrame, region: str = "region") -> DataFrame:
     """Shape of each region of lattice cells (``row``, ``col``): ``cells, perimeter, corners, holes, wide, high, circularity``.
 
@@ -179,15 +173,14 @@ def region_shapes(cells: DataFrame, region: str = "region") -> DataFrame:
     return shapes.select(region, "cells", "perimeter", "corners", "holes", "wide", "high", (4 * F.pi() * F.col("cells") / F.col("perimeter") ** 2).alias("circularity"))
 
 
-def border_rings(cells: DataFrame, region: str = "region", max_rounds: int = 64) -> DataFrame:
+def border_rings(cells: DataFrame, region: str = "region") -> DataFrame:
     """The border of each region of lattice cells as rings of corners: ``region, ring, place, x, y``, cells to the left.
 
     Each side of a cell that borders no cell of its region is an arrow; arrows are followed by the one that
     starts where they end, at a point where two start by the one that turns right, so that rings do not cross.
-    Arrows are ordered by doubling: after each round an arrow knows the one twice as far ahead, and the
-    smallest it has passed.  Places then count from the smallest arrow of a ring; only corners are kept.
+    Arrows are ordered by doubling (:func:`.graph.followed`); only corners are kept.
     """
-    from .graph import cut
+    from .graph import cut, followed
 
     arrows = [("row", "col", 0, 0, 0, 1), ("row", "col", 0, 1, 1, 1), ("row", "col", 1, 1, 1, 0), ("row", "col", 1, 0, 0, 0)]
     side = F.explode(F.array(*[F.struct((F.col("row") + a).alias("y"), (F.col("col") + b).alias("x"), (F.col("row") + c).alias("y1"), (F.col("col") + d).alias("x1")) for *_, a, b, c, d in arrows]))
@@ -197,26 +190,11 @@ def border_rings(cells: DataFrame, region: str = "region", max_rounds: int = 64)
     border = cut(border.withColumn("id", F.monotonically_increasing_id()).withColumns({"dx": F.col("x1") - F.col("x"), "dy": F.col("y1") - F.col("y")}))
     onward = border.select(region, F.col("y").alias("y1"), F.col("x").alias("x1"), F.col("id").alias("next"), F.col("dx").alias("nx"), F.col("dy").alias("ny"))
     turn = F.col("dx") * F.col("ny") - F.col("dy") * F.col("nx")
-    linked = border.join(onward, [region, "y1", "x1"]).groupBy("id").agg(F.min_by(F.struct("next", turn.alias("turn")), turn).alias("n"))
-    state = cut(linked.select("id", F.col("n.next").alias("next"), F.least("id", "n.next").alias("low")))
-    first = linked.select("id", F.col("n.next").alias("next"))
-    for _ in range(max_rounds):
-        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("low").alias("beyond"))
-        moved = cut(state.join(ahead, "next").select("id", F.col("after").alias("next"), F.least("low", "beyond").alias("low"), (F.col("beyond") < F.col("low")).alias("new")))
-        state = moved.drop("new")
-        if moved.where("new").isEmpty():
-            break
-    # steps to the smallest arrow, by doubling with a stop there
-    lows = state.select("id", "low")
-    steps = cut(first.join(lows, "id").select("id", "low", F.when(F.col("id") == F.col("low"), F.col("id")).otherwise(F.col("next")).alias("next"), (F.col("id") != F.col("low")).cast("long").alias("n")))
-    for _ in range(max_rounds):
-        if steps.where("next <> low").isEmpty():
-            break
-        ahead = steps.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("n").alias("more"))
-        steps = cut(steps.join(ahead, "next").select("id", "low", F.col("after").alias("next"), (F.col("n") + F.col("more")).alias("n")))
+    first = border.join(onward, [region, "y1", "x1"]).groupBy("id").agg(F.min_by("next", turn).alias("next"))
+    steps = followed(first)
     before = first.join(border.select("id", "dx", "dy"), "id").select(F.col("next").alias("id"), F.col("dx").alias("px"), F.col("dy").alias("py"))
-    corners = border.join(before, "id").where("dx <> px or dy <> py").join(steps.select("id", "low", "n"), "id")
-    return corners.select(region, F.col("low").alias("ring"), (-F.col("n")).alias("place"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    corners = border.join(before, "id").where("dx <> px or dy <> py").join(steps, "id")
+    return corners.select(region, "ring", "place", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
 
 def hexagon(x: Column, y: Column, size: float) -> tuple[Column, Column]:

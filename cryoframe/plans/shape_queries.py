@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bookkeeping as books, edges as edge, lines, polygons as poly, raster, spatial as op
+from ..operators import bookkeeping as books, edges as edge, lines, overlay, polygons as poly, raster, spatial as op
 from ..operators.graph import cut
 from .base import IMG, LATTICE, OBS, PLOTS, img, lattice, obs, plots, query, t
 from .spatial_queries import _LAB, _POINTS, _SHAPES, SIZE, _points
@@ -29,12 +29,12 @@ def _(spark, d):
 
 
 @query("f07_area_filter_parts", f"""
-    WITH {PLOTS}, r AS (SELECT zone, CAST(row_number() OVER (PARTITION BY zone ORDER BY ring) - 1 AS INTEGER) AS part, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM e WHERE zone % 4 <> 0 GROUP BY zone, ring),
+    WITH {PLOTS}, r AS (SELECT zone, CAST(ring // 2 AS INTEGER) AS part, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM e GROUP BY zone, ring // 2),
     w AS (SELECT zone FROM r GROUP BY zone HAVING sum(area) >= 6000 AND sum(area) <= 14000)
     SELECT zone, part, area FROM r WHERE zone IN (SELECT zone FROM w) AND area > 200""")
 def _(spark, d):
-    whole = plots(spark, d).where("zone % 4 <> 0").withColumn("whole", poly.area("parts")).where("whole >= 6000 and whole <= 14000")
-    return poly.exploded(whole).select("zone", "part", poly.area("parts").alias("area")).where("area > 200")
+    whole = plots(spark, d).withColumn("whole", poly.area("parts")).where("whole >= 6000 and whole <= 14000")
+    return overlay.exploded(whole, "zone", SIZE).select("zone", "part", poly.area("parts").alias("area")).where("area > 200")
 
 
 @query("f09_bounding_side", f"WITH {PLOTS} SELECT zone FROM plots WHERE greatest(maxx - minx, maxy - miny) <= 150")

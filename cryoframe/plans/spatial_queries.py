@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import edges as edge, polygons as poly, raster, spatial as op
+from ..operators import edges as edge, overlay, polygons as poly, raster, spatial as op
 from ..operators.bookkeeping import quantiles
 from ..operators.graph import cut
 from .base import IMG, LATTICE, OBJECTS, OBS, PLOTS, held, img, lattice, objects, obs, plots, query
@@ -288,18 +288,20 @@ def _(spark, d):
 
 
 @query("m16_buffer_ring", f"""
-    WITH {PLOTS}, cx AS (SELECT zone, unnest(range(CAST(ceil((minx - 12) / 5 - 0.5) AS BIGINT), CAST(floor((maxx + 12) / 5 - 0.5) AS BIGINT) + 1)) AS cx, miny, maxy FROM plots WHERE zone % 7 < 3),
+    WITH {PLOTS}, cx AS (SELECT zone, unnest(range(CAST(ceil((minx - 12) / 5 - 0.5) AS BIGINT), CAST(floor((maxx + 12) / 5 - 0.5) AS BIGINT) + 1)) AS cx, miny, maxy FROM plots),
     o AS (SELECT zone, (cx + 0.5::DOUBLE) * 5 AS minx, (unnest(range(CAST(ceil((miny - 12) / 5 - 0.5) AS BIGINT), CAST(floor((maxy + 12) / 5 - 0.5) AS BIGINT) + 1)) + 0.5::DOUBLE) * 5 AS miny FROM cx),
     f AS (SELECT o.zone, CASE WHEN {held('o.minx', 'o.miny')} THEN 0 ELSE {_FAR} END AS far FROM o JOIN e ON e.zone = o.zone GROUP BY o.zone, o.minx, o.miny)
     SELECT zone, count(*) FILTER (WHERE far > 0) AS ring, count(*) FILTER (WHERE far = 0) AS inside FROM f WHERE far <= 12 GROUP BY zone""")
 def _(spark, d):
-    cells = poly.buffered_cells(plots(spark, d).where("zone % 7 < 3"), 12.0, 5.0)
+    cells = poly.buffered_cells(plots(spark, d), 12.0, 5.0)
     return cells.groupBy("zone").agg(F.count_if(F.col("far") > 0).alias("ring"), F.count_if(F.col("far") == 0).alias("inside"))
 
 
-@query("m16_exploded_parts", f"WITH {PLOTS} SELECT zone, CAST(row_number() OVER (PARTITION BY zone ORDER BY ring) - 1 AS INTEGER) AS part, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM e WHERE zone % 4 <> 0 GROUP BY zone, ring")
+@query("m16_exploded_parts", f"WITH {PLOTS} SELECT zone, CAST(ring // 2 AS INTEGER) AS part, count(DISTINCT ring) AS rings, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM e GROUP BY zone, ring // 2")
 def _(spark, d):
-    return poly.exploded(plots(spark, d).where("zone % 4 <> 0")).select("zone", "part", poly.area("parts").alias("area"))
+    # ring 1 is the hole of ring 0, ring 2 lies beside
+    parts = overlay.exploded(plots(spark, d), "zone", SIZE)
+    return parts.select("zone", "part", F.size("parts").cast("long").alias("rings"), poly.area("parts").alias("area"))
 
 
 _REGION = """reach AS (
@@ -320,6 +322,35 @@ def _(spark, d):
     return op.components_on_lattice(low, raster.FOUR).select("id", "region")
 
 
+#: Area of the union of members ``mem`` of each ``grp``, from edges ``me``: strips between all x of corners and crossings, in which no edges cross.
+_UNION = """cr AS (SELECT DISTINCT a.grp, a.x0 + ((b.x0 - a.x0) * (b.y1 - b.y0) - (b.y0 - a.y0) * (b.x1 - b.x0)) / ((a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0)) * (a.x1 - a.x0) AS x
+        FROM me a JOIN me b ON a.grp = b.grp AND a.mem < b.mem AND least(a.x0, a.x1) <= greatest(b.x0, b.x1) AND least(b.x0, b.x1) <= greatest(a.x0, a.x1) AND least(a.y0, a.y1) <= greatest(b.y0, b.y1) AND least(b.y0, b.y1) <= greatest(a.y0, a.y1)
+        WHERE ((a.x1 - a.x0) * (b.y0 - a.y0) - (a.y1 - a.y0) * (b.x0 - a.x0)) * ((a.x1 - a.x0) * (b.y1 - a.y0) - (a.y1 - a.y0) * (b.x1 - a.x0)) < 0
+          AND ((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) * ((b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0)) < 0),
+    ev AS (SELECT grp, x0 AS x FROM me UNION SELECT grp, x1 FROM me UNION SELECT grp, x FROM cr),
+    slab AS (SELECT * FROM (SELECT grp, x AS xa, lead(x) OVER (PARTITION BY grp ORDER BY x) AS xb FROM ev) WHERE xb > xa),
+    hit AS (SELECT s.grp, s.xa, s.xb, m.mem, m.y0 + (m.y1 - m.y0) * ((s.xa + s.xb) / 2 - m.x0) / (m.x1 - m.x0) AS y FROM slab s JOIN me m ON m.grp = s.grp AND least(m.x0, m.x1) < (s.xa + s.xb) / 2 AND greatest(m.x0, m.x1) > (s.xa + s.xb) / 2),
+    iv AS (SELECT * FROM (SELECT *, row_number() OVER w AS n, lead(y) OVER w AS up FROM hit WINDOW w AS (PARTITION BY grp, xa, mem ORDER BY y)) WHERE n % 2 = 1),
+    un AS (SELECT *, max(up) OVER (PARTITION BY grp, xa ORDER BY y, up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM iv),
+    u AS (SELECT grp, sum((xb - xa) * greatest(0, up - greatest(y, coalesce(past, y)))) AS area FROM un GROUP BY grp)"""
+#: Edges ``me`` of each plot, of rectangles around its edges and of discs of 16 corners around its points.
+_AROUND = """rect AS (SELECT zone, ring, x0, y0, x1, y1, {r} * (y1 - y0) / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS ox, {r} * (x0 - x1) / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS oy FROM e),
+    me AS (SELECT zone AS grp, '0' AS mem, x0, y0, x1, y1 FROM e
+        UNION ALL SELECT zone, 'r' || ring || '/' || x0 || '/' || y0, x0 + a * ox + b * x1 - b * x0, y0 + a * oy + b * y1 - b * y0, x0 + c * ox + f * x1 - f * x0, y0 + c * oy + f * y1 - f * y0
+            FROM rect, (VALUES (1, 0, 1, 1), (1, 1, -1, 1), (-1, 1, -1, 0), (-1, 0, 1, 0)) v(a, b, c, f)
+        UNION ALL SELECT zone, 'd' || ring || '/' || x0 || '/' || y0, x0 + {r} * cos(k * pi() / 8), y0 + {r} * sin(k * pi() / 8), x0 + {r} * cos((k + 1) % 16 * pi() / 8), y0 + {r} * sin((k + 1) % 16 * pi() / 8)
+            FROM rect, (SELECT unnest(range(16)) AS k))"""
+
+
+@query("m16_buffer_outline", f"""
+    WITH {PLOTS}, {_AROUND.format(r="12.0::DOUBLE")}, {_UNION}, own AS (SELECT zone, abs(sum(x0 * y1 - x1 * y0)) / 2 AS own FROM e GROUP BY zone)
+    SELECT zone, round(area, 2) AS area, round(area - own, 2) AS ring FROM u JOIN own ON zone = grp""")
+def _(spark, d):
+    p = plots(spark, d).select("zone", "parts")
+    outline = overlay.enclosed(overlay.buffered(p, "zone", 12.0, 25.0, digits=9), "zone")
+    return outline.join(p.select("zone", poly.area("parts").alias("own")), "zone").select("zone", F.round("area", 2).alias("area"), F.round(F.col("area") - F.col("own"), 2).alias("ring"))
+
+
 #: Two plots meet if edges cross or touch, or the first point of a ring lies in the other.
 _O = lambda a, b, p: f"sign(({b}.x1 - {b}.x0) * ({a}.y{p} - {b}.y0) - ({b}.y1 - {b}.y0) * ({a}.x{p} - {b}.x0))"
 _ON = lambda a, b, p: f"({_O(a, b, p)} = 0 AND {a}.x{p} BETWEEN least({b}.x0, {b}.x1) AND greatest({b}.x0, {b}.x1) AND {a}.y{p} BETWEEN least({b}.y0, {b}.y1) AND greatest({b}.y0, {b}.y1))"
@@ -333,17 +364,18 @@ _CROSS = f"(({_O('e', 'f', 0)} * {_O('e', 'f', 1)} < 0 AND {_O('f', 'e', 0)} * {
     cross_ AS (SELECT DISTINCT n.a, n.b FROM near n JOIN e ON e.zone = n.a JOIN e f ON f.zone = n.b WHERE {_CROSS}),
     link AS (SELECT a, b FROM within UNION SELECT b, a FROM within UNION SELECT a, b FROM cross_),
     reach AS (SELECT zone, zone AS seen FROM plots UNION SELECT r.zone, l.b FROM reach r JOIN link l ON l.a = r.seen),
-    lab AS (SELECT zone, min(seen) AS merged FROM reach GROUP BY zone), own AS (SELECT zone, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM e GROUP BY zone)
-    SELECT merged, count(*) AS parts, sum(area) AS area, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM lab JOIN plots USING (zone) JOIN own USING (zone) GROUP BY merged""")
+    lab AS (SELECT zone, min(seen) AS merged FROM reach GROUP BY zone), me AS (SELECT merged AS grp, zone AS mem, x0, y0, x1, y1 FROM e JOIN lab USING (zone)), {_UNION}
+    SELECT merged, count(*) AS parts, round(any_value(u.area), 4) AS area, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM lab JOIN plots USING (zone) JOIN u ON u.grp = merged GROUP BY merged""")
 def _(spark, d):
     from ..operators.graph import connected_components
 
     z = plots(spark, d)
     pairs = edge.meeting(z, plots(spark, d).withColumnRenamed("zone", "other"), ["zone"], ["other"], SIZE)
     merged = connected_components(pairs.select(F.col("zone").alias("a"), F.col("other").alias("b")))
-    return z.withColumn("own", poly.area("parts")).join(merged, z.zone == merged.vertex).groupBy(F.col("component").alias("merged")).agg(
-        F.count("*").alias("parts"), F.sum("own").alias("area"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")
-    )
+    members = cut(z.join(merged, z.zone == merged.vertex).withColumnRenamed("component", "merged"))
+    area = overlay.enclosed(overlay.union_edges(members, "merged", "zone", SIZE), "merged").select("merged", F.round("area", 4).alias("area"))
+    whole = members.groupBy("merged").agg(F.count("*").alias("parts"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+    return whole.join(area, "merged")
 
 
 _SHAPES = """corner AS (SELECT region, r, c, bit_or(b) AS around FROM (SELECT l.region, low.row + i AS r, low.col + j AS c, 1 << (2 * i + j) AS b FROM lab l JOIN low USING (id), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j)) GROUP BY ALL),
