@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from ..operators import catalogue as cat, lines, raster, spatial, temporal
+from ..operators import catalogue as cat, distance, lines, raster, spatial, temporal
 from ..operators.graph import shared_folder
 from ..streaming import jobs
 from .base import CATALOGUE, IMG, LATTICE, OBS, catalogue, img, lattice, obs, query, t
@@ -66,10 +66,17 @@ def _(spark, d):
     return lines.grown_batches(cells, 20)
 
 
-@query("m21_skeleton_distance")
+@query("m21_medial_axis", f"""
+    WITH {LATTICE}, c AS (SELECT row, col FROM lattice WHERE z < 200),
+    off AS (SELECT DISTINCT c.row + i AS row, c.col + j AS col FROM c, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) k(i, j) WHERE (c.row + i, c.col + j) NOT IN (SELECT row, col FROM c)),
+    far AS (SELECT c.row, c.col, min((c.row - o.row) * (c.row - o.row) + (c.col - o.col) * (c.col - o.col)) AS square FROM c, off o GROUP BY c.row, c.col),
+    axes AS (SELECT a.row, a.col, a.square, k.i, k.j, coalesce(n.square, 0) AS n, coalesce(m.square, 0) AS m FROM far a, (VALUES (0, 1), (1, 0), (1, 1), (1, -1)) k(i, j)
+        LEFT JOIN far n ON n.row = a.row + k.i AND n.col = a.col + k.j LEFT JOIN far m ON m.row = a.row - k.i AND m.col = a.col - k.j)
+    SELECT row, col, any_value(square) AS square FROM axes GROUP BY row, col HAVING bool_or(n <= square AND m <= square AND (n < square OR m < square))""")
 def _(spark, d):
-    low = lattice(spark, d).where("z < 200").select((F.col("pixel") * 0).alias("grid"), "row", "col")
-    return lines.skeletons(low.withColumn("grid", F.expr("cast(row div 50 as long)")), "grid")
+    # the lattice is one figure, dealt by its rows and columns
+    low = lattice(spark, d).where("z < 200").select(F.lit(0).alias("figure"), "row", "col")
+    return distance.ridges(distance.distances(low, "figure"), "figure").select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("square").cast("int").alias("square"))
 
 
 @query("m22_longest_lines")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bookkeeping as books, edges as edge, lines, overlay, polygons as poly, raster, spatial as op
+from ..operators import bookkeeping as books, distance, edges as edge, overlay, polygons as poly, raster, spatial as op
 from ..operators.graph import cut
 from .base import IMG, LATTICE, OBS, PLOTS, img, lattice, obs, plots, query, t
 from .spatial_queries import _LAB, _POINTS, _SHAPES, SIZE, _points
@@ -53,11 +53,11 @@ def _(spark, d):
 
 
 _REGIONS = f"WITH RECURSIVE {LATTICE}, low AS (SELECT pixel AS id, row, col FROM lattice WHERE z < 120), {_LAB}"
-#: Distance of each cell to the nearest one outside of its region, up to six.
+#: Distance of each cell to the nearest one outside of its region; that one is next to a cell of the region.
 _WIDTHS = """cellr AS (SELECT lab.region, low.row, low.col FROM lab JOIN low USING (id)),
-    off AS (SELECT i, j FROM (SELECT unnest(range(-6, 7)) AS i) a, (SELECT unnest(range(-6, 7)) AS j) b),
-    far AS (SELECT c.region, c.row, c.col, min(sqrt(i * i + j * j)) AS far FROM (SELECT * FROM cellr, off) c LEFT JOIN cellr n ON n.region = c.region AND n.row = c.row + i AND n.col = c.col + j WHERE n.row IS NULL GROUP BY ALL),
-    wide AS (SELECT region, 2 * max(far) AS width FROM far GROUP BY region), long AS (SELECT region, greatest(max(col) - min(col), max(row) - min(row)) + 1 AS length FROM cellr GROUP BY region)"""
+    off AS (SELECT DISTINCT c.region, c.row + i AS row, c.col + j AS col FROM cellr c, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) k(i, j) WHERE (c.region, c.row + i, c.col + j) NOT IN (SELECT region, row, col FROM cellr)),
+    far AS (SELECT c.region, c.row, c.col, min((c.row - o.row) * (c.row - o.row) + (c.col - o.col) * (c.col - o.col)) AS square FROM cellr c JOIN off o USING (region) GROUP BY ALL),
+    wide AS (SELECT region, 2 * sqrt(max(square)) AS width FROM far GROUP BY region), long AS (SELECT region, greatest(max(col) - min(col), max(row) - min(row)) + 1 AS length FROM cellr GROUP BY region)"""
 
 
 def _regions(spark, d):
@@ -67,7 +67,7 @@ def _regions(spark, d):
 
 def _widths(spark, d):
     cells = _regions(spark, d)
-    width = lines.border_distance(cells, "region", 6).groupBy("region").agg((2 * F.max("far")).alias("width"))
+    width = distance.distances(cells, "region").groupBy("region").agg((2 * F.max("far")).alias("width"))
     return width.join(poly.region_shapes(cells), "region")
 
 

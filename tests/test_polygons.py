@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cryoframe.operators import edges as edge, lines, polygons as poly
+from cryoframe.operators import edges as edge, polygons as poly
 
 
 def ring(*points):
@@ -137,17 +137,6 @@ def test_regions_become_rings(spark):
     assert sum(len(p) for (region, _), p in rings.items() if region == 7) == shapes[7]["corners"]
 
 
-def test_border_distances_match_a_loop(spark):
-    from cryoframe.operators.lines import distances_inside
-    import numpy as np
-
-    mask = np.random.default_rng(3).random((12, 15)) < 0.85
-    cells = spark.createDataFrame([(1, int(r), int(c)) for r, c in np.argwhere(mask)], "region int, row int, col int")
-    expected = distances_inside(mask)
-    for r in lines.border_distance(cells, "region", 4).collect():
-        assert r["far"] is None and expected[r["row"], r["col"]] > 4 or r["far"] == pytest.approx(expected[r["row"], r["col"]])
-
-
 def test_hexagons(spark):
     rng = random.Random(2)
     points = [(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(300)]
