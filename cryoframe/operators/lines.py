@@ -1,12 +1,8 @@
-"""Operators on lines and skeletons; thinning and longest paths run per figure in grouped pandas."""
+"""Operators on lines: distances, ripples, and map projection of points."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Container
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,121 +50,6 @@ def ripples(lines: DataFrame, key: str, limit: int = 75, start: float = 0.1, ste
     )
 
 
-def thinned(mask: np.ndarray) -> np.ndarray:
-    """Skeleton of a boolean image: border cells whose removal keeps the figure connected go in two alternating passes, until none is left."""
-    image = np.pad(mask.astype(np.uint8), 1)
-    around = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    changed = True
-    while changed:
-        changed = False
-        for first in (True, False):
-            p = [np.roll(image, (-i, -j), (0, 1)) for i, j in around]
-            total = sum(x.astype(int) for x in p)
-            turns = sum(((p[k] == 0) & (p[(k + 1) % 8] == 1)).astype(int) for k in range(8))
-            if first:
-                open_ = (p[0] * p[2] * p[4] == 0) & (p[2] * p[4] * p[6] == 0)
-            else:
-                open_ = (p[0] * p[2] * p[6] == 0) & (p[0] * p[4] * p[6] == 0)
-            drop = (image == 1) & (total >= 2) & (total <= 6) & (turns == 1) & open_
-            drop[0], drop[-1], drop[:, 0], drop[:, -1] = False, False, False, False
-            if drop.any():
-                image[drop] = 0
-                changed = True
-    return image[1:-1, 1:-1].astype(bool)
-
-
-def distances_inside(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each true cell to the nearest false one; outside the image all is false."""
-    padded = np.pad(mask, 1)
-    off = np.argwhere(~padded)
-    on = np.argwhere(padded)
-    out = np.zeros(padded.shape)
-    for a in range(0, len(on), 256):
-        part = on[a : a + 256]
-        out[tuple(part.T)] = np.sqrt(((part[:, None, :] - off[None, :, :]) ** 2).sum(axis=2).min(axis=1))
-    return out[1:-1, 1:-1]
-
-
-def _steps(cells: set[tuple[int, int]], start: tuple[int, int]) -> dict[tuple[int, int], tuple[int, int] | None]:
-    """Breadth-first parents of all cells that can be reached from ``start`` in steps to the eight neighbours."""
-    parent: dict[tuple[int, int], tuple[int, int] | None] = {start: None}
-    queue = deque([start])
-    while queue:
-        r, c = queue.popleft()
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                n = (r + i, c + j)
-                if n in cells and n not in parent:
-                    parent[n] = (r, c)
-                    queue.append(n)
-    return parent
-
-
-def longest_path(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest shortest path of a connected tree of pixels, by two breadth-first passes from its smallest cell."""
-    if not cells:
-        return []
-    end = list(_steps(cells, min(cells)))[-1]
-    parent = _steps(cells, end)
-    at: tuple[int, int] | None = list(parent)[-1]
-    path = []
-    while at is not None:
-        path.append(at)
-        at = parent[at]
-    return path
-
-
-def skeletons(pixels: DataFrame, key: str) -> DataFrame:
-    """Per grid (``key``) the cells of the thinned figure with their distance to its border."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask, (r0, c0) = _image(pdf)
-        bones, far = thinned(mask), distances_inside(mask)
-        at = np.argwhere(bones)
-        return pd.DataFrame({key: pdf[key].iloc[0], "row": (at[:, 0] + r0).astype(np.int32), "col": (at[:, 1] + c0).astype(np.int32), "distance": far[bones]})
-
-    return pixels.select(key, "row", "col").groupBy(key).applyInPandas(fold, f"{key} long, row int, col int, distance double")
-
-
-def border_distance(cells: DataFrame, key: str, reach: int) -> DataFrame:
-    """Each cell of a figure (``key``, ``row``, ``col``) with its distance ``far`` to the nearest cell outside, null if that is beyond ``reach``.
-
-    A cell looks at the squares around it, one join for all; no figure is gathered.
-    """
-    around = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i or j]
-    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around]))
-    looked = cells.select(key, "row", "col", spots.alias("o")).select(key, "row", "col", (F.col("row") + F.col("o.i")).alias("r"), (F.col("col") + F.col("o.j")).alias("c"), "o")
-    own = cells.select(key, F.col("row").alias("r"), F.col("col").alias("c"), F.lit(True).alias("own"))
-    far = F.when(F.col("own").isNull(), F.sqrt((F.col("o.i") * F.col("o.i") + F.col("o.j") * F.col("o.j")).cast("double")))
-    return looked.join(own, [key, "r", "c"], "left").groupBy(key, "row", "col").agg(F.min(far).alias("far"))
-
-
-def longest_lines(pixels: DataFrame, key: str) -> DataFrame:
-    """Per figure (``key``) the longest line of its skeleton: number of cells, ends, and cells left over."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask, (r0, c0) = _image(pdf)
-        cells = {(int(r), int(c)) for r, c in np.argwhere(thinned(mask))}
-        path = longest_path(cells)
-        left = sum(1 for x in cells.difference(path) if len(_near(cells, x)) > 0)
-        ends = [path[0], path[-1]] if path else [(0, 0), (0, 0)]
-        row = (pdf[key].iloc[0], len(path), ends[0][0] + r0, ends[0][1] + c0, ends[1][0] + r0, ends[1][1] + c0, left)
-        return pd.DataFrame([row], columns=[key, "cells", "row0", "col0", "row1", "col1", "left_over"])
-
-    return pixels.select(key, "row", "col").groupBy(key).applyInPandas(fold, f"{key} long, cells int, row0 int, col0 int, row1 int, col1 int, left_over int")
-
-
-def _near(cells: Container[tuple[int, int]], x: tuple[int, int]) -> list[tuple[int, int]]:
-    return [n for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (n := (x[0] + i, x[1] + j)) in cells]
-
-
-def _image(pdf: pd.DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
-    r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
-    mask = np.zeros((int(pdf["row"].max()) - r0 + 1, int(pdf["col"].max()) - c0 + 1), bool)
-    mask[pdf["row"] - r0, pdf["col"] - c0] = True
-    return mask, (r0, c0)
-
-
 def polar_stereographic(lon: Column, lat: Column, central: float = -45.0, true_scale: float = 70.0) -> tuple[Column, Column]:
     """WGS 84 longitude and latitude to north polar stereographic metres (EPSG 3413 by default), in closed form."""
     a, e = 6378137.0, 0.08181919084262149
@@ -180,29 +61,3 @@ def polar_stereographic(lon: Column, lat: Column, central: float = -45.0, true_s
     rho = t * float(a * m_c / t_c)
     turn = F.radians(lon - central)
     return rho * F.sin(turn), -rho * F.cos(turn)
-
-
-def grown_batches(cells: DataFrame, most: int) -> DataFrame:
-    """``region, batch, id``: batches of at least ``most`` connected cells (``id``, ``row``, ``col``), grown ring by ring.
-
-    A batch starts at its region's first unused cell in row order and ends when it has ``most`` cells or can
-    grow no more; the last ring may overshoot.  Growth never leaves a region, so regions are walked apart.
-    """
-    from .raster import EIGHT
-    from .spatial import components_on_lattice
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = {(int(r), int(c)): int(i) for i, r, c in sorted(zip(pdf["id"], pdf["row"], pdf["col"]), key=lambda x: x[1:])}
-        out, n = [], 0
-        while left:
-            ring = [next(iter(left))]
-            batch = [left.pop(ring[0])]
-            while ring and len(batch) < most:
-                ring = [x for x in dict.fromkeys(n for y in ring for n in _near(left, y))]
-                batch += [left.pop(x) for x in ring]
-            out += [(pdf["region"].iloc[0], n, i) for i in batch]
-            n += 1
-        return pd.DataFrame(out, columns=["region", "batch", "id"])
-
-    labelled = components_on_lattice(cells.select("id", "row", "col"), EIGHT)
-    return labelled.groupBy("region").applyInPandas(walk, "region long, batch int, id long")

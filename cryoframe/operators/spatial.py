@@ -7,6 +7,8 @@ holds the lower left corner of its intersection, so that nothing needs to be mad
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,11 +105,36 @@ def shannon_entropy(pixels: DataFrame, keys: list[str], v: str) -> DataFrame:
     return counts.groupBy(*keys).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
 
 
-def components_on_lattice(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Region number (its smallest cell id) of each cell (``id``, ``row``, ``col``); neighbours by ``offsets``."""
-    from .graph import connected_components
+def components_on_lattice(cells: DataFrame, offsets: list[tuple[int, int]], tile: int = 128) -> DataFrame:
+    """Region number (its smallest cell id) of each cell (``id``, ``row``, ``col``); neighbours by ``offsets``, which step by one.
+
+    Cells are labelled within tiles first, a task holding one tile; labels that meet across a tile's rim are then joined as
+    components, so that these grow with rims and not with areas.
+    """
+    from .graph import connected_components, written
     from .raster import neighbours
 
-    links = neighbours(cells, offsets, ["id"]).select(F.col("id").alias("a"), F.col("n_id").alias("b"))
-    found = connected_components(links, by_id=0)
-    return cells.join(found, cells.id == found.vertex, "left").select(*[cells[c] for c in cells.columns], F.coalesce("component", cells.id).alias("region"))
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        spots = list(zip(pdf["row"].tolist(), pdf["col"].tolist()))
+        place = {x: i for i, x in enumerate(spots)}
+        low, order = np.full(len(ids), -1), np.argsort(ids, kind="stable")
+        for start in order.tolist():
+            if low[start] < 0:
+                low[start], stack = start, [start]
+                while stack:
+                    r, c = spots[stack.pop()]
+                    for a, b in offsets:
+                        j = place.get((r + a, c + b))
+                        if j is not None and low[j] < 0:
+                            low[j] = start
+                            stack.append(j)
+        return pdf.drop(columns=["_tr", "_tc"]).assign(_label=ids[low])
+
+    tiled = cells.withColumns({"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)})
+    ddl = ", ".join(f"`{n}` {t}" for n, t in cells.dtypes) + f", _label {dict(cells.dtypes)['id']}"
+    local = written(tiled.groupBy("_tr", "_tc").applyInPandas(label, ddl))
+    rim = " or ".join(f"pmod({c}, {tile}) in (0, {tile - 1})" for c in ("row", "col"))
+    links = neighbours(local.where(rim).select("row", "col", "_label"), offsets, ["_label"]).where("_label <> n__label")
+    found = connected_components(links.select(F.col("_label").alias("a"), F.col("n__label").alias("b")), by_id=0)
+    return local.join(found, F.col("_label") == found.vertex, "left").select(*cells.columns, F.coalesce("component", "_label").alias("region"))

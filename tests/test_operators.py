@@ -5,13 +5,11 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cryoframe.operators import bookkeeping, catalogue, graph, lines, raster, spatial, temporal
+from cryoframe.operators import bookkeeping, catalogue, graph, raster, spatial, temporal
 from cryoframe.sources import rasters, text
 from cryoframe.streaming import jobs
 
@@ -80,40 +78,24 @@ def test_intersections_match_brute_force(spark):
     assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] <= y[3] and y[1] <= x[3] and x[2] <= y[4] and y[2] <= x[4])
 
 
-def test_skeleton_and_longest_path():
-    mask = np.zeros((9, 30), bool)
-    mask[2:7, 2:28] = True
-    bones = lines.thinned(mask)
-    assert bones.any() and not (bones & ~mask).any() and bones.sum() < 40
-    path = lines.longest_path({(0, c) for c in range(10)} | {(r, 5) for r in range(3)})
-    assert len(path) == 10 and {path[0], path[-1]} == {(0, 0), (0, 9)}
-    assert lines.distances_inside(mask)[4, 10] == 3.0
-
-
-@settings(max_examples=30, deadline=None)
-@given(st.sets(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=25))
-def test_thinning_keeps_regions(cells):
-    mask = np.zeros((7, 7), bool)
-    for r, c in cells:
-        mask[r, c] = True
-
-    def regions(m):
-        left, n = {(int(r), int(c)) for r, c in np.argwhere(m)}, 0
+@pytest.mark.parametrize("tile", [4, 128])
+def test_regions_whatever_the_tiles(spark, tile):
+    mask = np.random.default_rng(6).random((40, 31)) < 0.55
+    cells = {(int(r) - 9, int(c) - 5): int(r) * 31 + int(c) for r, c in np.argwhere(mask)}
+    df = spark.createDataFrame([(i, r, c, f"x{i}") for (r, c), i in cells.items()], "id long, row int, col int, v string")
+    for offsets in (raster.FOUR, raster.EIGHT):
+        want, left = {}, dict(sorted(cells.items(), key=lambda x: x[1]))
         while left:
-            n += 1
-            left -= set(lines._steps(left, min(left)))
-        return n
-
-    assert regions(lines.thinned(mask)) <= regions(mask)
-
-
-def test_batches_grow_by_rings(spark):
-    cells = spark.createDataFrame([(r * 10 + c, r, c) for r in range(4) for c in range(4)] + [(99, 9, 9)], "id long, row int, col int")
-    batches: dict = {}
-    for r in lines.grown_batches(cells, 5).collect():
-        batches.setdefault((r["region"], r["batch"]), []).append(r["id"])
-    assert sorted(x for b in batches.values() for x in b) == sorted([r * 10 + c for r in range(4) for c in range(4)] + [99])
-    assert batches[99, 0] == [99] and set(batches[0, 0][:4]) == {0, 1, 10, 11} and len(batches[0, 0]) >= 5
+            start = next(iter(left))
+            low, stack = left.pop(start), [start]
+            want[low] = low
+            while stack:
+                r, c = stack.pop()
+                for n in [(r + a, c + b) for a, b in offsets if (r + a, c + b) in left]:
+                    want[left.pop(n)] = low
+                    stack.append(n)
+        got = spatial.components_on_lattice(df, offsets, tile).collect()
+        assert {r["id"]: r["region"] for r in got} == want and all(r["v"] == f"x{r['id']}" for r in got)
 
 
 def test_chunks_number_all_rows(spark):
