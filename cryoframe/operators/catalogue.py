@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,40 +60,45 @@ def greedy_cover(scenes: DataFrame, area: str, scene: str, cells: str, order: li
 
 
 def monthly_rounds(scenes: DataFrame, keys: list[str], scene: str, cells: str, valid: str, rounds: int = 3, least_gain: float = 0.05, enough: float = 0.95, full: int = 100) -> DataFrame:
-    """Per key (an area and month) the scenes of up to ``rounds`` greedy rounds.
+    """``keys, scene, round``: per key (an area and month) the scenes of up to ``rounds`` greedy rounds.
 
-    Up to three scenes are all kept.  A round starts with the best unused scene by ``valid``, adds
-    those that raise the covered share by ``least_gain`` and ends beyond ``enough``; a scene that
-    shares next to nothing with what the round still lacks is used up.
+    Up to three scenes are all kept.  A round starts with the best unused scene by ``valid``, adds in that order
+    those that raise the covered share by ``least_gain`` and ends beyond ``enough``; a scene that covers next to nothing is never taken.
+
+    What a scene would add only shrinks as a round goes on, so the next one is the best unused scene that adds enough now:
+    one aggregate finds it for all keys at once, and steps repeat until no key takes any.  Coverage is a bitmap of longs
+    over cell numbers from 0 below ``full``; a key's state is one row with what it has taken, at most ``rounds * (1 + 1 / least_gain)`` scenes.
     """
-    schema = ", ".join(f"{k} {t}" for k, t in scenes.select(*keys, scene).dtypes) + ", round int"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values([valid, scene], ascending=[False, True], kind="stable")
-        own = [rows.iloc[0][k] for k in keys]
-        if len(rows) <= 3:
-            return pd.DataFrame([(*own, s, 1) for s in rows[scene]], columns=[*keys, scene, "round"])
-        left = [(s, set(c)) for s, c in zip(rows[scene], rows[cells])]
-        out = []
-        for n in range(1, rounds + 1):
-            if not left:
-                break
-            seed, seen = left.pop(0)
-            seen = set(seen)
-            out.append((*own, seed, n))
-            rest = []
-            for s, c in left:
-                if len(seen) / full > enough:
-                    rest.append((s, c))
-                elif len(c - seen) / full >= least_gain:
-                    seen |= c
-                    out.append((*own, s, n))
-                elif len(c) / full >= 0.0001:
-                    rest.append((s, c))
-            left = rest
-        return pd.DataFrame(out, columns=[*keys, scene, "round"])
-
-    return scenes.select(*keys, scene, cells, valid).groupBy(*keys).applyInPandas(fold, schema)
+    from .graph import written
+
+    words = -(-full // 64)
+    bits = f"transform(sequence(0, {words - 1}), w -> aggregate(filter({cells}, c -> c div 64 = w), 0L, (s, c) -> s | shiftleft(1L, cast(c % 64 as int))))"
+    listed = scenes.select(*keys, F.col(scene).alias("_scene"), F.struct((-F.col(valid)).alias("v"), F.col(scene).alias("s")).alias("_order"), F.expr(bits).alias("_bits"))
+    counted = listed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    few = listed.join(counted.where("_n <= 3"), keys).select(*keys, F.col("_scene").alias(scene), F.lit(1).alias("round"))
+    count = lambda c: f"aggregate({c}, 0, (s, x) -> s + bit_count(x))"
+    items = written(listed.join(counted.where("_n > 3"), keys).where(f"{count('_bits')} / {full} >= 0.0001D"))
+    kind = f"array<struct<scene:{dict(items.dtypes)['_scene']},round:int>>"
+    state = written(items.select(*keys).distinct().withColumns({"_cover": F.expr(f"array_repeat(0L, {words})"), "_round": F.lit(0), "_taken": F.expr(f"cast(array() as {kind})"), "_go": F.lit(True)}))
+    done = []
+    while not state.isEmpty():
+        unused = items.join(state, keys).where("not array_contains(transform(_taken, t -> t.scene), _scene)")
+        gain = count("zip_with(_bits, _cover, (a, b) -> a & ~b)")
+        adds = F.expr(f"_round > 0 and {count('_cover')} / {full} <= {enough}D and {gain} / {full} >= {least_gain}D")
+        item = F.struct("_scene", "_bits")
+        best = unused.groupBy(*keys).agg(F.min_by(item, F.when(adds, F.col("_order"))).alias("_more"), F.min_by(item, "_order").alias("_first"))
+        step = state.join(best, keys, "left").withColumn("_new", F.when(F.col("_more").isNull() & (F.col("_round") < rounds), F.col("_first")))
+        round_ = F.col("_round") + F.col("_new").isNotNull().cast("int")
+        pick = F.coalesce("_more", "_new")
+        cover = F.when(F.col("_new").isNotNull(), F.col("_new._bits")).otherwise(F.expr("zip_with(_cover, _more._bits, (a, b) -> a | b)"))
+        taken = F.array_append("_taken", F.struct(pick["_scene"].alias("scene"), round_.alias("round")))
+        step = written(step.select(*keys, F.when(pick.isNotNull(), cover).alias("_cover"), round_.alias("_round"), F.when(pick.isNotNull(), taken).otherwise(F.col("_taken")).alias("_taken"), pick.isNotNull().alias("_go")))
+        done.append(step.where("not _go").select(*keys, "_taken"))
+        state = step.where("_go")
+    out = few
+    for part in done:
+        out = out.unionByName(part.select(*keys, F.explode("_taken").alias("t")).select(*keys, F.col("t.scene").alias(scene), F.col("t.round").alias("round")))
+    return out
 
 
 def parameter_grid(spark, axes: dict[str, list[int]], keep: Column | None = None) -> DataFrame:

@@ -333,7 +333,20 @@ def _(spark, d):
     return op.greedy_cover(c.withColumns({"cells": cells, "kind": kind}), "area", "scene", "cells", ["kind", "cloud", "scene"])
 
 
-@query("w05_monthly_greedy_rounds")
+_PICK = "first({{'scene': i.scene, 'cells': i.cells}} ORDER BY i.valid DESC, i.scene) FILTER (WHERE NOT list_contains(s.taken, i.scene){})"
+
+
+@query("w05_monthly_greedy_rounds", f"""
+    WITH RECURSIVE {CATALOGUE}, items AS (
+        SELECT area % 20 AS block, strftime(acquired, '%Y-%m') AS month, scene, 100 - cloud AS valid, list_distinct(list_transform(range(0, 15), lambda i: CAST((scene * 3 + i * (asset + 1)) % 100 AS INTEGER))) AS cells FROM catalogue WHERE acquired IS NOT NULL),
+    many AS (SELECT block, month FROM items GROUP BY ALL HAVING count(*) > 3),
+    steps AS (
+        SELECT block, month, 0 AS round, CAST([] AS INTEGER[]) AS cover, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS scene FROM many UNION ALL
+        SELECT block, month, CASE WHEN more IS NULL THEN round + 1 ELSE round END, CASE WHEN more IS NULL THEN fresh.cells ELSE list_distinct(cover || more.cells) END, taken || [coalesce(more.scene, fresh.scene)], coalesce(more.scene, fresh.scene)
+        FROM (SELECT s.block, s.month, s.round, any_value(s.cover) AS cover, any_value(s.taken) AS taken, {_PICK.format("")} AS fresh,
+                {_PICK.format(" AND s.round > 0 AND len(s.cover) / 100.0::DOUBLE <= 0.95::DOUBLE AND len(list_filter(i.cells, lambda x: NOT list_contains(s.cover, x))) / 100.0::DOUBLE >= 0.05::DOUBLE")} AS more
+            FROM steps s JOIN items i ON i.block = s.block AND i.month = s.month GROUP BY s.block, s.month, s.round, len(s.taken)) WHERE more IS NOT NULL OR (round < 3 AND fresh IS NOT NULL))
+    SELECT block, month, scene, round FROM steps WHERE scene IS NOT NULL UNION ALL SELECT block, month, scene, 1 FROM items WHERE (block, month) NOT IN (SELECT block, month FROM many)""")
 def _(spark, d):
     c = catalogue(spark, d).where("acquired is not null").withColumns({
         "block": F.col("area") % 20, "month": F.date_format("acquired", "yyyy-MM"),

@@ -78,6 +78,29 @@ def test_intersections_match_brute_force(spark):
     assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] <= y[3] and y[1] <= x[3] and x[2] <= y[4] and y[2] <= x[4])
 
 
+def test_monthly_rounds_match_a_loop(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(g), int(i), [int(x) for x in rng.choice(130, rng.integers(0, 50), replace=False)], int(rng.integers(0, 9))) for g in range(12) for i in range(rng.integers(1, 40))]
+    want = set()
+    for g in range(12):
+        left = sorted([(-v, i, set(c)) for h, i, c, v in rows if h == g])
+        if len(left) <= 3:
+            want |= {(g, i, 1) for _, i, _ in left}
+            continue
+        left = [x for x in left if x[2]]
+        for n in range(1, 4):
+            seen, rest = None, []
+            for v, i, c in left:
+                if seen is None or (len(seen) / 130 <= 0.95 and len(c - seen) / 130 >= 0.05):
+                    seen = c | (seen or set())
+                    want.add((g, i, n))
+                else:
+                    rest.append((v, i, c))
+            left = rest
+    df = spark.createDataFrame(rows, "a int, scene int, cells array<int>, valid int").repartition(3)
+    assert {(r["a"], r["scene"], r["round"]) for r in catalogue.monthly_rounds(df, ["a"], "scene", "cells", "valid", full=130).collect()} == want
+
+
 @pytest.mark.parametrize("tile", [4, 128])
 def test_regions_whatever_the_tiles(spark, tile):
     mask = np.random.default_rng(6).random((40, 31)) < 0.55
