@@ -1,9 +1,8 @@
-"""Operators on lines: distances, ripples, and map projection of points."""
+"""Operators on lines: distances between them and ripples around them."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,16 +47,3 @@ def ripples(lines: DataFrame, key: str, limit: int = 75, start: float = 0.1, ste
         F.when(F.col("g").isNotNull(), F.when(F.size("t.rings") > F.size("s"), 0.0).otherwise(F.array_min("g"))).alias("min_gap"), F.array_max("g").alias("max_gap"),
         F.array_join(F.col("t.ids").cast("array<string>"), "_").alias("line_ids"),
     )
-
-
-def polar_stereographic(lon: Column, lat: Column, central: float = -45.0, true_scale: float = 70.0) -> tuple[Column, Column]:
-    """WGS 84 longitude and latitude to north polar stereographic metres (EPSG 3413 by default), in closed form."""
-    a, e = 6378137.0, 0.08181919084262149
-    f = np.radians(true_scale)
-    t_c = np.tan(np.pi / 4 - f / 2) / ((1 - e * np.sin(f)) / (1 + e * np.sin(f))) ** (e / 2)
-    m_c = np.cos(f) / np.sqrt(1 - (e * np.sin(f)) ** 2)
-    phi = F.radians(lat)
-    t = F.tan(F.lit(float(np.pi / 4)) - phi / 2) / F.pow((1 - e * F.sin(phi)) / (1 + e * F.sin(phi)), F.lit(e / 2))
-    rho = t * float(a * m_c / t_c)
-    turn = F.radians(lon - central)
-    return rho * F.sin(turn), -rho * F.cos(turn)

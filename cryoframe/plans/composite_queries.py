@@ -60,21 +60,6 @@ def _(spark, d):
     return lines.hausdorff(p, "col", "row").withColumn("hausdorff", F.round("hausdorff", 4))
 
 
-_LON, _LAT = "CAST(c_custkey * 7 % 360 - 180 AS DOUBLE)", "CAST(60 + c_custkey % 28 AS DOUBLE)"
-_E = 0.08181919084262149
-
-
-@query("m24_polar_projection", f"""
-    WITH p AS (SELECT c_custkey, radians({_LON} + 45) AS turn, radians({_LAT}) AS phi FROM customer),
-    r AS (SELECT *, tan(pi() / 4 - phi / 2) / pow((1 - {_E}::DOUBLE * sin(phi)) / (1 + {_E}::DOUBLE * sin(phi)), {_E / 2!r}::DOUBLE) * 6378137.0::DOUBLE *
-          (cos(radians(70)) / sqrt(1 - pow({_E}::DOUBLE * sin(radians(70)), 2))) / (tan(pi() / 4 - radians(70) / 2) / pow((1 - {_E}::DOUBLE * sin(radians(70))) / (1 + {_E}::DOUBLE * sin(radians(70))), {_E / 2!r}::DOUBLE)) AS rho FROM p)
-    SELECT c_custkey, round(rho * sin(turn), 3) AS x, round(-rho * cos(turn), 3) AS y FROM r""")
-def _(spark, d):
-    k = F.col("c_custkey")
-    x, y = lines.polar_stereographic((k * 7 % 360 - 180).cast("double"), (60 + k % 28).cast("double"))
-    return t(spark, d, "customer").select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
-
-
 @query("e04_status_stream", "SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def _(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
