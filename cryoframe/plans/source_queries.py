@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from ..operators import polygons as poly
 from ..operators.graph import shared_folder
-from ..sources import rasters, text
+from ..sources import rasters, shapefile, text
 from ..streaming import jobs
 from .base import PLOTS, plots, query, t
 
 
 def scratch(spark) -> str:
-    from uuid import uuid4
-
     return f"{shared_folder(spark)}/fixture-{uuid4().hex}"
 
 
@@ -101,3 +102,15 @@ def _(spark, d):
     stream = spark.readStream.schema("o_orderkey long").option("maxFilesPerTrigger", 1).parquet(folder)
     rows = jobs.run_to_table(stream, "append", scratch(spark))
     return rows.agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"))
+
+
+@query("s04_vector_layer", f"""
+    WITH {PLOTS}, r AS (SELECT zone, count(DISTINCT ring) AS rings, abs(sum(x0 * y1 - x1 * y0)) / 2 AS area FROM e GROUP BY zone)
+    SELECT zone, s_name AS name, minx, maxy, CAST(rings AS INTEGER) AS rings, area FROM plots JOIN r USING (zone) JOIN supplier ON s_suppkey = zone WHERE minx <= 600 AND maxx >= 150 AND miny <= 700 AND maxy >= 100""")
+def _(spark, d):
+    # plots with names are written as layers and read again by ranges of records, those that meet a box
+    path = f"{shared_folder(spark)}/layer-{uuid4().hex}"
+    named = plots(spark, d).join(t(spark, d, "supplier").select(F.col("s_suppkey").alias("zone"), F.col("s_name").alias("name")), "zone")
+    shapefile.write_layer(named, path, {"zone": 12, "name": 40})
+    layer = shapefile.read_layer(spark, path, (150.0, 100.0, 600.0, 700.0), range_bytes=1 << 16)
+    return layer.select(F.col("fields.zone").cast("long").alias("zone"), F.col("fields.name").alias("name"), "minx", "maxy", F.size("parts").alias("rings"), poly.area("parts").alias("area"))

@@ -205,26 +205,25 @@ def test_late_counts(spark, tmp_path):
     assert {r["start"].day: r["n"] for r in out.collect()} == {1: 2, 2: 1}
 
 
-def test_shapefile_round_trip(spark, tmp_path):
-    import struct
-
-    from cryoframe.sources.shapefile import read_layer
-
-    shapes = [[[(0.0, 0.0), (0.0, 2.0), (3.0, 2.0), (0.0, 0.0)]], [[(5.0, 5.0), (5.0, 6.0), (6.0, 6.0), (5.0, 5.0)], [(7.0, 7.0), (7.0, 8.0), (8.0, 8.0), (7.0, 7.0)]]]
-    body = b""
-    for n, rings in enumerate(shapes, 1):
-        points = [p for r in rings for p in r]
-        starts = [sum(len(r) for r in rings[:i]) for i in range(len(rings))]
-        bounds = (min(x for x, _ in points), min(y for _, y in points), max(x for x, _ in points), max(y for _, y in points))
-        record = struct.pack("<i4d2i", 5, *bounds, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
-        body += struct.pack(">ii", n, len(record) // 2) + record
-    (tmp_path / "a.shp").write_bytes(b"\0" * 100 + body)
-    field = b"name".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([6]) + b"\0" * 15
-    rows = b"".join(b" " + x.ljust(6) for x in (b"first", b"second"))
-    (tmp_path / "a.dbf").write_bytes(struct.pack("<B3sIHH", 3, b"\0\0\0", 2, 32 + 32 + 1, 7) + b"\0" * 20 + field + b"\r" + rows)
-    got = {r["n"]: r for r in read_layer(spark, str(tmp_path)).collect()}
-    assert got[0]["fields"] == {"name": "first"} and got[1]["fields"] == {"name": "second"}
-    assert [len(p) for p in got[1]["parts"]] == [4, 4] and (got[0]["maxx"], got[0]["maxy"]) == (3.0, 2.0) and got[1]["parts"][1][0]["x"] == 7.0
+def test_layers_round_trip(spark, tmp_path):
+    """Written by three tasks and read by ranges of records, with a box; null shapes, holes, blank and long values."""
+    from cryoframe.sources import shapefile
+
+    square = lambda x, w: [{"x": float(a), "y": float(b)} for a, b in ((x, 0), (x + w, 0), (x + w, w), (x, w), (x, 0))]
+    rows = [(i, [square(10 * i, 8), square(10 * i + 2, 2)[::-1]], None if i % 7 == 0 else f"näme {i}") for i in range(90)] + [(90, [], "nothing"), (91, None, None)]
+    df = spark.createDataFrame(rows, "zone int, parts array<array<struct<x:double,y:double>>>, label string").repartition(3)
+    path = f"{tmp_path}/layer"
+    assert shapefile.write_layer(df, path, {"zone": 6, "label": 12}) == 92
+    whole = shapefile.read_layer(spark, path, range_bytes=600)
+    assert whole.rdd.getNumPartitions() > 20
+    got = {int(r["fields"]["zone"]): r for r in whole.collect()}
+    assert {z: ([[p.asDict() for p in g] for g in r["parts"]], r["fields"]["label"]) for z, r in got.items()} == {z: (p, label) for z, p, label in rows[:90]}
+    assert (got[3]["minx"], got[3]["maxx"], got[3]["maxy"]) == (30.0, 38.0, 8.0)
+    boxed = {int(r["fields"]["zone"]) for r in shapefile.read_layer(spark, path, (95.0, 1.0, 130.0, 2.0)).collect()}
+    assert boxed == {9, 10, 11, 12, 13}
+    assert shapefile.write_layer(df.limit(0), f"{tmp_path}/none", {"zone": 6}) == 0 and shapefile.read_layer(spark, f"{tmp_path}/none").collect() == []
+    with pytest.raises(Exception, match="longer"):
+        shapefile.write_layer(df, f"{tmp_path}/short", {"label": 3})
 
 
 def test_quantiles_match_numpy(spark):
