@@ -119,7 +119,9 @@ class LayerReader(DataSourceReader):
                     out.append(RecordRange(path[:-4], a, b - a, int(begins[a]), int(ends[b - 1])))
         return out
 
-    def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RecordRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no layer has records
+            return
         system, _ = fs.FileSystem.from_uri(self.path)
         with system.open_input_file(f"{partition.file}.shp") as file:
             content = file.read_at(partition.stop - partition.start, partition.start)
