@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import distance, paths, polygons as poly, raster, spatial as op
+from ..operators import bookkeeping as books, distance, edges as edge, paths, polygons as poly, raster, spatial as op
 from ..operators.graph import cut
-from .base import LATTICE, lattice, query
+from .base import LATTICE, PLOTS, held, lattice, plots, query, t
 from .shape_queries import _STEEP
+from .spatial_queries import _NEAR, _TOUCH
 
 _NEAR8 = "abs(a.k // 10 - b.k // 10) <= 1 AND abs(a.k % 10 - b.k % 10) <= 1 AND a.k <> b.k"
 _NEAR4 = "abs(a.k // 10 - b.k // 10) + abs(a.k % 10 - b.k % 10) = 1"
@@ -115,3 +116,37 @@ _WALK = f"""nb AS (SELECT a.k, list(b.k ORDER BY b.k) AS near FROM low a JOIN lo
 def _(spark, d):
     cells = _labelled(lattice(spark, d).where("z < 120")).withColumn("id", F.col("row") * 10 + F.col("col"))
     return paths.grown_batches(cells, "figure", 20)
+
+
+_WIDE = lambda sql: sql.replace("// 10", "// 100").replace("% 10", "% 100")
+
+
+@query("p12_region_orchestration", f"""
+    WITH RECURSIVE {PLOTS}, objects AS (SELECT (j + 5) * 100 + i + 5 AS k, i * 40.0::DOUBLE AS minx, j * 40.0::DOUBLE AS miny, i * 40.0::DOUBLE + 40 AS maxx, j * 40.0::DOUBLE + 40 AS maxy FROM (SELECT unnest(range(-3, 32)) AS i) a, (SELECT unnest(range(-3, 32)) AS j) b),
+    m AS (SELECT z.zone AS dem, o.k, bool_or({_TOUCH}) OR {held('o.minx', 'o.miny')} AS meets FROM objects o JOIN plots z ON {_NEAR} JOIN e ON e.zone = z.zone GROUP BY z.zone, o.k),
+    cover AS (SELECT dem, k FROM m WHERE meets), done AS (SELECT DISTINCT (c_custkey // 28 % 28 + 5) * 100 + c_custkey % 28 + 5 AS k FROM customer WHERE c_acctbal < 0),
+    low AS (SELECT DISTINCT k FROM cover WHERE k NOT IN (SELECT k FROM done)), {_WIDE(_figures('low', 'fig'))}, {_WIDE(_WALK.format(most=20))},
+    jobs AS (SELECT id AS k, CAST(dense_rank() OVER (ORDER BY region, batch) - 1 AS INTEGER) AS job FROM grown)
+    SELECT dem, count(*) AS grids, count(job) AS open, count(job) = 0 AS unneeded, min(job) AS first_job, count(DISTINCT job) AS jobs, CASE WHEN count(job) = 0 THEN 'done' WHEN count(job) < count(*) THEN 'working' ELSE 'notYet' END AS state
+    FROM cover LEFT JOIN jobs USING (k) GROUP BY dem""")
+def _(spark, d):
+    # Which scenes' footprints meet which grids of 40 by 40
+    scenes = plots(spark, d).select(F.col("zone").alias("dem"), "parts", "minx", "miny", "maxx", "maxy")
+    spot = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / 40), F.floor(F.col(hi) / 40)))
+    grids = scenes.withColumn("col", spot("minx", "maxx")).withColumn("row", spot("miny", "maxy")).select("row", "col").distinct()
+    x, y = F.col("col") * 40.0, F.col("row") * 40.0
+    boxes = grids.select(((F.col("row") + 5) * 100 + F.col("col") + 5).alias("k"), x.alias("minx"), y.alias("miny"), (x + 40).alias("maxx"), (y + 40).alias("maxy")).select("k", poly.box().alias("parts"))
+    cover = cut(edge.meeting(scenes, boxes, ["dem"], ["k"], 40.0).select("dem", "k"))
+    # Grids that are not done
+    c = F.col("c_custkey")
+    done = t(spark, d, "customer").where("c_acctbal < 0").select(((F.expr("c_custkey div 28") % 28 + 5) * 100 + c % 28 + 5).alias("k")).distinct()
+    left = books.remaining(cover.select("k").distinct(), [done], "k")
+    # Batches that hang together become jobs
+    cells = left.select(F.col("k").alias("id"), F.floor(F.col("k") / 100).alias("row"), F.pmod("k", F.lit(100)).alias("col"))
+    batches = cut(paths.grown_batches(op.components_on_lattice(cells, raster.EIGHT), "region", 20))
+    numbers = books.chunks(batches.select("region", "batch").distinct(), ["region", "batch"], 1)
+    jobs = batches.join(numbers, ["region", "batch"]).select(F.col("id").alias("k"), F.col("job").cast("int").alias("job"))
+    # State of each scene by its grids; J17: a scene is unneeded if all of them are done
+    state = cover.join(jobs, "k", "left").groupBy("dem").agg(F.count("*").alias("grids"), F.count("job").alias("open"), F.min("job").alias("first_job"), F.count_distinct("job").alias("jobs"))
+    state = state.join(books.unneeded(cover, "dem", "k", done).withColumn("unneeded", F.lit(True)), "dem", "left").withColumn("unneeded", F.coalesce("unneeded", F.lit(False)))
+    return state.withColumn("state", F.when(F.col("open") == 0, "done").when(F.col("open") < F.col("grids"), "working").otherwise("notYet"))

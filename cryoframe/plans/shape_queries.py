@@ -132,20 +132,6 @@ def _(spark, d):
     return books.unneeded(cover, "dem", "grid", done)
 
 
-@query("p12_region_orchestration", f"""
-    WITH {_COVER}, open_ AS (SELECT grid, CAST((row_number() OVER (ORDER BY grid) - 1) // 20 AS BIGINT) AS job FROM (SELECT DISTINCT grid FROM cover WHERE grid NOT IN (SELECT grid FROM done)))
-    SELECT dem, count(*) AS grids, count(o.grid) AS open, count(o.grid) = 0 AS unneeded, min(job) AS first_job, count(DISTINCT job) AS jobs,
-           CASE WHEN count(o.grid) = 0 THEN 'done' WHEN count(o.grid) < count(*) THEN 'working' ELSE 'notYet' END AS state
-    FROM cover c LEFT JOIN open_ o ON o.grid = c.grid GROUP BY dem""")
-def _(spark, d):
-    cover, done = _cover(spark, d)
-    jobs = books.chunks(books.remaining(cover.select("grid").distinct(), [done], "grid"), ["grid"], 20)
-    flagged = cover.join(jobs, "grid", "left")
-    state = flagged.groupBy("dem").agg(F.count("*").alias("grids"), F.count("job").alias("open"), F.min("job").alias("first_job"), F.count_distinct("job").alias("jobs"))
-    state = state.join(books.unneeded(cover, "dem", "grid", done).withColumn("unneeded", F.lit(True)), "dem", "left").withColumn("unneeded", F.coalesce("unneeded", F.lit(False)))
-    return state.withColumn("state", F.when(F.col("open") == 0, "done").when(F.col("open") < F.col("grids"), "working").otherwise("notYet"))
-
-
 @query("p01_grid_mosaic", f"""
     WITH {OBS}, ref AS (SELECT pixel, median(z) AS m FROM obs GROUP BY pixel),
     masked AS (SELECT o.pixel, o.d, CASE WHEN o.flag <> 'click' AND o.event_id % 4 <> 1 AND coalesce(abs(o.z - r.m) <= 150, true) AND o.pixel % 13 <> 5 THEN o.z END AS z FROM obs o JOIN ref r USING (pixel)),
