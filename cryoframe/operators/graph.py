@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def in_few(df: DataFrame, each: int) -> DataFrame:
+    """``df`` in at most ``each`` partitions for every core, for a table that is written: files of many more cost more than they carry."""
+    return df.coalesce(each * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the session's shared checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    return in_few(df, 8).checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or os.path.join(tempfile.gettempdir(), "cryoframe-checkpoints")).rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, each: int = 4) -> DataFrame:
     """Cut the lineage by a table written in the session's shared folder.
 
     A checkpointed table hands on the size that was guessed for its plan, and guesses for joins are products: in a
@@ -34,7 +39,7 @@ def written(df: DataFrame) -> DataFrame:
     table has the size of its files.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
-    df.write.parquet(path)
+    in_few(df, each).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,7 +54,7 @@ def followed(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         ahead = state.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("low").alias("beyond"), F.col("off").alias("more"))
         smaller = F.col("beyond") < F.col("low")
         moved = written(
-            state.join(ahead, "next").select("id", F.col("after").alias("next"), F.least("low", "beyond").alias("low"), F.when(smaller, F.col("more") + (1 << step)).otherwise(F.col("off")).alias("off"), smaller.alias("new"))
+            state.join(ahead, "next").select("id", F.col("after").alias("next"), F.least("low", "beyond").alias("low"), F.when(smaller, F.col("more") + (1 << step)).otherwise(F.col("off")).alias("off"), smaller.alias("new")), 2
         )
         state = moved.drop("new")
         if moved.where("new").isEmpty():
@@ -67,22 +72,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by_id: in
     and repeated edges are allowed; rows with a null end are ignored.  An empty table gives an empty table.
     """
     ends = edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src is not null and dst is not null")
-    edges = written(ends.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    edges = written(ends.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), 2)
     loops = edges.where("src = dst").select(F.col("src").alias("vertex")).distinct()
     edges = edges.where("src <> dst")
     placed, step = None, 0
     while not edges.isEmpty():
         if step == max_rounds:
             raise RuntimeError("connected components did not converge")
-        moved = written(_moves(edges, step, step < by_id))
+        moved = written(_moves(edges, step, step < by_id), 2)
         left, right = moved.select(F.col("v").alias("src"), F.col("m").alias("a")), moved.select(F.col("v").alias("dst"), F.col("m").alias("b"))
         pairs = edges.join(left, "src").join(right, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-        edges = written(pairs.where("src <> dst").distinct())
+        edges = written(pairs.where("src <> dst").distinct(), 2)
         if placed is None:
             placed = moved.select(F.col("v").alias("vertex"), F.col("m").alias("at"))
         else:
             onward = moved.select(F.col("v").alias("at"), F.col("m").alias("next"))
-            placed = written(placed.join(onward, "at", "left").select("vertex", F.coalesce("next", "at").alias("at")))
+            placed = written(placed.join(onward, "at", "left").select("vertex", F.coalesce("next", "at").alias("at")), 2)
         step += 1
     if placed is None:
         return loops.select("vertex", F.col("vertex").alias("component"))
