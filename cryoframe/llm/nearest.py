@@ -5,8 +5,8 @@ walks all trees through one shared priority queue, best margin first, until the
 hold enough rows, and is ranked exactly against the rows of those leaves.  How many are enough is
 measured on the table itself: exact neighbours of ``HELD_OUT`` queries are found by comparing them with
 all rows, and the leaves that hold them say how far the queue must be walked to meet the asked share.
-A row lies in one leaf of every tree and is compared as often as it is met; where that would take as many
-comparisons as there are rows, the forest is left and each query is compared with every row once.
+A row lies in one leaf of every tree and is compared as often as it is met; no query opens fewer than ``OPENED``
+rows so counted, which in a table of few rows are all of them.
 Leaves are cut into chunks of bounded size by their counted number of rows, so that no task holds a whole
 hot leaf, and equal vectors are one entry that keeps as many of its smallest ids as an answer can need.
 
@@ -20,6 +20,7 @@ queries for the measurement.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .shared import bounded, cut
 
 CHUNK, ASKED = 4096, 16_384
-#: Tables of at most so many different vectors are searched completely, and so are at most ``HELD_OUT`` queries.
-COMPLETE, HELD_OUT = 32_000, 256
+#: Queries that the search is measured on, and the least rows that any query opens, a row counted in every leaf that holds it.
+HELD_OUT, OPENED = 256, 12_800
 #: Least and greatest number of vectors that trees are grown on; between them a fiftieth of the table.
 LEAST, MOST = 20_000, 200_000
 
@@ -90,21 +91,28 @@ class Forest:
             out[:, t] = -1 - at
         return out
 
-    def search(self, query: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
-        """Leaves in the order of the shared queue until they hold ``enough`` rows."""
+    def walk(self, query: np.ndarray) -> Iterator[int]:
+        """Leaves of all trees in the order of the shared queue."""
         margin = self.normal @ query - self.offset
         queue = [(-np.inf, root) for root in self.roots]
-        opened: list[int] = []
-        held = 0
-        while queue and held < enough:
+        while queue:
             worst, node = heapq.heappop(queue)
             while node >= 0:
                 m = margin[node]
                 near, far = (1, 0) if m >= 0 else (0, 1)
                 heapq.heappush(queue, (max(worst, abs(m)), int(self.child[far, node])))
                 node = int(self.child[near, node])
-            opened.append(-1 - node)
-            held += sizes[-1 - node]
+            yield -1 - node
+
+    def search(self, query: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
+        """Leaves in the order of the shared queue until they hold ``enough`` rows."""
+        opened: list[int] = []
+        held = 0
+        for leaf in self.walk(query):
+            opened.append(leaf)
+            held += sizes[leaf]
+            if held >= enough:
+                break
         return opened
 
 
@@ -135,19 +143,28 @@ def _ranked(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.concatenate(q_at), np.concatenate(r_at), np.concatenate(far)
 
 
-def _enough(forest: Forest, sizes: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], limit: int, recall: float) -> int:
-    """Rows to open so that the share ``recall`` of known neighbours is met, at most ``limit``.
+def _enough(forest: Forest, sizes: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], recall: float) -> int:
+    """Rows to open so that the share ``recall`` of known neighbours is met.
 
-    ``near`` has each query's vector and its neighbours' leaves, one column for each tree.
+    ``near`` has each query's vector and its neighbours' leaves, one column for each tree; a query is walked until all of its are met.
     """
-    needed = []
+    needed: list[int] = []
     for query, leaves in near:
-        opened = forest.search(query, sizes, limit)
-        before = np.full(len(sizes), limit, np.int64)
-        before[opened] = np.cumsum(sizes[opened]) - sizes[opened]
-        needed.extend(before[leaves].min(axis=1).tolist())
+        holds: dict[int, list[int]] = {}
+        for i, row in enumerate(leaves.tolist()):
+            for x in row:
+                holds.setdefault(x, []).append(i)
+        missing, held = set(range(len(leaves))), 0
+        for leaf in forest.walk(query):
+            for i in holds.get(leaf, ()):
+                if i in missing:
+                    missing.remove(i)
+                    needed.append(held + 1)
+            if not missing:
+                break
+            held += int(sizes[leaf])
     needed.sort()
-    return min(limit, needed[max(0, int(np.ceil(recall * len(needed))) - 1)] + 1) if needed else limit
+    return needed[max(0, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
 
 
 def _known(indexed: DataFrame, asked: np.ndarray, ids: list[int], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -178,7 +195,7 @@ def _known(indexed: DataFrame, asked: np.ndarray, ids: list[int], k: int) -> lis
 
 def nearest_neighbours(
     vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding",
-    k: int = 10, trees: int = 16, leaf: int = 256, search: int | None = None, sample: int | None = None, recall: float = 0.95,
+    k: int = 10, trees: int = 16, leaf: int = 256, search: int | None = None, sample: int | None = None, recall: float = 0.95, complete: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest rows found for each query row: ``query_id, rank, vec_id, score``.
 
@@ -187,10 +204,8 @@ def nearest_neighbours(
 
     Each query is compared with the rows of the leaves it opens until these hold ``search`` rows, a row
     counted in every leaf that holds it.  Without ``search`` it is the least number that finds the share
-    ``recall`` of the exact neighbours of up to ``HELD_OUT`` of the queries.  If it reaches the number of
-    different vectors the search is complete, as it is without ``search`` for up to ``COMPLETE`` different
-    vectors or ``HELD_OUT`` queries; a complete search is exact.  Trees are grown on ``sample`` vectors; without
-    it on a fiftieth of the table, within ``LEAST`` and ``MOST``.
+    ``recall`` of the exact neighbours of up to ``HELD_OUT`` of the queries, and ``OPENED`` at least.  Trees are grown on ``sample``
+    vectors; without it on a fiftieth of the table, within ``LEAST`` and ``MOST``.  ``complete`` compares every query with every row, without a forest.
 
     Rows take no part, neither as query nor as candidate, if the id is null or if the vector is null,
     empty, all zero, holds null or non-finite components or has not the commonest length.  Rows that
@@ -236,7 +251,7 @@ def nearest_neighbours(
         return indexed, counts
 
     grown, enough = one_leaf, total
-    if search is None and total > COMPLETE and n_queries > HELD_OUT or search is not None and search < total:
+    if not complete and total:
         sample = sample or min(MOST, max(LEAST, total // 50))
         drawn = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toPandas()["v"]
         grown = Forest(np.array(drawn.tolist(), np.float32).reshape(-1, dim), trees, max(8, leaf * len(drawn) // total))
@@ -245,11 +260,8 @@ def nearest_neighbours(
         enough = search
         if search is None:
             asked = queries.orderBy(F.xxhash64("qid", "q"), "qid", "q").limit(HELD_OUT).toPandas()
-            near = _known(indexed, np.array(asked["q"].tolist()), asked["qid"].tolist(), k)
-            enough = _enough(grown, counts, near, total, recall)
-        if enough >= total:
-            grown = one_leaf
-            indexed, counts = indexed_by(grown)
+            near = _known(indexed, np.array(asked["q"].tolist()), asked["qid"].tolist(), k) if len(asked) else []
+            enough = max(OPENED, _enough(grown, counts, near, recall))
     forest, sizes = spark.sparkContext.broadcast(grown), spark.sparkContext.broadcast(counts)
 
     def walk(batches):

@@ -22,7 +22,7 @@ def exact(rows, k, asks):
     return out
 
 
-def test_small_tables_are_searched_completely(spark):
+def test_small_tables_have_all_leaves_opened(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
     rows += [(400 + i, rows[5][1]) for i in range(40)] + [(0, rows[0][1])]
@@ -81,16 +81,18 @@ def recall_of(got, vectors, step):
     return sum(hits) / len(hits)
 
 
-def test_a_search_of_as_many_rows_as_the_table_is_exact(spark, tmp_path):
+def test_a_search_of_all_leaves_and_a_complete_one_are_exact(spark, tmp_path):
     df, vectors = gaussian(spark, tmp_path / "v", 4000, 32)
-    assert recall_of(nearest_neighbours(df, F.col("vec_id") % 40 == 0, search=4000, sample=1000), vectors, 40) == 1.0
+    asks = F.col("vec_id") % 40 == 0
+    assert recall_of(nearest_neighbours(df, asks, search=16 * 4000, sample=1000), vectors, 40) == 1.0
+    assert recall_of(nearest_neighbours(df, asks, complete=True), vectors, 40) == 1.0
 
 
 def test_the_search_grows_with_the_table(spark, tmp_path, monkeypatch):
-    df, vectors = gaussian(spark, tmp_path / "v", 90_000, 64)
+    df, vectors = gaussian(spark, tmp_path / "v", 60_000, 64)
     assert recall_of(nearest_neighbours(df, F.col("vec_id") % 200 == 0, sample=5000), vectors, 200) >= 0.9
-    # Vectors in a plane have near neighbours: the forest is kept, and opens as little as meets the share.
-    monkeypatch.setattr("cryoframe.llm.nearest.COMPLETE", 1000)
+    # Vectors in a plane have near neighbours: the forest opens as little as meets the share.
+    monkeypatch.setattr("cryoframe.llm.nearest.OPENED", 10)
     df, vectors = gaussian(spark, tmp_path / "p", 20_000, 2)
     assert 0.9 <= recall_of(nearest_neighbours(df, F.col("vec_id") % 50 == 0, leaf=16, trees=2), vectors, 50) < 1.0
 
