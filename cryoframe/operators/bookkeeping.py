@@ -143,3 +143,27 @@ def located(numbers: DataFrame, number: str, files: DataFrame, n: str) -> DataFr
     """File and local position of each global number, from files with their offset ``first``."""
     ends = files.withColumn("_end", F.col("first") + F.col(n))
     return in_intervals(numbers, number, ends, "first", "_end").withColumn("local", F.col(number) - F.col("first")).drop("_end")
+
+
+def task_levels(tasks: DataFrame, needs: DataFrame, max_levels: int = 10_000) -> DataFrame:
+    """``task, level``: 0 for tasks that need none of the others, else one more than the greatest level of what they need (``task, needs``).
+
+    Level by level, all tasks that need one of the last level move up, until none does; needs in a ring raise an error.
+    Needs that are no tasks hold nothing up.
+    """
+    from .graph import written
+
+    links = written(needs.join(tasks.select(F.col("task").alias("needs")).distinct(), "needs", "left_semi").select("task", "needs").distinct())
+    level = written(tasks.select("task").distinct().join(links, "task", "left_anti"), 2)
+    levels = [level.withColumn("level", F.lit(0))]
+    for n in range(1, max_levels):
+        level = written(links.join(level.withColumnRenamed("task", "needs"), "needs").select("task").distinct(), 2)
+        if level.isEmpty():
+            break
+        levels.append(level.withColumn("level", F.lit(n)))
+    else:
+        raise RuntimeError("tasks need each other in a ring")
+    out = levels[0]
+    for part in levels[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("task").agg(F.max("level").alias("level"))

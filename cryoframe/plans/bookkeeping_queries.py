@@ -335,12 +335,13 @@ def _(spark, d):
 
 
 @query("e06_task_levels", """
-    WITH RECURSIVE dep(task, needs) AS (VALUES ('segment', 'dem_diff'), ('hillshade_line', 'headwall_grid'), ('headwall_grid', 'mosaic'), ('dem_diff', 'mosaic')),
-    level AS (SELECT 'mosaic' AS task, 0 AS n UNION ALL SELECT d.task, l.n + 1 FROM dep d JOIN level l ON l.task = d.needs) SELECT task, CAST(max(n) AS INTEGER) AS level FROM level GROUP BY task""")
+    WITH RECURSIVE dep AS (SELECT p_partkey AS task, p_partkey // 3 AS needs FROM part WHERE p_partkey >= 3 UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey % 5 = 0 AND p_partkey >= 2),
+    level AS (SELECT p_partkey AS task, 0 AS n FROM part WHERE p_partkey NOT IN (SELECT task FROM dep) UNION SELECT d.task, l.n + 1 FROM dep d JOIN level l ON l.task = d.needs)
+    SELECT task, CAST(max(n) AS INTEGER) AS level FROM level GROUP BY task""")
 def _(spark, d):
-    return spark.sql("""
-        WITH RECURSIVE dep(task, needs) AS (SELECT * FROM VALUES ('segment', 'dem_diff'), ('hillshade_line', 'headwall_grid'), ('headwall_grid', 'mosaic'), ('dem_diff', 'mosaic')),
-        level(task, n) AS (SELECT 'mosaic', 0 UNION ALL SELECT d.task, l.n + 1 FROM dep d JOIN level l ON l.task = d.needs) SELECT task, max(n) AS level FROM level GROUP BY task""")
+    tasks = t(spark, d, "part").select(F.col("p_partkey").alias("task"))
+    needs = tasks.where("task >= 3").select("task", F.expr("task div 3").alias("needs")).unionByName(tasks.where("task % 5 = 0 and task >= 2").select("task", F.expr("task div 2").alias("needs")))
+    return op.task_levels(tasks, needs)
 
 
 @query("e10_quarantine", "SELECT l_orderkey AS scene, count(*) AS n, count(*) <> 4 AS incomplete FROM lineitem GROUP BY l_orderkey")

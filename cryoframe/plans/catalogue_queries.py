@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as op
 from ..operators.bookkeeping import numbered
-from .base import CATALOGUE, IMG, NAMES, OBJECTS, OBS, catalogue, img, names, objects, obs, query, t
+from .base import CATALOGUE, catalogue, IMG, img, NAMES, names, OBJECTS, objects, OBS, obs, PLOTS, plots, query, t
 
 
 def _base():
@@ -35,12 +35,15 @@ def _(spark, d):
     return t(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,long>")).alias("key", "value")).where("value is not null")
 
 
-@query("s14_colour_table", "SELECT * FROM (VALUES (0.0::DOUBLE, 0, 0, 128, 255, 'low'), (100.0::DOUBLE, 0, 200, 255, 255, 'mid'), (500.0::DOUBLE, 255, 0, 0, 255, 'high')) v(value, r, g, b, alpha, label)")
+@query("s14_colour_table", "SELECT CAST(p_partkey AS DOUBLE) / 2 AS value, p_size * 5 AS r, CAST(p_partkey % 256 AS INTEGER) AS g, CAST(p_partkey * 7 % 256 AS INTEGER) AS b, 255 AS alpha, p_brand AS label FROM part")
 def _(spark, d):
     from ..sources.text import parse_colour_table
+    from .source_queries import written_lines
 
-    lines = ["# colours", "INTERPOLATION:INTERPOLATED", "0,0,0,128,255,low", "100,0,200,255,255,mid", "500,255,0,0,255,high", "nv,0,0,0,0,nodata"]
-    return parse_colour_table(spark.createDataFrame([(x,) for x in lines], "value string")).where("not nodata").drop("nodata")
+    k = F.col("p_partkey")
+    colours = F.concat_ws(",", F.format_string("%.1f", k / 2), (F.col("p_size") * 5).cast("string"), (k % 256).cast("string"), (k * 7 % 256).cast("string"), F.lit("255"), F.concat(F.lit(" "), "p_brand"))
+    line = F.explode(F.array(F.concat(F.lit("# part "), k.cast("string")), F.lit("INTERPOLATION:INTERPOLATED"), colours, F.lit("nv,0,0,0,0,nodata")))
+    return parse_colour_table(written_lines(t(spark, d, "part").select(line.alias("value")))).where("not nodata").drop("nodata")
 
 
 @query("s15_band_triples", f"WITH {IMG} SELECT image, event_id, CASE band WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS position, v FROM img WHERE band IN ('view', 'click', 'purchase')")
@@ -132,9 +135,14 @@ def _(spark, d):
 
 @query("s32_known_footprints", "SELECT l_orderkey AS scene, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY l_orderkey HAVING count(*) >= 3")
 def _(spark, d):
-    excluded = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("scene"))
+    from ..sources.text import parse_excluded_scenes
+    from .source_queries import written_lines
+
+    name = F.format_string("scene%08d", F.col("o_orderkey"))
+    line = F.explode(F.array(F.concat(F.lit(" "), name), F.concat(F.lit("#"), name), F.lit("x")))
+    excluded = parse_excluded_scenes(written_lines(t(spark, d, "orders").where("o_orderstatus = 'P'").select(line.alias("value"))))
     n = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("scene")).agg(F.count("*").alias("n")).where("n >= 3")
-    return n.join(excluded, "scene", "left_anti")
+    return n.join(excluded.select(F.substring("scene", 6, 8).cast("long").alias("scene")), "scene", "left_anti")
 
 
 @query("s33_seasonal_loop", f"""
@@ -376,7 +384,11 @@ def _(spark, d):
     return o.join(side(1, "a"), "base", "left").join(side(2, "b"), "base", "left").select("base", F.coalesce((F.col("a") == 1) & (F.col("b") == 1), F.lit(False)).alias("complete"))
 
 
-@query("j24_parameter_grid", """
-    SELECT CAST(az AS INTEGER) AS az, CAST(rg AS INTEGER) AS rg, CAST(fl AS INTEGER) AS fl FROM (SELECT unnest([1, 2, 3, 4, 5]) AS az) a, (SELECT unnest([1, 2, 3, 4, 5]) AS rg) b, (SELECT unnest([8, 16, 32, 64, 128]) AS fl) c WHERE az <= rg""")
+@query("j24_parameter_grid", f"""
+    WITH {PLOTS} SELECT zone, CAST(az AS INTEGER) AS az, CAST(rg AS INTEGER) AS rg, CAST(fl AS INTEGER) AS fl FROM plots, (SELECT unnest([1, 2, 3, 4, 5]) AS az) a, (SELECT unnest([1, 2, 3, 4, 5]) AS rg) b, (SELECT unnest([8, 16, 32, 64, 128]) AS fl) c
+    WHERE az <= rg AND fl * az <= maxx - minx AND fl * rg <= maxy - miny""")
 def _(spark, d):
-    return op.parameter_grid(spark, {"az": [1, 2, 3, 4, 5], "rg": [1, 2, 3, 4, 5], "fl": [8, 16, 32, 64, 128]}, F.col("az") <= F.col("rg"))
+    # looks and filter sizes that fit into each plot; the grid of parameters is fixed and small
+    grid = op.parameter_grid(spark, {"az": [1, 2, 3, 4, 5], "rg": [1, 2, 3, 4, 5], "fl": [8, 16, 32, 64, 128]}, F.col("az") <= F.col("rg"))
+    fits = (F.col("fl") * F.col("az") <= F.col("maxx") - F.col("minx")) & (F.col("fl") * F.col("rg") <= F.col("maxy") - F.col("miny"))
+    return plots(spark, d).crossJoin(F.broadcast(grid)).where(fits).select("zone", "az", "rg", "fl")

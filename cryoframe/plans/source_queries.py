@@ -17,6 +17,13 @@ def scratch(spark) -> str:
     return f"{shared_folder(spark)}/fixture-{uuid4().hex}"
 
 
+def written_lines(lines):
+    """Lines (``value``) written as text files in the shared folder, and read again."""
+    path = scratch(lines.sparkSession)
+    lines.write.text(path)
+    return lines.sparkSession.read.text(path)
+
+
 @query("s01_pixel_window_scan", "SELECT event_id, user_id AS pixel, nullif(value, 0.0::DOUBLE) AS v FROM events WHERE user_id BETWEEN 20 AND 59")
 def _(spark, d):
     path = scratch(spark)
@@ -114,3 +121,21 @@ def _(spark, d):
     shapefile.write_layer(named, path, {"zone": 12, "name": 40})
     layer = shapefile.read_layer(spark, path, (150.0, 100.0, 600.0, 700.0), range_bytes=1 << 16)
     return layer.select(F.col("fields.zone").cast("long").alias("zone"), F.col("fields.name").alias("name"), "minx", "maxy", F.size("parts").alias("rings"), poly.area("parts").alias("area"))
+
+
+@query("e03_settled_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY ALL")
+def _(spark, d):
+    """Counts of days are handed on once a day's end is 24 hours old; files come in order, the newest last."""
+    instant = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts))")
+    events = t(spark, d, "events").select("event_id", "event_type", instant.alias("ts"))
+    folder = scratch(spark)
+    events.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).parquet(folder)
+    settled = jobs.run_to_table(jobs.settled_counts(stream, "ts", "event_type"), "append", scratch(spark))
+    return settled.select(F.expr("date_add(DATE '1970-01-01', cast(unix_seconds(start) div 86400 as int))").alias("day"), "event_type", "n")
+
+
+@query("s12_id_list", "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'")
+def _(spark, d):
+    ids = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.explode(F.array(F.concat(F.lit(" "), F.col("o_custkey").cast("string")), F.concat(F.lit("# "), F.col("o_custkey").cast("string")), F.lit(""))).alias("value"))
+    return text.parse_ids(written_lines(ids))

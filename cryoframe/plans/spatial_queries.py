@@ -226,9 +226,15 @@ def _(spark, d):
     return objects(spark, d).select("object", F.least(w, h).alias("width"), F.greatest(w, h).alias("height"), (F.least(w, h) < 2).alias("small"))
 
 
-@query("m14_regular_grid", "SELECT lpad(CAST(x.i AS VARCHAR), 5, '0') || lpad(CAST(y.j AS VARCHAR), 5, '0') AS cell_id, x.i * 20 AS minx, y.j * 20 AS miny FROM (SELECT unnest(range(0, 50)) AS i) x, (SELECT unnest(range(0, 30)) AS j) y")
+@query("m14_regular_grid", f"""
+    WITH {PLOTS}, w AS (SELECT CAST(floor(min(minx) / 20) * 20 AS BIGINT) AS x0, CAST(floor(min(miny) / 20) * 20 AS BIGINT) AS y0, max(maxx) AS x1, max(maxy) AS y1 FROM plots)
+    SELECT lpad(CAST(i AS VARCHAR), 5, '0') || lpad(CAST(j AS VARCHAR), 5, '0') AS cell_id, x0 + i * 20 AS minx, y0 + j * 20 AS miny
+    FROM (SELECT *, unnest(range(CAST(ceil((y1 - y0) / 20) AS BIGINT))) AS j FROM (SELECT *, unnest(range(CAST(ceil((x1 - x0) / 20) AS BIGINT))) AS i FROM w))""")
 def _(spark, d):
-    return op.regular_grid(spark, 0, 0, 1000, 600, 20)
+    # around all plots; their bounds are one row
+    low = lambda c: F.floor(F.min(c) / 20) * 20
+    w = plots(spark, d).agg(low("minx").alias("x0"), low("miny").alias("y0"), F.max("maxx").alias("x1"), F.max("maxy").alias("y1")).first()
+    return op.regular_grid(spark, int(w["x0"]), int(w["y0"]), int(-(-w["x1"] // 1)), int(-(-w["y1"] // 1)), 20)
 
 
 def _key_sql(level: int) -> str:
@@ -391,7 +397,7 @@ _LAB = """reach AS (
 
 @query("m18_polygonise", f"""
     WITH RECURSIVE {LATTICE}, low AS (SELECT pixel AS id, row, col FROM lattice WHERE z < 120), {_LAB}, {_SHAPES}
-    SELECT region, cells, perimeter, corners, holes, holes + 1 AS rings, CAST(cells AS DOUBLE) AS area FROM shapes""")
+    SELECT region, cells, perimeter, corners, holes, holes + 1 AS rings, corners AS drawn, CAST(cells AS DOUBLE) AS area FROM shapes""")
 def _(spark, d):
     low = lattice(spark, d).where("z < 120").select(F.col("pixel").alias("id"), "row", "col")
     regions = cut(op.components_on_lattice(low, raster.EIGHT))
@@ -401,11 +407,11 @@ def _(spark, d):
     ring = F.expr("transform(array_sort(collect_list(struct(place, x, y))), p -> struct(p.x, p.y))")
     rings = points.groupBy("region", "ring").agg(F.array(F.concat(ring, F.slice(ring, 1, 1))).alias("parts"), F.count("*").alias("n"))
     drawn = rings.groupBy("region").agg(F.count("*").alias("rings"), F.sum("n").alias("drawn"), F.abs(F.sum(poly.signed_area("parts"))).alias("area"))
-    return shapes.join(drawn, "region").where("drawn = corners").drop("drawn")
+    return shapes.join(drawn, "region")
 
 
 @query("m26_envelope_buffer", f"""
-    WITH {PLOTS} SELECT min(minx) - 30 AS minx, min(miny) - 30 AS miny, max(maxx) + 30 AS maxx, max(maxy) + 30 AS maxy FROM plots WHERE zone % 3 = 0""")
+    WITH {PLOTS} SELECT min(minx) - 30 AS minx, min(miny) - 30 AS miny, max(maxx) + 30 AS maxx, max(maxy) + 30 AS maxy FROM plots""")
 def _(spark, d):
-    p = plots(spark, d).where("zone % 3 = 0")
+    p = plots(spark, d)
     return p.agg((F.min("minx") - 30).alias("minx"), (F.min("miny") - 30).alias("miny"), (F.max("maxx") + 30).alias("maxx"), (F.max("maxy") + 30).alias("maxy"))
