@@ -130,9 +130,9 @@ _WIDE = lambda sql: sql.replace("// 10", "// 100").replace("% 10", "% 100")  # n
     SELECT dem, count(*) AS grids, count(job) AS open, count(job) = 0 AS unneeded, min(job) AS first_job, count(DISTINCT job) AS jobs, CASE WHEN count(job) = 0 THEN 'done' WHEN count(job) < count(*) THEN 'working' ELSE 'notYet' END AS state
     FROM cover LEFT JOIN jobs USING (k) GROUP BY dem""")
 def _(spark, d):
-    # Which scenes' footprints meet which grids of 40 by 40
+    # Which scenes' footprints meet which grids of 40 by 40; one that only touches bounds at its upper side counts
     scenes = plots(spark, d).select(F.col("zone").alias("dem"), "parts", "minx", "miny", "maxx", "maxy")
-    spot = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / 40), F.floor(F.col(hi) / 40)))
+    spot = lambda lo, hi: F.explode(F.sequence(F.ceil(F.col(lo) / 40) - 1, F.floor(F.col(hi) / 40)))
     grids = scenes.withColumn("col", spot("minx", "maxx")).withColumn("row", spot("miny", "maxy")).select("row", "col").distinct()
     x, y = F.col("col") * 40.0, F.col("row") * 40.0
     boxes = grids.select(((F.col("row") + 5) * 100 + F.col("col") + 5).alias("k"), x.alias("minx"), y.alias("miny"), (x + 40).alias("maxx"), (y + 40).alias("maxy")).select("k", poly.box().alias("parts"))
