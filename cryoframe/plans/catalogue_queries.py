@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as op
 from ..operators.bookkeeping import numbered
-from .base import CATALOGUE, catalogue, IMG, img, NAMES, names, OBJECTS, objects, OBS, obs, PLOTS, plots, query, t
+from .base import age_hours, CATALOGUE, catalogue, IMG, img, NAMES, names, OBJECTS, objects, OBS, obs, PLOTS, plots, query, t
 
 
 def _base():
@@ -232,7 +232,7 @@ def _(spark, d):
 
 @query("f19_age_filter", "SELECT event_id FROM events WHERE date_diff('second', ts, TIMESTAMP '2024-01-31 00:00:00') / 3600.0::DOUBLE > 24")
 def _(spark, d):
-    age = F.timestamp_diff("SECOND", F.col("ts"), F.lit("2024-01-31 00:00:00").cast("timestamp")) / 3600.0
+    age = age_hours("ts", "2024-01-31 00:00:00")
     return t(spark, d, "events").where(age > 24).select("event_id")
 
 

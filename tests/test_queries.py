@@ -44,3 +44,26 @@ def test_query(spark, folder, duck, name):
         assert _rows(got) == _rows(expected)
     else:
         assert len(got.columns)
+
+
+def _against_sql(spark, tmp_path, name, **tables):
+    """A query and its SQL over small tables of their own."""
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+        con.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    got = _rows(registry.QUERIES[name](spark, str(tmp_path)).toPandas())
+    assert got == _rows(con.sql(registry.ORACLE_SQL[name]).df())
+    return got
+
+
+def test_age_counts_whole_seconds_of_the_clock(spark, tmp_path):
+    # a day and half a second: 86,401 seconds of the clock
+    events = spark.sql("select id as event_id, timestamp_micros(1706572798000000 + id * 500000) as ts from range(5)")
+    assert len(_against_sql(spark, tmp_path, "f19_age_filter", events=events)) == 4
+
+
+def test_grids_that_only_touch_a_footprint_are_covered(spark, tmp_path):
+    # plot 45: the least x is 600, on a line of the grid
+    supplier, customer = spark.sql("select 45L as s_suppkey"), spark.sql("select 1L as c_custkey, 1D as c_acctbal")
+    _against_sql(spark, tmp_path, "p12_region_orchestration", supplier=supplier, customer=customer)
