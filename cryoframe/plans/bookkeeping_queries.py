@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bookkeeping as op
-from .base import CATALOGUE, IMG, NAMES, OBS, ZONES, catalogue, img, names, obs, query, t, zones
+from .base import CATALOGUE, IMG, NAMES, OBS, ZONES, age_hours, catalogue, img, names, obs, query, t, zones
 
 
 def _orders(spark, d, where: str):
@@ -185,7 +185,7 @@ def _(spark, d):
 
 @query("t06_remaining_work", f"SELECT event_id AS id FROM events WHERE event_id NOT IN ({_LISTS}) AND date_diff('second', ts, TIMESTAMP '2024-01-31 00:00:00') / 3600.0::DOUBLE > 24")
 def _(spark, d):
-    age = F.timestamp_diff("SECOND", F.col("ts"), F.lit("2024-01-31 00:00:00").cast("timestamp")) / 3600.0
+    age = age_hours("ts", "2024-01-31 00:00:00")
     return op.remaining(t(spark, d, "events").select(F.col("event_id").alias("id"), "ts"), _lists(spark, d), "id").where(age > 24).select("id")
 
 
