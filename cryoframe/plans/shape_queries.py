@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bookkeeping as books, distance, edges as edge, overlay, polygons as poly, raster, spatial as op
+from ..operators import bookkeeping as books, distance, overlay, polygons as poly, raster, spatial as op, windows as win
 from ..operators.graph import cut
 from .base import IMG, LATTICE, OBS, PLOTS, img, lattice, obs, plots, query, t
-from .spatial_queries import _LAB, _POINTS, _SHAPES, SIZE, _points
+from .spatial_queries import _LAB, _POINTS, _SHAPES, POINTS, SIZE, _points
 
 _QUALITY = """s AS (SELECT image, 100.0::DOUBLE * count(*) FILTER (WHERE band <> 'error') / count(*) AS valid FROM img GROUP BY image),
     ent AS (SELECT image, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS entropy FROM (SELECT image, floor(v / 25) AS v, count(*) AS n FROM img WHERE v IS NOT NULL GROUP BY ALL) GROUP BY image)"""
@@ -115,7 +115,7 @@ def _(spark, d):
 
 @query("k14_clip_per_grid", f"{_POINTS} SELECT zone, object FROM inside")
 def _(spark, d):
-    return edge.points_in(_points(spark, d), plots(spark, d), SIZE).select("zone", "object")
+    return win.points_held(_points(spark, d), plots(spark, d), ["object"], ["zone"], POINTS).select("zone", "object")
 
 
 _COVER = "cover AS (SELECT DISTINCT l_suppkey AS dem, l_orderkey AS grid FROM lineitem), done AS (SELECT o_orderkey AS grid FROM orders WHERE o_orderstatus <> 'F' OR o_custkey % 1000 < 999)"
