@@ -8,16 +8,21 @@ is gathered: edges meet by lattice cells, pieces are rows, and rings are followe
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .edges import cell_of, dealt, edge_cells, edge_rows, index, inside, points_in
+from .edges import SHIFT_X, SHIFT_Y, dealt, edge_cells, inside, points_in, spans
 from .graph import followed, written
-from .polygons import edges, signed_area, with_bounds
+from .polygons import _cross, edges, signed_area, with_bounds
 
 #: Decimals that coordinates keep in an overlay.
 DIGITS = 6
+#: Cells in which more edges than this meet are quartered, this often at most.
+MOST, DEPTH = 48, 8
+CELL = ["level", "cx", "cy"]
+_SIDED = "struct<n:int,x0:double,y0:double,x1:double,y1:double,px:double,py:double>"
 
 
 def snapped(polygons: DataFrame, digits: int = DIGITS, parts: str = "parts") -> DataFrame:
@@ -26,11 +31,85 @@ def snapped(polygons: DataFrame, digits: int = DIGITS, parts: str = "parts") ->
     return polygons.withColumn(parts, F.expr(f"transform({parts}, g -> transform(g, p -> {point}))"))
 
 
+def _corner(level: str, size: float, cx: str = "cx", cy: str = "cy") -> tuple[str, str]:
+    """SQL: the lower left corner of a cell; each level halves the cells of the one before."""
+    return f"(({cx} / pow(2D, {level}) + {SHIFT_X}D) * {size}D)", f"(({cy} / pow(2D, {level}) + {SHIFT_Y}D) * {size}D)"
+
+
+def _quarters(cells: DataFrame, keys: list[str], level: int, size: float) -> DataFrame:
+    """Rows of cells in rows of their quarters, each with the edges there, cut to it, and its own corner."""
+    at, side, slack = _corner(f"{level}", size), size / 2.0 ** (level + 1), 1e-9 * size
+    low = {"x": f"({at[0]} + _i * {side}D)", "y": f"({at[1]} + _j * {side}D)"}
+    rows = cells.withColumn("_q", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])))
+    rows = rows.select(*keys, "cx", "cy", "edges", "corner", F.col("_q.i").alias("_i"), F.col("_q.j").alias("_j"))
+    rows = rows.withColumns({"_c": F.expr(inside(low["x"], low["y"], size, at=at)), "_x": F.expr(low["x"]), "_y": F.expr(low["y"])})
+    # the shares of an edge between which it lies in the quarter
+    ends = [f"(({f'_{c}'} {edge}) - e.{c}0) / nullif(e.{c}1 - e.{c}0, 0D)" for c in "xy" for edge in (f"- {slack}D", f"+ {side + slack}D")]
+    level_ = {c: f"(e.{c}0 = e.{c}1 and e.{c}0 not between _{c} - {slack}D and _{c} + {side + slack}D)" for c in "xy"}
+    first = f"greatest(0D, least({ends[0]}, {ends[1]}), least({ends[2]}, {ends[3]}))"
+    last = f"least(1D, greatest({ends[0]}, {ends[1]}), greatest({ends[2]}, {ends[3]}))"
+    shares = f"transform(edges, e -> struct(e, if({level_['x']} or {level_['y']}, 2D, {first}) as a, {last} as b))"
+    cut = f"transform(filter({shares}, s -> s.a <= s.b), s -> struct(s.e.n as n, s.e.x0 as x0, s.e.y0 as y0, s.e.x1 as x1, s.e.y1 as y1, s.e.x0 + (s.a + s.b) / 2 * (s.e.x1 - s.e.x0) as px, s.e.y0 + (s.a + s.b) / 2 * (s.e.y1 - s.e.y0) as py))"
+    rows = rows.select(*keys, (2 * F.col("cx") + F.col("_i")).alias("cx"), (2 * F.col("cy") + F.col("_j")).alias("cy"), F.expr(cut).alias("edges"), F.col("_c").alias("corner"))
+    return rows.where("corner or size(edges) > 0")
+
+
+def open_cells(rows: DataFrame, group: list[str], size: float, most: int = MOST, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``group, member, level, cx, cy, edges, corner`` of the cells that no member of a group covers; ``group, member, cover`` of the others, with a member that covers the cell.
+
+    ``rows`` are numbered edges ``group, member, n, x0, y0, x1, y1``.  What lies in a covered cell lies inside the union, whatever it
+    meets there.  An open cell with more than ``most`` edges is quartered, and its quarters are looked at in the same way: so edges that
+    pile up inside a union are left out before any two of them are compared, and those at its border meet few others.
+    """
+    keys = [*group, "member"]
+    on = edge_cells(rows, size).select(*keys, "cx", "cy", F.struct("n", "x0", "y0", "x1", "y1", "px", "py").alias("e"), F.lit(False).alias("corner"))
+    inner = spans(rows, keys, size, (SHIFT_X, SHIFT_Y)).select(*keys, F.explode(F.sequence("c0", "c1")).alias("cx"), "cy", F.lit(None).cast(_SIDED).alias("e"), F.lit(True).alias("corner"))
+    cells = dealt(on.unionByName(inner), *group, "cx", "cy", "member").groupBy(*keys, "cx", "cy").agg(F.collect_list("e").alias("edges"), F.max("corner").alias("corner"))
+    found, covered = [], []
+    for level in range(depth + 1):
+        cells = written(cells)
+        covers = F.expr("size(edges) = 0 and corner")
+        state = cells.groupBy(*group, "cx", "cy").agg(F.min(F.when(covers, F.col("member"))).alias("cover"), F.sum(F.size("edges")).alias("_n"))
+        cells = written(cells.join(state, [*group, "cx", "cy"]))
+        covered.append(cells.where("cover is not null").select(*keys, "cover"))
+        split = F.lit(False) if level == depth else F.col("_n") > most
+        left = cells.where("cover is null")
+        found.append(left.where(~split).select(*keys, F.lit(level).alias("level"), "cx", "cy", "edges", "corner"))
+        left = left.where(split)
+        if level == depth or left.isEmpty():
+            break
+        cells = _quarters(left, keys, level, size)
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, covered).distinct()
+
+
+def _numbered(polygons: DataFrame, keys: list[str], parts: str) -> DataFrame:
+    """Edges ``keys, n, x0, y0, x1, y1`` of some length, numbered within their polygon."""
+    rows = polygons.select(*keys, F.posexplode(edges(parts)).alias("n", "e")).select(*keys, "n", "e.*").where("x0 <> x1 or y0 <> y1")
+    return written(dealt(rows, *keys, "n"))
+
+
+def touching(polygons: DataFrame, key: str, size: float, parts: str = "parts") -> DataFrame:
+    """Pairs ``a, b`` of polygons that share a point, borders included, so many that what hangs together by all such pairs hangs together by these; each polygon is paired with the first of those equal to it.
+
+    All that a covered cell holds meets the polygon that covers it; pairs are tested in open cells alone (:func:`open_cells`).
+    """
+    same = polygons.groupBy(parts).agg(F.min(key).alias("member"))
+    cells, covered = open_cells(_numbered(same, ["member"], parts), [], size)
+    other = cells.select(*CELL, F.col("member").alias("o_member"), F.col("edges").alias("_re"), F.col("corner").alias("_rc"))
+    pairs = dealt(cells, *CELL).join(other, CELL).where("member < o_member")
+    at = _corner("level", size)
+    holds = lambda own, e, c: f"exists({own}, e -> {inside('e.px', 'e.py', size, e, c, at)})"
+    meets = f"(corner and _rc) or exists(edges, e -> exists(_re, f -> {_cross()})) or {holds('edges', '_re', '_rc')} or {holds('_re', 'edges', 'corner')}"
+    met = pairs.where(F.expr(meets)).select(F.col("member").alias("a"), F.col("o_member").alias("b"))
+    own = polygons.join(same, parts).select(F.col(key).alias("a"), F.col("member").alias("b"))
+    return met.unionByName(covered.select(F.col("member").alias("a"), F.col("cover").alias("b"))).unionByName(own).distinct()
+
+
 def _cuts(cells: DataFrame, group: str, digits: int) -> DataFrame:
     """``group, member, n, px, py``: points of each edge, ends left out, where an edge of another member of its group meets it."""
     names = ("member", "n", "x0", "y0", "x1", "y1")
-    other = cells.select(group, "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in names])
-    pairs = dealt(cells.select(group, "cx", "cy", *names), group, "cx", "cy").join(other, [group, "cx", "cy"]).where("member <> o_member")
+    other = cells.select(group, *CELL, *[F.col(c).alias(f"o_{c}") for c in names])
+    pairs = dealt(cells.select(group, *CELL, *names), group, *CELL).join(other, [group, *CELL]).where("member <> o_member")
     # signed distances from the other edge's line; what is within a step of the grid counts as on it
     near = 0.75 * 10.0**-digits
     off = lambda p, b: F.expr(f"(({b}x1 - {b}x0) * ({p[1]} - {b}y0) - ({b}y1 - {b}y0) * ({p[0]} - {b}x0)) / sqrt(pow({b}x1 - {b}x0, 2) + pow({b}y1 - {b}y0, 2))")
@@ -53,12 +132,16 @@ def union_edges(polygons: DataFrame, group: str, member: str, size: float, digit
     """``group, x0, y0, x1, y1``: the border of the union of each group's members, what it encloses on the left.
 
     Rings must turn against the clock, holes with it, and rings of one member may not cross.  Members may overlap, touch, share
-    edges or be equal.  Lattice cells of ``size`` bound what meets: take a few edges' length.
+    edges or be equal.  Lattice cells of ``size`` bound what meets: take a few edges' length; cells that a member covers are left out (:func:`open_cells`).
     """
-    clean = snapped(polygons.select(group, F.col(member).alias("member"), parts), digits, parts)
-    rows = clean.select(group, "member", F.posexplode(edges(parts)).alias("n", "e")).select(group, "member", "n", "e.*").where("x0 <> x1 or y0 <> y1")
-    rows = written(dealt(rows, group, "member", "n"))
-    cuts = _cuts(edge_cells(rows, size), group, digits)
+    clean = snapped(polygons.select(group, F.col(member).alias("member"), parts), digits, parts).groupBy(group, parts).agg(F.min("member").alias("member"))
+    rows = _numbered(clean, [group, "member"], parts)
+    cells, _ = open_cells(rows, [group], size)
+    cells = written(cells)
+    sides = cells.select(group, "member", *CELL, F.explode("edges").alias("e")).select(group, "member", *CELL, "e.n", "e.x0", "e.y0", "e.x1", "e.y1")
+    cuts = _cuts(sides, group, digits)
+    # an edge that only passes covered cells lies inside
+    rows = written(dealt(sides.drop(*CELL), group, "member", "n").distinct())
     at = F.expr("(px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)")
     cuts = cuts.join(rows, [group, "member", "n"]).groupBy(group, "member", "n").agg(F.sort_array(F.collect_list(F.struct(at.alias("t"), F.col("px").alias("x"), F.col("py").alias("y")))).alias("_c"))
     whole = "concat(array(struct(x0 as x, y0 as y)), coalesce(transform(_c, c -> struct(c.x as x, c.y as y)), array()), array(struct(x1 as x, y1 as y)))"
@@ -71,10 +154,14 @@ def union_edges(polygons: DataFrame, group: str, member: str, size: float, digit
     pieces = dealt(pieces, *key).groupBy(*key).agg(F.collect_set("member").alias("members"), F.bool_or("forward").alias("f"), F.bool_and("forward").alias("all_f"))
     pieces = written(pieces.where("f = all_f").select(*key, "members", "f"))
     middle = pieces.withColumns({"mx": F.expr("(lo.x + hi.x) / 2"), "my": F.expr("(lo.y + hi.y) / 2")})
-    cx, cy = cell_of("mx", "my", size)
-    held = dealt(middle.withColumns({"cx": cx, "cy": cy}), group, "lo", "hi").join(index(clean, [group, "member"], size, parts), [group, "cx", "cy"])
-    covered = held.where(F.expr(f"not array_contains(members, member) and {inside('mx', 'my', size)}")).select(*key).distinct()
-    left = pieces.join(covered, key, "left_anti").withColumns({"_s": F.when(F.col("f"), F.col("lo")).otherwise(F.col("hi")), "_e": F.when(F.col("f"), F.col("hi")).otherwise(F.col("lo"))})
+    number = lambda c, shift: F.floor((F.col(c) / size - shift) * F.pow(F.lit(2.0), "level")).alias(f"c{c[1]}")
+    levels = [r[0] for r in cells.select("level").distinct().collect()] or [0]
+    spots = middle.withColumn("level", F.explode(F.array(*[F.lit(i) for i in levels]))).select("*", number("mx", SHIFT_X), number("my", SHIFT_Y))
+    # a middle in no open cell lies inside, others if a member that is not on the piece holds it
+    held = dealt(spots, group, *CELL).join(cells, [group, *CELL])
+    within = F.expr(f"not array_contains(members, member) and {inside('mx', 'my', size, at=_corner('level', size))}")
+    left = held.select(*key, "f", within.alias("_in")).groupBy(*key).agg(F.any_value("f").alias("f"), F.bool_or("_in").alias("_in")).where("not _in")
+    left = left.withColumns({"_s": F.when(F.col("f"), F.col("lo")).otherwise(F.col("hi")), "_e": F.when(F.col("f"), F.col("hi")).otherwise(F.col("lo"))})
     return left.select(group, F.col("_s.x").alias("x0"), F.col("_s.y").alias("y0"), F.col("_e.x").alias("x1"), F.col("_e.y").alias("y1"))
 
 
@@ -97,6 +184,7 @@ def dissolved(polygons: DataFrame, group: str, member: str, size: float, digits:
 
 def enclosed(border: DataFrame, key: str, name: str = "area") -> DataFrame:
     """Area and length of borders given as edges with the inside on the left."""
+    border = written(border)
     near = border.groupBy(key).agg(F.min("x0").alias("_ox"), F.min("y0").alias("_oy"))
     return border.join(near, key).groupBy(key).agg(
         (F.sum(F.expr("(x0 - _ox) * (y1 - _oy) - (x1 - _ox) * (y0 - _oy)")) / 2).alias(name), F.sum(F.expr("sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2))")).alias("length")
@@ -121,6 +209,14 @@ def buffered(polygons: DataFrame, key: str, reach: float, size: float, steps: in
     return union_edges(around(polygons.select(key, "parts"), key, reach, steps), key, "member", size, digits)
 
 
+def shapes(polygons: DataFrame, key: str, parts: str = "parts") -> tuple[DataFrame, DataFrame]:
+    """``key, shape`` of each polygon and ``shape, parts``: polygons that are moved copies of each other have one shape, its first point at the origin."""
+    first = f"{parts}[0][0]"
+    moved = polygons.select(key, F.expr(f"transform({parts}, g -> transform(g, p -> named_struct('x', p.x - {first}.x, 'y', p.y - {first}.y)))").alias(parts))
+    found = written(moved.groupBy(parts).agg(F.min(key).alias("shape")))
+    return moved.join(found, parts).select(key, "shape"), found.select("shape", parts)
+
+
 def exploded(polygons: DataFrame, key: str, size: float, parts: str = "parts") -> DataFrame:
     """``key, part, parts``: each outer ring with its holes, numbered from 0 in the order of the outer rings.
 
