@@ -68,6 +68,8 @@ def monthly_rounds(scenes: DataFrame, keys: list[str], scene: str, cells: str, v
     What a scene would add only shrinks as a round goes on, so the next one is the best unused scene that adds enough now:
     one aggregate finds it for all keys at once, and steps repeat until no key takes any.  Coverage is a bitmap of longs
     over cell numbers from 0 below ``full``; a key's state is one row with what it has taken, at most ``rounds * (1 + 1 / least_gain)`` scenes.
+    Of a key's scenes that cover the same cells a round takes one at most, as another would add nothing; so only the best ``rounds`` of them are looked at,
+    and scenes that have several rows.
     """
     from .graph import written
 
@@ -77,7 +79,14 @@ def monthly_rounds(scenes: DataFrame, keys: list[str], scene: str, cells: str, v
     counted = listed.groupBy(*keys).agg(F.count("*").alias("_n"))
     few = listed.join(counted.where("_n <= 3"), keys).select(*keys, F.col("_scene").alias(scene), F.lit(1).alias("round"))
     count = lambda c: f"aggregate({c}, 0, (s, x) -> s + bit_count(x))"
-    items = written(listed.join(counted.where("_n > 3"), keys).where(f"{count('_bits')} / {full} >= 0.0001D"))
+    items = listed.join(counted.where("_n > 3").select(*keys), keys).where(f"{count('_bits')} / {full} >= 0.0001D")
+    if least_gain > 0:
+        again = written(listed.groupBy(*keys, "_scene").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+        single, repeated = items, items.limit(0)
+        if not again.isEmpty():
+            single, repeated = (items.join(again, [*keys, "_scene"], how) for how in ("left_anti", "left_semi"))
+        items = first_by(single, [*keys, "_bits"], ["_order"], rounds).unionByName(repeated)
+    items = written(items)
     kind = f"array<struct<scene:{dict(items.dtypes)['_scene']},round:int>>"
     state = written(items.select(*keys).distinct().withColumns({"_cover": F.expr(f"array_repeat(0L, {words})"), "_round": F.lit(0), "_taken": F.expr(f"cast(array() as {kind})"), "_go": F.lit(True)}))
     done = []
