@@ -1,20 +1,22 @@
 """Steps between lattice cells: levels from starts, spanning trees, longest lines, batches.
 
-Cells are swept tile by tile: a task takes the cells of one tile of one figure, with what reached its neighbours' borders, and
-walks as far as it can; borders are exchanged and tiles walk again, until none learns anything new.  A round crosses a tile,
-so rounds grow with a figure's extent in tiles, and no figure is gathered.
+Cells are swept tile by tile: steps between the gates of a tile, the cells from which steps lead to other tiles, are found in it.  Tiles
+are merged four by four, so that rounds grow with the logarithm of a figure's extent; from the gates' levels each tile fills in its
+cells.  No figure is gathered: a task holds a tile's cells, or the steps between at most :data:`GATES` gates; where more would
+meet, tiles are crossed one after another by their gates.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .edges import dealt
@@ -24,15 +26,16 @@ from .graph import written
 STEPS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 ALL = 255
 _FAR = np.iinfo(np.int64).max
+#: Gates of tiles that may be merged into one.
+GATES = 1200
 
 
 def _walked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Levels of a tile's cells after all walks within it; rows marked ``halo`` are cells of other tiles that may be left, not entered."""
+    """Levels of a tile's cells after all walks within it."""
     rows, cols, masks = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["mask"].to_numpy()
-    before = pdf["level"].fillna(-1).to_numpy().astype(np.int64)
-    own = ~pdf["halo"].to_numpy()
-    level = np.where(before < 0, _FAR, before)
-    place = {(int(r), int(c)): i for i, (r, c) in enumerate(zip(rows, cols)) if own[i]}
+    level = pdf["level"].fillna(-1).to_numpy().astype(np.int64)
+    level = np.where(level < 0, _FAR, level)
+    place = {(int(r), int(c)): i for i, (r, c) in enumerate(zip(rows, cols))}
     queue = [(int(level[i]), int(i)) for i in np.flatnonzero(level < _FAR)]
     heapify(queue)
     while queue:
@@ -44,10 +47,122 @@ def _walked(pdf: pd.DataFrame) -> pd.DataFrame:
             if mask >> k & 1 and (j := place.get((r + a, c + b))) is not None and level[j] > at + 1:
                 level[j] = at + 1
                 heappush(queue, (at + 1, j))
-    out = pdf.loc[own, ["figure", "row", "col", "mask"]].copy()
-    out["level"] = pd.array([None if v == _FAR else int(v) for v in level[own]], dtype="Int64")
-    out["new"] = level[own] != np.where(before < 0, _FAR, before)[own]
-    return out
+    return pdf[["figure", "row", "col", "mask"]].assign(level=pd.array([None if v == _FAR else int(v) for v in level], dtype="Int64"))
+
+
+def _gate_steps(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fewest steps ``d`` within a tile between its gates ``u`` and ``v``; all gates walk at once, a bit of each cell's words for each gate."""
+    rows, cols, masks = (pdf[c].to_numpy().astype(np.int64) for c in ("row", "col", "mask"))
+    gates, n = np.flatnonzero(pdf["gate"].to_numpy()), len(rows)
+    r, c = rows - rows.min() + 1, cols - cols.min() + 1
+    grid = np.full((r.max() + 2, c.max() + 2), n)
+    grid[r, c] = np.arange(n)
+    # for each step the cell that takes it to a cell, n if there is none
+    sources = [np.where(np.append(masks, 0)[i] >> k & 1, i, n) for k, (a, b) in enumerate(STEPS) for i in [grid[r - a, c - b]]]
+    own = np.arange(len(gates))
+    seen = np.zeros((n + 1, max(1, -(-len(gates) // 64))), np.uint64)
+    seen[gates, own // 64] = np.uint64(1) << (own % 64).astype(np.uint64)
+    front, step, out = seen.copy(), 0, [np.zeros((3, 0), np.int64)]
+    while front.any():
+        step += 1
+        new = np.zeros_like(seen)
+        for i in sources:
+            new[:n] |= front[i]
+        new &= ~seen
+        seen |= new
+        to, start = np.nonzero(np.unpackbits(new[gates].view(np.uint8), axis=1, bitorder="little"))
+        out.append(np.stack([gates[start], gates[to], np.full(len(to), step)]))
+        front = new
+    u, v, d = np.concatenate(out, axis=1)
+    node = rows * (1 << 32) + cols + (1 << 31)
+    return pd.DataFrame({"figure": pdf["figure"].iloc[0], "u": node[u], "v": node[v], "d": d})
+
+
+def _merged_steps(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fewest steps between the nodes to keep (rows of ``d`` 0 from a node to itself) over the steps of some tiles."""
+    nodes, at = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+    u, v = at[: len(pdf)], at[len(pdf) :]
+    d = pdf["d"].to_numpy().astype(np.int64)
+    best = np.full((len(nodes), len(nodes)), 1 << 40)
+    np.minimum.at(best, (u, v), d)
+    for k in range(len(nodes)):
+        np.minimum(best, best[:, k, None] + best[None, k], out=best)
+    keep = np.unique(u[(u == v) & (d == 0)])
+    i, j = np.nonzero((best[np.ix_(keep, keep)] < 1 << 40) & ~np.eye(len(keep), dtype=bool))
+    return pd.DataFrame({"figure": pdf["figure"].iloc[0], "u": nodes[keep[i]], "v": nodes[keep[j]], "d": best[keep[i], keep[j]]})
+
+
+def _spread(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Levels of nodes from those known (rows marked ``known``, their level in ``d``) over the steps of some tiles."""
+    known, steps = pdf[pdf["known"]], pdf[~pdf["known"]]
+    onward: dict[int, list[tuple[int, int]]] = {}
+    for u, v, d in zip(steps["u"].tolist(), steps["v"].tolist(), steps["d"].tolist()):
+        onward.setdefault(u, []).append((v, d))
+    level: dict[int, int] = {}
+    queue = [(int(d), int(u)) for u, d in zip(known["u"], known["d"])]
+    heapify(queue)
+    while queue:
+        at, u = heappop(queue)
+        if u not in level:
+            level[u] = at
+            for v, d in onward.get(u, ()):
+                if v not in level:
+                    heappush(queue, (at + d, v))
+    return pd.DataFrame({"figure": pdf["figure"].iloc[0], "u": list(level), "level": list(level.values())}).astype("int64")
+
+
+def _in_tile(node: str, side: int, low: tuple[int, int]) -> list[Column]:
+    """The tile (tr, tc) of ``side`` cells, counted from ``low``, that holds a node."""
+    row, col = F.shiftright(node, 32), F.col(node).bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)
+    return [F.floor((row - F.lit(low[0])) / side).alias("tr"), F.floor((col - F.lit(low[1])) / side).alias("tc")]
+
+
+def _gate_levels(state: DataFrame, arcs: DataFrame, tile: int, max_rounds: int) -> DataFrame:
+    """``figure, u, level``: levels of the gates ``u`` of all tiles, the ends of ``arcs`` that lead from tile to tile.
+
+    Steps between the gates of a tile are found in it; four by four tiles become one, which keeps only steps between its own gates, until
+    each figure lies in one tile.  Then levels go back down: those at a tile's gates give those of all gates within it.
+    """
+    out, tiled = "figure long, u long, v long, d long", ["figure", "tr", "tc"]
+    node = (F.col("row") * (1 << 32) + F.col("col") + F.lit(1 << 31)).alias("u")
+    # counted from the first tile, as no tile would ever hold cells on both sides of 0
+    low = tuple(v // tile * tile for v in state.agg(F.min("row"), F.min("col")).first())
+    wide = arcs.select("figure").distinct()
+    begin = written(state.where("level = 0").join(wide, "figure", "left_semi").select("figure", node))
+    ends = lambda t: t.select("figure", "u").unionByName(t.select("figure", F.col("v").alias("u"))).unionByName(begin).distinct()
+    gates = ends(arcs).withColumn("gate", F.lit(True))
+    cells = state.join(wide, "figure", "left_semi").select("figure", "row", "col", "mask", node).join(gates, ["figure", "u"], "left")
+    cells = cells.select("figure", F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"), "row", "col", "mask", F.coalesce("gate", F.lit(False)).alias("gate"))
+    steps, side, levels, rest = written(cells.groupBy(*tiled).applyInPandas(_gate_steps, out)), tile, [], arcs
+    while not rest.isEmpty():
+        side *= 4
+        same = reduce(lambda a, b: a & b, [a == b for a, b in zip(_in_tile("u", side, low), _in_tile("v", side, low))])
+        graph = steps.unionByName(rest.where(same).withColumn("d", F.lit(1).cast("long"))).select("figure", *_in_tile("u", side, low), "u", "v", "d")
+        nodes = graph.groupBy(*tiled).agg(F.count_distinct("u").alias("n")).agg(F.max("n")).first()[0] or 0
+        if nodes > GATES:
+            break
+        graph, rest = written(graph), written(rest.where(~same))
+        levels.append((side, graph))
+        kept = ends(rest).select("figure", *_in_tile("u", side, low), "u", F.col("u").alias("v"), F.lit(0).cast("long").alias("d"))
+        steps = written(graph.unionByName(kept).groupBy(*tiled).applyInPandas(_merged_steps, out))
+    known = begin.withColumn("level", F.lit(0).cast("long"))
+    if not rest.isEmpty():
+        # tiles with too many gates to merge are crossed one after another, by gates alone
+        onward = written(steps.unionByName(rest.withColumn("d", F.lit(1).cast("long"))))
+        front = known
+        for _ in range(max_rounds):
+            moved = front.join(onward, ["figure", "u"]).select("figure", F.col("v").alias("u"), (F.col("level") + F.col("d")).alias("level"))
+            both = known.withColumn("old", F.col("level")).unionByName(moved.withColumn("old", F.lit(None).cast("long")))
+            found = written(both.groupBy("figure", "u").agg(F.min("level").alias("level"), F.min("old").alias("old")))
+            known, front = found.drop("old"), found.where("old is null or level < old").drop("old")
+            if front.isEmpty():
+                break
+        else:
+            raise RuntimeError("the sweep did not end")
+    for side, graph in reversed(levels):
+        seeds = known.select("figure", *_in_tile("u", side, low), "u", F.col("u").alias("v"), F.col("level").alias("d"), F.lit(True).alias("known"))
+        known = written(graph.withColumn("known", F.lit(False)).unionByName(seeds).groupBy(*tiled).applyInPandas(_spread, "figure long, u long, level long"))
+    return known
 
 
 def swept(cells: DataFrame, starts: DataFrame, tile: int = 64, max_rounds: int = 100_000) -> DataFrame:
@@ -55,20 +170,18 @@ def swept(cells: DataFrame, starts: DataFrame, tile: int = 64, max_rounds: int =
 
     ``cells`` has ``figure`` and ``mask`` (the steps that a cell may take, :data:`STEPS`).
     """
-    begin = starts.select("figure", "row", "col", F.lit(0).cast("long").alias("level"), F.lit(True).alias("new"))
-    state = written(cells.select("figure", "row", "col", "mask").join(begin, ["figure", "row", "col"], "left").withColumn("new", F.coalesce("new", F.lit(False))))
-    of = lambda c, by=0: F.floor((F.col(c) + by) / tile)
-    ddl = "figure long, row long, col long, mask int, level long, new boolean"
-    for _ in range(max_rounds):
-        own = state.select("figure", of("row").alias("tr"), of("col").alias("tc"), "row", "col", "mask", "level", F.lit(False).alias("halo"))
-        steps = F.explode(F.array(*[F.struct(of("row", a).alias("tr"), of("col", b).alias("tc")) for a, b in STEPS])).alias("t")
-        rim = state.where("new").select("figure", of("row").alias("r"), of("col").alias("c"), "row", "col", "mask", "level", steps).where("t.tr <> r or t.tc <> c").distinct()
-        halo = rim.select("figure", "t.tr", "t.tc", "row", "col", "mask", "level", F.lit(True).alias("halo"))
-        state = written(own.unionByName(halo).groupBy("figure", "tr", "tc").applyInPandas(_walked, ddl))
-        edge = " or ".join(f"pmod({c}, {tile}) = {v}" for c in ("row", "col") for v in (0, tile - 1))
-        if state.where(f"new and ({edge})").isEmpty():
-            return state.drop("new")
-    raise RuntimeError("the sweep did not end")
+    begin = starts.select("figure", "row", "col", F.lit(0).cast("long").alias("level")).distinct()
+    state = written(cells.select("figure", "row", "col", "mask").join(begin, ["figure", "row", "col"], "left"))
+    node = lambda r, c: F.col(r) * (1 << 32) + F.col(c) + F.lit(1 << 31)
+    rim = state.where(" or ".join(f"pmod({c}, {tile}) in (0, {tile - 1})" for c in ("row", "col")))
+    sent = rim.select("figure", "row", "col", "mask", F.explode(F.array(*[F.struct(F.lit(1 << k).alias("bit"), (F.col("row") + a).alias("r"), (F.col("col") + b).alias("c")) for k, (a, b) in enumerate(STEPS)])).alias("o"))
+    sent = sent.where(f"(mask & o.bit) > 0 and (floor(row / {tile}) <> floor(o.r / {tile}) or floor(col / {tile}) <> floor(o.c / {tile}))").select("figure", node("row", "col").alias("u"), node("o.r", "o.c").alias("v"))
+    arcs = written(sent.join(rim.select("figure", node("row", "col").alias("v")), ["figure", "v"], "left_semi").select("figure", "u", "v"))
+    if not arcs.isEmpty():
+        gates = _gate_levels(state, arcs, tile, max_rounds).withColumnRenamed("level", "_gate")
+        state = state.withColumn("u", node("row", "col")).join(gates, ["figure", "u"], "left").select("figure", "row", "col", "mask", F.coalesce("_gate", "level").alias("level"))
+    tiled = state.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
+    return written(tiled.groupBy("figure", "tr", "tc").applyInPandas(_walked, "figure long, row long, col long, mask int, level long"))
 
 
 def _far_end(found: DataFrame) -> DataFrame:
